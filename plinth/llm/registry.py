@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plinth.llm import decontam, linededup, mixing, ngram_join, quality_rules, sharding, urlfilter
+from plinth.llm import decontam, linededup, mixing, ngram_join, ordinal, quality_rules, sharding, toxicity, urlfilter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +32,14 @@ def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_join(table(spark, sf_dir, "documents"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ordinal.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     return urlfilter.judge(pages, urlfilter.train(urlfilter.seed_labels(pages)))
@@ -50,9 +58,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_line_dedup": op2_line_dedup,
         "op3_ngram_join": op3_ngram_join,
+        "op4_toxicity": op4_toxicity,
         "op5_url_filter": op5_url_filter,
         "op6_mixing": op6_mixing,
         "op7_quality_rules": op7_quality_rules,
+        "op8_quality_classifier": op8_quality_classifier,
         "op9_decontamination": op9_decontamination,
         "op10_sharding": op10_sharding,
     }
