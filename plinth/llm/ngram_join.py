@@ -303,3 +303,15 @@ def ngram_join(docs: DataFrame) -> DataFrame:
     placed = member.join(roots, "node", "left").select(F.col("doc_id").alias("id"), F.coalesce("root", "node").alias("component"))
     joined = rows.join(placed, rows["doc_id"] == placed["id"], "left")
     return joined.select(rows["doc_id"], F.col("n").alias("n_shingles"), F.coalesce("component", rows["doc_id"]).alias("component_id"))
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that name their component, all columns as they are; rows with a null id stay."""
+    joined = materialize(ngram_join(docs), "join-result")
+    others = joined.filter("doc_id <> component_id").select(F.col("doc_id").alias("__id")).distinct()
+    side = F.broadcast(others) if others.count() <= BROADCAST_ROWS else others
+    kept = docs.join(side, docs["doc_id"].cast("long") == F.col("__id"), "left_anti")
+    if joined.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").limit(1).count():
+        once = kept.filter("doc_id is not null").dropDuplicates(["doc_id"])
+        kept = once.unionByName(kept.filter("doc_id is null"))
+    return kept

@@ -73,11 +73,14 @@ def rebalanced_map(slot_map: list[int], slot_bytes: list[int], shards: int, tole
     return edited
 
 
-def sized(docs: DataFrame) -> DataFrame:
-    """(doc_id, size, text_crc32, vslot) of each row."""
+ADDED = ("size", "text_crc32", "vslot", "law", "shard", "slot", "grown_shard")
+
+
+def sized(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns ``keep``, size, text_crc32 and vslot of each row."""
     text = F.coalesce(F.col("text"), F.lit(""))
     crc = F.crc32(text.cast("binary"))
-    return docs.select("doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), crc.alias("text_crc32")).withColumn("vslot", virtual_slot(F.col("doc_id"), F.col("text_crc32")))
+    return docs.select(*(c for c in keep if c not in ADDED), (F.octet_length(text) + 8).cast("long").alias("size"), crc.alias("text_crc32")).withColumn("vslot", virtual_slot(F.col("doc_id"), F.col("text_crc32")))
 
 
 def slot_totals(records: DataFrame, slots: int = VIRTUAL_SLOTS) -> tuple[list[int], list[int]]:
@@ -114,14 +117,15 @@ def place(records: DataFrame, slot_map: list[int], slot_rows: list[int]) -> Data
         ahead.append(seen.get(shard, 0))
         seen[shard] = ahead[-1] + slot_rows[slot]
     own = F.row_number().over(Window.partitionBy("vslot").orderBy("doc_id", "text_crc32", "size"))
+    names = [c for c in records.columns if c not in ADDED]
     return records.withColumn("slot", (own - 1).cast("long")).select(
-        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), _lookup(slot_map, F.col("vslot"), "int").alias("shard"),
+        *names, "size", "text_crc32", F.lit("bytes").alias("law"), _lookup(slot_map, F.col("vslot"), "int").alias("shard"),
         (F.col("slot") + _lookup(ahead, F.col("vslot"), "long")).alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "vslot",
     )
 
 
-def shard(docs: DataFrame, shards: int = SHARDS, slot_map: list[int] | None = None) -> DataFrame:
+def shard(docs: DataFrame, shards: int = SHARDS, slot_map: list[int] | None = None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Place all rows; ``slot_map`` is a stored version to follow, else version 0 is made from the slots' bytes."""
-    records = sized(docs)
+    records = sized(docs, keep)
     size, rows = slot_totals(records)
     return place(records, slot_map or initial_map(size, shards), rows)

@@ -102,7 +102,7 @@ def fold(doc_id):
 def training_sample(docs: DataFrame, labels: DataFrame, label, rows: int = TRAIN_ROWS, shapes: bool = False) -> tuple[list[np.ndarray], np.ndarray]:
     """Features and labels of at most ``rows`` labelled documents outside the held-out fold, in hash order."""
     graded = labels.select("doc_id", label.alias("label")).filter("doc_id is not null and label is not null").filter(fold(F.col("doc_id")) != 1)
-    ids = graded.groupBy("doc_id").agg(F.min("label").cast("int").alias("label")).withColumn("h", F.xxhash64("doc_id")).orderBy("h", "doc_id").limit(rows)
+    ids = graded.groupBy("doc_id").agg(F.max("label").cast("int").alias("label")).withColumn("h", F.xxhash64("doc_id")).orderBy("h", "doc_id").limit(rows)
     texts = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("h", "text", "label")
     got = texts.mapInArrow(_sampler(shapes), "label int, h long, features binary").toArrow()
     order = np.argsort(got.column("h").to_numpy(), kind="stable")

@@ -3,8 +3,8 @@
 Per-coordinate rates follow each feature's own gradients, and L1 keeps all
 but a few thousand weights at exactly zero, so the model travels in the task
 closure. It is fitted on a bounded sample of labelled rows, in hash order,
-outside the held-out fold; a fifth of the sample sets the offset that puts
-the best cut at ``CUT``. Every whole text is scored.
+outside the held-out fold; a fifth of the sample chooses the strength of L1
+and the offset that puts the best cut at ``CUT``. Every whole text is scored.
 
 Defined cases: null and empty texts have no features and score the offset
 alone; a null id scores like any other (held_out null is given as false);
@@ -24,6 +24,12 @@ from plinth.llm import textfeatures
 from plinth.llm.textfeatures import BITS, TRAIN_ROWS, fold
 
 CUT = 0.7
+#: Weight of recall against precision in the choice of the cut: clean documents should pass.
+BETA = 0.7
+#: Features of fewer training rows than this are left out; no L1 below would keep them.
+MIN_ROWS = 4
+#: The strengths of L1 that are tried.
+L1 = (8.0, 16.0)
 
 
 @dataclass
@@ -34,7 +40,7 @@ class Model:
     steep: float = 1.0
 
 
-def ftrl(rows: list[np.ndarray], labels: np.ndarray, alpha: float = 0.2, beta: float = 1.0, l1: float = 1.0, l2: float = 0.1, passes: int = 2) -> tuple[np.ndarray, float]:
+def ftrl(rows: list[np.ndarray], labels: np.ndarray, alpha: float = 4.0, beta: float = 1.0, l1: float = 12.0, l2: float = 0.1, passes: int = 15) -> tuple[np.ndarray, float]:
     """Weights and bias after ``passes`` over the rows in their order."""
     z, n = np.zeros(1 << BITS), np.zeros(1 << BITS)
     zb = nb = 0.0
@@ -57,28 +63,34 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     y = (y > 0).astype(float)
     if not len(y) or y.min() == y.max():
         return Model(np.zeros(0, np.int64), np.zeros(0), -40.0)
+    common = np.bincount(np.concatenate(features), minlength=1 << BITS) >= MIN_ROWS
+    features = [x[common[x]] for x in features]
     part = np.arange(len(y)) % 5 == 4
-    w, _ = ftrl([x for x, held in zip(features, part, strict=True) if not held], y[~part])
-    check = np.array([w[x].sum() for x, held in zip(features, part, strict=True) if held])
     truth = y[part]
-    cut = _best_cut(check, truth)
-    full, _ = ftrl(features, y)
+    tried = []
+    for l1 in L1:
+        w, _ = ftrl([x for x, held in zip(features, part, strict=True) if not held], y[~part], l1=l1, passes=8)
+        check = np.array([w[x].sum() for x, held in zip(features, part, strict=True) if held])
+        cut, f1 = _best_cut(check, truth)
+        tried.append((f1, l1, cut))
+    _, l1, cut = max(tried)
+    full, _ = ftrl(features, y, l1=l1)
     kept = np.flatnonzero(full)
     return Model(kept, full[kept], float(np.log(CUT / (1 - CUT)) - cut))
 
 
-def _best_cut(z: np.ndarray, truth: np.ndarray) -> float:
-    """The middle of the widest gap between sums at the best F1."""
+def _best_cut(z: np.ndarray, truth: np.ndarray) -> tuple[float, float]:
+    """The middle of the gap between sums at the best F-measure, and that measure."""
     if not truth.sum():
-        return float(z.max() + 1) if len(z) else 1.0
+        return (float(z.max() + 1) if len(z) else 1.0), 0.0
     order = np.argsort(-z, kind="stable")
     s, t = z[order], truth[order]
     hit = np.cumsum(t)
-    f1 = 2 * hit / (np.arange(1, len(t) + 1) + t.sum())
+    f1 = (1 + BETA**2) * hit / (np.arange(1, len(t) + 1) + BETA**2 * t.sum())
     ends = np.r_[s[1:] < s[:-1], True]
     best = int(np.argmax(np.where(ends, f1, -1)))
     below = s[best + 1] if best + 1 < len(s) else s[best] - 2
-    return float((s[best] + below) / 2)
+    return float((s[best] + below) / 2), float(f1[best])
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
