@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plinth.llm import decontam, linededup, mixing, ngram_join, ordinal, quality_rules, sharding, toxicity, urlfilter
+from plinth.llm import decontam, linededup, mixing, ngram_join, ordinal, pii, quality_rules, sharding, toxicity, urlfilter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,14 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
 
+#: The key of the registered query; a real corpus takes its own from a secret store.
+DEMO_KEY = b"plinth surrogate demonstration key"
+
+
+def op1_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.surrogate_text(table(spark, sf_dir, "documents"), DEMO_KEY)
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cleaned = linededup.dedup_lines(table(spark, sf_dir, "documents"))
     return cleaned.select("doc_id", "n_lines", "n_removed", F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"), "text")
@@ -56,6 +64,7 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_pii_surrogates": op1_pii_surrogates,
         "op2_line_dedup": op2_line_dedup,
         "op3_ngram_join": op3_ngram_join,
         "op4_toxicity": op4_toxicity,
