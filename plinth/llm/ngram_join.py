@@ -272,13 +272,14 @@ def links(sets: DataFrame) -> DataFrame:
     found = first.select("a", "b").unionByName(direct.select("a", "b"))
     if not open_pairs.limit(1).count():
         return found
-    sides = open_pairs.select("la", "lb", "base").unionByName(open_pairs.select(F.col("lb").alias("la"), F.col("la").alias("lb"), "base"))
-    inside = entries.join(crowded, "token", "left_semi")
-    one = inside.join(sides, inside["leader"] == sides["la"]).select("token", "la", "lb", "base", F.explode(F.array(F.col("block"), F.col("block") + 1)).alias("block"), F.col("block").alias("own"), F.col("node").alias("x"), F.col("n").alias("nx"), F.col("left").alias("leftx"), F.col("extra").alias("ex"))
-    two = inside.select("token", "block", F.col("leader").alias("lb"), F.col("node").alias("y"), F.col("n").alias("ny"), F.col("left").alias("lefty"), F.col("extra").alias("ey"))
-    member = one.join(two, ["token", "block", "lb"]).filter(((F.col("own") < F.col("block")) | (F.col("x") < F.col("y"))) & _may_reach(F.col("nx"), F.col("leftx"), F.col("ny"), F.col("lefty")))
-    # the leaders' overlap plus both differences bounds the members' overlap
-    member = member.filter(DEN * (F.col("base") + F.col("ex") + F.col("ey")) >= NUM * (F.col("nx") + F.col("ny")))
+    # back to the lists where the two groups met, with the members that the leaders' overlap and the differences leave a chance
+    a, b = F.least("leader1", "leader2"), F.greatest("leader1", "leader2")
+    places = met.join(open_pairs, (a == F.col("la")) & (b == F.col("lb"))).select("token", "own", "block", "leader1", "leader2", "extra2", "low2", "base")
+    side = lambda x, at, who: entries.select(F.col("token"), F.col("block").alias(at), F.col("leader").alias(who), F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("left").alias(f"left{x}"), F.col("extra").alias(f"e{x}"))
+    chance = lambda bound, sizes: DEN * bound >= NUM * sizes
+    one = places.join(side("x", "own", "leader1"), ["token", "own", "leader1"]).filter(chance(F.col("base") + F.col("ex") + F.col("extra2"), F.col("nx") + F.col("low2")))
+    two = one.join(side("y", "block", "leader2"), ["token", "block", "leader2"]).filter(chance(F.col("base") + F.col("ex") + F.col("ey"), F.col("nx") + F.col("ny")))
+    member = two.filter(_may_reach(F.col("nx"), F.col("leftx"), F.col("ny"), F.col("lefty")))
     pairs = member.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     checked = overlaps(pairs, sets)
     return found.unionByName(checked.filter(linked(F.col("overlap"), F.col("na"), F.col("nb"))).select("a", "b"))
