@@ -26,12 +26,12 @@ def edge_violations(edges: DataFrame, legality: DataFrame) -> DataFrame:
     """
     legal = legality.withColumn("ok", F.lit(True))
     known = F.broadcast(legal.groupBy("edge_type").agg(F.max("temporal").alias("temporal")))
-    pair = lambda s, d: F.broadcast(legal.filter(((F.col("src_type") == "*") == s) & ((F.col("dst_type") == "*") == d)).select("edge_type", F.col("src_type").alias("s"), F.col("dst_type").alias("d"), F.col("ok").alias(f"ok{int(s)}{int(d)}")))
     out = edges.join(known, "edge_type", "left")
-    exact, any_src, any_dst = pair(False, False), pair(True, False), pair(False, True)
-    out = out.join(exact, (out["edge_type"] == exact["edge_type"]) & (out["src_type"] == exact["s"]) & (out["dst_type"] == exact["d"]), "left").drop(exact["edge_type"], "s", "d")
-    out = out.join(any_src, (out["edge_type"] == any_src["edge_type"]) & (out["dst_type"] == any_src["d"]), "left").drop(any_src["edge_type"], "s", "d")
-    out = out.join(any_dst, (out["edge_type"] == any_dst["edge_type"]) & (out["src_type"] == any_dst["s"]), "left").drop(any_dst["edge_type"], "s", "d")
+    for any_src, any_dst in ((False, False), (True, False), (False, True)):
+        name = f"ok{int(any_src)}{int(any_dst)}"
+        rows = legal.filter(((F.col("src_type") == "*") == any_src) & ((F.col("dst_type") == "*") == any_dst))
+        keys = ["edge_type", *["src_type"] * (not any_src), *["dst_type"] * (not any_dst)]
+        out = out.join(F.broadcast(rows.select(*keys, F.col("ok").alias(name))), keys, "left")
     legal_pair = F.coalesce("ok00", "ok10", "ok01").isNotNull()
     dated = F.map_contains_key("props", F.lit("as_of")) | F.map_contains_key("props", F.lit("validity_period_ref"))
     reason = F.when(F.col("temporal").isNull(), "unknown_type").when(~legal_pair, "endpoints").when(F.col("temporal") & ~dated, "undated")
