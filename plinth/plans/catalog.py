@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plinth.plans import graph_queries, text_queries  # noqa: F401  each module registers its queries
+from plinth.plans import analytic_queries, graph_queries, text_queries  # noqa: F401  each module registers its queries
 from plinth.plans.base import ORACLES, QUERIES
 
 
