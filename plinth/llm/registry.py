@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plinth.llm import decontam, linededup, mixing, ngram_join, ordinal, pii, quality_rules, sharding, toxicity, urlfilter
+from plinth.llm import decontam, linededup, mixing, ngram_join, oracles, ordinal, pii, quality_rules, sharding, toxicity, urlfilter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,7 +33,7 @@ def op1_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cleaned = linededup.dedup_lines(table(spark, sf_dir, "documents"))
-    return cleaned.select("doc_id", "n_lines", "n_removed", F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"), "text")
+    return cleaned.select("doc_id", "n_lines", "n_removed", "text")
 
 
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,4 +78,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(oracles.ORACLES)
