@@ -18,7 +18,7 @@ _BYTE = np.random.default_rng(7).integers(0, 1 << 63, 256, dtype=np.uint64) * np
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 #: Bytes handled at once; working memory is about 60 times this.
-PIECE = 1 << 20
+PIECE = 1 << 19
 
 WHITE = np.zeros(256, dtype=bool)
 WHITE[[0x20, *range(0x09, 0x0E)]] = True

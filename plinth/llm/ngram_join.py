@@ -48,8 +48,8 @@ SHINGLE = 5
 NUM, DEN = 3, 7
 LOW_BITS = 48
 #: Shingles that one bucket holds on average, and that a map task packs at once.
-BUCKET_SHINGLES = 2_000_000
-PACK_SHINGLES = 3_000_000
+BUCKET_SHINGLES = 1_000_000
+PACK_SHINGLES = 1_500_000
 #: Copy tables of at most this many rows are broadcast; larger ones are joined by shuffle.
 BROADCAST_ROWS = 1_000_000
 #: Size blocks: a little above 4/3, so that a pair within the size window is never two blocks apart.

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plinth.llm import textfeatures
-from plinth.llm.textfeatures import BITS, TRAIN_ROWS, fold
+from plinth.llm.textfeatures import SIZE, TRAIN_ROWS, fold, values_of
 
 
 @dataclass
@@ -40,9 +40,9 @@ def _sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -35, 35)))
 
 
-def cumulative_link(rows: list[np.ndarray], grades: np.ndarray, levels: int, rate: float = 0.3, l2: float = 1e-5, passes: int = 3) -> tuple[np.ndarray, np.ndarray]:
+def cumulative_link(rows: list[np.ndarray], grades: np.ndarray, levels: int, rate: float = 0.2, l2: float = 1e-4, passes: int = 4) -> tuple[np.ndarray, np.ndarray]:
     """Weights and ``levels - 1`` ordered thresholds; the first threshold and the logs of the gaps are what is fitted."""
-    w, gw = np.zeros(1 << BITS), np.full(1 << BITS, 1e-2)
+    w, gw = np.zeros(SIZE), np.full(SIZE, 1e-2)
     share = np.clip(np.cumsum(np.bincount(grades, minlength=levels))[:-1] / len(grades), 1e-3, 1 - 1e-3)
     start = np.log(share / (1 - share))
     first, gaps = start[0], np.log(np.maximum(np.diff(start), 1e-2))
@@ -50,12 +50,12 @@ def cumulative_link(rows: list[np.ndarray], grades: np.ndarray, levels: int, rat
     for _ in range(passes):
         for x, y in zip(rows, grades, strict=True):
             t = np.r_[first, first + np.cumsum(np.exp(gaps))]
-            norm = 1 / np.sqrt(max(1, len(x)))
-            s = w[x].sum() * norm
+            v = values_of(x)
+            s = (w[x] * v).sum()
             upper, lower = (_sigmoid(t[y] - s) if y < levels - 1 else 1.0), (_sigmoid(t[y - 1] - s) if y else 0.0)
             du, dl = upper * (1 - upper), lower * (1 - lower)
             p = max(upper - lower, 1e-9)
-            g = (du - dl) / p * norm  # gradient of -log p by s, times norm
+            g = (du - dl) / p * v  # gradient of -log p by each weight
             gw[x] += g * g
             w[x] -= rate * (g / np.sqrt(gw[x]) + l2 * w[x])
             gt_now = np.zeros(levels - 1)

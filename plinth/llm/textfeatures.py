@@ -12,8 +12,13 @@ from pyspark.sql import functions as F
 from plinth.llm import hashing
 
 BITS = 20
+#: Shape features are numbered from here on, apart from the hashed ones.
+SHAPE_BASE = 1 << BITS
+SIZE = SHAPE_BASE + 1024
 #: Labelled rows used at most to fit a model, by the smallest hash of their id; their features are what reaches the driver.
-TRAIN_ROWS = 12_000
+TRAIN_ROWS = 8_000
+#: Features of fewer training rows than this are left out of a fit.
+MIN_ROWS = 4
 #: A training row keeps at most its 20,000 smallest feature numbers, which bounds the sample's size; scoring uses all.
 TRAIN_FEATURES = 20_000
 
@@ -47,7 +52,7 @@ def shape_features(text: pa.Array) -> np.ndarray:
     data, offsets = hashing.buffers(text)
     n = len(offsets) - 1
     out = np.zeros((n, len(_MARKS) + 2), dtype=np.int32)
-    level = lambda x: np.clip(np.ceil(np.log2(np.maximum(x, 1e-9) * 256)), 0, 12).astype(np.uint64)
+    level = lambda x: np.clip(np.ceil(np.log2(np.maximum(x, 1e-9) * 256)), 0, 12).astype(np.int32)
     share = np.zeros((n, len(_MARKS) + 2))
     for i in range(n):
         row = data[offsets[i] : offsets[i + 1]]
@@ -59,7 +64,7 @@ def shape_features(text: pa.Array) -> np.ndarray:
             again = (h[1:] == h[:-1]) & (rows[1:] == rows[:-1])
             share[a:b, -1] = np.bincount(rows[1:][again] - a, minlength=b - a) / np.maximum(1, np.bincount(rows - a, minlength=b - a))
     for k in range(share.shape[1]):
-        out[:, k] = _slot(np.uint64(0xC0FFEE + 1000 * k) + level(share[:, k]))
+        out[:, k] = SHAPE_BASE + 16 * k + level(share[:, k])
     return out
 
 
@@ -105,27 +110,53 @@ def training_sample(docs: DataFrame, labels: DataFrame, label, rows: int = TRAIN
     ids = graded.groupBy("doc_id").agg(F.max("label").cast("int").alias("label")).withColumn("h", F.xxhash64("doc_id")).orderBy("h", "doc_id").limit(rows)
     texts = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("h", "text", "label")
     got = texts.mapInArrow(_sampler(shapes), "label int, h long, features binary").toArrow()
-    order = np.argsort(got.column("h").to_numpy(), kind="stable")
-    features = [np.frombuffer(f.as_py(), np.int32) for f in got.column("features")]
-    return [features[i] for i in order], got.column("label").to_numpy()[order]
+    order, label = np.argsort(got.column("h").to_numpy(), kind="stable"), got.column("label").to_numpy()
+    flat, offsets = _flat(got.column("features"))
+    del got
+    pa.default_memory_pool().release_unused()
+    kept = np.bincount(flat, minlength=SIZE)[flat] >= MIN_ROWS
+    offsets = np.r_[0, np.cumsum(kept)][offsets]
+    flat = flat[kept]
+    return [flat[offsets[i] : offsets[i + 1]] for i in order], label[order]
+
+
+def values_of(x: np.ndarray) -> np.ndarray:
+    """1 for a shape feature, one over the root of their number for each hashed feature of a row."""
+    hashed = x < SHAPE_BASE
+    return np.where(hashed, 1 / np.sqrt(max(1, int(hashed.sum()))), 1.0)
+
+
+def _flat(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers of a binary column end to end, and where each row's begin; no object is made per row."""
+    parts, lengths = [np.zeros(0, np.int32)], [np.zeros(1, np.int64)]
+    for chunk in column.chunks:
+        chunk = chunk.cast(pa.large_binary())
+        ends = np.frombuffer(chunk.buffers()[1], np.int64)[chunk.offset : chunk.offset + len(chunk) + 1]
+        if len(chunk) and ends[-1] > ends[0]:
+            parts.append(np.frombuffer(chunk.buffers()[2], np.int32, (ends[-1] - ends[0]) // 4, ends[0]))
+        lengths.append(np.diff(ends) // 4)
+    return np.concatenate(parts), np.cumsum(np.concatenate(lengths))
 
 
 def scored(docs: DataFrame, score, shapes: bool = False, scaled: bool = False) -> DataFrame:
     """doc_id and ``z``, the sum of weights of each whole text's features; ``score`` is (numbers, weights) of the non-zero ones.
 
-    ``scaled``: divided by the root of the number of features.
+    ``scaled``: each feature counts by :func:`values_of`.
     """
     numbers, weights = score
 
     def run(batches):
-        table = np.zeros(1 << BITS)
+        table = np.zeros(SIZE)
         table[numbers] = weights
         for batch in batches:
             z = np.zeros(batch.num_rows)
             for a, b, values, rows in row_features(batch.column(1), shapes):
-                z[a:b] += np.bincount(rows - a, weights=table[values], minlength=b - a)
+                w = table[values]
                 if scaled:
-                    z[a:b] /= np.sqrt(np.maximum(1, np.bincount(rows - a, minlength=b - a)))
+                    hashed = values < SHAPE_BASE
+                    n = np.bincount(rows[hashed] - a, minlength=b - a)
+                    w = np.where(hashed, w / np.sqrt(np.maximum(1, n))[rows - a], w)
+                z[a:b] += np.bincount(rows - a, weights=w, minlength=b - a)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(z)], names=["doc_id", "z"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, z double")
@@ -137,7 +168,7 @@ def filtered(docs: DataFrame, score, offset: float, below: float) -> DataFrame:
     at = docs.columns.index("text")
 
     def run(batches):
-        table = np.zeros(1 << BITS)
+        table = np.zeros(SIZE)
         table[numbers] = weights
         for batch in batches:
             z = np.full(batch.num_rows, offset)

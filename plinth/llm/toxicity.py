@@ -26,8 +26,6 @@ from plinth.llm.textfeatures import BITS, TRAIN_ROWS, fold
 CUT = 0.7
 #: Weight of recall against precision in the choice of the cut: clean documents should pass.
 BETA = 0.7
-#: Features of fewer training rows than this are left out; no L1 below would keep them.
-MIN_ROWS = 4
 #: The strengths of L1 that are tried.
 L1 = (8.0, 16.0)
 
@@ -63,8 +61,6 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     y = (y > 0).astype(float)
     if not len(y) or y.min() == y.max():
         return Model(np.zeros(0, np.int64), np.zeros(0), -40.0)
-    common = np.bincount(np.concatenate(features), minlength=1 << BITS) >= MIN_ROWS
-    features = [x[common[x]] for x in features]
     part = np.arange(len(y)) % 5 == 4
     truth = y[part]
     tried = []
