@@ -74,21 +74,22 @@ def last_events(rows: DataFrame, keep: int = HISTORY) -> DataFrame:
 
 
 def trace_history(stream: DataFrame, keep: int = HISTORY, idle_s: int = IDLE_S) -> DataFrame:
-    """(user_id, n_kept, last_event): per trace a ring of its last ``keep`` events, forgotten after ``idle_s`` idle seconds."""
+    """(user_id, n_kept, last_event): per trace a ring of its last ``keep`` events, forgotten once event time is ``idle_s`` seconds past its last one."""
     out, state = "user_id long, n_kept int, last_event long", "ids array<long>"
 
     def update(key: tuple, frames: Iterable[pd.DataFrame], group) -> Iterator[pd.DataFrame]:
         if group.hasTimedOut:
             group.remove()
             return
-        ring = list(group.get[0]) if group.exists else []
+        ring, latest = (list(group.get[0]) if group.exists else []), group.getCurrentWatermarkMs()
         for f in frames:
+            latest = max(latest, int(f["ts"].max().timestamp() * 1000))
             ring = (ring + f.sort_values(["ts", "event_id"])["event_id"].tolist())[-keep:]
         group.update((ring,))
-        group.setTimeoutDuration(idle_s * 1000)
+        group.setTimeoutTimestamp(latest + idle_s * 1000)
         yield pd.DataFrame({"user_id": [key[0]], "n_kept": [len(ring)], "last_event": [ring[-1]]})
 
-    return stream.groupBy("user_id").applyInPandasWithState(update, out, state, "update", "ProcessingTimeTimeout")
+    return stream.withWatermark("ts", f"{idle_s} seconds").groupBy("user_id").applyInPandasWithState(update, out, state, "update", "EventTimeTimeout")
 
 
 def once(stream: DataFrame, within: str = "1 hour") -> DataFrame:
