@@ -29,7 +29,7 @@ SYMBOLS = "#*$%&|<>"
 GRAM = 3
 #: Labelled rows used at most to learn the rules, by the smallest hash of their id.
 TRAIN_ROWS = 40_000
-FEATURES = ("n_words", "mean_word", "symbol_ratio", "dup_line_ratio", "repeat_ratio", "upper_ratio", "bang_ratio", "bar_ratio", "distinct_ratio", "line_words")
+FEATURES = ("symbol_ratio", "bang_ratio", "bar_ratio", "upper_ratio", "repeat_ratio", "dup_line_ratio", "distinct_ratio", "mean_word", "line_words", "n_words")
 
 
 def _repeat_words() -> Column:
