@@ -28,7 +28,7 @@ def components(links: DataFrame) -> DataFrame:
         hooked = labels.join(seen, labels["node"] == seen["a"], "left").select("node", "root", F.least("root", F.coalesce("low", "root")).alias("low"))
         # a root hooks to the least label that any of its nodes has seen
         hooks = hooked.groupBy("root").agg(F.min("low").alias("low"))
-        table = materialize(labels.join(hooks, "root").select("node", F.col("root").alias("was"), F.col("low").alias("root")), "cc-labels")
+        table = labels.join(hooks, "root").select("node", F.col("root").alias("was"), F.col("low").alias("root"))
         for _ in range(2):
             up = table.select(F.col("node").alias("root"), F.col("root").alias("up"))
             table = table.join(up, "root", "left").select("node", "was", F.least("root", F.coalesce("up", "root")).alias("root"))

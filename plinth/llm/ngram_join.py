@@ -243,11 +243,14 @@ def links(sets: DataFrame) -> DataFrame:
     """(a, b): verified links whose components are those of all links."""
     lists = materialize(index_lists(sets), "join-lists")
     first = materialize(_leader_links(lists, sets), "join-leaders")
-    led = first.groupBy("b").agg(F.min_by(F.struct("a", "overlap"), F.struct(-F.col("overlap"), "a")).alias("best"))
-    relation = sets.select("node", "n").join(led.select(F.col("b").alias("node"), "best"), "node", "left")
-    relation = relation.select("node", F.coalesce("best.a", "node").alias("leader"), F.coalesce(F.col("n") - F.col("best.overlap"), F.lit(0)).alias("extra"))
-    roots = components(first).withColumnRenamed("root", "comp")
-    relation = materialize(relation.join(roots, "node", "left").select("node", "leader", "extra", F.coalesce("comp", "node").alias("comp")), "join-relations")
+    led = first.groupBy("b").agg(F.min_by(F.struct("a", "overlap"), F.struct(-F.col("overlap"), "a")).alias("best"), F.min("a").alias("low"))
+    relation = sets.select("node", "n").join(led.select(F.col("b").alias("node"), "best", "low"), "node", "left")
+    relation = relation.select("node", F.coalesce("best.a", "node").alias("leader"), F.coalesce(F.col("n") - F.col("best.overlap"), F.lit(0)).alias("extra"), F.coalesce("low", "node").alias("low"))
+    # three steps along verified links name a part of the component: equal names are tied already
+    for _ in range(3):
+        step = led.select(F.col("b").alias("low"), F.col("low").alias("next"))
+        relation = relation.join(step, "low", "left").withColumn("low", F.coalesce("next", "low")).drop("next")
+    relation = materialize(relation.withColumnRenamed("low", "comp"), "join-relations")
 
     entries = lists.join(relation, "node")
     # groups: one entry for all members of a leader in a list's block
