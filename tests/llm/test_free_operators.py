@@ -186,3 +186,10 @@ def test_registry_names():
     assert [int(n[2:].split("_")[0]) for n in names] == list(range(1, 11))
     assert set(registry.oracle_sql()) <= set(registry.queries())
     assert ngram_join.SHINGLE == 5 == decontam.SHINGLE and decontam.SIMILARITY == 0.75
+
+
+def test_mix_replaces_clashing_columns(spark):
+    docs = frame(spark, [(1, "t", "a"), (2, "u", "a")]).withColumnRenamed("bucket", "rate").withColumnRenamed("node", "copy_no")
+    out = mixing.mix(docs, epochs=3.0)
+    assert out.columns.count("rate") == 1 and dict(out.dtypes)["rate"] == "double" and dict(out.dtypes)["copy_no"] == "int"
+    assert all(abs(r.rate - 3.0) < 1e-9 for r in out.collect())

@@ -110,3 +110,31 @@ def test_blocks_round_trip():
     for owner in range(50):
         mine = values[owners == owner]
         assert sorted(back[owner]) == sorted((int(v >> np.uint64(48)) % 7, int(v) & (1 << 48) - 1) for v in mine)
+
+
+def test_an_id_with_two_texts_is_one_document(spark):
+    a, b = " ".join(f"a{k}" for k in range(30)), " ".join(f"b{k}" for k in range(30))
+    rows = [(5, a, "s"), (5, b, "s"), (6, a + " x", "s"), (7, b + " x", "s"), (8, "other words here", "s")]
+    got = ngram_join.ngram_join(frame(spark, rows)).collect()
+    assert len(got) == 5 and {r.doc_id: r.component_id for r in got}[8] == 8
+    linked = {r.doc_id for r in got if r.component_id == 5}
+    assert linked in ({5, 6}, {5, 7})
+    assert sum(r.doc_id == 5 for r in ngram_join.keep_one(frame(spark, rows)).collect()) == 1
+
+
+def test_a_large_group_of_near_copies(spark):
+    """One base text with a few words changed in each of many copies, next to a passage that many others share."""
+    import random
+
+    rng = random.Random(6)
+    base, passage = [f"p{k}" for k in range(100)], [f"q{k}" for k in range(60)]
+    rows = []
+    for i in range(400):
+        copy = list(base)
+        for _ in range(rng.randrange(0, 5)):
+            copy[rng.randrange(100)] = f"e{rng.randrange(10**9)}"
+        rows.append((i, " ".join(copy), "hot"))
+    for i in range(400, 700):
+        rows.append((i, " ".join([f"u{rng.randrange(10**9)}" for _ in range(rng.randrange(5, 40))] + passage), "s"))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.ngram_join(frame(spark, rows)).collect()}
+    assert got == brute([(i, t) for i, t, _ in rows])
