@@ -58,7 +58,9 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once as a table in the shared folder and read it back: lineage ends there and survives executors."""
     spark = df.sparkSession
     path = scratch_path(spark, label)
-    df.write.parquet(path)
+    # no more files than four rounds of tasks over all cores, or an eighth of the shuffle partitions, need
+    files = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8)
+    df.coalesce(files).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
