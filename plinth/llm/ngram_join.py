@@ -46,10 +46,11 @@ from plinth.session import materialize
 SHINGLE = 5
 #: A pair links when NUM * (sizes' sum) <= DEN * overlap, which is Jaccard >= NUM / (DEN - NUM) = 3/4.
 NUM, DEN = 3, 7
-LOW_BITS = 48
-#: Shingles that one bucket holds on average, and that a map task packs at once.
+#: Shingles that one bucket holds on average, and that a task packs at once.
 BUCKET_SHINGLES = 1_000_000
-PACK_SHINGLES = 1_500_000
+PACK_SHINGLES = 1_000_000
+#: Buckets that one pack is dealt to at most; beyond, packs go to coarse buckets first and are dealt again there, so that blocks stay long.
+FAN = 2_000
 #: Copy tables of at most this many rows are broadcast; larger ones are joined by shuffle.
 BROADCAST_ROWS = 1_000_000
 #: Size blocks: a little above 4/3, so that a pair within the size window is never two blocks apart.
@@ -83,81 +84,93 @@ def digests(docs: DataFrame) -> DataFrame:
     return _rows(docs).mapInArrow(_digests, "doc_id long, h long, n long, x long, y long")
 
 
-def _packed(values: np.ndarray, owners: np.ndarray, buckets: int) -> Iterator[tuple[int, bytes]]:
-    """Blocks of (bucket, owners, counts, low bits of their shingles); values come by owner."""
-    bucket = ((values >> np.uint64(LOW_BITS)) % np.uint64(buckets)).astype(np.int64)
+def _packed(values: np.ndarray, owners: np.ndarray, buckets: int, coarse: int) -> Iterator[tuple[int, bytes]]:
+    """Blocks of (bucket, owners, counts, shingles); ``coarse`` folds the buckets, 0 keeps them."""
+    bucket = ((values >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
+    if coarse:
+        bucket %= coarse
     order = np.argsort(bucket, kind="stable")
-    low = (values & np.uint64((1 << LOW_BITS) - 1))[order]
-    who, bucket = owners[order], bucket[order]
-    edges = np.searchsorted(bucket, np.arange(buckets + 1))
-    for k in range(buckets):
-        s, e = edges[k], edges[k + 1]
-        if s < e:
-            first = np.flatnonzero(np.r_[True, who[s + 1 : e] != who[s : e - 1]])
-            counts = np.diff(np.r_[first, e - s]).astype(np.uint32)
-            head = np.array([len(first)], dtype=np.int64).tobytes() + who[s:e][first].astype(np.int64).tobytes() + counts.tobytes()
-            yield k, head + low[s:e].astype("<u8").view(np.uint8).reshape(-1, 8)[:, : LOW_BITS // 8].tobytes()
+    bucket, who, values = bucket[order], owners[order], values[order]
+    starts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(bucket) else np.zeros(0, np.int64)
+    for s, e in zip(starts, np.r_[starts[1:], len(bucket)].astype(np.int64), strict=False):
+        first = np.flatnonzero(np.r_[True, who[s + 1 : e] != who[s : e - 1]])
+        counts = np.diff(np.r_[first, e - s]).astype(np.uint32)
+        yield int(bucket[s]), np.array([len(first)], dtype=np.int64).tobytes() + who[s:e][first].astype(np.int64).tobytes() + counts.tobytes() + values[s:e].tobytes()
 
 
 def _unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """(owner, low bits) of each shingle of a block."""
+    """(owner, shingle) of a block."""
     k = int(np.frombuffer(blob, np.int64, 1)[0])
-    who = np.frombuffer(blob, np.int64, k, 8)
-    counts = np.frombuffer(blob, np.uint32, k, 8 + 8 * k)
-    raw = np.frombuffer(blob, np.uint8, offset=8 + 12 * k).reshape(-1, LOW_BITS // 8)
-    low = np.zeros((len(raw), 8), np.uint8)
-    low[:, : LOW_BITS // 8] = raw
-    return np.repeat(who, counts), low.view("<u8").ravel()
+    who, counts = np.frombuffer(blob, np.int64, k, 8), np.frombuffer(blob, np.uint32, k, 8 + 8 * k)
+    return np.repeat(who, counts), np.frombuffer(blob[8 + 12 * k :], np.uint64)
 
 
-def _to_buckets(buckets: int):
-    def run(batches):
-        values, owners, held = [], [], 0
+def _pack_all(pairs: Iterator[tuple[np.ndarray, np.ndarray]], buckets: int, coarse: int):
+    """Record batches of blocks from a stream of (shingles, owners), PACK_SHINGLES at a time."""
+    values, owners, held = [], [], 0
+
+    def flush():
+        rows = list(_packed(np.concatenate(values), np.concatenate(owners), buckets, coarse))
+        return pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int64()), pa.array([b for _, b in rows], pa.binary())], names=["bucket", "block"])
 
-        def flush():
-            rows = list(_packed(np.concatenate(values), np.concatenate(owners), buckets))
-            return pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int32()), pa.array([b for _, b in rows], pa.binary())], names=["bucket", "block"])
+    for v, who in pairs:
+        values.append(v)
+        owners.append(who)
+        held += len(v)
+        if held >= PACK_SHINGLES:
+            yield flush()
+            values, owners, held = [], [], 0
+    if held:
+        yield flush()
+    pa.default_memory_pool().release_unused()
 
+
+def _to_buckets(buckets: int, coarse: int):
+    def pairs(batches):
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for _, _, v, rows in _sets(batch.column(1)):
-                values.append(v)
-                owners.append(ids[rows])
-                held += len(v)
-                if held >= PACK_SHINGLES:
-                    yield flush()
-                    values, owners, held = [], [], 0
-        if held:
-            yield flush()
+                yield v, ids[rows]
 
-    return run
+    return lambda batches: _pack_all(pairs(batches), buckets, coarse)
+
+
+def _dealt_again(buckets: int):
+    def pairs(batches):
+        for batch in batches:
+            for blob in batch.column(1):
+                who, values = _unpacked(blob.as_py())
+                yield values, who
+
+    return lambda batches: _pack_all(pairs(batches), buckets, 0)
 
 
 def _shared(buckets: int):
     """From a bucket's blocks: the shingles that two or more classes have, with their class counts, packed by class."""
 
     def run(table: pa.Table) -> pa.Table:
-        bucket = table.column("bucket")[0].as_py()
         parts = [_unpacked(b.as_py()) for b in table.column("block")]
-        who, low = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+        who, token = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
         del parts
-        order = np.argsort(low, kind="stable")
-        run_of = low[order]
+        order = np.argsort(token, kind="stable")
+        run_of = token[order]
         repeated = np.zeros(len(run_of), bool)
         repeated[1:] = run_of[1:] == run_of[:-1]
         repeated[:-1] |= repeated[1:]
-        who, low = who[order][repeated], run_of[repeated]
-        low, who = hashing.distinct(who, low)[::-1]  # by (shingle, class): a class repeated by equal rows counts once
-        first = np.flatnonzero(np.r_[True, low[1:] != low[:-1]]) if len(low) else np.zeros(0, np.int64)
-        df = np.repeat(np.diff(np.r_[first, len(low)]), np.diff(np.r_[first, len(low)])).astype(np.int64)
+        who, token = who[order][repeated], run_of[repeated]
+        who, token = hashing.distinct(who, token)  # by (shingle, class): a class repeated by equal rows counts once
+        first = np.flatnonzero(np.r_[True, token[1:] != token[:-1]]) if len(token) else np.zeros(0, np.int64)
+        size = np.diff(np.r_[first, len(token)])
+        df = np.repeat(size, size).astype(np.int64)
         keep = df > 1
-        who, token, df = who[keep], low[keep].astype(np.int64) + (bucket << LOW_BITS), df[keep]
+        who, token, df = who[keep], token[keep].view(np.int64), df[keep]
         home = (hashing.mix(who.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
         order = np.lexsort((who, home))
         who, token, df, home = who[order], token[order], df[order], home[order]
-        edges = np.searchsorted(home, np.arange(buckets + 1))
-        rows = [(k, np.concatenate([who[s:e], token[s:e], df[s:e]]).tobytes()) for k, (s, e) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if s < e]
-        return pa.table({"home": pa.array([k for k, _ in rows], pa.int32()), "block": pa.array([b for _, b in rows], pa.binary())})
+        starts = np.flatnonzero(np.r_[True, home[1:] != home[:-1]]) if len(home) else np.zeros(0, np.int64)
+        ends = np.r_[starts[1:], len(home)].astype(np.int64)
+        rows = [(int(home[s]), np.concatenate([who[s:e], token[s:e], df[s:e]]).tobytes()) for s, e in zip(starts, ends, strict=False)]
+        return pa.table({"home": pa.array([k for k, _ in rows], pa.int64()), "block": pa.array([b for _, b in rows], pa.binary())})
 
     return run
 
@@ -189,9 +202,12 @@ def candidate_sets(docs: DataFrame, classes: DataFrame, others: DataFrame, shing
     rows = _rows(docs).filter(F.col("doc_id").isNotNull())
     if n_others:
         rows = rows.join(F.broadcast(others) if n_others <= BROADCAST_ROWS else others, ["doc_id", "h"], "left_anti")
-    blocks = rows.select("doc_id", "text").mapInArrow(_to_buckets(buckets), "bucket int, block binary")
-    shared = blocks.groupBy("bucket").applyInArrow(_shared(buckets), "home int, block binary")
-    sizes = classes.mapInArrow(_homes(buckets), "home int, node long, n long")
+    coarse = -(-buckets // FAN) if buckets > FAN else 0
+    blocks = rows.select("doc_id", "text").mapInArrow(_to_buckets(buckets, coarse), "bucket long, block binary")
+    if coarse:
+        blocks = blocks.repartition("bucket").mapInArrow(_dealt_again(buckets), "bucket long, block binary")
+    shared = blocks.groupBy("bucket").applyInArrow(_shared(buckets), "home long, block binary")
+    sizes = classes.mapInArrow(_homes(buckets), "home long, node long, n long")
     return shared.groupBy("home").cogroup(sizes.groupBy("home")).applyInArrow(_ordered, "node long, n long, tokens array<long>, prefix int")
 
 
@@ -199,7 +215,7 @@ def _homes(buckets: int):
     def run(batches):
         for batch in batches:
             node = batch.column(0).to_numpy(zero_copy_only=False)
-            home = (hashing.mix(node.astype(np.uint64)) % np.uint64(buckets)).astype(np.int32)
+            home = (hashing.mix(node.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(home), batch.column(0), batch.column(1)], names=["home", "node", "n"])
 
     return run

@@ -102,14 +102,24 @@ def test_hashing_follows_words(texts):
 def test_blocks_round_trip():
     rng = np.random.default_rng(1)
     values, owners = rng.integers(0, 1 << 63, 500, dtype=np.uint64), np.repeat(np.arange(50), 10)
-    back = {}
-    for bucket, blob in ngram_join._packed(values, owners, 7):
-        who, low = ngram_join._unpacked(blob)
-        for w, x in zip(who.tolist(), low.tolist(), strict=True):
-            back.setdefault(w, []).append((bucket, x))
-    for owner in range(50):
-        mine = values[owners == owner]
-        assert sorted(back[owner]) == sorted((int(v >> np.uint64(48)) % 7, int(v) & (1 << 48) - 1) for v in mine)
+    for coarse in (0, 3):
+        back = {}
+        for bucket, blob in ngram_join._packed(values, owners, 7, coarse):
+            who, found = ngram_join._unpacked(blob)
+            for w, x in zip(who.tolist(), found.tolist(), strict=True):
+                back.setdefault(w, []).append(x)
+                assert bucket == ((x >> 20) % 7) % (coarse or 7)
+        for owner in range(50):
+            assert sorted(back[owner]) == sorted(values[owners == owner].tolist())
+    assert list(ngram_join._packed(values[:0], owners[:0], 7, 0)) == []
+
+
+def test_many_buckets_are_dealt_twice(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BUCKET_SHINGLES", 200)
+    monkeypatch.setattr(ngram_join, "FAN", 4)
+    rows = [r for r in corpus(5) if r[0] is not None and r[0] < 200]
+    got = {r.doc_id: r.component_id for r in ngram_join.ngram_join(frame(spark, rows)).collect()}
+    assert got == {i: c for i, (_, c) in brute([(i, t) for i, t, _ in rows]).items()}
 
 
 def test_an_id_with_two_texts_is_one_document(spark):
