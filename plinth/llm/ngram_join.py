@@ -270,23 +270,23 @@ def links(sets: DataFrame) -> DataFrame:
 
     entries = lists.join(relation, "node")
     # groups: one entry for all members of a leader in a list's block
-    grouped = entries.groupBy("token", "block", "leader").agg(F.max("extra").alias("extra"), F.min("n").alias("low"), F.max("n").alias("high"), F.max("left").alias("left"), F.min("comp").alias("comp"))
+    grouped = entries.groupBy("token", "block", "leader").agg(F.max("extra").alias("extra"), F.min("n").alias("low"), F.max("n").alias("high"), F.max("left").alias("left"), F.min("comp").alias("comp"), F.max((F.col("node") != F.col("leader")).cast("int")).alias("more"))
     grouped = materialize(grouped, "join-groups")
     crowded = grouped.groupBy("token").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).filter("c1 < c2").select("token")
     probe = grouped.join(crowded, "token", "left_semi")
-    mine = probe.select("token", F.explode(F.array(F.col("block"), F.col("block") + 1)).alias("block"), F.col("block").alias("own"), *(F.col(c).alias(f"{c}1") for c in ("leader", "extra", "low", "high", "left", "comp")))
-    other = probe.select("token", "block", *(F.col(c).alias(f"{c}2") for c in ("leader", "extra", "low", "high", "left", "comp")))
+    mine = probe.select("token", F.explode(F.array(F.col("block"), F.col("block") + 1)).alias("block"), F.col("block").alias("own"), *(F.col(c).alias(f"{c}1") for c in ("leader", "extra", "low", "high", "left", "comp", "more")))
+    other = probe.select("token", "block", *(F.col(c).alias(f"{c}2") for c in ("leader", "extra", "low", "high", "left", "comp", "more")))
     fits = (F.col("comp1") != F.col("comp2")) & ((F.col("own") < F.col("block")) | (F.col("leader1") < F.col("leader2")))
     window = (NUM * F.col("low1") <= (DEN - NUM) * F.col("high2")) & (NUM * F.col("low2") <= (DEN - NUM) * F.col("high1"))
     reach = DEN * F.least("left1", "left2") >= NUM * (F.col("low1") + F.col("low2"))
     met = mine.join(other, ["token", "block"]).filter(fits & window & reach)
     group_pairs = met.groupBy(F.least("leader1", "leader2").alias("a"), F.greatest("leader1", "leader2").alias("b")).agg(
-        F.max(F.col("extra1") + F.col("extra2")).alias("slack"), F.min(F.col("low1") + F.col("low2")).alias("small")
+        F.max(F.col("extra1") + F.col("extra2")).alias("slack"), F.min(F.col("low1") + F.col("low2")).alias("small"), F.max(F.col("more1") + F.col("more2")).alias("more")
     )
     compared = materialize(overlaps(group_pairs, sets), "join-groups-met")
     direct = compared.filter(linked(F.col("overlap"), F.col("na"), F.col("nb")))
-    # neither settled by the leaders' link nor out of reach of every member
-    open_pairs = compared.filter(~linked(F.col("overlap"), F.col("na"), F.col("nb")) & (F.col("slack") > 0) & (DEN * (F.col("overlap") + F.col("slack")) >= NUM * F.col("small")))
+    # neither settled by the leaders' link nor out of reach of every member; members that lie within their leaders have no slack, but are smaller
+    open_pairs = compared.filter(~linked(F.col("overlap"), F.col("na"), F.col("nb")) & (F.col("more") > 0) & (DEN * (F.col("overlap") + F.col("slack")) >= NUM * F.col("small")))
     open_pairs = materialize(open_pairs.select(F.col("a").alias("la"), F.col("b").alias("lb"), F.col("overlap").alias("base")), "join-open")
     found = first.select("a", "b").unionByName(direct.select("a", "b"))
     if not open_pairs.limit(1).count():

@@ -148,3 +148,14 @@ def test_a_large_group_of_near_copies(spark):
         rows.append((i, " ".join([f"u{rng.randrange(10**9)}" for _ in range(rng.randrange(5, 40))] + passage), "s"))
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.ngram_join(frame(spark, rows)).collect()}
     assert got == brute([(i, t) for i, t, _ in rows])
+
+
+def test_members_that_lie_within_their_leader(spark):
+    """Doc 1 is a part of doc 0, its leader, and links with doc 2, which does not reach doc 0."""
+    x, passage = [f"x{k}" for k in range(88)], [f"p{k}" for k in range(21)]
+    y = x[:3] + ["one"] + x[4:40] + ["two"] + x[41:]
+    rows = [(0, " ".join(x + passage), "s"), (1, " ".join(x), "s"), (2, " ".join(y), "s")]
+    rows += [(k, " ".join([f"o{k}_{j}" for j in range(60)] + passage), "s") for k in range(10, 20)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.ngram_join(frame(spark, rows)).collect()}
+    assert got == brute([(i, t) for i, t, _ in rows])
+    assert got[2] == (84, 0)
