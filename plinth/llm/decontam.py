@@ -1,9 +1,9 @@
 """Benchmark decontamination by SimHash of item-sized windows.
 
 Each benchmark item of m words is compared with windows of m words of every
-text. Windows start where a shingle of the text lines up with the same
-shingle of an item of that size: a window that shares none has similarity 0.
-A window's shingles, weighted by how often they occur, give a 64-bit SimHash.
+text, at every start where enough of the window's places hold shingles of
+items of that size: with fewer, no item can reach the wanted similarity,
+whatever the order of its parts. A window's shingles, weighted by how often they occur, give a 64-bit SimHash.
 Fingerprints are cut into blocks; an index holds every value within a few
 flipped bits of each item's blocks, so that any fingerprint within the radius
 meets its item in one block at least (pigeonhole). Pairs within the radius
@@ -73,35 +73,50 @@ def _all_grams(words: Column, n: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.size(words) - n), lambda i: _gram(words, i, n))
 
 
-def seeds(docs: DataFrame, item_rows: DataFrame) -> DataFrame:
-    """(doc_id, h, m, length, start): item-sized windows where a text shares a shingle with an item at the same place."""
+def seeds(docs: DataFrame, item_rows: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(doc_id, h, m, length, start, lined): every item-sized window that can reach ``similarity``.
+
+    A window of g shingles reaches an item of g' only with similarity / (1 +
+    similarity) * (g + g') shared ones, so at least as many of its places hold
+    a shingle of some item of that size. ``lined``: a shingle stands at the
+    same place in the window and in an item.
+    """
     lengths = sorted(r.length for r in item_rows.select("length").distinct().collect())
-    places = item_rows.select("m", "length", F.posexplode("grams").alias("j", "gram")).distinct()
+    places = item_rows.select("m", "length", F.posexplode("grams").alias("j", "gram")).groupBy("m", "length", "gram").agg(F.sort_array(F.collect_set("j")).alias("js"))
     places = _small(materialize(places, "decon-places"))
     words = docs.select("doc_id", F.xxhash64("text").alias("h"), _words(F.col("text")).alias("w"))
     found = None
     for n in lengths:
         rows = words.filter(F.size("w") >= n).select("doc_id", "h", "w", F.explode(F.sequence(F.lit(0), F.size("w") - n)).alias("i"))
         rows = rows.select("doc_id", "h", F.size("w").alias("size"), "i", _gram(F.col("w"), F.col("i"), n).alias("gram"))
-        met = rows.join(places.filter(F.col("length") == n), "gram")
-        start = F.greatest(F.lit(0), F.least(F.col("i") - F.col("j"), F.col("size") - F.col("m")))
-        part = met.select("doc_id", "h", "m", "length", start.alias("start"))
+        part = rows.join(places.filter(F.col("length") == n), "gram").select("doc_id", "h", "m", "length", "size", "i", "js")
         found = part if found is None else found.unionByName(part)
     if found is None:
-        return docs.sparkSession.createDataFrame([], "doc_id long, h long, m int, length int, start int")
-    return found.distinct()
+        return docs.sparkSession.createDataFrame([], "doc_id long, h long, m int, length int, start int, lined boolean")
+    spots = found.groupBy("doc_id", "h", "m", "length", "size").agg(F.sort_array(F.collect_set(F.struct("i", "js"))).alias("p"))
+    mine, theirs = F.least("size", "m") - F.col("length") + 1, F.col("m") - F.col("length") + 1
+    need = F.greatest(F.lit(1), F.ceil(similarity / (1 + similarity) * (mine + theirs) - 1e-9).cast("int"))
+    spots = spots.withColumn("mine", mine).withColumn("need", need).filter(F.size("p") >= F.col("need")).withColumn("end", F.greatest(F.lit(0), F.col("size") - F.col("m")))
+    # need places in a row, from the k-th on, lie within the windows from low to high
+    low = lambda k: F.greatest(F.lit(0), F.get("p", k + F.col("need") - 1)["i"] - F.col("mine") + 1)
+    high = lambda k: F.least(F.get("p", k)["i"], F.col("end"))
+    runs = F.filter(F.transform(F.sequence(F.lit(0), F.size("p") - F.col("need")), lambda k: F.struct(low(k).alias("low"), high(k).alias("high"))), lambda r: r["low"] <= r["high"])
+    formed = F.flatten(F.transform(runs, lambda r: F.transform(F.sequence(r["low"], r["high"]), lambda s: F.struct(s.alias("start"), F.lit(True).alias("formed"), F.lit(False).alias("lined")))))
+    line = lambda x: F.transform(x["js"], lambda j: F.struct(F.greatest(F.lit(0), F.least(x["i"] - j, F.col("end"))).alias("start"), F.lit(False).alias("formed"), F.lit(True).alias("lined")))
+    each = spots.filter(F.size(runs) > 0).select("doc_id", "h", "m", "length", F.explode(F.concat(formed, F.flatten(F.transform("p", line)))).alias("x")).select("doc_id", "h", "m", "length", "x.*")
+    return each.groupBy("doc_id", "h", "m", "length", "start").agg(F.max("formed").alias("formed"), F.max("lined").alias("lined")).filter("formed").drop("formed")
 
 
 def windows(docs: DataFrame, starts: DataFrame) -> DataFrame:
-    """(doc_id, h, m, start, gram, c): the shingles of each window, with their multiplicities."""
-    by_text = materialize(starts.groupBy("doc_id", "h").agg(F.collect_list(F.struct("m", "length", "start")).alias("ws")), "decon-texts")
+    """(doc_id, h, m, start, lined, gram, c): the shingles of each window, with their multiplicities."""
+    by_text = materialize(starts.groupBy("doc_id", "h").agg(F.collect_list(F.struct("m", "length", "start", "lined")).alias("ws")), "decon-texts")
     rows = docs.select("doc_id", F.xxhash64("text").alias("h"), "text").filter("text is not null")
     side = _small(by_text.select(F.col("doc_id").alias("id"), F.col("h").alias("hh"), "ws"))
     kept = rows.join(side, rows["doc_id"].eqNullSafe(F.col("id")) & (rows["h"] == F.col("hh"))).select("doc_id", "h", _words(F.col("text")).alias("w"), "ws")
     each = kept.select("doc_id", "h", "w", F.explode("ws").alias("x")).select("doc_id", "h", "x.*", F.slice("w", F.col("x.start") + 1, F.col("x.m")).alias("w"))
     each = each.dropDuplicates(["doc_id", "h", "m", "start"])
-    grams = each.select("doc_id", "h", "m", "start", F.explode(_grams_of(F.col("w"), F.col("length"))).alias("gram"))
-    return grams.groupBy("doc_id", "h", "m", "start", "gram").agg(F.count("*").cast("int").alias("c"))
+    grams = each.select("doc_id", "h", "m", "start", "lined", F.explode(_grams_of(F.col("w"), F.col("length"))).alias("gram"))
+    return grams.groupBy("doc_id", "h", "m", "start", "lined", "gram").agg(F.count("*").cast("int").alias("c"))
 
 
 def simhash(weighted: DataFrame, key: list[str]) -> DataFrame:
@@ -143,9 +158,9 @@ def _flip(block: int, value: Column):
 def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
     """(doc_id, item_id, h, start, n_words, distance, similarity): the best window of each text and item at or above ``similarity``."""
     item_rows = materialize(items(benchmark), "decon-items")
-    starts = materialize(seeds(docs, item_rows), "decon-seeds")
+    starts = materialize(seeds(docs, item_rows, similarity), "decon-seeds")
     grams = materialize(windows(docs, starts), "decon-windows")
-    item_key, window_key = ["item_id", "item_h", "m"], ["doc_id", "h", "m", "start"]
+    item_key, window_key = ["item_id", "item_h", "m"], ["doc_id", "h", "m", "start", "lined"]
     item_grams = item_rows.select(*item_key, F.explode("grams").alias("gram")).groupBy(*item_key, "gram").agg(F.count("*").cast("int").alias("c"))
     window_fp = simhash(grams, window_key).select(F.struct(*window_key).alias("lid"), "m", "fp", F.col("n").alias("ln"))
     item_fp = simhash(item_grams, item_key).select(F.struct(*item_key).alias("rid"), "m", "fp", F.col("n").alias("rn"))
@@ -158,7 +173,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY,
     scored = both.groupBy("lid", "rid").agg(F.sum(F.least("c1", "c2")).alias("inter"), F.first("ln").alias("ln"), F.first("rn").alias("rn"), F.first("distance").alias("distance"))
     scored = scored.withColumn("similarity", F.col("inter") / (F.col("ln") + F.col("rn") - F.col("inter"))).filter(F.col("similarity") >= similarity)
     best = scored.groupBy(F.col("lid.doc_id").alias("doc_id"), F.col("lid.h").alias("h"), F.col("rid.item_id").alias("item_id")).agg(
-        F.max(F.struct("similarity", (-F.col("lid.start")).alias("late"), F.col("lid.m").alias("m"), (-F.col("distance")).alias("far"))).alias("b")
+        F.max(F.struct("similarity", F.col("lid.lined").alias("lined"), (-F.col("lid.start")).alias("late"), F.col("lid.m").alias("m"), (-F.col("distance")).alias("far"))).alias("b")
     )
     return best.select("doc_id", "item_id", "h", (-F.col("b.late")).alias("start"), F.col("b.m").alias("n_words"), (-F.col("b.far")).alias("distance"), F.round("b.similarity", 6).alias("similarity"))
 

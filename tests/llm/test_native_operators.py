@@ -172,6 +172,19 @@ def test_leaks(spark):
     assert decontam.leaks(frame(spark, docs), bench.limit(0)).count() == 0 == decontam.leaks(frame(spark, []), bench).count()
 
 
+def test_leaks_with_parts_in_another_order(spark):
+    """No shingle of the best window lines up with the item: its two parts have changed places."""
+    a, b = [f"a{k}" for k in range(30)], [f"b{k}" for k in range(29)]
+    before, after = [f"x{k}" for k in range(100)], [f"y{k}" for k in range(100)]
+    items = [(1, " ".join(a + b))]
+    docs = [(1, " ".join(before + b + a + after), "s"), (2, " ".join(b + a), "s"), (3, " ".join(before + a + b + after), "s"), (4, " ".join(before + b + after + a), "s"), (5, " ".join(before + a + b[:-1] + after), "s")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    found = {(r.doc_id, r.item_id): (r.start, r.similarity) for r in decontam.leaks(frame(spark, docs), bench).collect()}
+    assert {k: s for k, (_, s) in found.items()} == brute_leaks([(d, t) for d, t, _ in docs], items)
+    assert set(found) == {(1, 1), (2, 1), (3, 1), (5, 1)} and found[1, 1] == (100, 0.864407)
+    assert found[5, 1] == (100, 0.964286)  # the windows at 99 and 100 are as similar; the one that lines up counts
+
+
 def test_blocks_hold_all_within_radius(spark):
     rng = random.Random(9)
     base = [rng.getrandbits(64) for _ in range(6)]
