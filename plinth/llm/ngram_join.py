@@ -304,8 +304,19 @@ def links(sets: DataFrame) -> DataFrame:
     return found.unionByName(checked.filter(linked(F.col("overlap"), F.col("na"), F.col("nb"))).select("a", "b"))
 
 
-def ngram_join(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of each row."""
+def all_links(sets: DataFrame) -> DataFrame:
+    """(a, b, overlap): every link between two classes, members of one group among themselves too."""
+    lists = materialize(index_lists(sets), "join-lists")
+    mine = lists.select("token", F.explode(F.array(F.col("block"), F.col("block") + 1)).alias("block"), F.col("block").alias("own"), *(F.col(c).alias(f"{c}1") for c in ("node", "n", "left")))
+    other = lists.select("token", "block", *(F.col(c).alias(f"{c}2") for c in ("node", "n", "left")))
+    met = mine.join(other, ["token", "block"]).filter((F.col("own") < F.col("block")) | (F.col("node1") < F.col("node2")))
+    met = met.filter(_may_reach(F.col("n1"), F.col("left1"), F.col("n2"), F.col("left2")))
+    pairs = met.select(F.least("node1", "node2").alias("a"), F.greatest("node1", "node2").alias("b")).distinct()
+    return overlaps(pairs, sets).filter(linked(F.col("overlap"), F.col("na"), F.col("nb"))).select("a", "b", "overlap")
+
+
+def _prepared(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """(digests of all rows, class of each document, shingles of the classes), the last None where no text has words."""
     rows = materialize(digests(docs), "join-digests")
     named = rows.filter("doc_id is not null and n > 0")
     # one row stands for an id, one id for a set
@@ -317,14 +328,38 @@ def ngram_join(docs: DataFrame) -> DataFrame:
     others = materialize(others, "join-others")
     totals = nodes.agg(F.sum("n").alias("n")).first()
     if totals.n is None:
+        return rows, member, None
+    return rows, member, materialize(candidate_sets(docs, nodes.select("node", "n"), others, int(totals.n), others.count()), "join-sets")
+
+
+def ngram_join(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of each row."""
+    rows, member, sets = _prepared(docs)
+    if sets is None:
         return rows.select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    sets = materialize(candidate_sets(docs, nodes.select("node", "n"), others, int(totals.n), others.count()), "join-sets")
     roots = components(links(sets))
     placed = member.join(roots, "node", "left").select(F.col("doc_id").alias("id"), F.coalesce("root", "node").alias("component"))
     joined = rows.join(placed, rows["doc_id"] == placed["id"], "left")
     return joined.select(rows["doc_id"], F.col("n").alias("n_shingles"), F.coalesce("component", rows["doc_id"]).alias("component_id"))
 
 
+def link_table(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The join itself: (doc_id, class_id, n_links) of each document with words, and every link (a, b, overlap) between classes.
+
+    Documents of one class have equal sets and link with each other; ``n_links``
+    counts the other classes that theirs links with. A group of k near copies
+    has up to k * (k - 1) / 2 links, all of which are given.
+    """
+    _, member, sets = _prepared(docs)
+    if sets is None:
+        empty = docs.sparkSession.createDataFrame([], "a long, b long, overlap long")
+        return member.select("doc_id", F.col("node").alias("class_id"), F.lit(0).cast("long").alias("n_links")), empty
+    found = materialize(all_links(sets), "join-all-links")
+    ends = found.select(F.col("a").alias("node")).unionByName(found.select(F.col("b").alias("node")))
+    counted = member.join(ends.groupBy("node").agg(F.count("*").alias("n_links")), "node", "left")
+    return counted.select("doc_id", F.col("node").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")), found
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that name their component, all columns as they are; rows with a null id stay."""
     joined = materialize(ngram_join(docs), "join-result")

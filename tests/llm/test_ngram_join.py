@@ -159,3 +159,20 @@ def test_members_that_lie_within_their_leader(spark):
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.ngram_join(frame(spark, rows)).collect()}
     assert got == brute([(i, t) for i, t, _ in rows])
     assert got[2] == (84, 0)
+
+
+def test_link_table_gives_every_link(spark):
+    """Members of one group of near copies link with each other, not only with their leader."""
+    for rows in (corpus(), corpus(2)):
+        rows = list({i: (i, t, s) for i, t, s in rows if i is not None}.values())
+        sets = {i: shingles(t) for i, t, _ in rows}
+        least = {}
+        for i in sorted(sets):
+            least.setdefault(frozenset(sets[i]), i)
+        nodes = sorted(i for s, i in least.items() if s)
+        truth = {(a, b): c for a in nodes for b in nodes if a < b and (c := len(sets[a] & sets[b])) * 7 >= 3 * (len(sets[a]) + len(sets[b]))}
+        members, found = ngram_join.link_table(frame(spark, rows))
+        assert {(r.a, r.b): r.overlap for r in found.collect()} == truth
+        ends = Counter(x for pair in truth for x in pair)
+        assert {r.doc_id: (r.class_id, r.n_links) for r in members.collect()} == {i: (least[frozenset(s)], ends[least[frozenset(s)]]) for i, s in sets.items() if s}
+        assert max(ends.values()) > 30
