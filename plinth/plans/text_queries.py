@@ -212,6 +212,17 @@ def pick_text_field(spark, sf_dir):
     return rows.select("doc_id", F.substring(pick_text(["text", "source"]), 1, 6000).alias("body"), F.substring(F.sha2("text", 256), 1, 16).alias("id"))
 
 
+_STRIP = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+
+@query("pick_text_fetched", f"SELECT doc_id, CASE WHEN length(body) > 60000 THEN concat(substr(body, 1, 60000), chr(10), chr(10), '[... truncated by fetch_hf_corpora ...]') ELSE body END AS body, substr(sha256(text), 1, 16) AS id FROM (SELECT doc_id, text, trim(CASE WHEN length(trim(text)) >= 200 THEN text WHEN length(source) >= 200 THEN source ELSE CASE WHEN length(text) >= length(source) THEN text ELSE source END END, {_STRIP}) AS body FROM documents) x")
+def pick_text_fetched(spark, sf_dir):
+    from plinth.sources.files import fetched_text
+
+    rows = both(spark, sf_dir, "SELECT doc_id, text, source FROM {documents}")
+    return rows.select("doc_id", fetched_text(["text", "source"]).alias("body"), F.substring(F.sha2("text", 256), 1, 16).alias("id"))
+
+
 @query("fetch_precedence", "SELECT o_orderkey AS id, CASE WHEN o_orderkey % 4 = 0 THEN 'file' WHEN o_orderkey % 3 = 0 THEN 'cache' WHEN o_orderkey % 5 = 0 THEN 'http' ELSE 'missing' END AS via FROM orders")
 def fetch_precedence(spark, sf_dir):
     refs = both(spark, sf_dir, "SELECT o_orderkey AS id FROM {orders}")

@@ -54,6 +54,16 @@ def pick_text(names: list[str], floor: int = 200) -> Column:
     return F.coalesce(*first, longest["v"])
 
 
+#: Longest text that a fetched corpus row keeps, and what follows it where more was cut.
+MAX_TEXT, CUT_MARK = 60_000, "\n\n[... truncated by fetch_hf_corpora ...]"
+
+
+def fetched_text(names: list[str], limit: int = MAX_TEXT) -> Column:
+    """The picked text without white space around it, cut at ``limit`` characters with a mark."""
+    body = F.btrim(pick_text(names), F.lit(" \t\n\x0b\f\r"))
+    return F.when(F.length(body) > limit, F.concat(F.substring(body, 1, limit), F.lit(CUT_MARK))).otherwise(body)
+
+
 def scan(spark: SparkSession, folder: str, glob: str | None = None) -> DataFrame:
     """(path, name, stem, modified, length, content) of the files below a folder; partial downloads are left out."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")

@@ -146,3 +146,11 @@ def test_hash_embedding_is_unit_length(spark):
     rows = spark.createDataFrame([(1, "alpha beta beta"), (2, ""), (3, None)], "id int, text string")
     e = vector.embed_sparse(rows, "id", "text").collect()
     assert {r.id for r in e} == {1} and abs(sum(r.weight**2 for r in e) - 1) < 1e-9
+
+
+def test_fetched_text_keeps_sixty_thousand_characters(spark):
+    from plinth.sources import files
+
+    rows = [(1, "a" * 6_001, ""), (2, " " + "b" * 60_000 + "\n", ""), (3, "c" * 60_001, "")]
+    got = {r.i: r.t for r in spark.createDataFrame(rows, "i int, text string, source string").select("i", files.fetched_text(["text", "source"]).alias("t")).collect()}
+    assert got == {1: "a" * 6_001, 2: "b" * 60_000, 3: "c" * 60_000 + "\n\n[... truncated by fetch_hf_corpora ...]"}
