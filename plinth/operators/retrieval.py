@@ -37,13 +37,21 @@ def rank_authority(candidates: DataFrame) -> DataFrame:
 
 def lexical_score(question: Column, body: Column, title: Column) -> Column:
     """0.7 Jaccard of the word sets and 0.3 of the share of question words in the title."""
-    q, c, t = fx.lexical_tokens(question), fx.lexical_tokens(body), fx.lexical_tokens(F.coalesce(title, F.lit("")))
+    return lexical_score_of(fx.lexical_tokens(question), fx.lexical_tokens(body), fx.lexical_tokens(F.coalesce(title, F.lit(""))))
+
+
+def lexical_score_of(q: Column, c: Column, t: Column) -> Column:
+    """The score from the word sets of question, body and title."""
     jaccard = F.size(F.array_intersect(q, c)) / F.greatest(F.size(F.array_union(q, c)), F.lit(1))
     return F.when(F.size(q) == 0, 0.0).otherwise(0.7 * jaccard + 0.3 * F.size(F.array_intersect(q, t)) / F.greatest(F.size(q), F.lit(1)))
 
 
 def rank_lexical(candidates: DataFrame) -> DataFrame:
     scored = candidates.withColumn("sem", lexical_score(F.col("question"), F.col("body"), F.col("title")))
+    return rank_scored(scored)
+
+
+def rank_scored(scored: DataFrame) -> DataFrame:
     return _ranked(scored, F.desc(F.round("sem", 9)))
 
 

@@ -115,6 +115,27 @@ def rank_composite(spark, sf_dir):
     return retrieval.cut(retrieval.rank_composite(_lexical(spark, sf_dir))).select("qid", "node", F.col("rank").cast("long").alias("rank"))
 
 
+_LEX_ALL_SQL = _LEX_SQL.replace("JOIN documents d ON d.doc_id % 40 = b.item_id % 40", "CROSS JOIN documents d")
+
+
+def _lexical_all(spark, sf_dir):
+    """Every question with every document, scored; words are split once a text."""
+    asked = both(spark, sf_dir, "SELECT item_id AS qid, text FROM {benchmark}").select("qid", fx.lexical_tokens(F.col("text")).alias("q"))
+    docs = both(spark, sf_dir, "SELECT doc_id AS node, text, source, CAST(doc_id % 8 + 1 AS INT) AS tier, 1940 + CAST(doc_id % 80 AS INT) AS yr FROM {documents}")
+    docs = docs.select("node", "tier", "yr", fx.lexical_tokens(F.col("text")).alias("c"), fx.lexical_tokens(F.coalesce("source", F.lit(""))).alias("t"))
+    return docs.crossJoin(F.broadcast(asked)).select("qid", "node", "tier", "yr", retrieval.lexical_score_of(F.col("q"), F.col("c"), F.col("t")).alias("sem"))
+
+
+@query("rank_lexical_all", _LEX_ALL_SQL + f" SELECT qid, node, round(sem, 6) AS sem, rank FROM (SELECT qid, node, sem, row_number() OVER (PARTITION BY qid ORDER BY round(sem, 9) DESC, node) AS rank FROM s) x WHERE rank <= {schema.RERANK_K}")
+def rank_lexical_all(spark, sf_dir):
+    return retrieval.cut(retrieval.rank_scored(_lexical_all(spark, sf_dir))).select("qid", "node", F.round("sem", 6).alias("sem"), F.col("rank").cast("long").alias("rank"))
+
+
+@query("rank_composite_all", _LEX_ALL_SQL + f" SELECT qid, node, rank FROM (SELECT qid, node, row_number() OVER (PARTITION BY qid ORDER BY {_AUTH} DESC, node) AS rank FROM s) x WHERE rank <= {schema.RERANK_K}")
+def rank_composite_all(spark, sf_dir):
+    return retrieval.cut(retrieval.rank_authority(_lexical_all(spark, sf_dir))).select("qid", "node", F.col("rank").cast("long").alias("rank"))
+
+
 # ---- packs and answers -----------------------------------------------------------------------------
 
 
@@ -174,6 +195,12 @@ def answer_layout(spark, sf_dir):
     return grounding.layout(grounding.enforce(rows))
 
 
+@query("answer_layout_all", """SELECT doc_id AS qid, concat('Answer:', chr(10), 'Theft is taking. [S1]', CASE WHEN doc_id % 5 IN (1, 2, 3) THEN concat(' It needs intent [S', doc_id % 5, '].') ELSE '' END, ' Both speak [S2] .', chr(10), chr(10), 'Legal basis:', chr(10), '- [S1] first', chr(10), chr(10), 'Conflicts:', chr(10), '- they differ', chr(10), chr(10), 'Confidence: ', CASE doc_id % 3 WHEN 0 THEN 'HIGH' WHEN 1 THEN 'MEDIUM' ELSE 'LOW' END, chr(10), 'Insufficient evidence: ', CASE WHEN doc_id % 4 = 0 THEN 'YES' ELSE 'NO' END) AS text FROM documents""")
+def answer_layout_all(spark, sf_dir):
+    rows = both(spark, sf_dir, _RAW).withColumn("allowed", F.array(F.lit("S1"), F.lit("S2"), F.lit("S3")))
+    return grounding.layout(grounding.enforce(rows))
+
+
 # ---- metrics ----------------------------------------------------------------------------------------
 
 _DATASETS = ("offence_ingredients_ipc_bns", "procedure_crpc_bnss", "evidence_iea_bsa", "private_matter_qa")
