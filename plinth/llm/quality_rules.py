@@ -55,7 +55,7 @@ def statistics(docs: DataFrame) -> DataFrame:
     """The statistics of each row's whole text; no shuffle."""
     text = F.coalesce(F.col("text"), F.lit(""))
     body = docs.select("doc_id", text.alias("t"), F.btrim(text, F.lit(WHITE)).alias("body"))
-    words = body.select("doc_id", "t", F.when(F.col("body") == "", F.array().cast("array<string>")).otherwise(F.split("body", BREAK)).alias("w"), F.filter(F.split("body", "\n", -1), lambda x: F.btrim(x, F.lit(WHITE)) != "").alias("lines"))
+    words = body.select("doc_id", "t", F.when(F.col("body") == "", F.array().cast("array<string>")).otherwise(F.split("body", BREAK)).alias("w"), F.filter(F.split("t", "\n", -1), lambda x: F.btrim(x, F.lit(WHITE)) != "").alias("lines"))
     windows = F.transform(F.sequence(F.lit(0), F.size("w") - GRAM), lambda i: F.xxhash64(F.get("w", i), F.get("w", i + 1), F.get("w", i + 2)))
     hashed = words.withColumn("hashes", F.when(F.size("w") < GRAM, F.array().cast("array<bigint>")).otherwise(windows))
     hashed = hashed.withColumn("n_distinct", F.size(F.array_distinct("hashes"))).withColumn("bits", F.length(F.bin(F.size("hashes").cast("long")))).withColumn("low", F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bits")) - 1)

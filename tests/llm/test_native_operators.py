@@ -102,6 +102,13 @@ def test_statistics(spark):
     assert got == {k: brute_statistics(t) for k, t in enumerate(texts)}
 
 
+def test_duplicate_lines_of_whole_texts(spark):
+    """The first line keeps its indent, the last its trailing blanks, when lines are compared."""
+    texts = [" x\nfoo\n x", "a\r\nb\r\na\r\n", "x\nfoo\nx ", "\n\nx\nx\n\n"]
+    got = {r.doc_id: r.n_dup_lines for r in quality_rules.statistics(frame(spark, [(k, t, "s") for k, t in enumerate(texts)])).collect()}
+    assert got == {k: brute_statistics(t)[3] for k, t in enumerate(texts)} == {0: 1, 1: 1, 2: 0, 3: 1}
+
+
 def test_rules_learn_and_apply(spark):
     rng = random.Random(1)
     rows, labels = [], []
