@@ -3,11 +3,14 @@
 One weight vector over hashed text features is shared by all grades; ordered
 thresholds cut its line into grades, P(grade <= k) = sigmoid(t_k - w.x). The
 expected grade and the probability of the top grades select documents. The
-fit is by per-coordinate adaptive gradients over a bounded sample outside the
-held-out fold; every whole text is scored.
+fit is by per-coordinate adaptive gradients, in one task, over a bounded
+sample (whole texts, TRAIN_ROWS rows and TRAIN_VALUES feature numbers at most)
+outside the held-out fold; every whole text is scored. A hashed feature weighs
+one over the root of all hashed features of its text, in fit and score alike.
 
 Defined cases: null and empty texts are scored on their shape alone; repeated
-rows score alike; a null id scores like any other; without ratings of two
+rows score alike, and an id that repeats teaches once, by its least text; a
+null id scores like any other; an empty table gives no rows; without ratings of two
 grades at least, every document has the one grade known (or 0) and is kept.
 """
 
@@ -40,7 +43,7 @@ def _sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -35, 35)))
 
 
-def cumulative_link(rows: list[np.ndarray], grades: np.ndarray, levels: int, rate: float = 0.2, l2: float = 1e-4, passes: int = 4) -> tuple[np.ndarray, np.ndarray]:
+def cumulative_link(rows: list[np.ndarray], hashed: np.ndarray, grades: np.ndarray, levels: int, rate: float = 0.2, l2: float = 1e-4, passes: int = 4) -> tuple[np.ndarray, np.ndarray]:
     """Weights and ``levels - 1`` ordered thresholds; the first threshold and the logs of the gaps are what is fitted."""
     w, gw = np.zeros(SIZE), np.full(SIZE, 1e-2)
     share = np.clip(np.cumsum(np.bincount(grades, minlength=levels))[:-1] / len(grades), 1e-3, 1 - 1e-3)
@@ -48,9 +51,9 @@ def cumulative_link(rows: list[np.ndarray], grades: np.ndarray, levels: int, rat
     first, gaps = start[0], np.log(np.maximum(np.diff(start), 1e-2))
     gt = np.full(levels - 1, 1e-1)
     for _ in range(passes):
-        for x, y in zip(rows, grades, strict=True):
+        for x, k, y in zip(rows, hashed, grades, strict=True):
             t = np.r_[first, first + np.cumsum(np.exp(gaps))]
-            v = values_of(x)
+            v = values_of(x, k)
             s = (w[x] * v).sum()
             upper, lower = (_sigmoid(t[y] - s) if y < levels - 1 else 1.0), (_sigmoid(t[y - 1] - s) if y else 0.0)
             du, dl = upper * (1 - upper), lower * (1 - lower)
@@ -72,13 +75,19 @@ def cumulative_link(rows: list[np.ndarray], grades: np.ndarray, levels: int, rat
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, grade: Column | None = None) -> Model:
-    features, y = textfeatures.training_sample(docs, labels, grade if grade is not None else rating(F.col("quality"), F.col("toxic")), rows, shapes=True)
-    y = y.astype(int)
+    sample = textfeatures.training_sample(docs, labels, grade if grade is not None else rating(F.col("quality"), F.col("toxic")), rows, shapes=True)
+    made = textfeatures.fitted(sample, _fitted, "numbers binary, weights binary, thresholds binary, only int")
+    numbers, weights, thresholds = np.frombuffer(made["numbers"], np.int32), np.frombuffer(made["weights"], np.float64), np.frombuffer(made["thresholds"], np.float64)
+    return Model(numbers, weights, thresholds, made["only"])
+
+
+def _fitted(sample: textfeatures.Sample) -> dict:
+    y = sample.labels.astype(int)
     if len(set(y.tolist())) < 2:
-        return Model(np.zeros(0, np.int64), np.zeros(0), np.zeros(0), int(y[0]) if len(y) else 0)
-    w, thresholds = cumulative_link(features, y, int(y.max()) + 1)
-    seen = np.flatnonzero(np.abs(w) > 1e-4)
-    return Model(seen, w[seen], thresholds)
+        return {"numbers": b"", "weights": b"", "thresholds": b"", "only": int(y[0]) if len(y) else 0}
+    w, thresholds = cumulative_link(sample.rows, sample.hashed, y, int(y.max()) + 1)
+    seen = np.flatnonzero(np.abs(w) > 1e-4).astype(np.int32)
+    return {"numbers": seen.tobytes(), "weights": w[seen].tobytes(), "thresholds": thresholds.tobytes(), "only": None}
 
 
 def score(docs: DataFrame, model: Model, tail_grade: int = 1, keep_at: float = 0.5) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -10,17 +11,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plinth.llm import hashing
+from plinth.session import materialize
 
 BITS = 20
 #: Shape features are numbered from here on, apart from the hashed ones.
 SHAPE_BASE = 1 << BITS
 SIZE = SHAPE_BASE + 1024
-#: Labelled rows used at most to fit a model, by the smallest hash of their id; their features are what reaches the driver.
+#: Labelled rows used at most to fit a model, by the smallest hash of their id.
 TRAIN_ROWS = 8_000
+#: Feature numbers that the training rows hold at most together: in hash order, the sample ends before the row that would pass it. Rows are whole or out.
+TRAIN_VALUES = 20_000_000
 #: Features of fewer training rows than this are left out of a fit.
 MIN_ROWS = 4
-#: A training row keeps at most its 20,000 smallest feature numbers, which bounds the sample's size; scoring uses all.
-TRAIN_FEATURES = 20_000
 
 
 def _slot(h: np.ndarray) -> np.ndarray:
@@ -90,11 +92,11 @@ def _sampler(shapes: bool):
     def run(batches):
         for batch in batches:
             found: list[bytes] = [b""] * batch.num_rows
-            for _, _, values, rows in row_features(batch.column(1), shapes):
+            for _, _, values, rows in row_features(batch.column(2), shapes):
                 cut = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]]) if len(rows) else []
                 for s, e in zip(cut, np.r_[cut[1:], len(rows)].astype(int) if len(rows) else [], strict=True):
-                    found[rows[s]] = np.sort(np.unique(values[s:e]))[:TRAIN_FEATURES].astype(np.int32).tobytes()
-            yield pa.RecordBatch.from_arrays([batch.column(2), batch.column(0), pa.array(found, pa.binary())], names=["label", "h", "features"])
+                    found[rows[s]] = np.unique(values[s:e]).astype(np.int32).tobytes()
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(f) // 4 for f in found], pa.int64()), pa.array(found, pa.binary())], names=["h", "label", "n", "features"])
 
     return run
 
@@ -104,38 +106,68 @@ def fold(doc_id):
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(3))
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, label, rows: int = TRAIN_ROWS, shapes: bool = False) -> tuple[list[np.ndarray], np.ndarray]:
-    """Features and labels of at most ``rows`` labelled documents outside the held-out fold, in hash order."""
+def training_sample(docs: DataFrame, labels: DataFrame, label, rows: int = TRAIN_ROWS, shapes: bool = False, values: int = TRAIN_VALUES) -> DataFrame:
+    """(h, label, n, features) of labelled documents outside the held-out fold: a table in the shared folder.
+
+    At most ``rows`` ids with the smallest hashes, as far as their feature
+    numbers stay within ``values`` together. One row for an id: of rows that
+    share it, the least text teaches; of several labels the largest holds.
+    Labelled ids without a document are counted in ``rows`` and teach nothing.
+    """
     graded = labels.select("doc_id", label.alias("label")).filter("doc_id is not null and label is not null").filter(fold(F.col("doc_id")) != 1)
     ids = graded.groupBy("doc_id").agg(F.max("label").cast("int").alias("label")).withColumn("h", F.xxhash64("doc_id")).orderBy("h", "doc_id").limit(rows)
-    texts = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("h", "text", "label")
-    got = texts.mapInArrow(_sampler(shapes), "label int, h long, features binary").toArrow()
-    order, label = np.argsort(got.column("h").to_numpy(), kind="stable"), got.column("label").to_numpy()
-    flat, offsets = _flat(got.column("features"))
-    del got
-    pa.default_memory_pool().release_unused()
-    kept = np.bincount(flat, minlength=SIZE)[flat] >= MIN_ROWS
-    offsets = np.r_[0, np.cumsum(kept)][offsets]
-    flat = flat[kept]
-    return [flat[offsets[i] : offsets[i + 1]] for i in order], label[order]
-
-
-def values_of(x: np.ndarray) -> np.ndarray:
-    """1 for a shape feature, one over the root of their number for each hashed feature of a row."""
-    hashed = x < SHAPE_BASE
-    return np.where(hashed, 1 / np.sqrt(max(1, int(hashed.sum()))), 1.0)
-
-
-def _flat(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
-    """All numbers of a binary column end to end, and where each row's begin; no object is made per row."""
-    parts, lengths = [np.zeros(0, np.int32)], [np.zeros(1, np.int64)]
-    for chunk in column.chunks:
-        chunk = chunk.cast(pa.large_binary())
-        ends = np.frombuffer(chunk.buffers()[1], np.int64)[chunk.offset : chunk.offset + len(chunk) + 1]
-        if len(chunk) and ends[-1] > ends[0]:
-            parts.append(np.frombuffer(chunk.buffers()[2], np.int32, (ends[-1] - ends[0]) // 4, ends[0]))
-        lengths.append(np.diff(ends) // 4)
-    return np.concatenate(parts), np.cumsum(np.concatenate(lengths))
+    texts = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").groupBy("h", "doc_id", "label").agg(F.min("text").alias("text"))
+    sample = materialize(texts.select("h", "label", "text").mapInArrow(_sampler(shapes), "h long, label int, n long, features binary"), "training-sample")
+    held = 0
+    for r in sample.select("h", "n").orderBy("h").collect():  # at most ``rows`` pairs of numbers
+        held += r.n
+        if held > values:
+            return sample.filter(F.col("h") < r.h)
+    return sample
+
+
+@dataclass
+class Sample:
+    """Training rows in hash order: the frequent features of each, its label, and how many hashed features it has in all."""
+
+    rows: list[np.ndarray]
+    labels: np.ndarray
+    hashed: np.ndarray
+
+
+def unpacked(batches) -> Sample:
+    """The batches of a training sample; features of fewer than MIN_ROWS rows are left out, but count in ``hashed``."""
+    keys, labels, flat, lengths = [], [], [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+    for batch in batches:
+        keys.append(batch.column(0).to_numpy(zero_copy_only=False))
+        labels.append(batch.column(1).to_numpy(zero_copy_only=False))
+        flat += [np.frombuffer(x.as_buffer(), np.int32) for x in batch.column(3)]
+        lengths.append(batch.column(2).to_numpy(zero_copy_only=False))
+    numbers, offsets = np.concatenate(flat), np.r_[0, np.cumsum(np.concatenate(lengths))].astype(np.int64)
+    del flat
+    order = np.argsort(np.concatenate(keys), kind="stable") if keys else np.zeros(0, np.int64)
+    frequent = np.bincount(numbers, minlength=SIZE) >= MIN_ROWS
+    pick = lambda x: x[frequent[x]]
+    rows = [pick(numbers[offsets[i] : offsets[i + 1]]) for i in order]
+    hashed = np.array([int((numbers[offsets[i] : offsets[i + 1]] < SHAPE_BASE).sum()) for i in order], np.int64)
+    return Sample(rows, np.concatenate(labels)[order] if keys else np.zeros(0, np.int32), hashed)
+
+
+def fitted(sample: DataFrame, fit, schema: str) -> dict:
+    """The one record that ``fit(Sample)`` makes, in a task of an executor: the sample is bounded, and the driver never holds it."""
+
+    def run(batches):
+        kinds = {"binary": pa.binary(), "double": pa.float64(), "int": pa.int32()}
+        fields = pa.schema([(name, kinds[kind]) for name, kind in (c.split(" ") for c in schema.split(", "))])
+        yield pa.RecordBatch.from_pylist([fit(unpacked(batches))], schema=fields)
+
+    found = sample.coalesce(1).mapInArrow(run, schema).collect()
+    return found[0].asDict() if found else fit(unpacked([]))
+
+
+def values_of(x: np.ndarray, hashed: int) -> np.ndarray:
+    """1 for a shape feature, one over the root of ``hashed`` for each hashed one; ``hashed`` counts all that the text has, frequent or not."""
+    return np.where(x < SHAPE_BASE, 1 / np.sqrt(max(1, hashed)), 1.0)
 
 
 def scored(docs: DataFrame, score, shapes: bool = False, scaled: bool = False) -> DataFrame:

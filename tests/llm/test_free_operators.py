@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from plinth.llm import decontam, mixing, ngram_join, ordinal, pii, registry, textfeatures, toxicity
 from tests.llm.fixtures import corpus, frame
@@ -102,6 +103,104 @@ def test_ordinal(spark):
     assert ordinal.judged(docs, labels.limit(0)).filter("kept").count() == 1504
 
 
+def test_ftrl_equals_plain_recurrences():
+    """Per-coordinate FTRL-proximal with L1, one coordinate at a time."""
+    rng = random.Random(4)
+    rows = [np.array(sorted(rng.sample(range(40), rng.randrange(1, 9))), np.int32) for _ in range(120)]
+    y = np.array([float(bool({3, 7} & set(x.tolist()))) for x in rows])
+    alpha, beta, l1, l2 = 0.5, 1.0, 0.3, 0.1
+    z, n, zb, nb = Counter(), Counter(), 0.0, 0.0
+    weight = lambda i: 0.0 if abs(z[i]) <= l1 else -(z[i] - math.copysign(l1, z[i])) / ((beta + math.sqrt(n[i])) / alpha + l2)
+    for _ in range(3):
+        for x, t in zip(rows, y, strict=True):
+            w = {i: weight(i) for i in x.tolist()}
+            wb = -zb / ((beta + math.sqrt(nb)) / alpha)
+            g = 1 / (1 + math.exp(-(sum(w.values()) + wb))) - t
+            for i in w:
+                sigma = (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / alpha
+                z[i] += g - sigma * w[i]
+                n[i] += g * g
+            sigma = (math.sqrt(nb + g * g) - math.sqrt(nb)) / alpha
+            zb, nb = zb + g - sigma * wb, nb + g * g
+    got, bias = toxicity.ftrl(rows, y, alpha, beta, l1, l2, 3)
+    assert np.allclose(got[:40], [weight(i) for i in range(40)]) and not got[40:].any() and math.isclose(bias, -zb / ((beta + math.sqrt(nb)) / alpha))
+    assert 0 < (got[:40] == 0).sum() < 40 and got[3] > 0 < got[7]
+
+
+def test_cumulative_link_follows_its_gradient():
+    """The fit against steps along numeric gradients of -log P(grade)."""
+    rng = random.Random(6)
+    rows = [np.array(sorted(rng.sample(range(30), rng.randrange(2, 8))), np.int32) for _ in range(40)]
+    hashed = np.array([len(x) + 2 for x in rows])
+    grades = np.array([min(2, int((x < 9).sum())) for x in rows])
+    sig = lambda x: 1 / (1 + math.exp(-x))
+
+    def loss(w, first, gaps, x, k, y):
+        t = [first, *(first + np.cumsum(np.exp(gaps)))]
+        s = sum(w[i] / math.sqrt(k) for i in x)
+        return -math.log(max((sig(t[y] - s) if y < 2 else 1.0) - (sig(t[y - 1] - s) if y else 0.0), 1e-9))
+
+    def slope(f, at, h=1e-6):
+        return (f(at + h) - f(at - h)) / (2 * h)
+
+    w, gw, gt = np.zeros(30), np.full(30, 1e-2), np.full(2, 1e-1)
+    share = np.cumsum(np.bincount(grades, minlength=3))[:-1] / len(grades)
+    start = np.log(share / (1 - share))
+    first, gaps = start[0], np.log(np.maximum(np.diff(start), 1e-2))
+    for _ in range(2):
+        for x, k, y in zip(rows, hashed, grades, strict=True):
+            def moved(i, v, w=w):
+                out = w.copy()
+                out[i] = v
+                return out
+            g = {i: slope(lambda v, i=i: loss(moved(i, v), first, gaps, x, k, y), w[i]) for i in x.tolist()}
+            gf, gg = slope(lambda v: loss(w, v, gaps, x, k, y), first), slope(lambda v: loss(w, first, np.array([v]), x, k, y), gaps[0])
+            for i, d in g.items():
+                gw[i] += d * d
+                w[i] -= 0.2 * (d / math.sqrt(gw[i]) + 1e-4 * w[i])
+            gt += np.array([gf, gg]) ** 2
+            first, gaps = first - 0.1 * gf / math.sqrt(gt[0]), np.clip(gaps - 0.1 * gg / np.sqrt(gt[1:]), -6, 3)
+    got, thresholds = ordinal.cumulative_link(rows, hashed, grades, 3, passes=2)
+    assert np.allclose(got[:30], w, atol=1e-4) and np.allclose(thresholds, [first, first + math.exp(gaps[0])], atol=1e-4)
+
+
+def test_training_rows_are_whole_and_one_an_id(spark):
+    """A row of 12,000 different words keeps every feature; an id that repeats teaches once; the bound drops whole rows."""
+    wide = " ".join(f"u{k}" for k in range(12_000)) + " !!"
+    ids = [i for i in range(40) if zlib.crc32(str(i).encode()) % 3 != 1]
+    rows = [(i, wide if i == ids[0] else f"text {i} here", "s") for i in ids] + [(ids[1], "zz other text", "s")] * 50 + [(ids[2], None, "s")]
+    labels = spark.createDataFrame([(i, i % 2) for i in ids] + [(ids[3], 1)], "doc_id long, toxic int")
+    sample = textfeatures.training_sample(frame(spark, rows), labels, F.col("toxic"), shapes=True)
+    got = sample.collect()
+    assert len(got) == len(ids)
+    found = textfeatures.unpacked(sample.coalesce(1).toArrow().to_batches())
+    import pyarrow as pa
+
+    every = {v for _, _, values, _ in textfeatures.row_features(pa.array([wide]), True) for v in values.tolist()}
+    full = max(got, key=lambda r: r.n)
+    assert set(np.frombuffer(full.features, np.int32).tolist()) == every and len(every) > 30_000 and sum(v >= textfeatures.SHAPE_BASE for v in every) == 42
+    assert found.hashed.max() == sum(v < textfeatures.SHAPE_BASE for v in every) > max(len(x) for x in found.rows)
+    by_h = sorted(got, key=lambda r: r.h)
+    bound = sum(r.n for r in by_h[:5])
+    assert sorted(r.h for r in textfeatures.training_sample(frame(spark, rows), labels, F.col("toxic"), shapes=True, values=bound).collect()) == [r.h for r in by_h[:5]]
+    assert textfeatures.training_sample(frame(spark, []), labels, F.col("toxic")).count() == 0
+
+
+def test_fit_and_score_weigh_features_alike(spark):
+    """z of a training row by the fit's own values equals its z when scored."""
+    docs, labels = _labelled(spark, 300)
+    sample = textfeatures.training_sample(docs, labels, F.col("quality"), shapes=True)
+    part = textfeatures.unpacked(sample.coalesce(1).toArrow().to_batches())
+    rng = np.random.default_rng(1)
+    frequent = np.unique(np.concatenate(part.rows))
+    weights = rng.normal(size=len(frequent))
+    table = dict(zip(frequent.tolist(), weights.tolist(), strict=True))
+    want = sorted(round(sum(table[i] * v for i, v in zip(x.tolist(), textfeatures.values_of(x, k).tolist(), strict=True)), 9) for x, k in zip(part.rows, part.hashed, strict=True))
+    once = docs.groupBy("doc_id").agg(F.min("text").alias("text")).join(labels.filter("doc_id is not null and quality is not null").select("doc_id").distinct(), "doc_id").filter(textfeatures.fold(F.col("doc_id")) != 1)
+    got = sorted(round(r.z, 9) for r in textfeatures.scored(once, (frequent, weights), shapes=True, scaled=True).collect())
+    assert np.allclose(got, want)
+
+
 def test_features_of_long_and_empty_rows():
     import pyarrow as pa
 
@@ -118,8 +217,6 @@ def test_features_of_long_and_empty_rows():
 
 
 def test_poisson_inversion(spark):
-    from pyspark.sql import functions as F
-
     for rate in (0.0, 0.3, 2.5, 40.0, 900.0):
         got = [r.k for r in spark.range(4000).select(mixing.poisson_count([F.col("id")], F.lit(float(rate)), 5).alias("k")).collect()]
         mean, var = sum(got) / 4000, float(np.var(got))
