@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plinth.llm import hashing
-from plinth.llm.components import components
+from plinth.llm.components import components, small
 from plinth.session import materialize
 
 SHINGLE = 5
@@ -51,8 +51,10 @@ BUCKET_SHINGLES = 1_000_000
 PACK_SHINGLES = 1_000_000
 #: Buckets that one pack is dealt to at most; beyond, packs go to coarse buckets first and are dealt again there, so that blocks stay long.
 FAN = 2_000
-#: Copy tables of at most this many rows are broadcast; larger ones are joined by shuffle.
-BROADCAST_ROWS = 1_000_000
+#: A shingle that more classes than this may have is heavy: its entries skip the buckets, so no bucket grows with a shingle that all texts share.
+HEAVY = 1_000_000
+#: One in so many classes is looked at to find the heavy shingles, and so many of them are named at most, the most frequent ones.
+HEAVY_SAMPLE, HEAVY_NAMED = 64, 1_000_000
 #: Size blocks: a little above 4/3, so that a pair within the size window is never two blocks apart.
 BLOCK_BASE = 1.34
 
@@ -125,12 +127,15 @@ def _pack_all(pairs: Iterator[tuple[np.ndarray, np.ndarray]], buckets: int, coar
     pa.default_memory_pool().release_unused()
 
 
-def _to_buckets(buckets: int, coarse: int):
+def _to_buckets(buckets: int, coarse: int, heavy: np.ndarray):
+    """Blocks of all shingles but the ``heavy`` ones."""
+
     def pairs(batches):
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for _, _, v, rows in _sets(batch.column(1)):
-                yield v, ids[rows]
+                light = ~_is_heavy(heavy, v)
+                yield v[light], ids[rows[light]]
 
     return lambda batches: _pack_all(pairs(batches), buckets, coarse)
 
@@ -145,6 +150,16 @@ def _dealt_again(buckets: int):
     return lambda batches: _pack_all(pairs(batches), buckets, 0)
 
 
+def _by_home(who: np.ndarray, token: np.ndarray, df: np.ndarray, buckets: int) -> list[tuple[int, bytes]]:
+    """(home, packed classes, shingles and counts): a class's home is named by its hash."""
+    home = (hashing.mix(who.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+    order = np.lexsort((who, home))
+    who, token, df, home = who[order], token[order], df[order], home[order]
+    starts = np.flatnonzero(np.r_[True, home[1:] != home[:-1]]) if len(home) else np.zeros(0, np.int64)
+    ends = np.r_[starts[1:], len(home)].astype(np.int64)
+    return [(int(home[s]), np.concatenate([who[s:e], token[s:e], df[s:e]]).tobytes()) for s, e in zip(starts, ends, strict=False)]
+
+
 def _shared(buckets: int):
     """From a bucket's blocks: the shingles that two or more classes have, with their class counts, packed by class."""
 
@@ -164,12 +179,7 @@ def _shared(buckets: int):
         df = np.repeat(size, size).astype(np.int64)
         keep = df > 1
         who, token, df = who[keep], token[keep].view(np.int64), df[keep]
-        home = (hashing.mix(who.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
-        order = np.lexsort((who, home))
-        who, token, df, home = who[order], token[order], df[order], home[order]
-        starts = np.flatnonzero(np.r_[True, home[1:] != home[:-1]]) if len(home) else np.zeros(0, np.int64)
-        ends = np.r_[starts[1:], len(home)].astype(np.int64)
-        rows = [(int(home[s]), np.concatenate([who[s:e], token[s:e], df[s:e]]).tobytes()) for s, e in zip(starts, ends, strict=False)]
+        rows = _by_home(who, token, df, buckets)
         return pa.table({"home": pa.array([k for k, _ in rows], pa.int64()), "block": pa.array([b for _, b in rows], pa.binary())})
 
     return run
@@ -196,17 +206,69 @@ def _ordered(key, left: pa.Table, right: pa.Table) -> pa.Table:
     return pa.table({"node": who[first][keep], "n": n[keep], "tokens": pa.ListArray.from_arrays(pa.array(offsets), pa.array(token[kept])), "prefix": prefix[keep].astype(np.int32)})
 
 
-def candidate_sets(docs: DataFrame, classes: DataFrame, others: DataFrame, shingles: int, n_others: int) -> DataFrame:
+def heavy_shingles(rows: DataFrame, classes: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles, in order, that more than HEAVY classes are likely to have, and about how many do.
+
+    They are counted in one of HEAVY_SAMPLE classes and named from half of
+    HEAVY on, so one with more than HEAVY owners is missed with a chance that
+    is nil; where it was, only its bucket would be larger. The choice steers
+    the work and leaves the results alone: a heavy shingle is shared, and any
+    count that all classes agree on may rank it. With no more than HEAVY
+    classes there is none, and nothing is read.
+    """
+    none = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    if classes <= HEAVY:
+        return none
+
+    def counted(batches):
+        for batch in batches:
+            for _, _, values, _ in _sets(batch.column(0)):
+                token, count = np.unique(values, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(count)], names=["token", "c"])
+
+    sampled = rows.filter(F.pmod(F.xxhash64(F.lit(5), "h"), F.lit(HEAVY_SAMPLE)) == 0).select("text").mapInArrow(counted, "token long, c long")
+    often = sampled.groupBy("token").agg(F.sum("c").alias("c")).filter(F.col("c") >= max(2, HEAVY // (2 * HEAVY_SAMPLE)))
+    found = often.orderBy(F.desc("c"), "token").limit(HEAVY_NAMED).toArrow()
+    token, count = found.column("token").to_numpy().view(np.uint64), found.column("c").to_numpy() * HEAVY_SAMPLE
+    order = np.argsort(token)
+    return token[order], count[order]
+
+
+def _is_heavy(heavy: np.ndarray, values: np.ndarray) -> np.ndarray:
+    if not len(heavy):
+        return np.zeros(len(values), bool)
+    return heavy[np.minimum(np.searchsorted(heavy, values), len(heavy) - 1)] == values
+
+
+def _heavy_homes(heavy: tuple[np.ndarray, np.ndarray], buckets: int):
+    """The heavy entries of each batch, straight to the homes of their classes, in the form of :func:`_shared`."""
+
+    def run(batches):
+        for batch in batches:
+            ids, rows = batch.column(0).to_numpy(zero_copy_only=False), []
+            for _, _, values, at in _sets(batch.column(1)):
+                hit = _is_heavy(heavy[0], values)
+                if hit.any():
+                    rows += _by_home(ids[at[hit]], values[hit].view(np.int64), heavy[1][np.searchsorted(heavy[0], values[hit])], buckets)
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int64()), pa.array([b for _, b in rows], pa.binary())], names=["home", "block"])
+
+    return run
+
+
+def candidate_sets(docs: DataFrame, classes: DataFrame, others: DataFrame, shingles: int, n_classes: int, n_others: int) -> DataFrame:
     """(node, n, tokens, prefix) of the classes that can link at all; ``others`` (doc_id, h) are the rows that stand for no class."""
     buckets = max(8, -(-shingles // BUCKET_SHINGLES))
     rows = _rows(docs).filter(F.col("doc_id").isNotNull())
     if n_others:
-        rows = rows.join(F.broadcast(others) if n_others <= BROADCAST_ROWS else others, ["doc_id", "h"], "left_anti")
+        rows = rows.join(small(others, n_others), ["doc_id", "h"], "left_anti")
     coarse = -(-buckets // FAN) if buckets > FAN else 0
-    blocks = rows.select("doc_id", "text").mapInArrow(_to_buckets(buckets, coarse), "bucket long, block binary")
+    heavy = heavy_shingles(rows, n_classes)
+    blocks = rows.select("doc_id", "text").mapInArrow(_to_buckets(buckets, coarse, heavy[0]), "bucket long, block binary")
     if coarse:
         blocks = blocks.repartition("bucket").mapInArrow(_dealt_again(buckets), "bucket long, block binary")
     shared = blocks.groupBy("bucket").applyInArrow(_shared(buckets), "home long, block binary")
+    if len(heavy[0]):
+        shared = shared.unionByName(rows.select("doc_id", "text").mapInArrow(_heavy_homes(heavy, buckets), "home long, block binary"))
     sizes = classes.mapInArrow(_homes(buckets), "home long, node long, n long")
     return shared.groupBy("home").cogroup(sizes.groupBy("home")).applyInArrow(_ordered, "node long, n long, tokens array<long>, prefix int")
 
@@ -255,18 +317,30 @@ def _leader_links(lists: DataFrame, sets: DataFrame) -> DataFrame:
     return overlaps(pairs, sets).filter(linked(F.col("overlap"), F.col("na"), F.col("nb")))
 
 
-def links(sets: DataFrame) -> DataFrame:
-    """(a, b): verified links whose components are those of all links."""
+def ties(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(node, comp) of each class, and (a, b): links between such names.
+
+    A name stands for classes that leader links tie to it; the components of
+    the names are those of all links.
+    """
     lists = materialize(index_lists(sets), "join-lists")
     first = materialize(_leader_links(lists, sets), "join-leaders")
     led = first.groupBy("b").agg(F.min_by(F.struct("a", "overlap"), F.struct(-F.col("overlap"), "a")).alias("best"), F.min("a").alias("low"))
-    relation = sets.select("node", "n").join(led.select(F.col("b").alias("node"), "best", "low"), "node", "left")
-    relation = relation.select("node", F.coalesce("best.a", "node").alias("leader"), F.coalesce(F.col("n") - F.col("best.overlap"), F.lit(0)).alias("extra"), F.coalesce("low", "node").alias("low"))
+    led = materialize(led.select(F.col("b").alias("node"), F.col("best.a").alias("leader"), F.col("best.overlap").alias("overlap"), "low"), "join-led")
+    n_led = led.count()
+    relation = sets.select("node", "n").join(led, "node", "left")
+    relation = relation.select("node", F.coalesce("leader", "node").alias("leader"), F.coalesce(F.col("n") - F.col("overlap"), F.lit(0)).alias("extra"), F.coalesce("low", "node").alias("low"))
     # three steps along verified links name a part of the component: equal names are tied already
+    step = small(led.select(F.col("node").alias("low"), F.col("low").alias("next")), n_led)
     for _ in range(3):
-        step = led.select(F.col("b").alias("low"), F.col("low").alias("next"))
         relation = relation.join(step, "low", "left").withColumn("low", F.coalesce("next", "low")).drop("next")
     relation = materialize(relation.withColumnRenamed("low", "comp"), "join-relations")
+    names, n_names = relation.select("node", "comp"), relation.count()
+
+    def between(found: DataFrame) -> DataFrame:
+        end = lambda x: small(names.select(F.col("node").alias(x), F.col("comp").alias(f"comp_{x}")), n_names)
+        named = found.select("a", "b").join(end("a"), "a").join(end("b"), "b")
+        return named.filter("comp_a <> comp_b").select(F.col("comp_a").alias("a"), F.col("comp_b").alias("b"))
 
     entries = lists.join(relation, "node")
     # groups: one entry for all members of a leader in a list's block
@@ -290,7 +364,7 @@ def links(sets: DataFrame) -> DataFrame:
     open_pairs = materialize(open_pairs.select(F.col("a").alias("la"), F.col("b").alias("lb"), F.col("overlap").alias("base")), "join-open")
     found = first.select("a", "b").unionByName(direct.select("a", "b"))
     if not open_pairs.limit(1).count():
-        return found
+        return names, between(found)
     # back to the lists where the two groups met, with the members that the leaders' overlap and the differences leave a chance
     a, b = F.least("leader1", "leader2"), F.greatest("leader1", "leader2")
     places = met.join(open_pairs, (a == F.col("la")) & (b == F.col("lb"))).select("token", "own", "block", "leader1", "leader2", "extra2", "low2", "base")
@@ -301,7 +375,7 @@ def links(sets: DataFrame) -> DataFrame:
     member = two.filter(_may_reach(F.col("nx"), F.col("leftx"), F.col("ny"), F.col("lefty")))
     pairs = member.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     checked = overlaps(pairs, sets)
-    return found.unionByName(checked.filter(linked(F.col("overlap"), F.col("na"), F.col("nb"))).select("a", "b"))
+    return names, between(found.unionByName(checked.filter(linked(F.col("overlap"), F.col("na"), F.col("nb"))).select("a", "b")))
 
 
 def all_links(sets: DataFrame) -> DataFrame:
@@ -326,19 +400,23 @@ def _prepared(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame | None]:
     nodes = member.filter("doc_id = node").select("node", "n", "h")
     others = named.select("doc_id", "h").distinct().join(nodes.select(F.col("node").alias("doc_id"), "h"), ["doc_id", "h"], "left_anti")
     others = materialize(others, "join-others")
-    totals = nodes.agg(F.sum("n").alias("n")).first()
+    totals = nodes.agg(F.sum("n").alias("n"), F.count("*").alias("k")).first()
     if totals.n is None:
         return rows, member, None
-    return rows, member, materialize(candidate_sets(docs, nodes.select("node", "n"), others, int(totals.n), others.count()), "join-sets")
+    return rows, member, materialize(candidate_sets(docs, nodes.select("node", "n"), others, int(totals.n), totals.k, others.count()), "join-sets")
 
 
 def ngram_join(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id) of each row."""
-    rows, member, sets = _prepared(docs)
+    return _components(*_prepared(docs))
+
+
+def _components(rows: DataFrame, member: DataFrame, sets: DataFrame | None) -> DataFrame:
     if sets is None:
         return rows.select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    roots = components(links(sets))
-    placed = member.join(roots, "node", "left").select(F.col("doc_id").alias("id"), F.coalesce("root", "node").alias("component"))
+    names, found = ties(sets)
+    roots = components(found).withColumnRenamed("node", "comp")
+    placed = member.join(names.join(roots, "comp", "left"), "node", "left").select(F.col("doc_id").alias("id"), F.coalesce("root", "comp", "node").alias("component"))
     joined = rows.join(placed, rows["doc_id"] == placed["id"], "left")
     return joined.select(rows["doc_id"], F.col("n").alias("n_shingles"), F.coalesce("component", rows["doc_id"]).alias("component_id"))
 
@@ -361,12 +439,25 @@ def link_table(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that name their component, all columns as they are; rows with a null id stay."""
-    joined = materialize(ngram_join(docs), "join-result")
-    others = joined.filter("doc_id <> component_id").select(F.col("doc_id").alias("__id")).distinct()
-    side = F.broadcast(others) if others.count() <= BROADCAST_ROWS else others
-    kept = docs.join(side, docs["doc_id"].cast("long") == F.col("__id"), "left_anti")
-    if joined.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").limit(1).count():
-        once = kept.filter("doc_id is not null").dropDuplicates(["doc_id"])
-        kept = once.unionByName(kept.filter("doc_id is null"))
-    return kept
+    """The rows of ``docs`` but those whose component another id names; all columns as they are.
+
+    Rows with a null id stay. Of rows that share id and text one stays, the
+    least by the hash of its columns as JSON. Of rows that share an id with
+    different texts only the one that stands for the id (see the module) is
+    compared; the others are no copies of anything known and stay.
+    """
+    key = [F.col("doc_id").cast("long").alias("__id"), F.xxhash64("text").alias("__h")]
+    rows = docs.select(F.struct("*").alias("__row"), *key)
+    prepared = _prepared(docs)
+    joined = _components(*prepared).filter("doc_id <> component_id").select(F.col("doc_id").alias("__id"))
+    stands = prepared[1].select(F.col("doc_id").alias("__id"), F.col("h").alias("__h"))
+    gone = materialize(stands.join(joined.distinct(), "__id"), "join-gone")
+    kept = rows.join(small(gone, gone.count()), ["__id", "__h"], "left_anti")
+    repeated = prepared[0].filter("doc_id is not null").groupBy(F.col("doc_id").alias("__id"), F.col("h").alias("__h")).count().filter("count > 1").select("__id", "__h")
+    repeated = materialize(repeated, "join-repeated")
+    if n := repeated.count():
+        again = small(repeated, n)
+        order = F.xxhash64(F.to_json("__row"))
+        one = kept.join(again, ["__id", "__h"], "left_semi").groupBy("__id", "__h").agg(F.min_by("__row", order).alias("__row"))
+        kept = kept.join(again, ["__id", "__h"], "left_anti").select("__row").unionByName(one.select("__row"))
+    return kept.select("__row.*")

@@ -84,6 +84,28 @@ def test_components_of_a_path(spark):
     assert all(got[i] == 0 for i in range(71)) and all(got[i] == 100 for i in range(100, 103))
 
 
+def test_components_of_random_links(spark):
+    import random
+
+    rng = random.Random(3)
+    pairs = [(rng.randrange(400), rng.randrange(400)) for _ in range(260)] + [(k, 0) for k in range(500, 700)] + [(k, k + 7) for k in range(1000, 1200)] + [(9, 9)]
+    root = {}
+
+    def find(x):
+        root.setdefault(x, x)
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in pairs:
+        if a != b:
+            x, y = sorted((find(a), find(b)))
+            root[y] = x
+    links = spark.createDataFrame(pairs, "a long, b long")
+    assert {r.node: r.root for r in components(links).collect()} == {x: find(x) for x in list(root)}
+    assert components(links.limit(0)).count() == 0 == components(links.filter("a = b")).count()
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.one_of(st.none(), st.text(alphabet="aAb \n.é", max_size=60)), max_size=12))
 def test_hashing_follows_words(texts):
@@ -129,7 +151,36 @@ def test_an_id_with_two_texts_is_one_document(spark):
     assert len(got) == 5 and {r.doc_id: r.component_id for r in got}[8] == 8
     linked = {r.doc_id for r in got if r.component_id == 5}
     assert linked in ({5, 6}, {5, 7})
-    assert sum(r.doc_id == 5 for r in ngram_join.keep_one(frame(spark, rows)).collect()) == 1
+    kept = sorted((r.doc_id, r.text) for r in ngram_join.keep_one(frame(spark, rows)).collect())
+    gone = (linked - {5}).pop()
+    assert kept == sorted((i, t) for i, t, _ in rows if i != gone)  # the other text of id 5 is compared with nothing and stays
+
+
+def test_repeated_rows_leave_the_same_one(spark):
+    """Of rows that share id and text one stays, whatever their order; their other columns decide which."""
+    rows = [(5, "one two three", "s2"), (5, "one two three", "s1"), (5, "one two three", "s3"), (6, "ONE  two three", "s"), (None, "one two three", "s"), (None, "one two three", "s"), (7, None, "a"), (7, None, "b")]
+    one, two = (sorted(((r.doc_id, r.source) for r in ngram_join.keep_one(frame(spark, x)).collect()), key=str) for x in (rows, rows[::-1]))
+    assert one == two and [i for i, _ in one] == [5, 7, None, None]
+
+
+def test_a_heavy_shingle_in_every_row(spark, monkeypatch):
+    """Shingles of more classes than HEAVY skip the buckets; the result is the same."""
+    import random
+
+    rng = random.Random(9)
+    shared = [f"h{k}" for k in range(12)]
+    rows = [(i, " ".join(shared + [f"r{rng.randrange(60)}" for _ in range(rng.randrange(0, 25))]), "s") for i in range(150)]
+    rows += [(200 + i, " ".join(shared + [f"c{k}" for k in range(40)] + [f"e{i % 9}"]), "s") for i in range(60)]
+    truth = brute([(i, t) for i, t, _ in rows])
+    monkeypatch.setattr(ngram_join, "HEAVY", 40)
+    monkeypatch.setattr(ngram_join, "HEAVY_SAMPLE", 2)
+    docs = frame(spark, rows)
+    token, count = ngram_join.heavy_shingles(ngram_join._rows(docs), len(rows))
+    assert len(token) >= 8 and (np.diff(token.astype(object)) > 0).all() and count.max() > 150
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.ngram_join(docs).collect()}
+    assert got == truth and len({c for _, c in truth.values()}) > 50
+    monkeypatch.setattr(ngram_join, "HEAVY", 10**6)
+    assert not len(ngram_join.heavy_shingles(ngram_join._rows(docs), len(rows))[0])
 
 
 def test_a_large_group_of_near_copies(spark):
