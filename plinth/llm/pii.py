@@ -5,49 +5,79 @@ type, in canonical form) draws a surrogate from a keyed hash; the draws are
 checked over the whole corpus against each other and against all original
 values, and whoever collides draws again, so distinct values stay distinct
 and no surrogate is a real value. Equal values get equal surrogates in all
-documents: names part by part, e-mail hosts on their own, phone numbers by
-their last ten digits. The surrogate is written in the format of its mention.
+documents: names part by part, e-mail hosts as values of their own, phone
+numbers by their last ten digits, Cyrillic surnames by their masculine form.
+The surrogate is written in the format of its mention.
+
+Each further draw of a value comes from a wider form (octets of any length,
+one more letter, digit or syllable), so a form whose values are all taken is
+left behind. A value that still collides after MAX_ROUNDS takes the fallback,
+``surrogate-`` and 24 hexadecimal digits of its keyed hash.
 
 The first draw is a function of key, type and value alone and is made where
 the text is read; only values that had to draw again are looked up.
 
 Defined cases: null and empty texts have no entities and stay as they are; a
 null id is kept; repeated rows are changed alike; entities that overlap: the
-one that starts first, then the longer, then the earlier type of ``PATTERNS``.
+one that starts first, then the longer, then the earlier type of ``PATTERNS``;
+an empty table gives no rows; extra columns, whatever their names, are left
+out.
 """
 
 from __future__ import annotations
 
 import hashlib
+import ipaddress
 import json
 import re
+import unicodedata
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plinth.llm.sizes import bounded
 from plinth.session import materialize
 
-#: Redrawn values of texts are broadcast up to this many texts; beyond, joined by shuffle.
-BROADCAST_ROWS = 100_000
-MAX_ROUNDS = 40
+#: Draws of a value before the fallback.
+MAX_ROUNDS = 16
+FALLBACK = "surrogate-"
 
-# Titles by gender, and names by gender and script.
+# Titles by gender, and given names by gender and script.
 MALE_TITLES = ("Mr", "Herr", "Monsieur", "Señor", "Sr", "Don", "господин", "г-н")
 FEMALE_TITLES = ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "Doña", "госпожа", "г-жа")
 NEUTRAL_TITLES = ("Dr", "Prof")
 FIRST = {
-    ("m", "latin"): ("Adam", "Brian", "Carl", "David", "Edgar", "Felix", "Georg", "Hugo", "Ivan", "Jonas", "Karl", "Louis", "Martin", "Nils", "Oscar", "Paul", "Robert", "Simon", "Thomas", "Victor"),
-    ("f", "latin"): ("Anna", "Bella", "Clara", "Diana", "Emma", "Flora", "Greta", "Helen", "Irene", "Julia", "Karin", "Laura", "Maria", "Nora", "Olga", "Paula", "Rosa", "Sophie", "Teresa", "Vera"),
-    ("m", "cyrillic"): ("Алексей", "Борис", "Виктор", "Глеб", "Денис", "Егор", "Иван", "Кирилл", "Лев", "Максим", "Николай", "Олег", "Павел", "Роман", "Сергей"),
-    ("f", "cyrillic"): ("Анна", "Вера", "Галина", "Дарья", "Елена", "Жанна", "Ирина", "Ксения", "Лидия", "Марина", "Надежда", "Ольга", "Полина", "Раиса", "Софья"),
-}
-SYLLABLES = {"latin": ("ba", "del", "fin", "gor", "hal", "kem", "lor", "mar", "nel", "por", "ren", "sol", "tam", "vin", "wes", "zor"), "cyrillic": ("ба", "вел", "гор", "дем", "зин", "кал", "лод", "мир", "нов", "пет", "рад", "сол", "тур", "фад", "хар", "яр")}
+    ("m", "latin"): (
+        "Adam", "Alexander", "Andrew", "Anthony", "Antonio", "Brian", "Carl", "Carlos", "Charles", "Daniel", "David", "Edgar", "Edward", "Felix", "Francisco", "Frank", "Georg", "George", "Hans", "Henry", "Hugo", "Ivan",
+        "Jack", "James", "Jean", "John", "Jonas", "Jose", "Joseph", "Juan", "Karl", "Kevin", "Louis", "Luis", "Mark", "Martin", "Matthew", "Michael", "Miguel", "Nils", "Oscar", "Patrick", "Paul", "Pedro", "Peter", "Philip",
+        "Pierre", "Richard", "Robert", "Simon", "Stephen", "Steven", "Thomas", "Victor", "William",
+    ),
+    ("f", "latin"): (
+        "Alice", "Amy", "Angela", "Anna", "Barbara", "Bella", "Carmen", "Carol", "Catherine", "Charlotte", "Clara", "Deborah", "Diana", "Elena", "Elizabeth", "Emily", "Emma", "Flora", "Greta", "Helen", "Irene", "Isabel", "Jane",
+        "Jennifer", "Jessica", "Julia", "Karen", "Karin", "Laura", "Linda", "Lisa", "Lucia", "Margaret", "Maria", "Marie", "Martha", "Mary", "Monica", "Nancy", "Nora", "Olga", "Olivia", "Patricia", "Paula", "Rosa", "Ruth",
+        "Sandra", "Sarah", "Sophie", "Susan", "Teresa", "Vera", "Victoria",
+    ),
+    ("m", "cyrillic"): ("Александр", "Алексей", "Андрей", "Борис", "Виктор", "Владимир", "Глеб", "Денис", "Дмитрий", "Егор", "Иван", "Игорь", "Кирилл", "Лев", "Максим", "Михаил", "Николай", "Олег", "Павел", "Пётр", "Роман", "Сергей", "Юрий"),
+    ("f", "cyrillic"): ("Александра", "Анастасия", "Анна", "Вера", "Галина", "Дарья", "Екатерина", "Елена", "Жанна", "Ирина", "Ксения", "Лидия", "Людмила", "Марина", "Мария", "Надежда", "Наталья", "Ольга", "Полина", "Раиса", "Светлана", "Софья", "Татьяна"),
+}
+# Russian surname endings that have a feminine form.
+FEMININE = {"ова": "ов", "ева": "ев", "ёва": "ёв", "ина": "ин", "ына": "ын", "ская": "ский", "цкая": "цкий"}
+MASCULINE = {m: f for f, m in FEMININE.items()}
+# What surrogate names are made of: a beginning, a syllable (one more with each draw), and an ending by kind.
+BEGIN = {"latin": ("al", "ba", "ber", "ca", "cor", "da", "del", "el", "fa", "fer", "ga", "gil", "ha", "il", "jo", "ka", "la", "lor", "ma", "mel", "na", "or", "pa", "ra", "ro", "sa", "ta", "ul", "va", "wi"), "cyrillic": ("ал", "бар", "вас", "гол", "дар", "ел", "жар", "зал", "ил", "кор", "лат", "мар", "нар", "ор", "пал", "рад", "сав", "тар", "ул", "фад", "хар", "чер", "шал", "юл", "яр")}
+MIDDLE = {"latin": ("ba", "bri", "da", "den", "di", "fa", "fri", "ga", "gri", "hel", "ka", "ki", "la", "len", "li", "ma", "mi", "na", "ni", "pa", "ri", "ro", "sa", "si", "ta", "ti", "va", "ven", "vi", "zo"), "cyrillic": ("ба", "ве", "ви", "га", "да", "де", "ди", "ка", "ла", "ле", "ли", "ма", "ме", "ми", "на", "не", "ни", "ра", "ре", "ри", "са", "се", "си", "та", "ти")}
+ENDING = {
+    ("m", "latin"): ("n", "r", "s", "d", "l", "no", "rto", "ck", "mir", "nd"), ("f", "latin"): ("na", "lia", "ra", "tte", "ssa", "da", "lla", "nne", "ria", "ta"),
+    ("m", "cyrillic"): ("н", "р", "с", "д", "л", "мир", "й", "рт", "слав", "м"), ("f", "cyrillic"): ("на", "лия", "ра", "да", "ся", "лла", "рия", "та", "ша", "мира"),
+    ("s", "latin"): ("son", "ley", "ton", "man", "ford", "well", "berg", "ner", "nez", "rini", "wood", "sen"), ("s", "cyrillic"): ("лов", "нов", "ров", "нин", "лин", "вский", "нский", "рцкий"), ("i", "cyrillic"): ("енко", "ченко", "юк", "чук"),
+}
 KNOWN = {name.lower(): gender for (gender, _), names in FIRST.items() for name in names}
 
 _NAME = r"[A-ZÀ-ÖØ-ÞА-ЯЁ][\w’'-]*"
 PATTERNS = (
     ("email", re.compile(r"(?<![\w.+-])[\w.+-]{1,64}@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)+")),
+    ("ipv6", re.compile(r"(?<![\w:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,5}::(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,5})?)(?![\w:]|\.\d)")),
     ("ipv4", re.compile(r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\.?\d)")),
     ("iban", re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)")),
     ("card", re.compile(r"(?<![\w.-])(?:\d{16}|[3-6]\d{3}(?:[ -]?\d{4}){2}[ -]?\d{1,7})(?![\w-]|\.\d)")),
@@ -72,8 +102,8 @@ def detect(text: str | None) -> list[tuple[int, int, str, str]]:
         return []
     found: list[tuple[int, int, int, str, str]] = []
     if _HINT.search(text):
-        for rank, (kind, pattern) in enumerate(PATTERNS[:8]):
-            if kind == "email" and "@" not in text:
+        for rank, (kind, pattern) in enumerate(PATTERNS[:9]):
+            if (kind == "email" and "@" not in text) or (kind == "ipv6" and text.count(":") < 2):
                 continue
             for m in pattern.finditer(text):
                 start, end = m.span(2) if kind == "secret" else m.span()
@@ -81,16 +111,19 @@ def detect(text: str | None) -> list[tuple[int, int, str, str]]:
                 digits = re.sub(r"\D", "", value)
                 if kind == "secret" and not re.search(r"\d", value):
                     continue
+                if kind == "ipv6" and not (value := _exploded(value)):
+                    continue
+                end = start + len(text[start:end].rstrip(".")) if kind == "email" else end
                 canon = {"email": value.lower(), "phone": digits[-10:], "card": digits, "iban": value.replace(" ", "")}.get(kind, value)
-                found.append((start, -(start + len(value)), rank, kind, canon))
+                found.append((start, -end, rank, kind, canon))
     if _TITLE_HINT.search(text):
-        for m in PATTERNS[8][1].finditer(text):
+        for m in PATTERNS[9][1].finditer(text):
             title = m["title"]
             parts = m["name"].split(" ")
             gender = "m" if title in MALE_TITLES else "f" if title in FEMALE_TITLES else KNOWN.get(parts[0].lower(), "n")
-            found += _parts(m.start("name"), parts, gender, 8, len(parts) > 1)
-        for m in PATTERNS[9][1].finditer(text):
-            found += _parts(m.start("first"), [m["first"], m["last"]], KNOWN[m["first"].lower()], 9, True)
+            found += _parts(m.start("name"), parts, gender, 9, len(parts) > 1)
+        for m in PATTERNS[10][1].finditer(text):
+            found += _parts(m.start("first"), [m["first"], m["last"]], KNOWN[m["first"].lower()], 10, True)
     found.sort()
     out, last = [], 0
     for start, minus_end, _, kind, canon in found:
@@ -105,11 +138,26 @@ def _parts(start: int, parts: list[str], gender: str, rank: int, has_first: bool
     out = []
     for k, part in enumerate(parts):
         kind = f"given_{gender}" if has_first and k < len(parts) - 1 else "surname"
-        out.append((start, -(start + len(part)), rank, f"{kind}_{script(part)}", part.lower()))
+        canon = part.lower()
+        if kind == "surname" and (end := _ending(canon, FEMININE)) and gender != "m":
+            canon = canon.removesuffix(end) + FEMININE[end]
+        out.append((start, -(start + len(part)), rank, f"{kind}_{script(part)}", canon))
         start += len(part) + 1
     return out
 
 
+def _ending(name: str, endings) -> str | None:
+    return next((e for e in sorted(endings, key=len, reverse=True) if name.endswith(e) and len(name) > len(e) + 1), None)
+
+
+def _exploded(value: str) -> str | None:
+    """The eight groups of an IPv6 address that has a digit, or None."""
+    try:
+        return ipaddress.IPv6Address(value).exploded if re.search(r"\d", value) else None
+    except ValueError:
+        return None
+
+
 class Stream:
     """Keyed pseudo-random numbers for one value and attempt."""
 
@@ -125,21 +173,27 @@ class Stream:
         return value % n
 
 
-def _swap(s: Stream, value: str) -> str:
-    """Digits for digits and letters for letters, of the same case and script; first digits that are not zero stay so."""
+def _letter(s: Stream, c: str) -> str:
+    """A letter of the same kind (as Unicode has it) among the 32 code points around ``c``."""
+    base = ord(c) & ~31
+    near = [chr(p) for p in range(base, base + 32) if unicodedata.category(chr(p)) == unicodedata.category(c)]
+    return near[s.below(len(near))]
+
+
+def _swap(s: Stream, value: str, more: int = 0) -> str:
+    """Digits for digits and letters for letters, of the same case and script; first digits that are not zero stay so. ``more`` characters of the last one's kind follow."""
     out = []
-    for k, c in enumerate(value):
-        lead = not k or not value[k - 1].isdigit()
+    tail = next((c for c in reversed(value) if c.isalnum()), "a")
+    for k, c in enumerate(value + tail * more):
+        lead = not k or not out[k - 1].isdigit()
         if c.isdigit() and c.isascii():
             out.append(str(1 + s.below(9)) if lead and c != "0" else str(s.below(10)))
         elif "a" <= c <= "z":
             out.append(chr(97 + s.below(26)))
         elif "A" <= c <= "Z":
             out.append(chr(65 + s.below(26)))
-        elif "а" <= c <= "я":
-            out.append(chr(0x430 + s.below(32)))
         else:
-            out.append(c)
+            out.append(_letter(s, c) if c.isalpha() else c)
     return "".join(out)
 
 
@@ -147,19 +201,50 @@ def _luhn(digits: str) -> int:
     return sum(sum(divmod(int(d) * (1 + (k % 2)), 10)) for k, d in enumerate(reversed(digits))) % 10
 
 
+def _ipv4(s: Stream, canon: str, wider: int) -> str:
+    """Octets of the same length, private networks kept; wider: octets of any length, then 10/8 for private ones, then all of the space."""
+    octets = canon.split(".")
+    private = 1 if octets[0] in ("10", "127") else 2 if octets[:2] == ["192", "168"] else 0
+    if not wider:
+        spans = {1: (0, 9), 2: (10, 99), 3: (100, 255)}
+        return ".".join(o if k < private else str(low + s.below(high - low + 1)) for k, o in enumerate(octets) for low, high in [spans[len(o)]])
+    start = octets[:private] if wider < 3 else ["10"] if private and wider < 6 else []
+    return ".".join([*start, *(str(s.below(256)) for _ in range(4 - len(start)))])
+
+
+def _ipv6(s: Stream, canon: str, wider: int) -> str:
+    """The network's kind stays, and groups of zeros; other groups keep their length, or with a wider form fill up, the last four first."""
+    groups = canon.split(":")
+    first = {"2001": 2 if groups[1] == "0db8" else 0}.get(groups[0], 1 if groups[0] >= "fc00" else 0)
+    out = []
+    for k, g in enumerate(groups):
+        digits = 4 if wider and (k >= 4 or wider > 3) else len(g.lstrip("0"))
+        if k < first:
+            out.append(g)
+        elif not k:
+            out.append(f"{0x2000 + s.below(0x2000):04x}")
+        else:
+            low = 16 ** (digits - 1) if digits > 1 else min(1, digits)
+            out.append(f"{low + s.below(16**digits - low) if digits else 0:04x}")
+    return ":".join(out)
+
+
 def draw(key: bytes, kind: str, canon: str, attempt: int = 0) -> str:
-    """The canonical surrogate of a value at an attempt; it has the value's form."""
+    """The canonical surrogate of a value at an attempt; it has the value's form, or a wider one."""
     s = Stream(key, kind, canon, attempt)
-    if kind == "email":
+    wider = attempt // 2
+    if attempt >= MAX_ROUNDS:
+        return FALLBACK + "".join("0123456789abcdef"[s.below(16)] for _ in range(24))
+    if kind == "email":  # the local part; its host is a value of its own
         local, _, host = canon.partition("@")
-        labels = host.split(".")
-        hosts = Stream(key, "host", host, 0)
-        return _swap(s, local) + "@" + ".".join([*(_swap(hosts, x) for x in labels[:-1]), labels[-1]])
+        return f"{_swap(s, local, wider)}@{host}"
+    if kind == "host":
+        labels = canon.split(".")
+        return ".".join([_swap(s, labels[0], wider), *(_swap(s, x) for x in labels[1:-1]), labels[-1]])
     if kind == "ipv4":
-        octets = canon.split(".")
-        fixed = 1 if octets[0] in ("10", "127") else 2 if octets[:2] == ["192", "168"] else 0
-        ranges = {1: (0, 9), 2: (10, 99), 3: (100, 255)}
-        return ".".join(o if k < fixed else str(low + s.below(high - low + 1)) for k, o in enumerate(octets) for low, high in [ranges[len(o)]])
+        return _ipv4(s, canon, wider)
+    if kind == "ipv6":
+        return _ipv6(s, canon, wider)
     if kind == "card":
         body = canon[0] + "".join(str(s.below(10)) for _ in canon[1:-1])
         last = next(str(d) for d in range(10) if _luhn(body + str(d)) == 0) if _luhn(canon) == 0 else str(s.below(10))
@@ -172,39 +257,56 @@ def draw(key: bytes, kind: str, canon: str, attempt: int = 0) -> str:
         return canon[:4] + "".join("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"[s.below(32)] for _ in canon[4:])
     if kind == "secret" and re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", canon):
         hexes = "0123456789ABCDEF" if canon.upper() == canon else "0123456789abcdef"
-        return "".join(hexes[s.below(16)] for _ in canon)
+        return "".join(hexes[s.below(16)] for _ in canon + "0" * wider)
     if kind.startswith(("given", "surname")):
-        gender, kind_script = kind.split("_")[-2], kind.rsplit("_", 1)[1]
-        names = FIRST.get((gender if gender in "mf" else "mf"[s.below(2)], kind_script)) if kind.startswith("given") else None
-        if names and attempt == 0:
-            return names[s.below(len(names))].lower()
-        syllables = SYLLABLES[kind_script]
-        stem = "".join(syllables[s.below(len(syllables))] for _ in range(2 + attempt // 4))
-        return stem + {"f": "a", "m": "o"}.get(gender, "") if kind_script == "latin" else stem + {"f": "а"}.get(gender, "")
-    return _swap(s, canon)
+        return _name(s, kind, canon, attempt)
+    return _swap(s, canon, wider)
 
 
-def render(mention: str, kind: str, surrogate: str) -> str:
+def _name(s: Stream, kind: str, canon: str, attempt: int) -> str:
+    """A made-up name of the kind's gender and script, a syllable longer with each attempt."""
+    own, written = kind.split("_")[-2], kind.rsplit("_", 1)[1]
+    if kind.startswith("surname"):
+        own = "i" if written == "cyrillic" and not _ending(canon, MASCULINE) else "s"
+    elif own not in "mf":
+        own = "mf"[s.below(2)]
+    pick = lambda options: options[s.below(len(options))]
+    return pick(BEGIN[written]) + "".join(pick(MIDDLE[written]) for _ in range(1 + attempt)) + pick(ENDING[own, written])
+
+
+def render(mention: str, kind: str, surrogate: str, canon: str) -> str:
     """The surrogate in the format of the mention: its digits in place of the mention's, its case, its spacing."""
+    if surrogate.startswith(FALLBACK):
+        return surrogate
     if kind in ("phone", "card"):
-        left = list(surrogate)
+        left = list(surrogate[: len(canon)])
         out = [left.pop() if c.isdigit() and left else c for c in reversed(mention)]
-        return "".join(reversed(out))
+        return "".join(reversed(out)) + surrogate[len(canon) :]
     if kind == "iban":
         rest = iter(surrogate)
         return "".join(next(rest, "") if c != " " else c for c in mention)
+    if kind == "ipv6":
+        short = ipaddress.IPv6Address(surrogate).compressed if "::" in mention else ":".join(f"{int(g, 16):x}" for g in surrogate.split(":"))
+        return short.upper() if mention.upper() == mention else short
     if kind == "email":
         return "".join(c.upper() if k < len(mention) and mention[k].isupper() else c for k, c in enumerate(surrogate))
     if kind.startswith(("given", "surname")):
+        if mention.lower() != canon and (end := _ending(surrogate, MASCULINE)):  # a feminine form of the canonical surname
+            surrogate = surrogate.removesuffix(end) + MASCULINE[end]
         return surrogate.upper() if mention.isupper() and len(mention) > 1 else surrogate[:1].upper() + surrogate[1:]
     return surrogate
 
 
+def values_in(spans: list[tuple[int, int, str, str]]) -> set[tuple[str, str]]:
+    """(kind, canonical value) of all that draws a surrogate of its own; the host of an e-mail address does."""
+    return {(kind, canon) for _, _, kind, canon in spans} | {("host", canon.partition("@")[2]) for _, _, kind, canon in spans if kind == "email"}
+
+
 def _finder(batches):
     for batch in batches:
         ids, hashes, kinds, canons = [], [], [], []
         for k, text in enumerate(batch.column(2)):
-            seen = {(kind, canon) for _, _, kind, canon in detect(text.as_py())}
+            seen = values_in(detect(text.as_py()))
             for kind, canon in sorted(seen):
                 ids.append(batch.column(0)[k].as_py())
                 hashes.append(batch.column(1)[k].as_py())
@@ -226,29 +328,39 @@ def _drawer(key: bytes):
 def redraws(values: DataFrame, key: bytes) -> DataFrame:
     """(kind, canon, surrogate) of the values whose first draw met another surrogate or an original value.
 
-    A surrogate belongs to the claimant with the fewest attempts, then the
-    least value; given names share one name space for all genders.
+    Of the claimants of a surrogate the least keeps it, and nobody draws it
+    later; given names share one name space for all genders. A first look
+    compares all draws; after that only those drawn again move.
     """
     schema = "kind string, canon string, attempt int, surrogate string"
-    space = F.regexp_replace("kind", "^given_._", "given_")
-    present = materialize(values.withColumn("attempt", F.lit(0)).select("kind", "canon", "attempt").mapInArrow(_drawer(key), schema), "pii-draw0")
-    originals = materialize(values.select(space.alias("space"), F.col("canon").alias("surrogate")).distinct(), "pii-originals")
-    for k in range(1, MAX_ROUNDS):
-        claims = present.withColumn("space", space)
-        owners = claims.groupBy("space", "surrogate").agg(F.min(F.struct("attempt", "canon", "kind")).alias("owner"), F.count("*").alias("c"))
-        taken = owners.filter("c > 1").select("space", "surrogate", "owner").join(originals.withColumn("real", F.lit(True)), ["space", "surrogate"], "left")
-        real = owners.join(originals, ["space", "surrogate"], "left_semi").select("space", "surrogate", "owner", F.lit(True).alias("real"))
-        bad = taken.unionByName(real).groupBy("space", "surrogate").agg(F.min("owner").alias("owner"), F.max("real").alias("real"))
-        judged = claims.join(bad, ["space", "surrogate"], "left")
-        again = F.col("real").isNotNull() | (F.col("owner").isNotNull() & (F.struct("attempt", "canon", "kind") != F.col("owner")))
-        judged = materialize(judged.select("kind", "canon", F.when(F.coalesce(again, F.lit(False)), F.lit(k)).otherwise(F.col("attempt")).alias("attempt"), "surrogate", F.coalesce(again, F.lit(False)).alias("again")), f"pii-round{k}")
-        if not judged.filter("again").limit(1).count():
+    space = F.regexp_replace("kind", "^given_._", "given_").alias("space")
+    drawn = lambda rows, k: rows.select("kind", "canon", F.lit(k).alias("attempt")).mapInArrow(_drawer(key), schema).select(space, "kind", "canon", "attempt", "surrogate")
+    originals = values.select(space, F.col("canon").alias("surrogate")).distinct()
+    claims = materialize(drawn(values, 0), "pii-draw0")
+    taken = [materialize(originals, "pii-originals")]
+    settled = []
+    for k in range(MAX_ROUNDS + 1):
+        met = taken[0]
+        if k:
+            keys = bounded(claims.select("space", "surrogate").distinct())
+            met = taken[0].join(keys, ["space", "surrogate"], "left_semi")
+            for held in taken[1:]:
+                met = met.unionByName(held.join(keys, ["space", "surrogate"], "left_semi"))
+        owners = claims.groupBy("space", "surrogate").agg(F.min(F.struct("canon", "kind")).alias("owner"))
+        lost = owners.join(met.withColumn("held", F.lit(True)), ["space", "surrogate"], "left")
+        judged = claims.join(lost, ["space", "surrogate"]).withColumn("again", F.col("held").isNotNull() | (F.struct("canon", "kind") != F.col("owner")))
+        judged = materialize(judged.select("space", "kind", "canon", "attempt", "surrogate", "again"), f"pii-round{k}")
+        kept = judged if k == MAX_ROUNDS else judged.filter("not again")
+        settled.append(kept.select("kind", "canon", "attempt", "surrogate"))
+        again = judged.filter("again")
+        if k == MAX_ROUNDS or not again.limit(1).count():
             break
-        redrawn = judged.filter("again").select("kind", "canon", "attempt").mapInArrow(_drawer(key), schema)
-        present = materialize(judged.filter("not again").select("kind", "canon", "attempt", "surrogate").unionByName(redrawn), f"pii-draw{k}")
-    else:
-        raise RuntimeError("surrogates still collide")
-    return present.filter("attempt > 0").select("kind", "canon", "surrogate")
+        taken.append(kept.select("space", "surrogate"))
+        claims = materialize(drawn(again, k + 1), f"pii-draw{k + 1}")
+    out = settled[0].filter("attempt > 0")
+    for part in settled[1:]:
+        out = out.unionByName(part)
+    return out.select("kind", "canon", "surrogate")
 
 
 def _replacer(key: bytes):
@@ -259,9 +371,12 @@ def _replacer(key: bytes):
                 spans = detect(text)
                 special = {(k, c): s for k, c, s in json.loads(known)} if known else {}
                 parts, last = [], 0
+                known_or_drawn = lambda kind, canon: special.get((kind, canon)) or draw(key, kind, canon)  # noqa: B023, E731
                 for start, end, kind, canon in spans:
-                    made = special.get((kind, canon)) or draw(key, kind, canon)
-                    parts += [text[last:start], render(text[start:end], kind, made)]
+                    made = known_or_drawn(kind, canon)
+                    if kind == "email" and not made.startswith(FALLBACK):
+                        made = made.partition("@")[0] + "@" + known_or_drawn("host", canon.partition("@")[2])
+                    parts += [text[last:start], render(text[start:end], kind, made, canon)]
                     last = end
                 texts.append(text if not spans else "".join([*parts, text[last:]]))
                 counts.append(len(spans))
@@ -275,13 +390,12 @@ def surrogate_text(docs: DataFrame, key: bytes) -> DataFrame:
     """(doc_id, text, n_entities, kinds) of each row, its entities replaced."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), "text")
     mentions = materialize(rows.mapInArrow(_finder, "doc_id long, h long, kind string, canon string"), "pii-mentions")
-    changed = materialize(redraws(mentions.select("kind", "canon").distinct(), key), "pii-redrawn")
+    changed = materialize(redraws(materialize(mentions.select("kind", "canon").distinct(), "pii-values"), key), "pii-redrawn")
     if changed.limit(1).count():
         triple = F.array("kind", "canon", "surrogate")
         special = mentions.join(changed, ["kind", "canon"]).groupBy("doc_id", "h").agg(F.to_json(F.collect_set(triple)).alias("known"))
         special = materialize(special.select(F.col("doc_id").alias("__id"), F.col("h").alias("__h"), "known"), "pii-special")
-        side = F.broadcast(special) if special.count() <= BROADCAST_ROWS else special
-        rows = rows.join(side, rows["doc_id"].eqNullSafe(F.col("__id")) & (rows["h"] == F.col("__h")), "left")
+        rows = rows.join(bounded(special), rows["doc_id"].eqNullSafe(F.col("__id")) & (rows["h"] == F.col("__h")), "left")
     else:
         rows = rows.withColumn("known", F.lit(None).cast("string"))
     return rows.select("doc_id", "text", "known").mapInArrow(_replacer(key), "doc_id long, text string, n_entities int, kinds string")

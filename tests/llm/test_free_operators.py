@@ -27,7 +27,7 @@ def test_detect_and_formats():
     key = b"k"
     for start, end, kind, canon in found:
         mention = text[start:end]
-        new = pii.render(mention, kind, pii.draw(key, kind, canon))
+        new = pii.render(mention, kind, pii.draw(key, kind, canon), canon)
         assert new != mention
         if kind not in ("email", "surname_latin", "given_m_latin", "surname_cyrillic"):
             shape = lambda s: re.sub("[A-Z]", "A", re.sub("[a-z]", "a", re.sub(r"\d", "0", s)))
@@ -51,6 +51,53 @@ def test_surrogates_stay_distinct_and_consistent(spark):
     assert pii.surrogate_text(frame(spark, []), b"k").count() == 0
 
 
+def test_exhausted_forms_are_left_behind(spark):
+    """All values of a small form are originals: no surrogate fits it, so wider forms are drawn."""
+    spots = [(a, b) for a in range(10) for b in range(10)]
+    rows = [(i, f"from 192.168.{a}.{b} here", "s") for i, (a, b) in enumerate(spots)]
+    rows += [(200 + k, f"to 10.0.0.{k} or write {c}@x.io now", "s") for k, c in enumerate("abcdefghij")]
+    rows += [(300 + k, f"mail {c}@x.io now", "s") for k, c in enumerate("klmnopqrstuvwxyz")]
+    out = {r.doc_id: r.text for r in pii.surrogate_text(frame(spark, rows), b"k").collect()}
+    for low, high, pattern in ((0, 100, r"192\.168\.\d+\.\d+"), (200, 210, r"10\.\d+\.\d+\.\d+"), (200, 326, r"\S+@\S+")):
+        old = {i: m[0] for i, t, _ in rows if low <= i < high and (m := re.search(pattern, t))}
+        new = {i: re.search(pattern, out[i])[0] for i in old}
+        assert len(set(new.values())) == len(old) and not set(new.values()) & set(old.values())
+
+
+def test_fallback_after_the_last_round():
+    """A value that still collides takes a long keyed hash, which is written as it is."""
+    made = [pii.draw(b"k", "secret", f"abcdefghijk{i}", pii.MAX_ROUNDS) for i in range(2)]
+    assert all(re.fullmatch("surrogate-[0-9a-f]{24}", x) for x in made) and made[0] != made[1] == pii.render("x", "secret", made[1], "x")
+
+
+def test_hosts_are_checked_for_collisions(spark):
+    """One-letter hosts: 26 of them, all distinct before and after, and mail of one host stays at one host."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    rows = [(i, f"to ann.lee@{c}.de and bob.ray@{c}.de today", "s") for i, c in enumerate(letters)]
+    out = [re.findall(r"(\S+)@(\S+)\.de", r.text) for r in pii.surrogate_text(frame(spark, rows), b"k").collect()]
+    hosts = {m[0][1] for m in out}
+    assert len(hosts) == 26 and not hosts & set(letters) and all(m[0][1] == m[1][1] and m[0][0] != m[1][0] for m in out)
+
+
+def test_names_keep_gender_script_and_family(spark):
+    text = "г-н Иванов и г-жа Иванова, г-жа Шевченко; Mary Johnson met Mr. Johnson and MARY; see 2001:db8::1 and 2a02:26f7:c0::12, not std::vector or 10:20:30."
+    found = pii.detect(text)
+    kinds = {text[a:b]: (k, c) for a, b, k, c in found}
+    assert kinds["Иванов"] == kinds["Иванова"] == ("surname_cyrillic", "иванов") and kinds["Mary"] == ("given_f_latin", "mary")
+    assert {text[a:b] for a, b, k, _ in found if k == "ipv6"} == {"2001:db8::1", "2a02:26f7:c0::12"}
+    out = pii.surrogate_text(frame(spark, [(1, text, "s")]), b"key").first().text
+    m, f, neutral = re.search(r"г-н (\w+) и г-жа (\w+), г-жа (\w+);", out).groups()
+    assert m != "Иванов" and f == m + "а" or f == m[:-2] + "ая"
+    assert neutral.endswith(("о", "к")) and not pii._ending(neutral.lower(), pii.MASCULINE)
+    one, two = re.search(r"; \w+ (\w+) met Mr\. (\w+) and", out).groups()
+    assert one == two != "Johnson"
+    assert "2001:db8::" in out and "std::vector or 10:20:30." in out
+    for k in range(200):
+        assert pii.draw(b"k", "given_f_latin", f"n{k}")[-1] in "ae" and pii.draw(b"k", "given_m_latin", f"n{k}")[-1] not in "a"
+    greek = pii.draw(b"k", "host", "αβγ.gr")
+    assert greek != "αβγ.gr" and all(0x370 <= ord(c) < 0x400 for c in greek[:3])
+
+
 # ---- toxicity and quality classifier ---------------------------------------------------------------------
 
 
