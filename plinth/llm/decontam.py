@@ -26,6 +26,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plinth.llm.sizes import bounded
 from plinth.session import materialize
 
 WHITE = " \t\n\x0b\f\r"
@@ -36,8 +37,6 @@ RADIUS = 20
 #: Bits of each block; with 7 blocks some block differs by RADIUS // 7 = 2 bits at most.
 BLOCKS = (9, 9, 9, 9, 9, 9, 10)
 FLIPS = RADIUS // len(BLOCKS)
-#: Item shingles, and lists of texts that met one, are broadcast up to this many rows; beyond, joined by shuffle.
-BROADCAST_ROWS = 500_000
 
 
 def _words(text: Column) -> Column:
@@ -49,11 +48,6 @@ def _gram(words: Column, at: Column, length: int) -> Column:
     return F.xxhash64(F.lit(length), *(F.get(words, at + k) for k in range(length)))
 
 
-def _small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` marked for broadcast if its rows, counted, are few."""
-    return F.broadcast(df) if df.count() <= limit else df
-
-
 def items(benchmark: DataFrame) -> DataFrame:
     """(item, m, length, grams): each distinct item with words; ``item`` keeps id and text apart."""
     words = benchmark.select("item_id", F.xxhash64("text").alias("item_h"), _words(F.col("text")).alias("w")).filter(F.size("w") > 0).distinct()
@@ -83,7 +77,7 @@ def seeds(docs: DataFrame, item_rows: DataFrame, similarity: float = SIMILARITY)
     """
     lengths = sorted(r.length for r in item_rows.select("length").distinct().collect())
     places = item_rows.select("m", "length", F.posexplode("grams").alias("j", "gram")).groupBy("m", "length", "gram").agg(F.sort_array(F.collect_set("j")).alias("js"))
-    places = _small(materialize(places, "decon-places"))
+    places = bounded(materialize(places, "decon-places"))
     words = docs.select("doc_id", F.xxhash64("text").alias("h"), _words(F.col("text")).alias("w"))
     found = None
     for n in lengths:
@@ -111,7 +105,7 @@ def windows(docs: DataFrame, starts: DataFrame) -> DataFrame:
     """(doc_id, h, m, start, lined, gram, c): the shingles of each window, with their multiplicities."""
     by_text = materialize(starts.groupBy("doc_id", "h").agg(F.collect_list(F.struct("m", "length", "start", "lined")).alias("ws")), "decon-texts")
     rows = docs.select("doc_id", F.xxhash64("text").alias("h"), "text").filter("text is not null")
-    side = _small(by_text.select(F.col("doc_id").alias("id"), F.col("h").alias("hh"), "ws"))
+    side = bounded(by_text.select(F.col("doc_id").alias("id"), F.col("h").alias("hh"), "ws"))
     kept = rows.join(side, rows["doc_id"].eqNullSafe(F.col("id")) & (rows["h"] == F.col("hh"))).select("doc_id", "h", _words(F.col("text")).alias("w"), "ws")
     each = kept.select("doc_id", "h", "w", F.explode("ws").alias("x")).select("doc_id", "h", "x.*", F.slice("w", F.col("x.start") + 1, F.col("x.m")).alias("w"))
     each = each.dropDuplicates(["doc_id", "h", "m", "start"])
@@ -180,5 +174,6 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY,
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` that hold no item; all columns as they are."""
-    bad = _small(materialize(leaks(docs, benchmark).select(F.col("doc_id").alias("__id"), F.col("h").alias("__h")).distinct(), "decon-bad"))
-    return docs.join(bad, docs["doc_id"].eqNullSafe(F.col("__id")) & (F.xxhash64(docs["text"]) == F.col("__h")), "left_anti")
+    bad = bounded(materialize(leaks(docs, benchmark).select("doc_id", "h").distinct(), "decon-bad"))
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash"))
+    return rows.join(bad, rows["id"].eqNullSafe(bad["doc_id"]) & (rows["hash"] == bad["h"]), "left_anti").select("row.*")

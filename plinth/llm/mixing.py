@@ -21,12 +21,11 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plinth.llm.sizes import bounded
 from plinth.session import materialize
 
 #: Rates above this are drawn as a sum of independent Poisson numbers of at most this mean, which keeps exp(-rate) far from underflow.
 CHUNK = 32.0
-#: Rates tables of at most this many rows are broadcast; larger ones are joined by shuffle.
-BROADCAST_ROWS = 200_000
 ADDED = ("rate", "n_copies", "copy_no", "shuffle_key")
 
 
@@ -74,14 +73,12 @@ def source_rates(docs: DataFrame, weights: dict[str | None, float] | None = None
 def replicate(docs: DataFrame, rates: DataFrame, seed: int = 20) -> DataFrame:
     """Every row of ``docs`` as often as its draw says, with its rate, count and copy number."""
     docs = docs.drop(*ADDED)
-    names = docs.columns
-    side = rates.select(F.col("source").alias("__source"), "rate")
-    if rates.count() <= BROADCAST_ROWS:
-        side = F.broadcast(side)
-    joined = docs.join(side, docs["source"].eqNullSafe(F.col("__source")))
-    key = [F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.when(F.col("doc_id").isNull(), F.coalesce(F.col("text"), F.lit(""))).otherwise(F.lit(""))]
-    counted = joined.withColumn("n_copies", poisson_count(key, F.col("rate"), seed)).filter("n_copies > 0")
-    return counted.select(*names, "rate", "n_copies", F.explode(F.sequence(F.lit(1), F.col("n_copies"))).alias("copy_no"))
+    side = bounded(rates.select("source", "rate"))
+    identity = F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.when(F.col("doc_id").isNull(), F.coalesce(F.col("text"), F.lit(""))).otherwise(F.lit(""))
+    rows = docs.select(F.struct("*").alias("row"), F.col("source").alias("from"), *(c.alias(f"key{k}") for k, c in enumerate(identity)))
+    joined = rows.join(side, rows["from"].eqNullSafe(side["source"]))
+    counted = joined.withColumn("n_copies", poisson_count([F.col("key0"), F.col("key1")], F.col("rate"), seed)).filter("n_copies > 0")
+    return counted.select("row.*", "rate", "n_copies", F.explode(F.sequence(F.lit(1), F.col("n_copies"))).alias("copy_no"))
 
 
 def shuffled(copies: DataFrame, seed: int = 21) -> DataFrame:
