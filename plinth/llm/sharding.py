@@ -1,9 +1,14 @@
 """Sharding by fixed virtual slots.
 
 Records hash into thousands of virtual slots. Bytes and rows are summed for
-each slot; a versioned map assigns every slot to a shard, and rebalancing
-edits that map instead of rehashing records. Law: ``bytes`` (shard sizes are
-near equal).
+each slot; a versioned map assigns every slot to a shard. The map is a stored
+table: :class:`MapStore` keeps each version, a run follows the latest one, and
+rebalancing edits it and stores the edit as the next version instead of
+rehashing records. Law: ``bytes`` (shard sizes are near equal).
+
+A key's rows lie in one slot, unless more than HOT_ROWS rows share the key:
+those are dealt over all slots, row by row, so that neither a slot nor a task
+grows with one id or one text.
 
 Defined cases: a null text counts as empty (8 bytes, crc 0); a null id hashes
 by its text; repeated rows are placed together and each takes a position;
@@ -15,17 +20,26 @@ from __future__ import annotations
 
 import heapq
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from plinth.llm.sizes import bounded
+from plinth.session import drop_path, materialize, scratch_path
+
 VIRTUAL_SLOTS = 8192
 SHARDS = 24
+#: Rows of one key from which on they are dealt over all slots.
+HOT_ROWS = 100_000
+
 
+def record_key(doc_id: Column, text_crc: Column) -> Column:
+    """What decides a record's slot: its id, and its text where the id is null."""
+    return F.when(doc_id.isNull(), F.xxhash64(text_crc)).otherwise(F.xxhash64(doc_id.cast("string")))
 
-def virtual_slot(doc_id: Column, text_crc: Column, slots: int = VIRTUAL_SLOTS) -> Column:
-    """The fixed slot of a record: its id decides, and its text where the id is null."""
-    return F.pmod(F.when(doc_id.isNull(), F.xxhash64(text_crc)).otherwise(F.xxhash64(doc_id.cast("string"))), F.lit(slots)).cast("int")
+
+def virtual_slot(key: Column, slots: int = VIRTUAL_SLOTS) -> Column:
+    return F.pmod(key, F.lit(slots)).cast("int")
 
 
 def initial_map(slot_bytes: list[int], shards: int) -> list[int]:
@@ -76,11 +90,47 @@ def rebalanced_map(slot_map: list[int], slot_bytes: list[int], shards: int, tole
 ADDED = ("size", "text_crc32", "vslot", "law", "shard", "slot", "grown_shard")
 
 
+class MapStore:
+    """Versions of a slot map under one path: a folder for each, complete from the moment it is there."""
+
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        self.spark, self.path = spark, path.rstrip("/")
+        self._path = lambda p: spark._jvm.org.apache.hadoop.fs.Path(p)
+        self._files = self._path(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def versions(self) -> list[int]:
+        if not self._files.exists(self._path(self.path)):
+            return []
+        names = [f.getPath().getName() for f in self._files.listStatus(self._path(self.path))]
+        return sorted(int(n.removeprefix("version=")) for n in names if n.startswith("version="))
+
+    def read(self, version: int) -> list[int]:
+        rows = self.spark.read.schema("vslot int, shard int").parquet(f"{self.path}/version={version}").collect()
+        return [r.shard for r in sorted(rows)]
+
+    def latest(self) -> list[int] | None:
+        known = self.versions()
+        return self.read(known[-1]) if known else None
+
+    def append(self, slot_map: list[int]) -> int:
+        """Write the next version aside and rename it into place; a writer that comes second fails."""
+        version = (self.versions() or [-1])[-1] + 1
+        aside = f"{self.path}/.writing-{version}"
+        map_table(self.spark, [slot_map]).select("vslot", "shard").write.mode("overwrite").parquet(aside)
+        final = self._path(f"{self.path}/version={version}")
+        if self._files.exists(final) or not self._files.rename(self._path(aside), final):
+            drop_path(self.spark, aside)
+            raise FileExistsError(f"version {version} of {self.path} was stored meanwhile")
+        return version
+
+
 def sized(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns ``keep``, size, text_crc32 and vslot of each row."""
+    """The columns ``keep``, size, text_crc32, key and vslot of each row; ``kept`` holds the columns as one."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    crc = F.crc32(text.cast("binary"))
-    return docs.select(*(c for c in keep if c not in ADDED), (F.octet_length(text) + 8).cast("long").alias("size"), crc.alias("text_crc32")).withColumn("vslot", virtual_slot(F.col("doc_id"), F.col("text_crc32")))
+    kept = F.struct(*(F.col(f"`{c}`") for c in keep if c not in ADDED))
+    rows = docs.select(kept.alias("kept"), F.col("doc_id").alias("id"), (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
+    keyed = rows.withColumn("key", record_key(F.col("id"), F.col("text_crc32")))
+    return keyed.withColumn("vslot", virtual_slot(F.col("key")))
 
 
 def slot_totals(records: DataFrame, slots: int = VIRTUAL_SLOTS) -> tuple[list[int], list[int]]:
@@ -91,6 +141,20 @@ def slot_totals(records: DataFrame, slots: int = VIRTUAL_SLOTS) -> tuple[list[in
     return size, rows
 
 
+def dealt(records: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """``records`` with the rows of keys that more than ``hot_rows`` rows share dealt over all slots.
+
+    Their slots come from a running number and are written once, so that all
+    later steps see the same.
+    """
+    hot = materialize(records.groupBy("key").count().filter(F.col("count") > hot_rows).select(F.col("key").alias("hot")), "shard-hot")
+    if not hot.limit(1).count():
+        return records
+    side = bounded(hot)
+    spread = records.join(side, records["key"] == side["hot"], "left_semi").withColumn("vslot", virtual_slot(F.xxhash64("key", F.monotonically_increasing_id())))
+    return records.join(side, records["key"] == side["hot"], "left_anti").unionByName(materialize(spread, "shard-dealt"))
+
+
 def _lookup(values: list[int], index: Column, kind: str) -> Column:
     """``values[index]`` as a constant array: at most VIRTUAL_SLOTS numbers inside the plan."""
     return F.element_at(F.split(F.lit(",".join(map(str, values))), ","), index + 1).cast(kind)
@@ -106,26 +170,48 @@ def map_table(spark, versions: list[list[int]]) -> DataFrame:
     return out
 
 
-def place(records: DataFrame, slot_map: list[int], slot_rows: list[int]) -> DataFrame:
+def place(records: DataFrame, slot_map: list[int], slot_rows: list[int], seed: int | None = None) -> DataFrame:
     """Shard of each record, and its gapless position in the shard.
 
     A slot's records are numbered on their own; the rows of the shard's
-    earlier slots are added, so no task sorts a whole shard.
+    earlier slots are added, so no task sorts a whole shard. In a slot the
+    order is by id, or with a ``seed`` by a hash in which each of several
+    equal rows has a place of its own.
     """
     ahead, seen = [], {}
     for slot, shard in enumerate(slot_map):
         ahead.append(seen.get(shard, 0))
         seen[shard] = ahead[-1] + slot_rows[slot]
-    own = F.row_number().over(Window.partitionBy("vslot").orderBy("doc_id", "text_crc32", "size"))
-    names = [c for c in records.columns if c not in ADDED]
-    return records.withColumn("slot", (own - 1).cast("long")).select(
-        *names, "size", "text_crc32", F.lit("bytes").alias("law"), _lookup(slot_map, F.col("vslot"), "int").alias("shard"),
-        (F.col("slot") + _lookup(ahead, F.col("vslot"), "long")).alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "vslot",
+    order = ["id", "text_crc32", "size"]
+    if seed is not None:
+        others = [f"kept.`{c}`" for c in records.schema["kept"].dataType.names if c not in ("doc_id", "text")]
+        tie = F.xxhash64(F.to_json(F.struct(*others))) if others else F.lit(0)
+        records = records.withColumn("nth", F.row_number().over(Window.partitionBy("vslot", "id", "text_crc32").orderBy(tie)))
+        order = [F.xxhash64(F.lit(seed), F.col("id"), F.col("text_crc32"), F.col("nth")), *order, "nth"]
+    own = F.row_number().over(Window.partitionBy("vslot").orderBy(*order))
+    return records.withColumn("own", (own - 1).cast("long")).select(
+        "kept.*", "size", "text_crc32", F.lit("bytes").alias("law"), _lookup(slot_map, F.col("vslot"), "int").alias("shard"),
+        (F.col("own") + _lookup(ahead, F.col("vslot"), "long")).alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "vslot",
     )
 
 
-def shard(docs: DataFrame, shards: int = SHARDS, slot_map: list[int] | None = None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Place all rows; ``slot_map`` is a stored version to follow, else version 0 is made from the slots' bytes."""
+def shard(docs: DataFrame, shards: int = SHARDS, store: MapStore | None = None, keep: tuple[str, ...] = ("doc_id",), seed: int | None = None, tolerance: float = 0.01, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Place all rows by the latest map of ``store``.
+
+    A store without versions gets version 0, made from the slots' bytes; where
+    the latest version leaves a shard off the mean by more than ``tolerance``,
+    or was made for other shards, its edit becomes the next version. Without
+    a store the map lives as long as the driver, in the shared folder.
+    """
+    spark = docs.sparkSession
+    store = store or MapStore(spark, scratch_path(spark, "slot-map"))
     records = sized(docs, keep)
     size, rows = slot_totals(records)
-    return place(records, slot_map or initial_map(size, shards), rows)
+    if max(rows) > hot_rows:
+        records = dealt(records, hot_rows)
+        size, rows = slot_totals(records)
+    present = store.latest()
+    wanted = initial_map(size, shards) if present is None else rebalanced_map(present, size, shards, tolerance)
+    if wanted != present:
+        store.append(wanted)
+    return place(records, store.latest(), rows, seed)
