@@ -22,14 +22,18 @@ gone AS (SELECT DISTINCT doc_id, unnest([n1, n2, n3]) AS no FROM f WHERE occurre
 t AS (SELECT l.doc_id, count(*) AS n_lines, count(g.no) AS n_removed, string_agg(l.line, chr(10) ORDER BY l.no) FILTER (WHERE g.no IS NULL) AS kept FROM l LEFT JOIN gone g ON g.doc_id = l.doc_id AND g.no = l.no GROUP BY l.doc_id)
 SELECT d.doc_id, coalesce(t.n_lines, 0) AS n_lines, coalesce(t.n_removed, 0) AS n_removed, CASE WHEN coalesce(t.n_removed, 0) = 0 THEN d.text ELSE coalesce(t.kept, '') END AS text FROM documents d LEFT JOIN t ON t.doc_id = d.doc_id"""
 
+# every item-sized window between the first and the last shingle that a text shares with an item; 0.4 of the item's shingles at least must be met at all
 DECONTAMINATION = rf"""WITH i AS (SELECT item_id, regexp_extract_all(lower(text), '{_WORD}') AS w FROM benchmark), d AS (SELECT doc_id, regexp_extract_all(lower(text), '{_WORD}') AS w FROM documents),
 ig AS (SELECT item_id, len(w) AS m, unnest(list_transform(range(1, len(w) - 3), lambda k: array_to_string(w[k:k + 4], ' '))) AS g, unnest(range(1, len(w) - 3)) AS j FROM i WHERE len(w) >= 5),
 dg AS (SELECT doc_id, len(w) AS size, unnest(list_transform(range(1, len(w) - 3), lambda k: array_to_string(w[k:k + 4], ' '))) AS g, unnest(range(1, len(w) - 3)) AS k FROM d WHERE len(w) >= 5),
-st AS (SELECT DISTINCT doc_id, item_id, m, greatest(0, least(k - j, size - m)) AS start FROM dg JOIN ig USING (g)),
+hit AS (SELECT DISTINCT doc_id, item_id, m, size, k FROM dg JOIN (SELECT DISTINCT item_id, m, g FROM ig) x USING (g)),
+reach AS (SELECT doc_id, item_id, m, size, min(k) - 1 AS low, max(k) - 1 AS high FROM hit GROUP BY ALL HAVING count(*) >= 0.4 * (m - 4)),
+st AS (SELECT doc_id, item_id, m, unnest(CASE WHEN size <= m THEN [0] ELSE range(greatest(0, low - m + 5), least(high, size - m) + 1) END) AS start FROM reach),
+lined AS (SELECT DISTINCT doc_id, item_id, greatest(0, least(k - j, size - m)) AS start FROM dg JOIN ig USING (g)),
 wg AS (SELECT s.doc_id, s.item_id, s.m, s.start, g, count(*) AS c FROM st s JOIN dg ON dg.doc_id = s.doc_id AND dg.k - 1 >= s.start AND dg.k + 4 <= s.start + s.m GROUP BY ALL),
 wn AS (SELECT doc_id, item_id, start, sum(c) AS n FROM wg GROUP BY ALL), ic AS (SELECT item_id, g, count(*) AS c FROM ig GROUP BY ALL), n AS (SELECT item_id, sum(c) AS n FROM ic GROUP BY ALL),
 x AS (SELECT wg.doc_id, wg.item_id, wg.m, wg.start, sum(least(wg.c, ic.c)) AS x FROM wg JOIN ic ON ic.item_id = wg.item_id AND ic.g = wg.g GROUP BY ALL),
 sc AS (SELECT x.*, x.x / (wn.n + n.n - x.x) AS sim FROM x JOIN wn ON wn.doc_id = x.doc_id AND wn.item_id = x.item_id AND wn.start = x.start JOIN n ON n.item_id = x.item_id)
-SELECT doc_id, item_id, start, m AS n_words, round(sim, 6) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY sim DESC, start) AS k FROM sc WHERE sim >= 0.75) y WHERE k = 1"""
+SELECT doc_id, item_id, start, m AS n_words, round(sim, 6) AS similarity FROM (SELECT sc.*, row_number() OVER (PARTITION BY sc.doc_id, sc.item_id ORDER BY sim DESC, l.start IS NULL, sc.start) AS k FROM sc LEFT JOIN lined l ON l.doc_id = sc.doc_id AND l.item_id = sc.item_id AND l.start = sc.start WHERE sim >= 0.75) y WHERE k = 1"""
 
 ORACLES = {"op2_line_dedup": LINE_DEDUP, "op3_ngram_join": NGRAM_JOIN, "op9_decontamination": DECONTAMINATION}

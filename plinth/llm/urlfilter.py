@@ -7,7 +7,9 @@ is emitted as one native expression.
 
 Defined cases: a null URL or one without ``://`` has empty host and path and is
 judged by the model on empty features; repeated rows get equal verdicts;
-without labelled rows of both classes the model is the constant base rate.
+without labelled rows of both classes the model is the constant base rate; a
+null page_id is kept; an empty table gives no rows; extra columns, whatever
+their names, are left out.
 """
 
 from __future__ import annotations
@@ -18,6 +20,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plinth.llm.sizes import bounded
 from plinth.session import materialize
 
 #: (host, path, verdict); fixed values of the rule list.
@@ -26,7 +29,8 @@ RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.
 SEED_WORDS = ("ads", "adult", "bets", "casino", "pills", "porn", "spam", "track", "viagra", "win", "xxx")
 #: Labelled URLs used at most for training, by the smallest hash of the URL.
 TRAIN_ROWS = 50_000
-MAX_RULES = 2_000
+#: Rules that one expression holds at most; longer lists are tables that the hosts are joined with.
+MAX_RULES = 40
 ALPHABET = "abcdefghijklmnopqrstuvwxyz0123456789-_."
 FEATURES = ("url_length", "host_length", "host_labels", "depth", "digit_ratio", "entropy", "n_hyphens", "n_params", "suffix_rate", "suffix_count", "longest_label")
 
@@ -41,9 +45,7 @@ def split_url(url: Column) -> tuple[Column, Column]:
 
 
 def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
-    """(rule, verdict) of the longest rule that fits; null where none does."""
-    if len(rules) > MAX_RULES:
-        raise ValueError(f"at most {MAX_RULES} rules")
+    """(rule, verdict) of the longest rule that fits; null where none does. For MAX_RULES rules at most."""
     name, verdict = F.lit(None).cast("string"), F.lit(None).cast("string")
     for rule_host, rule_path, said in sorted(rules, key=lambda r: (len(r[0] + r[1]), r)):
         fits = ((host == rule_host) | host.endswith("." + rule_host)) & path.startswith(rule_path)
@@ -51,6 +53,28 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return name, verdict
 
 
+def with_rules(urls: DataFrame, rules=RULES) -> DataFrame:
+    """``urls`` (host, path) with ``rule`` and ``said`` of the longest rule that fits, among equals the last in (host, path, verdict) order.
+
+    ``rules`` is a list or a table (host, path, verdict) of any length. Beyond
+    MAX_RULES each distinct host meets the rules of its own name and of the
+    domains above it; a host's few rules then stand beside its URLs.
+    """
+    if not isinstance(rules, DataFrame):
+        if len(rules) <= MAX_RULES:
+            name, said = rule_of(F.col("host"), F.col("path"), rules)
+            return urls.select("*", name.alias("rule"), said.alias("said"))
+        rules = urls.sparkSession.createDataFrame(list(rules), "host string, path string, verdict string")
+    listed = rules.select(F.col("host").alias("above"), F.struct(F.length(F.concat("host", "path")).alias("n"), "host", "path", "verdict").alias("r"))
+    labels = F.split("host", r"\.")
+    domains = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, 10_000), "."))
+    met = urls.select("host").distinct().select("host", F.explode(domains).alias("above")).join(bounded(listed), "above").groupBy("host").agg(F.collect_list("r").alias("rs"))
+    met = bounded(materialize(met.withColumnRenamed("host", "rule_host"), "url-host-rules"))
+    best = F.array_max(F.filter("rs", lambda r: F.col("path").startswith(r["path"])))
+    joined = urls.join(met, urls["host"] == met["rule_host"], "left").withColumn("best", best)
+    return joined.select(*urls.columns, F.concat("best.host", "best.path").alias("rule"), F.col("best.verdict").alias("said"))
+
+
 def lexical(urls: DataFrame) -> DataFrame:
     """``urls`` (with url, host, path) plus its lexical features and ``suffix``, the last label of the host."""
     text, n = F.coalesce(F.col("url"), F.lit("")), F.length("host")
@@ -181,6 +205,5 @@ def judge(pages: DataFrame, model: Model, rules=RULES, cut: float = 0.5) -> Data
     """page_id, host, path, rule, verdict and the model's probability of each row."""
     host, path = split_url(F.col("url"))
     base = pages.select("page_id", "url").select("page_id", "url", host.alias("host"), path.alias("path"))
-    name, said = rule_of(F.col("host"), F.col("path"), rules)
-    scored = model.with_features(base).withColumn("probability", model.probability())
-    return scored.select("page_id", "host", "path", name.alias("rule"), F.coalesce(said, F.when(F.col("probability") >= cut, "block").otherwise("allow")).alias("verdict"), "probability")
+    scored = model.with_features(with_rules(base, rules)).withColumn("probability", model.probability())
+    return scored.select("page_id", "host", "path", "rule", F.coalesce("said", F.when(F.col("probability") >= cut, "block").otherwise("allow")).alias("verdict"), "probability")
