@@ -62,8 +62,40 @@ def test_url_rules_and_parts(spark):
     assert got[3] == ("a.net", "/es/1", "net/es/", "block") and got[4] == ("anet", "/es/", None, "allow")
     assert got[5] == ("x.org", "", None, "allow") and got[6] == ("", "", None, "allow") == got[7]
     assert got[8][2] is None and got[9][:3] == ("com", "/", "com/")
-    with pytest.raises(ValueError):
-        urlfilter.rule_of(F.lit("a"), F.lit("/"), [("h", "/", "allow")] * 3000)
+    clash = pages.withColumn("host", F.lit("x")).withColumn("rule", F.lit("x")).withColumn("suffix", F.lit("x"))
+    assert {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in urlfilter.judge(clash, model).collect()} == got
+    assert urlfilter.judge(pages.limit(0), model).count() == 0
+
+
+def test_rule_lists_of_any_length(spark):
+    """More rules than one expression holds: the join gives what the expression gives."""
+    rng = random.Random(7)
+    hosts = [f"h{k}.example{k % 40}.{rng.choice(['com', 'net', 'org'])}" for k in range(300)]
+    rules = [(h.split(".", rng.randrange(3))[-1], rng.choice(["/", "/a", "/a/b/", ""]), rng.choice(["allow", "block"])) for h in hosts for _ in range(8)] + [("com", "/", "allow"), ("", "/", "block")]
+    urls = spark.createDataFrame([(rng.choice(hosts) if k % 9 else "", rng.choice(["/", "/a/b/c", "/ab", "", "/x"])) for k in range(400)], "host string, path string")
+    def brute_rule(host, path, some):
+        fit = [(len(h + p), h, p, v) for h, p, v in some if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        return (max(fit)[1] + max(fit)[2], max(fit)[3]) if fit else (None, None)
+
+    rows = [tuple(r) for r in urls.collect()]
+    for some in (rules[:30], rules):
+        want = Counter((*r, *brute_rule(*r, some)) for r in rows)
+        assert Counter(map(tuple, urlfilter.with_rules(urls, some).collect())) == want
+        assert Counter(map(tuple, urlfilter.with_rules(urls, spark.createDataFrame(some, "host string, path string, verdict string")).collect())) == want
+
+
+def test_trees_on_held_out_urls(spark):
+    """Fitted on two thirds of the URLs, right on the rest."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(4, 9)))
+    good = [f"https://www.{word()}.org/{word()}/{word()}" for _ in range(600)]
+    bad = [f"http://x{rng.randrange(10**6)}-{word()}.info/?id={rng.randrange(10**6)}&r={word()}&u=1" for _ in range(150)]
+    rows = [(u, 0) for u in good] + [(u, 1) for u in bad]
+    held = [r for k, r in enumerate(rows) if k % 3 == 1]
+    model = urlfilter.train(spark.createDataFrame([r for k, r in enumerate(rows) if k % 3 != 1], "url string, label int"))
+    pages = spark.createDataFrame([(k, u) for k, (u, _) in enumerate(held)], "page_id long, url string")
+    got = {r.page_id: int(r.probability >= 0.5) for r in urlfilter.judge(pages, model, rules=()).collect()}
+    assert sum(got[k] == y for k, (_, y) in enumerate(held)) >= 0.97 * len(held)
 
 
 def test_url_trees_learn(spark):
@@ -104,9 +136,30 @@ def test_statistics(spark):
 
 def test_duplicate_lines_of_whole_texts(spark):
     """The first line keeps its indent, the last its trailing blanks, when lines are compared."""
-    texts = [" x\nfoo\n x", "a\r\nb\r\na\r\n", "x\nfoo\nx ", "\n\nx\nx\n\n"]
+    texts = [" x\nfoo\n x", "a\r\nb\r\na\r\n", "x\nfoo\nx ", "\n\nx\nx\n\n", "x y\r\nx y\r\n", "  a b\n  a b", "  a b\na b"]
     got = {r.doc_id: r.n_dup_lines for r in quality_rules.statistics(frame(spark, [(k, t, "s") for k, t in enumerate(texts)])).collect()}
-    assert got == {k: brute_statistics(t)[3] for k, t in enumerate(texts)} == {0: 1, 1: 1, 2: 0, 3: 1}
+    assert got == {k: brute_statistics(t)[3] for k, t in enumerate(texts)} == {0: 1, 1: 1, 2: 0, 3: 1, 4: 1, 5: 1, 6: 0}
+
+
+def test_statistics_of_very_long_texts(spark):
+    """More windows than fit the packed form; most of them repeat, or nearly none does."""
+    rng = random.Random(8)
+    texts = [" ".join(f"w{rng.randrange(60)}" for _ in range(70_000)), " ".join(f"v{k}" for k in range(80_000)) + " v5 v6 v7 v8", "x " * 66_000]
+    got = {r.doc_id: (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) for r in quality_rules.statistics(frame(spark, [(k, t, "s") for k, t in enumerate(texts)])).collect()}
+    assert got == {k: brute_statistics(t) for k, t in enumerate(texts)} and got[1][4] == 8
+
+
+def test_growth_equals_counting_each_test(spark):
+    """Histogram sums against counting the rows of every threshold."""
+    rng = random.Random(2)
+    rows = [tuple(round(rng.random(), 2) for _ in quality_rules.FEATURES) + (int(rng.random() < 0.3),) for _ in range(200)]
+    table = spark.createDataFrame(rows, ", ".join(f"{f} double" for f in quality_rules.FEATURES) + ", bad int")
+    cuts = {f: [0.1, 0.25, 0.5, 0.9] for f in quality_rules.FEATURES}
+    binned = table.select("*", *quality_rules._bins(cuts))
+    for test, bad, good in quality_rules._tried(quality_rules._histogram(binned, cuts), cuts):
+        k = quality_rules.FEATURES.index(test.feature)
+        hit = [r for r in rows if (r[k] > test.cut) == test.above]
+        assert (bad, good) == (sum(r[-1] for r in hit), sum(1 - r[-1] for r in hit))
 
 
 def test_rules_learn_and_apply(spark):
@@ -246,3 +299,49 @@ def test_map_versions(spark):
     assert set(sharding.rebalanced_map(first, size, 5)) == set(range(5))
     table = sharding.map_table(spark, [first, grown])
     assert table.count() == 1024 and [r.shard for r in table.filter("version = 1").orderBy("vslot").collect()] == grown
+
+
+def test_stored_map_is_followed_and_edited(spark, tmp_path):
+    """A grown corpus keeps its slots' shards but for the edits; each version stays readable."""
+    store = sharding.MapStore(spark, f"file://{tmp_path}/map")
+    assert store.versions() == [] and store.latest() is None
+    rows = [(i, "t" * (i % 90), "s") for i in range(20_000)]
+    load = lambda found: Counter({s: sum(r["size"] for r in found if r.shard == s) for s in {r.shard for r in found}})
+    first = {r.doc_id: r.shard for r in sharding.shard(frame(spark, rows), store=store).collect()}
+    again = {r.doc_id: r.shard for r in sharding.shard(frame(spark, rows), store=store).collect()}
+    assert store.versions() == [0] and again == first
+    rows += [(50_000 + i, "n" * 300, "s") for i in range(3000)]
+    found = sharding.shard(frame(spark, rows), store=store).collect()
+    assert store.versions() == [0, 1] and store.latest() != store.read(0)
+    bytes_ = load(found)
+    assert max(bytes_.values()) - min(bytes_.values()) <= 0.03 * sum(bytes_.values()) / 24
+    assert sum(r.shard != first[r.doc_id] for r in found if r.doc_id in first) < 0.2 * len(first)
+    found = sharding.shard(frame(spark, rows), shards=25, store=store).collect()
+    assert store.versions() == [0, 1, 2] and {r.shard for r in found} == set(range(25))
+    with pytest.raises(FileExistsError):
+        late = sharding.MapStore(spark, f"file://{tmp_path}/map")
+        late.versions = lambda: [0, 1]
+        late.append(store.latest())
+    assert store.versions() == [0, 1, 2]
+
+
+def test_one_key_with_a_third_of_all_rows(spark):
+    """Rows of one id, and of null ids with one text, are dealt over the slots; sizes stay near equal."""
+    rows = [(7, "same text", "s")] * 3000 + [(None, "null text", "s")] * 2000 + [(100 + i, f"own {i}", "s") for i in range(4000)]
+    found = sharding.shard(frame(spark, rows), hot_rows=500).collect()
+    assert Counter((r.doc_id, r["size"]) for r in found) == Counter((i, len(t) + 8) for i, t, _ in rows)
+    at, load = defaultdict(list), Counter()
+    for r in found:
+        at[r.shard].append(r.slot)
+        load[r.shard] += r["size"]
+    assert all(sorted(s) == list(range(len(s))) for s in at.values()) and len(load) == 24
+    assert max(load.values()) - min(load.values()) <= 0.02 * sum(load.values()) / 24
+    assert max(Counter(r.vslot for r in found).values()) < 30
+
+
+def test_copies_of_a_row_are_shuffled_in_their_slot(spark):
+    docs = frame(spark, [(i % 300, f"t{i % 300}", "s") for i in range(1500)])
+    monkey = sharding.sized(docs, tuple(docs.columns)).withColumn("vslot", F.lit(0))
+    placed = sharding.place(monkey, [0] + [1] * 8191, [1500] + [0] * 8191, seed=3).orderBy("slot").collect()
+    assert [r.slot for r in placed] == list(range(1500)) and set(docs.columns) - {"size"} <= set(placed[0].__fields__)
+    assert sum(a.doc_id == b.doc_id for a, b in zip(placed, placed[1:], strict=False)) < 40
