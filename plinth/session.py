@@ -54,13 +54,18 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return path
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` once as a table in the shared folder and read it back: lineage ends there and survives executors."""
+def materialize(df: DataFrame, label: str, spread: bool = False) -> DataFrame:
+    """Write ``df`` once as a table in the shared folder and read it back: lineage ends there and survives executors.
+
+    ``spread`` keeps the plan's own partitions, for steps whose work lies in
+    the tasks that write; others write in fewer files.
+    """
     spark = df.sparkSession
     path = scratch_path(spark, label)
-    # no more files than four rounds of tasks over all cores, or an eighth of the shuffle partitions, need
-    files = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8)
-    df.coalesce(files).write.parquet(path)
+    if not spread:
+        # no more files than four rounds of tasks over all cores, or an eighth of the shuffle partitions, need
+        df = df.coalesce(max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8))
+    df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
