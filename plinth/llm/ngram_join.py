@@ -391,7 +391,7 @@ def all_links(sets: DataFrame) -> DataFrame:
 
 def _prepared(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame | None]:
     """(digests of all rows, class of each document, shingles of the classes), the last None where no text has words."""
-    rows = materialize(digests(docs), "join-digests")
+    rows = materialize(digests(docs), "join-digests", spread=True)
     named = rows.filter("doc_id is not null and n > 0")
     # one row stands for an id, one id for a set
     stands = named.groupBy("doc_id").agg(F.min(F.struct("x", "y", "n", "h")).alias("s")).select("doc_id", "s.*")

@@ -389,7 +389,7 @@ def _replacer(key: bytes):
 def surrogate_text(docs: DataFrame, key: bytes) -> DataFrame:
     """(doc_id, text, n_entities, kinds) of each row, its entities replaced."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), "text")
-    mentions = materialize(rows.mapInArrow(_finder, "doc_id long, h long, kind string, canon string"), "pii-mentions")
+    mentions = materialize(rows.mapInArrow(_finder, "doc_id long, h long, kind string, canon string"), "pii-mentions", spread=True)
     changed = materialize(redraws(materialize(mentions.select("kind", "canon").distinct(), "pii-values"), key), "pii-redrawn")
     if changed.limit(1).count():
         triple = F.array("kind", "canon", "surrogate")
