@@ -25,9 +25,10 @@ THRESHOLDS = {
     "private_matter_qa": {"min": {"citation_faithfulness": 0.95, "retrieval_coverage": 0.15, "tier1_anchor_rate": None, "retrieval_hit_rate": None, "span_citation_correctness": 0.80}, "max": {"fabricated_marker_rate": 0.02, "false_refusal_rate": 0.90}},
 }
 METRICS = (
-    "items grounding_rate unsupported_claim_rate fabricated_marker_rate citation_faithfulness span_citation_correctness pack_utilisation tier1_anchor_rate retrieval_hit_rate "
-    "retrieval_coverage refusal_rate false_refusal_rate true_refusal_rate crosswalk_mapping_accuracy latency_mean_s latency_p50_s latency_p95_s latency_max_s"
-).split()
+    "items", "grounding_rate", "unsupported_claim_rate", "fabricated_marker_rate", "citation_faithfulness", "span_citation_correctness", "pack_utilisation", "tier1_anchor_rate",
+    "retrieval_hit_rate", "retrieval_coverage", "refusal_rate", "false_refusal_rate", "true_refusal_rate", "crosswalk_mapping_accuracy", "latency_mean_s", "latency_p50_s", "latency_p95_s",
+    "latency_max_s",
+)
 
 
 def claim_sentences(answer: Column) -> Column:
@@ -105,7 +106,7 @@ def violations(summary: DataFrame, thresholds: dict = THRESHOLDS) -> DataFrame:
     default = table.filter("name = '_default'").select("metric", "kind", F.col("value").alias("d"))
     own = table.filter("name <> '_default'").select(F.col("name").alias("dataset"), "metric", "kind", F.col("value").alias("o"), F.lit(True).alias("given"))
     kinds = long.withColumn("kind", F.explode(F.array(F.lit("min"), F.lit("max"))))
-    joined = kinds.join(F.broadcast(default), ["metric", "kind"], "left").join(F.broadcast(own), ["dataset", "metric", "kind"], "left")
+    joined = kinds.join(default, ["metric", "kind"], "left").join(own, ["dataset", "metric", "kind"], "left")
     required = F.when(F.col("given"), F.col("o")).otherwise(F.col("d"))
     bad = F.when(F.col("kind") == "min", F.col("observed") + 1e-9 < F.col("required")).otherwise(F.col("observed") > F.col("required") + 1e-9)
     return joined.withColumn("required", required).filter(F.col("required").isNotNull() & bad).select("dataset", "metric", "kind", "observed", "required")

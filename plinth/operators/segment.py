@@ -8,6 +8,7 @@ line-level units are wanted (:func:`statute_lines`, :func:`judgment_lines`,
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pandas as pd
@@ -33,6 +34,7 @@ ROLES = {
 }
 DISPOSAL = r"(?i)\b(?:allowed|dismissed|set\s+aside|remanded|quashed|confirmed|upheld|acquitted|convicted)\b"
 
+# ---- fixed values: the patterns that mark the parts of statutes, judgments, reports and contracts ----------
 _HEAD = re.compile(r"(?im)^[ \t]*(?P<kind>PART|CHAPTER)[ \t]+(?P<num>[IVXLCDM]+|\d+)\b[.\- ]?[ \t]*(?P<title>[^\n]*)$")
 _SECTION = re.compile(r"(?m)^[ \t]*(?:Section[ \t]+)?(?P<num>\d+[A-Za-z]?)\.[ \t]*(?P<title>[^\n]{0,200})")
 _SUBUNITS = (
@@ -102,10 +104,11 @@ def judgment(text: str) -> list[tuple]:
         ends = [m.start() for m in found[1:]] + [len(text)]
         cuts = [(m.start(), e, m["num"]) for m, e in zip(found, ends, strict=True)]
     roles: list[list[str]] = [[] for _ in cuts]
+    ends = [e for _, e, _ in cuts]
     for role, pattern in ROLES.items():
         for m in re.finditer(rf"(?i)\b(?:{pattern})\b", text):
-            k = next((i for i, (s, e, _) in enumerate(cuts) if s <= m.start() <= e), None)
-            if k is not None and role not in roles[k]:
+            k = bisect_left(ends, m.start())  # the first paragraph whose closed range holds the hit
+            if k < len(cuts) and cuts[k][0] <= m.start() and role not in roles[k]:
                 roles[k].append(role)
     if cuts and re.search(DISPOSAL, text[cuts[-1][0] : cuts[-1][1]]) and "order" not in roles[-1]:
         roles[-1].append("order")
