@@ -7,7 +7,9 @@ these run in Arrow batches over whole texts.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import suppress
+from typing import Protocol
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -28,12 +30,23 @@ COURT_LEVELS = {
     "ITAT": "TRIBUNAL", "CAT": "TRIBUNAL", "NCDRC": "TRIBUNAL",
 }
 
+# ---- fixed values: node types and party roles by the labels of recognition models ----------------------
+MODEL_LABELS = {
+    "PER": "Person", "PERSON": "Person", "OTHER_PERSON": "Person", "ORG": "Organisation", "ORGANIZATION": "Organisation", "ORGANISATION": "Organisation", "LOC": "Location", "LOCATION": "Location", "GPE": "Location",
+    "MISC": "Misc", "DATE": "Date", "COURT": "Court", "JUDGE": "Judge", "LAWYER": "Lawyer", "PETITIONER": "Party", "RESPONDENT": "Party", "APPELLANT": "Party", "DEFENDANT": "Party", "WITNESS": "Witness",
+    "STATUTE": "Act", "ACT": "Act", "PROVISION": "Section", "SECTION": "Section", "PRECEDENT": "Case", "CASE": "Case", "CASE_NUMBER": "CaseNumber", "CRIME": "Offence", "OFFENCE": "Offence",
+}
+MODEL_ROLES = {"PETITIONER": "petitioner", "APPELLANT": "petitioner", "RESPONDENT": "respondent", "DEFENDANT": "respondent"}
+
+# ---- fixed values: patterns of party names, judges and dates --------------------------------------------
 _TOKEN = r"[A-Z][A-Za-z.\-']+"
 _SIDE = rf"{_TOKEN}(?:\s+(?:of\s+|and\s+)?{_TOKEN}){{0,5}}"
 _TITLE = re.compile(rf"({_SIDE})\s+vs?\.?\s+({_SIDE})")
 _JUDGE = re.compile(rf"(?:Hon'ble\s+)?(?:Mr\.|Mrs\.|Ms\.|Dr\.|Justice|J\.)[\s.]*({_TOKEN}(?:\s+{_TOKEN}){{1,3}})")
 _DATE = re.compile(r"\b\d{1,2}[\s\-/](?:\d{1,2}|[A-Za-z]{3,9})[\s\-/]\d{2,4}\b")
-_COURT = re.compile("|".join(rf"\b{re.escape(c)}\b" for c in sorted(COURT_LEVELS, key=len, reverse=True)))
+#: Court names in any case, inside longer words too.
+_COURT = re.compile("|".join(re.escape(c) for c in sorted(COURT_LEVELS, key=len, reverse=True)), re.IGNORECASE)
+_LEVEL_OF = {name.lower(): level for name, level in COURT_LEVELS.items()}
 _COMPILED = {name: (kind, re.compile(pattern), template) for name, (kind, pattern, template) in REPORTERS.items()}
 
 
@@ -107,13 +120,13 @@ def merge_titles(titles: list[dict], reporters: list[dict]) -> list[dict]:
     return out + [reporters[i] for i in sorted(free)]
 
 
-def sweep(items: list[dict], rank: dict[str, int]) -> list[dict]:
-    """Left to right, of overlapping spans the longer stays; at equal length the higher rank."""
+def sweep(items: list[dict], rank: dict[str, int], first_wins: bool = False) -> list[dict]:
+    """Left to right, of overlapping spans the longer stays; at equal length the higher rank, or with ``first_wins`` the one that starts first."""
     out: list[dict] = []
-    weight = lambda c: (c["end"] - c["start"], rank.get(c["kind"], 0))
+    weight = lambda c: (c["end"] - c["start"], rank.get(c.get("by", c["kind"]), 0))
     for c in sorted(items, key=lambda c: (c["start"], -weight(c)[0], -weight(c)[1])):
         if out and c["start"] < out[-1]["end"]:
-            if weight(c) > weight(out[-1]):
+            if (weight(c)[0] > weight(out[-1])[0]) if first_wins else (weight(c) > weight(out[-1])):
                 out[-1] = c
         else:
             out.append(c)
@@ -126,38 +139,91 @@ def citations(text: str | None, max_year: int = schema.MAX_YEAR) -> list[dict]:
     return sweep(merge_titles(case_titles(text), reporter_citations(text, max_year)), _RANK)
 
 
-def entities(text: str | None) -> list[dict]:
-    """Courts with level, judges, parties and dates; of overlapping ones the longer stays."""
+class Recogniser(Protocol):
+    """A model that names entities: a list of dicts with entity_group (or entity, label), word (or text), and perhaps start, end and score."""
+
+    def __call__(self, text: str) -> list[dict]: ...
+
+
+def model_entities(found: list[dict] | None, text: str) -> list[dict]:
+    """A model's findings as entities: known labels become node types, roles and scores (four places) go to ``extra``.
+
+    A finding without offsets stands where its words occur first, or goes if they don't.
+    """
+    out = []
+    for item in found or []:
+        label = re.sub("^[BIOES]-", "", str(item.get("entity_group") or item.get("entity") or item.get("label") or "").upper())
+        words = str(item.get("word") or item.get("text") or "").strip()
+        if not label or not words:
+            continue
+        start, end = item.get("start"), item.get("end")
+        if not (isinstance(start, int) and isinstance(end, int)):
+            start = text.find(words)
+            end = start + len(words)
+        if start < 0:
+            continue
+        extra = ["model"]
+        if label in MODEL_ROLES:
+            extra.append(f"role={MODEL_ROLES[label]}")
+        with suppress(TypeError, ValueError):
+            extra.append(f"score={float(item['score']):.4f}" if item.get("score") else "")
+        out.append({"start": start, "end": end, "kind": MODEL_LABELS.get(label, label.capitalize()), "extra": ";".join(x for x in extra if x), "model": True})
+    return out
+
+
+def entities(text: str | None, recogniser: Recogniser | None = None) -> list[dict]:
+    """Courts with level, judges, parties and dates, with the findings of a model if there is one.
+
+    Of overlapping ones the longer stays, at equal length the first, and of
+    equal spans the one found by pattern. A model that fails adds nothing.
+    """
     if not text:
         return []
-    out = [{"start": m.start(), "end": m.end(), "kind": "Court", "extra": COURT_LEVELS[m[0]]} for m in _COURT.finditer(text)]
+    out = [{"start": m.start(), "end": m.end(), "kind": "Court", "extra": _LEVEL_OF[m[0].lower()]} for m in _COURT.finditer(text)]
     out += [{"start": m.start(1), "end": m.end(1), "kind": "Judge", "extra": None} for m in _JUDGE.finditer(text)]
     for m in _TITLE.finditer(text):
         out += [{"start": m.start(g), "end": m.end(g), "kind": "Party", "extra": role} for g, role in ((1, "petitioner"), (2, "respondent"))]
     out += [{"start": m.start(), "end": m.end(), "kind": "Date", "extra": None} for m in _DATE.finditer(text)]
-    return sweep(out, {"Court": 4, "Judge": 3, "Party": 2, "Date": 1})
+    if recogniser is not None and text.strip():
+        with suppress(Exception):
+            out += model_entities(recogniser(text), text)
+    ranked = [{**e, "by": "model" if e.get("model") else e["kind"]} for e in out]
+    return sweep(ranked, {"Court": 4, "Judge": 3, "Party": 2, "Date": 1}, first_wins=True)
 
 
-def _batched(rows: DataFrame, columns: str, one) -> DataFrame:
+def _batched(rows: DataFrame, columns: str, one, prepare: Callable = lambda: None) -> DataFrame:
+    """``one(id, text, prepared)`` for each row; ``prepare`` runs once in a task."""
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [c.split(" ")[0] for c in columns.split(", ")]
+        prepared = prepare()
         for f in frames:
-            yield pd.DataFrame([r for i, t in zip(f["id"], f["text"], strict=True) for r in one(i, t)], columns=names)
+            yield pd.DataFrame([r for i, t in zip(f["id"], f["text"], strict=True) for r in one(i, t, prepared)], columns=names)
 
     return rows.select("id", "text").mapInPandas(run, columns)
 
 
 def extract_citations(rows: DataFrame) -> DataFrame:
     """(id, pos, raw, kind, char_start, char_end, canonical_id, year, parties) from rows (id, text)."""
-    def one(i, text):
+    def one(i, text, _):
         return [(i, k, text[c["start"] : c["end"]], c["kind"], c["start"], c["end"], c["canonical_id"], c["year"], c["parties"]) for k, c in enumerate(citations(text))]
 
     return _batched(rows, "id string, pos int, raw string, kind string, char_start int, char_end int, canonical_id string, year double, parties string", one)
 
 
-def extract_entities(rows: DataFrame) -> DataFrame:
-    """(id, pos, raw, kind, char_start, char_end, extra) from rows (id, text)."""
-    def one(i, text):
-        return [(i, k, text[e["start"] : e["end"]], e["kind"], e["start"], e["end"], e["extra"]) for k, e in enumerate(entities(text))]
+def extract_entities(rows: DataFrame, load: Callable[[], Recogniser] | None = None) -> DataFrame:
+    """(id, pos, raw, kind, char_start, char_end, extra) from rows (id, text).
+
+    ``load`` makes a recogniser, once in a task; if it cannot, the patterns work alone.
+    """
+
+    def prepare():
+        if load is not None:
+            with suppress(Exception):
+                return load()
+        return None
+
+    def one(i, text, recogniser):
+        return [(i, k, text[e["start"] : e["end"]], e["kind"], e["start"], e["end"], e["extra"]) for k, e in enumerate(entities(text, recogniser))]
 
-    return _batched(rows, "id string, pos int, raw string, kind string, char_start int, char_end int, extra string", one)
+    return _batched(rows, "id string, pos int, raw string, kind string, char_start int, char_end int, extra string", one, prepare)

@@ -15,7 +15,7 @@ from plinth.session import materialize
 
 def missing_properties(nodes: DataFrame, required: DataFrame) -> DataFrame:
     """(id, node_type, prop) of each required property that is absent, null or blank; ``nodes`` has props map<string,string>."""
-    wanted = nodes.join(F.broadcast(required), "node_type")
+    wanted = nodes.join(required, "node_type")
     return wanted.filter(F.coalesce(F.try_element_at("props", F.col("prop")), F.lit("")).isin("", "[]")).select("id", "node_type", "prop")
 
 
@@ -25,13 +25,13 @@ def edge_violations(edges: DataFrame, legality: DataFrame) -> DataFrame:
     ``edges`` has edge_type, src, dst, src_type, dst_type, props.
     """
     legal = legality.withColumn("ok", F.lit(True))
-    known = F.broadcast(legal.groupBy("edge_type").agg(F.max("temporal").alias("temporal")))
+    known = legal.groupBy("edge_type").agg(F.max("temporal").alias("temporal"))
     out = edges.join(known, "edge_type", "left")
     for any_src, any_dst in ((False, False), (True, False), (False, True)):
         name = f"ok{int(any_src)}{int(any_dst)}"
         rows = legal.filter(((F.col("src_type") == "*") == any_src) & ((F.col("dst_type") == "*") == any_dst))
         keys = ["edge_type", *["src_type"] * (not any_src), *["dst_type"] * (not any_dst)]
-        out = out.join(F.broadcast(rows.select(*keys, F.col("ok").alias(name))), keys, "left")
+        out = out.join(rows.select(*keys, F.col("ok").alias(name)), keys, "left")
     legal_pair = F.coalesce("ok00", "ok10", "ok01").isNotNull()
     dated = F.map_contains_key("props", F.lit("as_of")) | F.map_contains_key("props", F.lit("validity_period_ref"))
     reason = F.when(F.col("temporal").isNull(), "unknown_type").when(~legal_pair, "endpoints").when(F.col("temporal") & ~dated, "undated")
@@ -72,6 +72,23 @@ def both_ways(edges: DataFrame) -> DataFrame:
     return out.unionByName(edges.select(F.col("dst").alias("node"), F.col("src").alias("other"), "edge_type", F.lit("in").alias("direction")))
 
 
+def adjacency(edges: DataFrame, fanout: int) -> DataFrame:
+    """(node, other, edge_type, direction): of each node and edge type the first ``fanout`` neighbours, written once.
+
+    No traversal looks past ``fanout`` neighbours of a parent, and edges of
+    one type rank alike, so what is cut can never be walked; a hub shrinks to
+    ``fanout`` rows a type, by partial top lists before the shuffle.
+    """
+    ranked = both_ways(edges).withColumn("k", F.row_number().over(Window.partitionBy("node", "edge_type").orderBy("other", "direction")))
+    return materialize(ranked.filter(F.col("k") <= fanout).drop("k"), "adjacency")
+
+
+def counts_by_type(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(what, kind, n): how many nodes and edges of each type there are."""
+    count = lambda df, what, kind: df.groupBy(F.lit(what).alias("what"), F.col(kind).alias("kind")).agg(F.count("*").alias("n"))
+    return count(nodes, "node", "node_type").unionByName(count(edges, "edge", "edge_type"))
+
+
 def neighbors(nodes: DataFrame, edges: DataFrame, ids: DataFrame, direction: str = "any", edge_types: list[str] | None = None, limit: int = 1000) -> DataFrame:
     """(node, edge_type, direction, other, node_type) for each of ``ids`` (node), at most ``limit`` each."""
     adjacent = both_ways(edges)
@@ -90,6 +107,34 @@ def first_span(edges: DataFrame, spans: DataFrame) -> DataFrame:
     return first.join(spans, F.col("m.dst") == spans["id"]).select("node", spans["id"].alias("span_id"), "text")
 
 
+#: What an episode's description starts with when it names the span behind it (fixed value).
+SPAN_PREFIX = "provenance_span:"
+
+
+def span_with_fallbacks(ids: DataFrame, edges: DataFrame, spans: DataFrame, episodes: DataFrame) -> DataFrame:
+    """(node, span_id, text, via) of each of ``ids`` (node) that has any backing.
+
+    ``edges``: edge_type, src, dst, and id for relations; ``episodes``: id,
+    content, source_description. In this order: the span that the node is
+    derived from; the span of an episode that mentions it; where the id is a
+    relation's, the span of an episode that mentions one of its ends; else
+    the content of such an episode itself. Among equals the least id counts.
+    """
+    typed = lambda name: edges.filter(F.col("edge_type") == name)
+    mentions = typed("MENTIONS").select(F.col("dst").alias("entity"), F.col("src").alias("episode"))
+    ends = typed("RELATES_TO").select(F.col("id").alias("node"), F.explode(F.array("src", "dst")).alias("entity"))
+    direct = ids.join(typed("NODE_DERIVED_FROM_SOURCE").select(F.col("src").alias("node"), F.col("dst").alias("span")), "node").join(spans.select(F.col("id").alias("span"), "text"), "span")
+    direct = direct.select("node", F.lit(0).alias("pos"), F.lit("direct").alias("via"), F.col("span").alias("span_id"), "text")
+    named = ids.join(mentions.withColumnRenamed("entity", "node"), "node").select("node", "episode", F.lit(1).alias("pos"), F.lit("mention").alias("via"))
+    related = ids.join(ends, "node").join(mentions, "entity").select("node", "episode", F.lit(2).alias("pos"), F.lit("relation").alias("via"))
+    told = episodes.select(F.col("id").alias("episode"), "content", F.when(F.col("source_description").startswith(SPAN_PREFIX), F.substring("source_description", len(SPAN_PREFIX) + 1, 1_000_000)).alias("span"))
+    found = named.unionByName(related).join(told, "episode").join(spans.select(F.col("id").alias("span"), "text"), "span", "left")
+    backed = F.col("text").isNotNull()
+    episodic = found.select("node", F.when(backed, F.col("pos")).otherwise(3).alias("pos"), F.when(backed, F.col("via")).otherwise("synthetic").alias("via"), F.when(backed, F.col("span")).otherwise(F.col("episode")).alias("span_id"), F.coalesce("text", "content").alias("text"))
+    best = direct.unionByName(episodic).groupBy("node").agg(F.min(F.struct("pos", "span_id", "via", "text")).alias("m"))
+    return best.select("node", "m.span_id", "m.text", "m.via")
+
+
 def find_by_properties(nodes: DataFrame, node_type: str, props: dict[str, str], limit: int) -> DataFrame:
     """Case-insensitive equality on each property, an absent one counting as ''."""
     found = nodes.filter(F.col("node_type") == node_type)
@@ -121,14 +166,14 @@ def typed_bfs(nodes: DataFrame, edges: DataFrame, questions: DataFrame, seeds: D
     node, pos. A question's frontier is ordered by tier, then policy rank,
     then discovery. Of each parent at most ``fanout`` neighbours by policy
     rank are looked at before admissibility, new nodes join until
-    ``max_nodes``. Levels are joins; each is written once, so the lineage of
-    a level is one table.
+    ``max_nodes``. Levels are joins with one adjacency table whose hubs are
+    cut already; each level is written once, so its lineage is one table.
     """
     spark = nodes.sparkSession
-    hot = nodes.select("id", "tier", "matter_id", "valid_to")
-    adjacent = both_ways(edges)
+    hot = materialize(nodes.select("id", "tier", "matter_id", "valid_to"), "bfs-nodes")
+    adjacent = adjacency(edges, fanout)
     known = policy.select("intent").distinct().withColumn("known", F.lit(True))
-    asked = questions.join(F.broadcast(known), "intent", "left").withColumn("policy", F.when(F.col("known"), F.col("intent")).otherwise("generic")).select("qid", "policy", "matter_scope", "ceiling", "as_of")
+    asked = questions.join(known, "intent", "left").withColumn("policy", F.when(F.col("known"), F.col("intent")).otherwise("generic")).select("qid", "policy", "matter_scope", "ceiling", "as_of")
     asked = materialize(asked, "bfs-questions")
     only = policy.filter("restrictive").select(F.col("intent").alias("policy")).distinct().withColumn("only", F.lit(True))
     rules = policy.select(F.col("intent").alias("policy"), "edge_type", F.col("rank").alias("prank"))
@@ -143,8 +188,8 @@ def typed_bfs(nodes: DataFrame, edges: DataFrame, questions: DataFrame, seeds: D
         for level in levels[1:]:
             visited = visited.unionByName(level.select("qid", "node"))
         counts = visited.groupBy("qid").agg(F.count("*").alias("seen"))
-        front = frontier.join(asked, "qid").join(F.broadcast(only), "policy", "left")
-        step = front.join(adjacent, "node").join(F.broadcast(rules), ["policy", "edge_type"], "left").filter(F.col("only").isNull() | F.col("prank").isNotNull())
+        front = frontier.join(asked, "qid").join(only, "policy", "left")
+        step = front.join(adjacent, "node").join(rules, ["policy", "edge_type"], "left").filter(F.col("only").isNull() | F.col("prank").isNotNull())
         step = step.withColumn("prank", F.coalesce("prank", F.lit(999)))
         by_parent = Window.partitionBy("qid", "node").orderBy("prank", "edge_type", "other", "direction")
         step = step.withColumn("nrank", F.row_number().over(by_parent)).filter(F.col("nrank") <= fanout)
@@ -196,7 +241,7 @@ def crosswalk_seeds(refs: DataFrame, crosswalk: DataFrame, nodes: DataFrame) ->
     """
     head = lambda c: F.substring_index(F.lower(c), ",", 1)
     key = lambda c: F.regexp_replace(F.lower(F.trim(c)), " ", "")
-    cw = F.broadcast(crosswalk.withColumn("s_act", head(F.col("source_act"))).withColumn("t_act", head(F.col("target_act"))))
+    cw = crosswalk.withColumn("s_act", head(F.col("source_act"))).withColumn("t_act", head(F.col("target_act")))
     forward = head(F.col("act")).startswith(F.col("s_act")) & (key(F.col("section")) == key(F.col("source_section")))
     backward = ~head(F.col("act")).startswith(F.col("s_act")) & head(F.col("act")).startswith(F.col("t_act")) & (key(F.col("section")) == key(F.col("target_section")))
     one = refs.join(cw, forward).select("qid", "target_act", F.col("target_section").alias("to"), F.concat(F.lit("crosswalk:"), "name", F.lit(":"), "section", F.lit("->"), "target_section").alias("reason"))

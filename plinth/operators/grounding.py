@@ -12,6 +12,19 @@ HEADERS = ("answer", "legal basis", "supporting private material", "conflicts",
 REFUSAL = "Answer: Insufficient evidence was retrieved.\nLegal basis:\nConfidence: LOW\nInsufficient evidence: YES"
 
 
+#: What a drafting model is told; an answer in this form is what :func:`enforce` reads.
+SYSTEM_PROMPT = """You answer questions of law from numbered excerpts only.
+Each excerpt [S1], [S2], ... has a tier: 1 constitution and statutes, 2 the highest court, 3 high courts, 4 tribunals, 5 lower courts, 6 private documents, 7 private notes, 8 machine summaries.
+Put at least one [S#] into every sentence that claims something. Name no authority that is not among the excerpts.
+Keep apart: the words of a statute and how courts read them; public authority and private evidence; what binds and what only persuades; what is alleged and what was found.
+Speak of conflicts between excerpts. If the excerpts do not suffice, say so and stop.
+Write these sections, each once: "Answer:" one paragraph; "Legal basis:" bullets; "Supporting private material:" bullets; "Conflicts:" bullets; "Confidence:" HIGH, MEDIUM or LOW; "Insufficient evidence:" YES or NO."""
+
+
+def user_prompt(question: Column, excerpts: Column) -> Column:
+    return F.concat(F.lit("Question:\n"), question, F.lit("\n\nExcerpts:\n"), excerpts, F.lit("\n\nAnswer in the sections named above."))
+
+
 def prompt_text(packs: DataFrame) -> DataFrame:
     """(qid, prompt): a header line, the excerpt and a rule for each span, in order."""
     line = F.concat(F.lit("["), "marker", F.lit("] tier="), F.col("tier").cast("string"), F.lit(" kind="), "kind", F.coalesce(F.concat(F.lit(" | "), "label"), F.lit("")), F.lit("\n"), F.trim("excerpt"), F.lit("\n---"))

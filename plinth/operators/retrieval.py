@@ -17,6 +17,14 @@ def merge_candidates(graph: DataFrame, semantic: DataFrame) -> DataFrame:
     return joined.select("qid", "node", F.coalesce("tier", "s_tier").alias("tier"), F.coalesce("score", F.lit(0.0)).alias("score"), F.coalesce("sem", F.lit(0.0)).alias("sem"), F.coalesce("excerpt", "s_excerpt").alias("excerpt"))
 
 
+def outside_hits(hits: DataFrame, known: DataFrame, questions: DataFrame) -> DataFrame:
+    """Rows like ``known`` for hits (qid, node, tier, score, excerpt) of an outside search whose node the question does not have yet; tier 8 where none is given."""
+    fresh = hits.dropDuplicates(["qid", "node"]).join(known.select("qid", "node"), ["qid", "node"], "left_anti").join(questions.select("qid", "question", "matter_scope"), "qid")
+    none = F.lit(None).cast("string")
+    given = {"qid": F.col("qid"), "node": F.col("node"), "tier": F.coalesce("tier", F.lit(schema.TIER_SUMMARY)), "score": F.coalesce("score", F.lit(0.0)), "sem": F.lit(0.0), "text": F.col("excerpt"), "label": F.col("node"), "node_type": F.lit("SummaryNode"), "question": F.col("question"), "matter_scope": F.col("matter_scope")}
+    return fresh.select(*(given.get(c, none).cast(known.schema[c].dataType).alias(c) for c in known.columns))
+
+
 def _ranked(candidates: DataFrame, *order: Column) -> DataFrame:
     return candidates.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(*order, F.col("node"))))
 

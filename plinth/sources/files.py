@@ -9,6 +9,7 @@ import time
 import zipfile
 from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
+from typing import Protocol
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -72,14 +73,30 @@ def scan(spark: SparkSession, folder: str, glob: str | None = None) -> DataFrame
     return files.select("path", name.alias("name"), F.regexp_replace(name, r"\.[^.]*$", "").alias("stem"), F.col("modificationTime").alias("modified"), "length", "content").filter(~F.col("name").rlike(r"\.(tmp|part)$"))
 
 
-def decoded(content: Column) -> Column:
-    """UTF-8 text of bytes; Latin-1 where they are not valid UTF-8."""
-    return F.coalesce(F.try_validate_utf8(content.cast("string")), F.decode(content, "ISO-8859-1"))
+def utf8(content: Column) -> Column:
+    """UTF-8 text of bytes, null where they are not valid; those go through :func:`decode_text`."""
+    return F.try_validate_utf8(content.cast("string"))
+
+
+def decode_text(data: bytes) -> str:
+    """The first of UTF-8, UTF-16 and Latin-1 that can read the bytes."""
+    for encoding in ("utf-8", "utf-16"):
+        try:
+            return data.decode(encoding)
+        except UnicodeDecodeError:
+            continue
+    return data.decode("latin-1")
+
+
+#: The column that keeps a JSON line which does not fit the schema.
+BAD_LINE = "bad_line"
 
 
 def jsonl(spark: SparkSession, path: str, columns: str) -> DataFrame:
-    """JSON lines with a declared schema; blank lines are skipped."""
-    return spark.read.schema(columns).option("mode", "DROPMALFORMED").json(path)
+    """JSON lines with a declared schema; blank lines are skipped, and one that cannot be read stands in ``bad_line``."""
+    lines = spark.read.text(path).filter(F.trim("value") != "")
+    read = lines.select("value", F.from_json("value", f"{columns}, {BAD_LINE} string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": BAD_LINE}).alias("r"))
+    return read.select("r.*")
 
 
 class _Text(HTMLParser):
@@ -144,30 +161,157 @@ def docx_text(data: bytes) -> str:
     return "\n".join(x for x in lines if x.strip())
 
 
-def pdf_text(data: bytes) -> str:
-    """Pages joined by form feeds; needs an optional reader, else empty (the OCR gate then sees it)."""
+def joined_pages(pages: list[str]) -> tuple[str, list[tuple[int, int]]]:
+    """Pages joined by one character, and where each begins and ends."""
+    offsets, at = [], 0
+    for page in pages:
+        offsets.append((at, at + len(page)))
+        at += len(page) + 1
+    return "\n".join(pages), offsets
+
+
+def pdf_pages(data: bytes) -> tuple[list[str], bool, str | None]:
+    """(text of each page, whether it stays encrypted, what went wrong); needs the optional ``pypdf``."""
     try:
         from pypdf import PdfReader
     except ImportError:
-        return ""
-    return "\f".join(page.extract_text() or "" for page in PdfReader(io.BytesIO(data)).pages)
+        return [], False, "no_reader"
+    try:
+        reader = PdfReader(io.BytesIO(data))
+        if reader.is_encrypted and not reader.decrypt(""):
+            return [], True, None
+    except Exception as problem:
+        return [], bool(re.search("crypt", str(problem), re.I)), type(problem).__name__
+    pages = []
+    for page in reader.pages:
+        try:
+            pages.append(page.extract_text() or "")
+        except Exception:
+            pages.append("")
+    return pages, False, None
+
+
+PARSED = "path string, name string, parser string, text string, page_offsets array<struct<start:int,end:int>>, encrypted boolean, problem string"
+
+
+def _parsed_row(parser: str, data: bytes) -> tuple[str, list[tuple[int, int]], bool, str | None]:
+    try:
+        if parser == "pdf":
+            pages, encrypted, problem = pdf_pages(data)
+            return (*joined_pages(pages), encrypted, problem)
+        text = docx_text(data) if parser == "docx" else html_text(decode_text(data)) if parser == "html" else decode_text(data)
+        return text, [(0, len(text))], False, None
+    except Exception as problem:
+        return "", [], False, type(problem).__name__
 
 
 def parse(files: DataFrame) -> DataFrame:
-    """(path, name, parser, text) of scanned files: text natively, the other formats in Arrow batches."""
-    routed = files.withColumn("parser", parser_for(F.lit(""), F.col("name")))
-    plain = routed.filter("parser = 'text'").select("path", "name", "parser", decoded(F.col("content")).alias("text"))
+    """(path, name, parser, text, page_offsets, encrypted, problem) of scanned files.
+
+    A column ``mime`` decides before the name, if there is one. Valid UTF-8
+    text is read natively, the rest in Arrow batches; what cannot be read has
+    an empty text and says why.
+    """
+    mime = F.col("mime") if "mime" in files.columns else F.lit("")
+    routed = files.withColumn("parser", parser_for(mime, F.col("name"))).withColumn("plain", F.when(F.col("parser") == "text", utf8(F.col("content"))))
+    whole = F.array(F.struct(F.lit(0).alias("start"), F.length("plain").alias("end")))
+    plain = routed.filter("plain is not null").select("path", "name", "parser", F.col("plain").alias("text"), whole.alias("page_offsets"), F.lit(False).alias("encrypted"), F.lit(None).cast("string").alias("problem"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        readers: dict[str, Callable[[bytes], str]] = {"html": lambda b: html_text(b.decode("utf-8", "replace")), "docx": docx_text, "pdf": pdf_text}
+        names = [c.split(" ")[0] for c in PARSED.split(", ")]
         for f in frames:
-            f["text"] = [readers[p](bytes(c)) for p, c in zip(f["parser"], f["content"], strict=True)]
-            yield f[["path", "name", "parser", "text"]]
+            rows = [(p, n, k, *_parsed_row(k, bytes(c))) for p, n, k, c in zip(f["path"], f["name"], f["parser"], f["content"], strict=True)]
+            out = pd.DataFrame(rows, columns=names)
+            out["page_offsets"] = [[{"start": a, "end": b} for a, b in spans] for spans in out["page_offsets"]]
+            yield out
 
-    rest = routed.filter("parser <> 'text'").select("path", "name", "parser", "content").mapInPandas(run, "path string, name string, parser string, text string")
+    rest = routed.filter("plain is null").select("path", "name", "parser", "content").mapInPandas(run, PARSED)
     return plain.unionByName(rest)
 
 
+def readable(parsed: DataFrame) -> DataFrame:
+    """Parsed documents without those that stay encrypted."""
+    return parsed.filter(~F.coalesce("encrypted", F.lit(False)))
+
+
+class OcrReader(Protocol):
+    """Pages of a scanned document: the text of each and the confidences of its words in percent, -1 where there is none."""
+
+    def __call__(self, data: bytes) -> list[tuple[str, list[float]]]: ...
+
+
+def mean_confidence(words: list[float]) -> float:
+    """The mean of a page's word confidences as a share; words without one do not count."""
+    known = [w for w in words if w != -1]
+    return sum(known) / len(known) / 100 if known else 0.0
+
+
+def ocr(scans: DataFrame, load: Callable[[], OcrReader], floor: int = 80) -> DataFrame:
+    """(path, text, page_offsets, page_confidences, problem) of the PDFs whose text is too short to be one.
+
+    ``scans``: path, parser, text, content. ``load`` makes the reader once in
+    a task; without a working one the texts are empty and say why.
+    """
+    out = "path string, text string, page_offsets array<struct<start:int,end:int>>, page_confidences array<double>, problem string"
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        try:
+            reader, missing = load(), None
+        except Exception as problem:
+            reader, missing = None, type(problem).__name__
+        for f in frames:
+            rows = []
+            for path, data in zip(f["path"], f["content"], strict=True):
+                try:
+                    pages, problem = (reader(bytes(data)), None) if reader else ([], missing)
+                except Exception as failed:
+                    pages, problem = [], type(failed).__name__
+                text, spans = joined_pages([t for t, _ in pages])
+                rows.append((path, text, [{"start": a, "end": b} for a, b in spans], [mean_confidence(c) for _, c in pages], problem))
+            yield pd.DataFrame(rows, columns=["path", "text", "page_offsets", "page_confidences", "problem"])
+
+    return scans.filter(needs_ocr(F.col("parser"), F.col("text"), floor=floor)).select("path", "content").mapInPandas(run, out)
+
+
+def fetch_route(refs: DataFrame, local: DataFrame, cached: DataFrame, remote: DataFrame) -> DataFrame:
+    """(id, url, via, path) of references (id, url): a ``file://`` address, the file of that id, the cached copy, the network, or ``missing``.
+
+    ``local``, ``cached`` and ``remote``: id, path of what is there.
+    """
+    side = lambda df, name: df.groupBy("id").agg(F.min("path").alias(name))
+    own = F.when(F.col("url").startswith("file://"), F.regexp_replace("url", "^file://", ""))
+    joined = refs.join(side(local, "local"), "id", "left").join(side(cached, "cached"), "id", "left").join(side(remote, "remote"), "id", "left").withColumn("own", own)
+    via = F.when(F.col("own").isNotNull() | F.col("local").isNotNull(), "file").when(F.col("cached").isNotNull(), "cache").when(F.col("remote").isNotNull(), "http").otherwise("missing")
+    return joined.select("id", "url", via.alias("via"), F.coalesce("own", "local", "cached", "remote").alias("path"))
+
+
+def verified(uploads: DataFrame) -> DataFrame:
+    """``uploads`` (content, claimed, ...) with ``ok``: what was read back has the digest that was claimed."""
+    return uploads.withColumn("ok", F.coalesce(F.sha2(F.col("content").cast("binary"), 256) == F.lower("claimed"), F.lit(False)))
+
+
+def require_verified(uploads: DataFrame, key: str) -> DataFrame:
+    """``uploads`` as they are; a digest that differs raises, and names some of the rows."""
+    bad = [str(r[0]) for r in verified(uploads).filter("not ok").select(key).limit(5).collect()]
+    if bad:
+        raise ValueError(f"digest differs: {', '.join(bad)}")
+    return uploads
+
+
+#: A small corpus to try things on: path below the folder, and text.
+DEMO = {
+    "statutes/penal_code_theft.txt": "THE INDIAN PENAL CODE, 1860\n378. Theft.\nWhoever, meaning to take movable property dishonestly, moves it without consent commits theft.\nExplanation. A thing fixed to the earth becomes movable once it is cut off.\n",
+    "statutes/penal_code_murder.txt": "THE INDIAN PENAL CODE, 1860\n300. Murder.\nCulpable homicide done with the intention of causing death is murder.\nProvided that the exceptions below are kept in mind.\n",
+    "judgments/2019_state_v_x.txt": "1. The appeal arises from a report under Section 378 of IPC.\n2. Dishonest intention, movable property and taking without consent must be shown. See State of Maharashtra v. Ram Lal, (2019) 8 SCC 100.\n3. The appeal is dismissed.\n",
+    "private/matter_demo/statement.txt": "Statement of Ramesh Kumar\nEx. P-1\n\nI saw the accused take my bicycle on 12 March 2024 without my consent.\n",
+}
+
+
+def write_demo(store: LocalStore) -> list[str]:
+    """The demo corpus as files of a store; returns their addresses."""
+    return [store.put(key, text.encode()) for key, text in DEMO.items()]
+
+
 def corpus(spark: SparkSession, folder: str) -> DataFrame:
     """(path, name, kind, text) of an evaluation corpus: .txt, .md and .html only."""
     files = scan(spark, folder).filter(F.lower("name").rlike(r"\.(txt|md|html)$"))
@@ -251,6 +395,94 @@ class LocalStore:
     def exists(self, key: str) -> bool:
         return os.path.exists(self._path(key))
 
+    def presign(self, key: str, expires_s: int = 3600) -> str:
+        """The file's own address: a folder has no access to grant."""
+        return "file://" + self._path(key)
+
+    def ensure(self) -> None:
+        os.makedirs(self.root, exist_ok=True)
+
+
+class BucketClient(Protocol):
+    """What an S3-compatible client must do; a missing bucket raises an error whose code or text is NoSuchBucket."""
+
+    def make_bucket(self, bucket: str) -> None: ...
+    def bucket_exists(self, bucket: str) -> bool: ...
+    def put(self, bucket: str, key: str, data: bytes) -> None: ...
+    def get(self, bucket: str, key: str) -> bytes: ...
+    def stat(self, bucket: str, key: str) -> object: ...
+    def presign(self, bucket: str, key: str, expires_s: int) -> str: ...
+
+
+class BucketStore:
+    """Object store over a bucket of an S3-compatible client; a bucket that is missing is made, and the call tried once more."""
+
+    def __init__(self, client: BucketClient, bucket: str) -> None:
+        self.client, self.bucket = client, bucket
+
+    def ensure(self) -> None:
+        if not self.client.bucket_exists(self.bucket):
+            self.client.make_bucket(self.bucket)
+
+    def _call(self, method, *args):
+        try:
+            return method(self.bucket, *args)
+        except Exception as problem:
+            if "NoSuchBucket" not in (getattr(problem, "code", None), *str(problem).split()):
+                raise
+        self.ensure()
+        return method(self.bucket, *args)
+
+    def put(self, key: str, data: bytes) -> str:
+        self._call(self.client.put, key, data)
+        return f"s3://{self.bucket}/{key}"
+
+    def get(self, key: str) -> bytes:
+        return self._call(self.client.get, key)
+
+    def exists(self, key: str) -> bool:
+        try:
+            self.client.stat(self.bucket, key)
+        except Exception:
+            return False
+        return True
+
+    def presign(self, key: str, expires_s: int = 3600) -> str:
+        return self.client.presign(self.bucket, key, expires_s)
+
+
+def store_for(bucket: str, root: str, connect: Callable[[], BucketClient] | None = None) -> LocalStore | BucketStore:
+    """A bucket where a client can be had, else a folder of that name below ``root``."""
+    if connect is not None:
+        try:
+            return BucketStore(connect(), bucket)
+        except Exception:
+            pass
+    return LocalStore(os.path.join(root, bucket))
+
+
+def ensure_stores(stores: list[LocalStore | BucketStore], attempts: int = 5, backoff_s: float = 0.25, sleep: Callable[[float], None] = time.sleep) -> None:
+    """Make what the stores need; after a failure all are tried again, each time after a longer wait, and the last failure raises."""
+    for attempt in range(1, attempts + 1):
+        try:
+            for store in stores:
+                store.ensure()
+            return
+        except Exception:
+            if attempt == attempts:
+                raise
+            sleep(backoff_s * attempt)
+
+
+def load_bytes(uri: str, stores: dict[str, LocalStore | BucketStore]) -> bytes:
+    """Bytes of ``s3://bucket/key``, ``file://path`` or a plain path."""
+    scheme, _, rest = uri.rpartition("://")
+    if scheme == "s3":
+        bucket, _, key = rest.partition("/")
+        return stores[bucket].get(key)
+    with open(rest, "rb") as f:
+        return f.read()
+
 
 def crosswalk(spark: SparkSession, rows: list[dict], source: str, target: str, name: str, source_act: str, target_act: str) -> DataFrame:
     """A crosswalk table from mapping records; unknown mapping types count as partial."""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,3 +43,36 @@ def report_json(summary: DataFrame) -> DataFrame:
 
 def episode_text(name: Column, body: Column, most: int = 2000) -> Column:
     return F.substring(F.concat_ws(" — ", name, body), 1, most)
+
+
+class Mirror:
+    """Episodes copied to an outside knowledge graph, and its search hits.
+
+    ``connect`` gives an object with ``add(episodes: DataFrame)`` and
+    ``search(questions: DataFrame) -> DataFrame (qid, node, tier, score, excerpt)``;
+    where it is None or fails, nothing is added and nothing found.
+    """
+
+    def __init__(self, connect: Callable[[], object] | None = None) -> None:
+        try:
+            self._there = connect() if connect else None
+        except Exception:
+            self._there = None
+
+    @property
+    def available(self) -> bool:
+        return self._there is not None
+
+    def add(self, episodes: DataFrame) -> None:
+        """``episodes``: name, body, source_description, group_id; bodies go as :func:`episode_text`."""
+        if self._there is not None:
+            self._there.add(episodes.withColumn("body", episode_text(F.col("name"), F.col("body"))))
+
+    def search(self, questions: DataFrame) -> DataFrame:
+        empty = questions.sparkSession.createDataFrame([], f"qid {questions.schema['qid'].dataType.simpleString()}, node string, tier int, score double, excerpt string")
+        if self._there is None:
+            return empty
+        try:
+            return self._there.search(questions).select(*empty.columns)
+        except Exception:
+            return empty

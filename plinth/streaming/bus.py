@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterable, Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,9 +21,35 @@ STREAMS = (
 HISTORY, IDLE_S = 512, 900
 
 
-def events(spark: SparkSession, path: str, max_files: int = 8) -> DataFrame:
-    """An unbounded read of an event folder."""
-    return spark.readStream.schema(schema.EVENT_SCHEMA).option("maxFilesPerTrigger", max_files).parquet(path)
+# ---- fixed values: fields of the eight typed events, beside those that all events have -------------------
+ENVELOPE = "event_type string, trace_id string, tenant_id string, matter_id string"
+EVENT_FIELDS = {
+    "ingest.request": "source string, adapter string, upload_uri string, upload_bucket string, upload_key string, upload_filename string, upload_mime string, upload_sha256 string, upload_size bigint",
+    "ingest.completed": "raw_document map<string,string>, episode map<string,string>",
+    "segment.completed": "episode_id string, spans array<map<string,string>>, hints map<string,string>",
+    "enrich.completed": "episode_id string, nodes array<map<string,string>>, edges array<map<string,string>>",
+    "graph.written": "episode_id string, node_ids array<string>, edge_count bigint, indexable array<map<string,string>>",
+    "query.request": "question string, matter_scope string, filters map<string,string>, mode string",
+    "query.evidence_pack": "pack map<string,string>",
+    "query.answer": "answer map<string,string>",
+}
+#: Fields that an event of a type cannot lack.
+EVENT_NEEDS = {
+    "ingest.request": ("source",), "ingest.completed": ("raw_document", "episode"), "segment.completed": ("episode_id", "spans"), "enrich.completed": ("episode_id", "nodes", "edges"),
+    "graph.written": ("episode_id", "node_ids", "edge_count"), "query.request": ("question",), "query.evidence_pack": ("pack",), "query.answer": ("answer",),
+}
+
+
+def events(spark: SparkSession, path: str, max_files: int = 8, newer_than: str | None = None) -> DataFrame:
+    """An unbounded read of an event folder; with ``newer_than`` (a timestamp) only of files written after it."""
+    stream = spark.readStream.schema(schema.EVENT_SCHEMA).option("maxFilesPerTrigger", max_files).parquet(path)
+    return stream if newer_than is None else stream.filter(F.col("_metadata.file_modification_time") > F.lit(newer_than).cast("timestamp"))
+
+
+def from_now_on(spark: SparkSession, path: str, max_files: int = 8) -> DataFrame:
+    """What arrives from this call on, as a new group of consumers sees it; earlier events stay unread."""
+    now = spark.sql("select cast(current_timestamp() as string) as t").first().t
+    return events(spark, path, max_files, now)
 
 
 def typed(raw: DataFrame) -> DataFrame:
@@ -31,23 +59,129 @@ def typed(raw: DataFrame) -> DataFrame:
     return raw.withColumn("k", number).withColumn("problem", F.when(F.col("event_type").isNull(), "no_type").when(number.isNull(), "bad_props"))
 
 
+def typed_events(messages: DataFrame) -> DataFrame:
+    """``messages`` (data: one JSON event each) with the envelope, ``kind`` and one struct for each known type.
+
+    ``kind`` is the event's type if it is one of the eight, ``generic`` for
+    other types, and ``unknown`` where the JSON cannot be read or lacks what
+    its type needs; such a row has event_type and trace_id ``unknown``.
+    """
+    envelope = F.from_json("data", ENVELOPE)
+    out = messages.withColumn("e", envelope)
+    fits = F.lit(False)
+    for name, fields in EVENT_FIELDS.items():
+        column = name.replace(".", "_")
+        mine = F.col("e.event_type") == name
+        out = out.withColumn(column, F.when(mine, F.from_json("data", fields)))
+        whole = F.lit(True)
+        for field in EVENT_NEEDS[name]:
+            whole = whole & F.col(f"{column}.{field}").isNotNull()
+        fits = fits | (mine & whole)
+    other = F.col("e.event_type").isNotNull() & ~F.col("e.event_type").isin(*EVENT_FIELDS) & F.col("e.trace_id").isNotNull()
+    fits = fits & F.col("e.trace_id").isNotNull()
+    kind = F.when(fits, F.col("e.event_type")).when(other, "generic").otherwise("unknown")
+    out = out.withColumn("kind", F.coalesce(kind, F.lit("unknown")))
+    read = F.col("kind") != "unknown"
+    columns = [F.when(read, F.col(c)).alias(c) for c in (n.replace(".", "_") for n in EVENT_FIELDS)]
+    names = [c for c in messages.columns]
+    return out.select(*names, "kind", F.when(read, F.col("e.event_type")).otherwise("unknown").alias("event_type"), F.when(read, F.col("e.trace_id")).otherwise("unknown").alias("trace_id"), F.col("e.tenant_id").alias("tenant_id"), F.col("e.matter_id").alias("matter_id"), *columns)
+
+
 def split_dead(stream: DataFrame, fails: Column) -> tuple[DataFrame, DataFrame]:
     """(good, dead letters): an event that fails is acknowledged once and set aside."""
     return stream.filter(~F.coalesce(fails, F.lit(False))), stream.filter(F.coalesce(fails, F.lit(False)))
 
 
-def run_stage(stream: DataFrame, handler: Callable[[DataFrame], DataFrame], out: str, dead: str, checkpoint: str) -> None:
-    """Drain what has arrived: handled rows go to ``out``; a batch that raises goes to ``dead`` whole, and the stream moves on."""
+#: Halvings of a failing batch, by hash bits, before what is left goes to the dead letters together.
+SPLITS = 24
 
-    def batch(rows: DataFrame, epoch: int) -> None:
+
+def run_stage(stream: DataFrame, handler: Callable[[DataFrame], DataFrame], out: str, dead: str, checkpoint: str, key: str = "event_id") -> None:
+    """Drain what has arrived: handled rows go to ``out``, rows that make the handler fail to ``dead``, and the stream moves on.
+
+    A batch that raises is halved by the hash of ``key`` until the rows that
+    are to blame stand alone; the others are handled. An event is tried once
+    in each half it is in, and is acknowledged whatever comes of it.
+    """
+
+    def attempt(rows: DataFrame, epoch: int, bit: int) -> None:
         try:
             handler(rows).write.mode("append").parquet(out)
+            return
         except Exception as problem:
-            rows.withColumn("problem", F.lit(type(problem).__name__)).withColumn("epoch", F.lit(epoch)).write.mode("append").parquet(dead)
+            reason = type(problem).__name__
+        if bit == SPLITS or rows.select(key).distinct().limit(2).count() < 2:
+            rows.withColumn("problem", F.lit(reason)).withColumn("epoch", F.lit(epoch)).write.mode("append").parquet(dead)
+            return
+        side = F.shiftright(F.xxhash64(key), bit).bitwiseAND(F.lit(1))
+        for half in (0, 1):
+            part = rows.filter(side == half)
+            if part.limit(1).count():
+                attempt(part, epoch, bit + 1)
+
+    def batch(rows: DataFrame, epoch: int) -> None:
+        held = rows.persist()
+        try:
+            attempt(held, epoch, 0)
+        finally:
+            held.unpersist()
 
     stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
+@dataclass
+class Stage:
+    """One agent: what it listens to, what it publishes, and what it makes of a batch."""
+
+    name: str
+    listens: str
+    publishes: str
+    handler: Callable[[DataFrame], DataFrame]
+
+
+def run_stages(spark: SparkSession, stages: list[Stage], root: str, expected: dict[str, int] | None = None, timeout_s: float = 60.0) -> dict[str, int]:
+    """Let every stage work through its stream below ``root`` until nothing new arrives; returns the events of each stream.
+
+    Streams are folders ``root/<stream>``; a handler returns rows of the event
+    schema. Rounds go on while a stage publishes, until each stream in
+    ``expected`` holds as many events as that, or ``timeout_s`` has passed.
+    """
+    ends = time.monotonic() + timeout_s
+    path = lambda stream: f"{root}/{stream}"
+    streams = sorted({s for stage in stages for s in (stage.listens, stage.publishes)})
+
+    def sizes() -> dict[str, int]:
+        return {s: spark.read.schema(schema.EVENT_SCHEMA).parquet(path(s)).count() if _there(spark, path(s)) else 0 for s in streams}
+
+    before, now = {}, sizes()
+    while now != before and time.monotonic() < ends and not (expected and all(now.get(s, 0) >= n for s, n in expected.items())):
+        before = now
+        for stage in stages:
+            if _there(spark, path(stage.listens)):
+                run_stage(events(spark, path(stage.listens)), stage.handler, path(stage.publishes), f"{root}/dead/{stage.name}", f"{root}/checkpoints/{stage.name}")
+        now = sizes()
+    return now
+
+
+def _there(spark: SparkSession, path: str) -> bool:
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
+
+
+def answered_within(requests: DataFrame, answers: DataFrame, within: str = "10 minutes", late: str = "10 minutes") -> DataFrame:
+    """(user_id, request_id, answer_id, asked, answered): each request with the answers of its user in the time after it.
+
+    On streams both sides have a watermark, so that what cannot meet any more
+    leaves the state; what comes later than ``late`` is dropped.
+    """
+    one = requests.select("user_id", F.col("event_id").alias("request_id"), F.col("ts").alias("asked"))
+    two = answers.select(F.col("user_id").alias("answer_user"), F.col("event_id").alias("answer_id"), F.col("ts").alias("answered"))
+    if requests.isStreaming:
+        one, two = one.withWatermark("asked", late), two.withWatermark("answered", late)
+    met = (F.col("user_id") == F.col("answer_user")) & (F.col("answered") >= F.col("asked")) & (F.col("answered") <= F.col("asked") + F.expr(f"interval {within}"))
+    return one.join(two, met).select("user_id", "request_id", "answer_id", "asked", "answered")
+
+
 def tumbling(rows: DataFrame, size: str = "1 hour", late: str | None = "10 minutes") -> DataFrame:
     """(start, event_type, n, total): counts by window; on a stream late rows past the watermark are dropped."""
     marked = rows.withWatermark("ts", late) if late and rows.isStreaming else rows
