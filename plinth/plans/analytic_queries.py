@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from plinth import schema
-from plinth.functions import extract
+from plinth import engine, schema
+from plinth.functions import display, extract
 from plinth.functions import text as fx
 from plinth.operators import grounding, metrics, retrieval, segment, vector
 from plinth.plans.base import both, plain, query
 from plinth.plans.graph_queries import pack_sql, packs
-from plinth.sources import sinks
+from plinth.sources import sinks, star
 from plinth.streaming import bus
 
 # ---- vectors -------------------------------------------------------------------------------------
@@ -56,6 +56,26 @@ def vector_topk_scoped(spark, sf_dir):
     return _topk(spark, sf_dir, "m1", schema.SEED_K)
 
 
+_STORED = "SELECT id, tier, matter_id, label, body AS text FROM (" + star.plain(star.NODES_SQL) + ") n"
+_ASKED = "SELECT item_id AS id, text FROM benchmark"
+
+
+def _recall_sql(scope: str, k: int) -> str:
+    embedded = lambda name, src, text: _EMBED.format(key="id", src=f"(SELECT id, {text} AS text FROM ({src}) y) x").replace("tok AS", f"{name}tok AS").replace("FROM tok", f"FROM {name}tok").replace(" v AS", f" {name}v AS").replace("FROM v WHERE", f"FROM {name}v WHERE").replace(" e AS", f" {name} AS")
+    return f"""WITH {embedded('q', _ASKED, 'text')}, {embedded('p', _STORED, "substr(concat(label, chr(10), text), 1, 2048)")},
+ s AS (SELECT q.id AS qid, p.id AS node, round(sum(q.w * p.w), 6) AS sem FROM q JOIN p ON p.bucket = q.bucket JOIN ({_STORED}) n ON n.id = p.id WHERE n.matter_id IS NULL OR n.matter_id = {scope} GROUP BY 1, 2)
+ SELECT qid, node, sem FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY sem DESC, node) AS k FROM s WHERE sem <> 0) x WHERE k <= {k}"""
+
+
+@query("recall", _recall_sql("concat('m', q.id % 7)", schema.RECALL_K))
+def recall(spark, sf_dir):
+    """Questions in a matter's scope against every node of the graph, by hash embeddings."""
+    g = star.star_graph(spark, sf_dir)
+    corpus = engine.Corpus(None, None, g.nodes, g.edges, g.nodes.withColumnRenamed("body", "text"), None, None)
+    asked = both(spark, sf_dir, "SELECT item_id AS qid, text AS question, concat('m', item_id % 7) AS matter_scope FROM {benchmark}")
+    return engine.recall(asked, corpus).select("qid", "node", "sem")
+
+
 @query("vector_norms", "SELECT vec_id AS id, round(sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))), 6) AS norm FROM embeddings")
 def vector_norms(spark, sf_dir):
     return both(spark, sf_dir, _VECS).select("id", F.round(vector.norm(F.col("vec")), 6).alias("norm"))
@@ -94,46 +114,27 @@ def index_text_cut(spark, sf_dir):
 
 
 _LEX = "list_distinct(list_filter(regexp_extract_all(lower(substr({0}, 1, 512)), '[a-z0-9]+'), lambda w: length(w) > 2))"
-_LEX_SQL = f"""WITH c AS (SELECT item_id AS qid, doc_id AS node, {_LEX.format('b.text')} AS q, {_LEX.format('d.text')} AS c, {_LEX.format('d.source')} AS t, CAST(doc_id % 8 + 1 AS INT) AS tier, 1940 + CAST(doc_id % 80 AS INT) AS yr FROM benchmark b JOIN documents d ON d.doc_id % 40 = b.item_id % 40),
+_LEX_SQL = f"""WITH c AS (SELECT item_id AS qid, doc_id AS node, {_LEX.format('b.text')} AS q, {_LEX.format('d.text')} AS c, {_LEX.format('d.source')} AS t, CAST(doc_id % 8 + 1 AS INT) AS tier, 1940 + CAST(doc_id % 80 AS INT) AS yr FROM benchmark b CROSS JOIN documents d),
 s AS (SELECT qid, node, tier, yr, CASE WHEN len(q) = 0 THEN 0.0 ELSE 0.7 * len(list_intersect(q, c)) / greatest(len(list_distinct(list_concat(q, c))), 1) + 0.3 * len(list_intersect(q, t)) / greatest(len(q), 1) END AS sem FROM c)"""
-
-
-def _lexical(spark, sf_dir):
-    return both(spark, sf_dir, "SELECT item_id AS qid, doc_id AS node, b.text AS question, d.text AS body, d.source AS title, CAST(doc_id % 8 + 1 AS INT) AS tier, 1940 + CAST(doc_id % 80 AS INT) AS yr FROM {benchmark} b JOIN {documents} d ON d.doc_id % 40 = b.item_id % 40")
-
-
-@query("rank_lexical", _LEX_SQL + " SELECT qid, node, round(sem, 6) AS sem, row_number() OVER (PARTITION BY qid ORDER BY round(sem, 9) DESC, node) AS rank FROM s")
-def rank_lexical(spark, sf_dir):
-    return retrieval.rank_lexical(_lexical(spark, sf_dir)).select("qid", "node", F.round("sem", 6).alias("sem"), F.col("rank").cast("long").alias("rank"))
-
-
 _AUTH = "round(1.0 / greatest(tier, 1) + 0.1 * sem + 0.05 * CASE WHEN yr >= 1950 THEN least(1.0, (yr - 1950) / 80.0) ELSE 0.0 END, 9)"
 
 
-@query("rank_composite", _LEX_SQL + f" SELECT qid, node, rank FROM (SELECT qid, node, row_number() OVER (PARTITION BY qid ORDER BY {_AUTH} DESC, node) AS rank FROM s) x WHERE rank <= {schema.RERANK_K}")
-def rank_composite(spark, sf_dir):
-    return retrieval.cut(retrieval.rank_composite(_lexical(spark, sf_dir))).select("qid", "node", F.col("rank").cast("long").alias("rank"))
-
-
-_LEX_ALL_SQL = _LEX_SQL.replace("JOIN documents d ON d.doc_id % 40 = b.item_id % 40", "CROSS JOIN documents d")
-
-
-def _lexical_all(spark, sf_dir):
-    """Every question with every document, scored; words are split once a text."""
+def _lexical(spark, sf_dir):
+    """The stated questions against every document, scored; words are split once a text."""
     asked = both(spark, sf_dir, "SELECT item_id AS qid, text FROM {benchmark}").select("qid", fx.lexical_tokens(F.col("text")).alias("q"))
     docs = both(spark, sf_dir, "SELECT doc_id AS node, text, source, CAST(doc_id % 8 + 1 AS INT) AS tier, 1940 + CAST(doc_id % 80 AS INT) AS yr FROM {documents}")
     docs = docs.select("node", "tier", "yr", fx.lexical_tokens(F.col("text")).alias("c"), fx.lexical_tokens(F.coalesce("source", F.lit(""))).alias("t"))
     return docs.crossJoin(F.broadcast(asked)).select("qid", "node", "tier", "yr", retrieval.lexical_score_of(F.col("q"), F.col("c"), F.col("t")).alias("sem"))
 
 
-@query("rank_lexical_all", _LEX_ALL_SQL + f" SELECT qid, node, round(sem, 6) AS sem, rank FROM (SELECT qid, node, sem, row_number() OVER (PARTITION BY qid ORDER BY round(sem, 9) DESC, node) AS rank FROM s) x WHERE rank <= {schema.RERANK_K}")
-def rank_lexical_all(spark, sf_dir):
-    return retrieval.cut(retrieval.rank_scored(_lexical_all(spark, sf_dir))).select("qid", "node", F.round("sem", 6).alias("sem"), F.col("rank").cast("long").alias("rank"))
+@query("rank_lexical", _LEX_SQL + f" SELECT qid, node, round(sem, 6) AS sem, rank FROM (SELECT qid, node, sem, row_number() OVER (PARTITION BY qid ORDER BY round(sem, 9) DESC, node) AS rank FROM s) x WHERE rank <= {schema.RERANK_K}")
+def rank_lexical(spark, sf_dir):
+    return retrieval.cut(retrieval.rank_scored(_lexical(spark, sf_dir))).select("qid", "node", F.round("sem", 6).alias("sem"), F.col("rank").cast("long").alias("rank"))
 
 
-@query("rank_composite_all", _LEX_ALL_SQL + f" SELECT qid, node, rank FROM (SELECT qid, node, row_number() OVER (PARTITION BY qid ORDER BY {_AUTH} DESC, node) AS rank FROM s) x WHERE rank <= {schema.RERANK_K}")
-def rank_composite_all(spark, sf_dir):
-    return retrieval.cut(retrieval.rank_authority(_lexical_all(spark, sf_dir))).select("qid", "node", F.col("rank").cast("long").alias("rank"))
+@query("rank_composite", _LEX_SQL + f" SELECT qid, node, rank FROM (SELECT qid, node, row_number() OVER (PARTITION BY qid ORDER BY {_AUTH} DESC, node) AS rank FROM s) x WHERE rank <= {schema.RERANK_K}")
+def rank_composite(spark, sf_dir):
+    return retrieval.cut(retrieval.rank_authority(_lexical(spark, sf_dir))).select("qid", "node", F.col("rank").cast("long").alias("rank"))
 
 
 # ---- packs and answers -----------------------------------------------------------------------------
@@ -189,14 +190,8 @@ def resolve_citations(spark, sf_dir):
     return grounding.resolve_citations(answers.select("qid", F.col("text").alias("answer")), pack)
 
 
-@query("answer_layout", """SELECT doc_id AS qid, concat('Answer:', chr(10), 'Theft is taking. [S1] Both speak [S2] .', chr(10), chr(10), 'Legal basis:', chr(10), '- [S1] first', chr(10), chr(10), 'Conflicts:', chr(10), '- they differ', chr(10), chr(10), 'Confidence: ', CASE doc_id % 3 WHEN 0 THEN 'HIGH' WHEN 1 THEN 'MEDIUM' ELSE 'LOW' END, chr(10), 'Insufficient evidence: ', CASE WHEN doc_id % 4 = 0 THEN 'YES' ELSE 'NO' END) AS text FROM documents WHERE doc_id % 5 IN (0, 4)""")
+@query("answer_layout", """SELECT doc_id AS qid, concat('Answer:', chr(10), 'Theft is taking. [S1]', CASE WHEN doc_id % 5 IN (1, 2, 3) THEN concat(' It needs intent [S', doc_id % 5, '].') ELSE '' END, ' Both speak [S2] .', chr(10), chr(10), 'Legal basis:', chr(10), '- [S1] first', chr(10), chr(10), 'Conflicts:', chr(10), '- they differ', chr(10), chr(10), 'Confidence: ', CASE doc_id % 3 WHEN 0 THEN 'HIGH' WHEN 1 THEN 'MEDIUM' ELSE 'LOW' END, chr(10), 'Insufficient evidence: ', CASE WHEN doc_id % 4 = 0 THEN 'YES' ELSE 'NO' END) AS text FROM documents""")
 def answer_layout(spark, sf_dir):
-    rows = both(spark, sf_dir, _RAW + " WHERE doc_id % 5 IN (0, 4)").withColumn("allowed", F.array(F.lit("S1"), F.lit("S2"), F.lit("S3")))
-    return grounding.layout(grounding.enforce(rows))
-
-
-@query("answer_layout_all", """SELECT doc_id AS qid, concat('Answer:', chr(10), 'Theft is taking. [S1]', CASE WHEN doc_id % 5 IN (1, 2, 3) THEN concat(' It needs intent [S', doc_id % 5, '].') ELSE '' END, ' Both speak [S2] .', chr(10), chr(10), 'Legal basis:', chr(10), '- [S1] first', chr(10), chr(10), 'Conflicts:', chr(10), '- they differ', chr(10), chr(10), 'Confidence: ', CASE doc_id % 3 WHEN 0 THEN 'HIGH' WHEN 1 THEN 'MEDIUM' ELSE 'LOW' END, chr(10), 'Insufficient evidence: ', CASE WHEN doc_id % 4 = 0 THEN 'YES' ELSE 'NO' END) AS text FROM documents""")
-def answer_layout_all(spark, sf_dir):
     rows = both(spark, sf_dir, _RAW).withColumn("allowed", F.array(F.lit("S1"), F.lit("S2"), F.lit("S3")))
     return grounding.layout(grounding.enforce(rows))
 
@@ -328,16 +323,79 @@ def segment_statute_full(spark, sf_dir):
     return segment.segment(both(spark, sf_dir, _STATUTE).withColumn("kind", F.lit("statute")))
 
 
-@query("cite_title_merge")
+# each kind of text with what must be found in it: (remainder of the order's key, position, start, end, ...); <Y> the year, <N> the key
+_CITED = {
+    0: "See Ram Singh v. State of Rajasthan, AIR <Y> SC <N> and Vishaka v State (2019) 5 SCC <N>", 1: "Ram Singh vs. Union of India was argued at great length before the full bench in AIR <Y> Del <N>",
+    2: "nothing to cite in the year <Y>, not even air <Y>", 3: "AIR 1492 SC 7, then <Y> INSC <N>; the v. And case", 4: "In Re Nobody v. The State, cf. [<Y>] 3 SCR <N>",
+}
+_CITES = [
+    (0, 0, "Ram Singh v. State of Rajasthan, AIR <Y> SC <N>", "combined", "case:sc:air:<Y>:<N>", "<Y>", "Ram Singh v State of Rajasthan"),
+    (0, 1, "Vishaka v State (2019) 5 SCC <N>", "combined", "case:sc:scc:2019:5:<N>", "2019", "Vishaka v State"),
+    (1, 0, "Ram Singh vs. Union of India", "case_title", "case:title:ram_singh_v_union_of_india", None, "Ram Singh v Union of India"),
+    (1, 1, "AIR <Y> Del <N>", "reporter", "case:del:air:<Y>:<N>", "<Y>", None),
+    (3, 0, "<Y> INSC <N>", "neutral", "case:sc:insc:<Y>:<N>", "<Y>", None),
+    (4, 0, "Re Nobody v. The State, cf. [<Y>] 3 SCR <N>", "combined", "case:sc:scr:<Y>:3:<N>", "<Y>", "Re Nobody v State"),
+]
+_NAMED = {
+    0: "The Supreme Court of India, per Justice Asha Rao, on 12/03/<Y> in Ram Singh v. State of Bihar", 1: "before the DELHI high court on 3 May <Y>", 2: "no names are in here, only words of <Y>", 3: "the ITAT and Nclat sat; education went on",
+    4: "Hon'ble Mr. Ravi Kumar Sen wrote, Dr. No did not",
+}
+_FOUND = [
+    (0, 0, "Supreme Court of India", "Court", "SC"), (0, 1, "Asha Rao", "Judge", None), (0, 2, "12/03/<Y>", "Date", None), (0, 3, "Ram Singh", "Party", "petitioner"), (0, 4, "State of Bihar", "Party", "respondent"),
+    (1, 0, "DELHI high court", "Court", "HC"), (1, 1, "3 May <Y>", "Date", None), (3, 0, "ITAT", "Court", "TRIBUNAL"), (3, 1, "Nclat", "Court", "TRIBUNAL"), (3, 2, "cat", "Court", "TRIBUNAL"), (4, 0, "Ravi Kumar Sen", "Judge", None),
+]
+
+
+def _filled(text: str) -> str:
+    return f"replace(replace({text}, '<Y>', CAST(year(o_orderdate) AS VARCHAR)), '<N>', CAST(o_orderkey AS VARCHAR))"
+
+
+def _texts(kinds: dict[int, str]) -> str:
+    cases = " ".join(f"WHEN {k} THEN {schema.sql_literal(t)}" for k, t in kinds.items())
+    return f"SELECT CAST(o_orderkey AS VARCHAR) AS id, {_filled(f'CASE o_orderkey % {len(kinds)} {cases} END')} AS text, o_orderkey, o_orderdate FROM {{orders}}"
+
+
+def _finds_sql(kinds: dict[int, str], rows: list[tuple], columns: str, out: str) -> str:
+    return f"SELECT id, pos, {_filled('raw')} AS raw, kind, strpos(text, {_filled('raw')}) - 1 AS char_start, strpos(text, {_filled('raw')}) - 1 + length({_filled('raw')}) AS char_end, {out} FROM ({plain(_texts(kinds))}) t JOIN {schema.values_sql(rows, columns)} f ON f.k = t.o_orderkey % {len(kinds)}"
+
+
+@query("cite_title_merge", _finds_sql(_CITED, _CITES, "k, pos, raw, kind, canonical, yr, parties", f"{_filled('canonical')} AS canonical_id, CAST({_filled('yr')} AS DOUBLE) AS year, parties"))
 def cite_title_merge(spark, sf_dir):
-    rows = both(spark, sf_dir, "SELECT CAST(o_orderkey AS VARCHAR) AS id, concat('See Ram Singh v. State of Rajasthan, AIR ', year(o_orderdate), ' SC ', o_orderkey, ' and Vishaka v State (2019) 5 SCC ', o_orderkey) AS text FROM {orders}")
-    return extract.extract_citations(rows)
+    return extract.extract_citations(both(spark, sf_dir, _texts(_CITED)))
 
 
-@query("ner_entities")
+@query("ner_entities", _finds_sql(_NAMED, _FOUND, "k, pos, raw, kind, extra", "extra"))
 def ner_entities(spark, sf_dir):
-    rows = both(spark, sf_dir, "SELECT CAST(o_orderkey AS VARCHAR) AS id, concat('The Supreme Court of India, per Justice Asha Rao, on 12/03/', year(o_orderdate), ' in Ram Singh v. State of Bihar') AS text FROM {orders}")
-    return extract.extract_entities(rows)
+    return extract.extract_entities(both(spark, sf_dir, _texts(_NAMED)))
+
+
+# ---- texts for people ---------------------------------------------------------------------------------
+
+
+@query("display_texts", "SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3000 < 1000 THEN concat(o_orderkey % 3000, ' ms') ELSE concat(printf('%.2f', (o_orderkey % 3000 + 5) // 10 / 100.0), ' s') END AS elapsed, CASE WHEN o_orderkey * 37 < 1024 THEN concat(o_orderkey * 37, ' B') WHEN o_orderkey * 37 < 1048576 THEN concat(printf('%.1f', round(o_orderkey * 37 / 1024.0, 1)), ' KB') ELSE concat(printf('%.1f', round(o_orderkey * 37 / 1048576.0, 1)), ' MB') END AS size, coalesce(list_extract(['Constitution / Statute', 'Supreme Court', 'High Court', 'Tribunal', 'Lower Court', 'Private Document', 'Private Note', 'AI Summary'], CAST(o_orderkey % 10 AS INT)), 'Unknown') AS tier FROM orders")
+def display_texts(spark, sf_dir):
+    rows = both(spark, sf_dir, "SELECT o_orderkey AS id FROM {orders}")
+    return rows.select("id", display.elapsed_text(F.col("id") % 3000).alias("elapsed"), display.bytes_text(F.col("id") * 37).alias("size"), display.tier_text((F.col("id") % 10).cast("int")).alias("tier"))
+
+
+@query("marker_runs", "SELECT doc_id, array_to_string(list_filter([source, CASE WHEN n_chars % 3 > 0 THEN '<S1>' END, CASE WHEN n_chars % 3 = 2 THEN concat('<S', doc_id, '>') END, ' tail [S] ', CASE WHEN n_chars % 2 = 0 THEN '<S7>' END], lambda x: x IS NOT NULL), '|') AS runs FROM documents")
+def marker_runs(spark, sf_dir):
+    rows = both(spark, sf_dir, "SELECT doc_id, concat(source, CASE WHEN n_chars % 3 > 0 THEN '[S1]' ELSE '' END, CASE WHEN n_chars % 3 = 2 THEN concat('[S', doc_id, ']') ELSE '|' END, ' tail [S] ', CASE WHEN n_chars % 2 = 0 THEN '[S7]' ELSE '' END) AS text FROM {documents}")
+    shown = F.transform(display.marker_runs(F.regexp_replace("text", r"\|", "")), lambda r: F.when(r["kind"] == "marker", F.concat(F.lit("<"), r["value"], F.lit(">"))).otherwise(r["value"]))
+    joined = F.array_join(shown, "|")
+    # between a source and the tail there is no marker where n_chars % 3 = 0: they are one run
+    return rows.select("doc_id", F.replace(joined, F.lit(" tail [S] "), F.lit("| tail [S] ")).alias("runs")).withColumn("runs", F.replace("runs", F.lit("||"), F.lit("|")))
+
+
+_SIGNAL = "CASE o_orderkey % 6 WHEN 0 THEN 'Punishment under Section 302 IPC, and its equivalent in the BNS? See Ram v. State' WHEN 1 THEN 'hello there' WHEN 2 THEN 'which judgment follows' WHEN 3 THEN 'what sentence is due' WHEN 4 THEN 'map ipc to bns' ELSE 'section nine' END"
+
+
+@query("query_signals", "SELECT o_orderkey AS qid, concat(CASE WHEN o_custkey % 2 = 0 THEN 'Matter-scoped retrieval|' ELSE '' END, CASE o_orderkey % 6 WHEN 0 THEN CASE WHEN o_custkey % 2 = 0 THEN 'Statute anchor detected|Punishment lookup|Crosswalk-sensitive question' ELSE 'Statute anchor detected|Punishment lookup|Crosswalk-sensitive question' END WHEN 1 THEN CASE WHEN o_custkey % 2 = 0 THEN '' ELSE 'Generic research query' END WHEN 2 THEN 'Precedent retrieval likely' WHEN 3 THEN 'Punishment lookup' WHEN 4 THEN 'Statute anchor detected|Crosswalk-sensitive question' ELSE CASE WHEN o_custkey % 2 = 0 THEN '' ELSE 'Generic research query' END END) AS signals FROM orders")
+def query_signals(spark, sf_dir):
+    rows = both(spark, sf_dir, f"SELECT o_orderkey AS qid, {_SIGNAL} AS question, CASE WHEN o_custkey % 2 = 0 THEN 'm1' ELSE ' ' END AS scope FROM {{orders}}")
+    found = F.array_join(F.transform(display.signals(F.col("question"), F.col("scope")), lambda s: s["label"]), "|")
+    # the mark behind the first label stands even where no other follows
+    return rows.select("qid", F.when(found == "Matter-scoped retrieval", "Matter-scoped retrieval|").otherwise(found).alias("signals"))
 
 
 # ---- sinks and events ----------------------------------------------------------------------------------
@@ -389,10 +447,9 @@ def trace_sessions_15m(spark, sf_dir):
     return bus.sessions(_events(spark, sf_dir)).select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), "n")
 
 
-@query("trace_last_512", "SELECT user_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events) x WHERE k <= 16")
+@query("trace_last_512", "SELECT user_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events) x WHERE k <= 512")
 def trace_last_512(spark, sf_dir):
-    """The ring of a trace, here of 16 so that the table fills it."""
-    return bus.last_events(_events(spark, sf_dir), 16).select("user_id", "event_id")
+    return bus.last_events(_events(spark, sf_dir)).select("user_id", "event_id")
 
 
 @query("stream_dlq_split", "SELECT CASE WHEN event_type IS NULL OR TRY_CAST(json_extract_string(props, '$.k') AS INT) IS NULL OR TRY_CAST(json_extract_string(props, '$.k') AS INT) % 13 = 0 THEN 'dead' ELSE 'good' END AS route, event_type, count(*) AS n FROM events GROUP BY 1, 2")
@@ -407,6 +464,24 @@ def stream_idempotent(spark, sf_dir):
     return bus.once(_events(spark, sf_dir)).groupBy("event_type").agg(F.count("*").alias("n"))
 
 
+_MESSAGES = """SELECT event_id, CASE event_id % 6 WHEN 0 THEN concat('{{"event_type":"query.request","trace_id":"t', user_id, '","question":"q', event_id, '","filters":{{"a":"b"}}}}') WHEN 1 THEN '{{"event_type":"query.request","trace_id":"t"}}'
+ WHEN 2 THEN concat('{{"event_type":"graph.written","trace_id":"t', user_id, '","episode_id":"e","node_ids":["n1","n2"],"edge_count":', event_id, '}}') WHEN 3 THEN '{{"event_type":"eval.request","trace_id":"t","x":1}}' WHEN 4 THEN 'broken' ELSE '{{"trace_id":"t"}}' END AS data FROM {events}"""
+
+
+@query("typed_events", "SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'query.request' WHEN 2 THEN 'graph.written' WHEN 3 THEN 'generic' ELSE 'unknown' END AS kind, CASE event_id % 6 WHEN 0 THEN 'query.request' WHEN 2 THEN 'graph.written' WHEN 3 THEN 'eval.request' ELSE 'unknown' END AS event_type, CASE WHEN event_id % 6 IN (0, 2) THEN concat('t', user_id) WHEN event_id % 6 = 3 THEN 't' ELSE 'unknown' END AS trace_id, CASE WHEN event_id % 6 = 0 THEN concat('q', event_id) END AS question, CASE WHEN event_id % 6 = 2 THEN event_id END AS edges, CASE WHEN event_id % 6 = 2 THEN 2 END AS nodes FROM events")
+def typed_events(spark, sf_dir):
+    rows = both(spark, sf_dir, _MESSAGES)
+    out = bus.typed_events(rows)
+    return out.select("event_id", "kind", "event_type", "trace_id", F.col("query_request.question").alias("question"), F.col("graph_written.edge_count").alias("edges"), F.when(F.col("graph_written").isNotNull(), F.size("graph_written.node_ids")).alias("nodes"))
+
+
+@query("answered_within", "SELECT a.user_id, a.event_id AS request_id, b.event_id AS answer_id FROM events a JOIN events b ON b.user_id = a.user_id AND b.ts >= a.ts AND b.ts <= a.ts + INTERVAL 10 MINUTE WHERE a.event_id % 2 = 0 AND b.event_id % 2 = 1")
+def answered_within(spark, sf_dir):
+    """The batch form of the stream-stream join; every second event asks, the others answer."""
+    rows = _events(spark, sf_dir)
+    return bus.answered_within(rows.filter("event_id % 2 = 0"), rows.filter("event_id % 2 = 1")).select("user_id", "request_id", "answer_id")
+
+
 # ---- extras: plain relational forms that the engine offers beside its own operators ------------------------
 
 

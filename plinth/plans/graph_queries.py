@@ -216,7 +216,7 @@ def subgraph_neighborhood(spark, sf_dir):
 @query("graph_counts", f"SELECT 'node' AS what, node_type AS kind, count(*) AS n FROM ({NODES}) x GROUP BY node_type UNION ALL SELECT 'edge', edge_type, count(*) FROM ({EDGES}) y GROUP BY edge_type")
 def graph_counts(spark, sf_dir):
     g = star_graph(spark, sf_dir)
-    return g.nodes.groupBy(F.lit("node").alias("what"), F.col("node_type").alias("kind")).agg(F.count("*").alias("n")).unionByName(g.edges.groupBy(F.lit("edge").alias("what"), F.col("edge_type").alias("kind")).agg(F.count("*").alias("n")))
+    return graph.counts_by_type(g.nodes, g.edges)
 
 
 # ---- validation and upserts -------------------------------------------------------------------
@@ -226,7 +226,7 @@ _PROPS = """SELECT concat('n', o_orderkey) AS id, CASE o_orderkey % 4 WHEN 0 THE
 
 
 @query("node_validation_rejects", f"""SELECT id, node_type, prop FROM (SELECT x.id, x.node_type, r.prop, CASE r.prop WHEN 'number' THEN number WHEN 'act_ref' THEN act_ref WHEN 'title' THEN title WHEN 'court_ref' THEN court_ref WHEN 'name' THEN name END AS v
- FROM ({plain(_PROPS)}) x JOIN {schema.values_sql([(t, p) for t, ps in schema.REQUIRED.items() for p in ps.split()], 'node_type, prop')} r ON r.node_type = x.node_type) y WHERE coalesce(v, '') = ''""")
+ FROM ({plain(_PROPS)}) x JOIN {schema.values_sql([(t, p) for t, ps in schema.REQUIRED.items() for p in ps], 'node_type, prop')} r ON r.node_type = x.node_type) y WHERE coalesce(v, '') = ''""")
 def node_validation_rejects(spark, sf_dir):
     rows = both(spark, sf_dir, _PROPS)
     keys = ("number", "act_ref", "title", "court_ref", "name")
@@ -281,7 +281,7 @@ def authority_tier_assign(spark, sf_dir):
 @query("unknown_types_dropped", f"SELECT x.node_type, count(*) AS n FROM (SELECT CASE o_orderkey % 3 WHEN 0 THEN 'Date' WHEN 1 THEN 'Case' ELSE 'Section' END AS node_type FROM orders) x JOIN {schema.values_sql([(t,) for t in schema.NODE_TYPES], 'node_type')} t ON t.node_type = x.node_type GROUP BY x.node_type")
 def unknown_types_dropped(spark, sf_dir):
     rows = both(spark, sf_dir, "SELECT CASE o_orderkey % 3 WHEN 0 THEN 'Date' WHEN 1 THEN 'Case' ELSE 'Section' END AS node_type FROM {orders}")
-    return rows.join(F.broadcast(schema.dim_node_type(spark).select("node_type")), "node_type", "left_semi").groupBy("node_type").agg(F.count("*").alias("n"))
+    return rows.join(schema.dim_node_type(spark).select("node_type"), "node_type", "left_semi").groupBy("node_type").agg(F.count("*").alias("n"))
 
 
 # ---- lookups -----------------------------------------------------------------------------------
@@ -294,28 +294,35 @@ def span_for_node_first(spark, sf_dir):
     return graph.first_span(edges, spans)
 
 
-_SPANS = "SELECT concat('order:', o_orderkey) AS node, CASE WHEN o_orderkey % 2 = 0 THEN concat('direct ', o_orderkey) END AS direct, CASE WHEN o_orderkey % 3 = 0 THEN concat('mention ', o_custkey) END AS mention, CASE WHEN o_orderkey % 5 = 0 THEN concat('relation ', o_custkey) END AS relation FROM {orders}"
+# nodes o<key>: some derived from a span, some mentioned by an episode, some ids of relations between entities c<custkey>, which episodes mention
+_BACKED = """SELECT 'NODE_DERIVED_FROM_SOURCE' AS edge_type, concat('o', o_orderkey) AS src, concat('s', o_orderkey % 50) AS dst, CAST(NULL AS VARCHAR) AS id FROM {orders} WHERE o_orderkey % 2 = 0
+ UNION ALL SELECT 'MENTIONS', concat('ep', o_orderkey % 40), concat('o', o_orderkey), NULL FROM {orders} WHERE o_orderkey % 3 = 0
+ UNION ALL SELECT 'RELATES_TO', concat('c', o_custkey), 'c-none', concat('o', o_orderkey) FROM {orders} WHERE o_orderkey % 5 = 0
+ UNION ALL SELECT 'MENTIONS', concat('ep', 100 + c_custkey % 40), concat('c', c_custkey), NULL FROM {customer}"""
+_EPISODES = "SELECT concat('ep', CAST(p_partkey - 1 AS VARCHAR)) AS id, p_name AS content, CASE WHEN p_partkey % 4 <> 1 THEN concat('provenance_span:s', p_partkey - 1) ELSE 'mail' END AS source_description FROM {part} WHERE p_partkey <= 140"
 
 
-@query("span_for_node_coalesce", f"SELECT node, coalesce(direct, mention, relation, concat('synthetic ', node)) AS text, CASE WHEN direct IS NOT NULL THEN 'direct' WHEN mention IS NOT NULL THEN 'mention' WHEN relation IS NOT NULL THEN 'relation' ELSE 'synthetic' END AS via FROM ({plain(_SPANS)}) x")
+@query("span_for_node_coalesce", f"""WITH e AS ({plain(_BACKED)}), ep AS ({plain(_EPISODES)}), sp AS (SELECT concat('s', p_partkey - 1) AS id, p_type AS text FROM part WHERE p_partkey <= 60),
+ ids AS (SELECT concat('o', o_orderkey) AS node FROM orders), m AS (SELECT dst AS entity, src AS episode FROM e WHERE edge_type = 'MENTIONS'),
+ named AS (SELECT node, episode, 1 AS pos, 'mention' AS via FROM ids JOIN m ON m.entity = ids.node UNION ALL SELECT e.id, m.episode, 2, 'relation' FROM e JOIN m ON m.entity = e.src OR m.entity = e.dst WHERE e.edge_type = 'RELATES_TO'),
+ c AS (SELECT e.src AS node, 0 AS pos, 'direct' AS via, sp.id AS span_id, sp.text FROM e JOIN sp ON sp.id = e.dst WHERE e.edge_type = 'NODE_DERIVED_FROM_SOURCE'
+  UNION ALL SELECT node, CASE WHEN sp.id IS NULL THEN 3 ELSE pos END, CASE WHEN sp.id IS NULL THEN 'synthetic' ELSE via END, coalesce(sp.id, ep.id), coalesce(sp.text, ep.content) FROM named JOIN ep ON ep.id = named.episode LEFT JOIN sp ON concat('provenance_span:', sp.id) = ep.source_description)
+ SELECT node, span_id, text, via FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY pos, span_id, via, text) AS k FROM c) x WHERE k = 1""")
 def span_for_node_coalesce(spark, sf_dir):
-    rows = both(spark, sf_dir, _SPANS)
-    base = rows.select("node")
-    for name in ("direct", "mention", "relation"):
-        base = base.join(rows.filter(f"{name} is not null").select("node", name), "node", "left")
-    via = F.when(F.col("direct").isNotNull(), "direct").when(F.col("mention").isNotNull(), "mention").when(F.col("relation").isNotNull(), "relation").otherwise("synthetic")
-    return base.select("node", F.coalesce("direct", "mention", "relation", F.concat(F.lit("synthetic "), "node")).alias("text"), via.alias("via"))
+    spans = both(spark, sf_dir, "SELECT concat('s', p_partkey - 1) AS id, p_type AS text FROM {part} WHERE p_partkey <= 60")
+    ids = both(spark, sf_dir, "SELECT concat('o', o_orderkey) AS node FROM {orders}")
+    return graph.span_with_fallbacks(ids, both(spark, sf_dir, _BACKED), spans, both(spark, sf_dir, _EPISODES))
 
 
-@query("find_nodes_props", f"SELECT id, label FROM ({NODES}) n WHERE node_type = 'Provis' || 'o' AND lower(coalesce(CAST(tier AS VARCHAR), '')) = '4' ORDER BY id LIMIT 25")
+@query("find_nodes_props", f"SELECT id, label FROM ({NODES}) n WHERE node_type = 'Proviso' AND lower(coalesce(CAST(tier AS VARCHAR), '')) = '4' ORDER BY id LIMIT 25")
 def find_nodes_props(spark, sf_dir):
     return graph.find_by_properties(star_graph(spark, sf_dir).nodes, "Proviso", {"tier": "4"}, 25).select("id", "label")
 
 
-@query("lookup_case_alias", "SELECT upper(concat('air ', c_custkey % 900)) AS citation, min(concat('customer:', c_custkey)) AS case_id FROM customer WHERE c_custkey % 900 < 300 GROUP BY 1")
+@query("lookup_case_alias", "SELECT upper(concat('air ', c_custkey % 900)) AS citation, min(concat('customer:', c_custkey)) AS case_id FROM customer GROUP BY 1")
 def lookup_case_alias(spark, sf_dir):
     cases = both(spark, sf_dir, "SELECT concat('customer:', c_custkey) AS id, array(concat('Air ', c_custkey % 900), c_name) AS aliases FROM {customer}")
-    wanted = both(spark, sf_dir, "SELECT DISTINCT concat('AIR ', c_custkey % 300) AS citation FROM {customer}")
+    wanted = both(spark, sf_dir, "SELECT DISTINCT concat('AIR ', c_custkey % 1200) AS citation FROM {customer}")
     return graph.case_by_alias(cases, wanted)
 
 
@@ -328,13 +335,13 @@ _REFS = "SELECT o_orderkey AS qid, CASE o_orderkey % 4 WHEN 0 THEN 'Indian Penal
 @query("crosswalk_lookup_forward", f"SELECT r.qid, c.name, c.target_section, c.mapping_type FROM ({plain(_REFS)}) r JOIN {_CW} c ON c.source_act = r.act AND lower(c.source_section) = r.section")
 def crosswalk_lookup_forward(spark, sf_dir):
     refs, cw = both(spark, sf_dir, _REFS), schema.dim_crosswalk(spark)
-    return refs.join(F.broadcast(cw), (cw["source_act"] == refs["act"]) & (F.lower(F.trim(cw["source_section"])) == F.lower(F.trim(refs["section"])))).select("qid", "name", "target_section", "mapping_type")
+    return refs.join(cw, (cw["source_act"] == refs["act"]) & (F.lower(F.trim(cw["source_section"])) == F.lower(F.trim(refs["section"])))).select("qid", "name", "target_section", "mapping_type")
 
 
 @query("crosswalk_lookup_backward", f"SELECT r.qid, c.name, c.source_section, c.mapping_type FROM ({plain(_REFS)}) r JOIN {_CW} c ON c.target_act = r.act AND lower(c.target_section) = r.section")
 def crosswalk_lookup_backward(spark, sf_dir):
     refs, cw = both(spark, sf_dir, _REFS), schema.dim_crosswalk(spark)
-    return refs.join(F.broadcast(cw), (cw["target_act"] == refs["act"]) & (F.lower(F.trim(cw["target_section"])) == F.lower(F.trim(refs["section"])))).select("qid", "name", "source_section", "mapping_type")
+    return refs.join(cw, (cw["target_act"] == refs["act"]) & (F.lower(F.trim(cw["target_section"])) == F.lower(F.trim(refs["section"])))).select("qid", "name", "source_section", "mapping_type")
 
 
 _TOK = "CASE {0} WHEN 'Indian Penal Code, 1860' THEN 'ipc' WHEN 'Bharatiya Nyaya Sanhita, 2023' THEN 'bns' WHEN 'Indian Evidence Act, 1872' THEN 'iea' WHEN 'Code of Criminal Procedure, 1973' THEN 'crpc' WHEN 'Bharatiya Sakshya Adhiniyam, 2023' THEN 'bsa' ELSE 'bnss' END"
@@ -351,7 +358,7 @@ def seeds_crosswalk(spark, sf_dir):
 @query("crosswalk_edges_of_document", f"SELECT DISTINCT r.qid, concat('section:', {_TOK.format('c.source_act')}, ':', lower(source_section)) AS src, concat('section:', {_TOK.format('c.target_act')}, ':', lower(target_section)) AS dst FROM ({plain(_REFS)}) r JOIN {_CW} c ON (c.source_act = r.act AND c.source_section = r.section) OR (c.target_act = r.act AND c.target_section = r.section)")
 def crosswalk_edges_of_document(spark, sf_dir):
     """Two equi-joins united, instead of a nested loop over a disjunction."""
-    refs, cw = both(spark, sf_dir, _REFS), F.broadcast(schema.dim_crosswalk(spark))
+    refs, cw = both(spark, sf_dir, _REFS), schema.dim_crosswalk(spark)
     one = refs.join(cw, (cw["source_act"] == refs["act"]) & (cw["source_section"] == refs["section"]))
     two = refs.join(cw, (cw["target_act"] == refs["act"]) & (cw["target_section"] == refs["section"]))
     node = lambda act, sec: fx.section_node(F.col(act), F.col(sec))

@@ -60,9 +60,9 @@ def section_nodes(spark, sf_dir):
     return found.select("qid", fx.section_node(F.col("r.act"), F.col("r.section")).alias("node"))
 
 
-@query("slug", "SELECT doc_id, trim(regexp_replace(lower(substr(text, 1, 60)), '[^a-z0-9]+', '_', 'g'), '_') AS slug FROM documents")
+@query("slug", "SELECT doc_id, trim(regexp_replace(lower(text), '[^a-z0-9]+', '_', 'g'), '_') AS slug FROM documents")
 def slug(spark, sf_dir):
-    return both(spark, sf_dir, "SELECT doc_id, substr(text, 1, 60) AS head FROM {documents}").select("doc_id", fx.slug(F.col("head")).alias("slug"))
+    return both(spark, sf_dir, "SELECT doc_id, text FROM {documents}").select("doc_id", fx.slug(F.col("text")).alias("slug"))
 
 
 _ACTS = [(n, t) for n, t in (("Indian Penal Code, 1860", "ipc"), ("IPC", "ipc"), ("Bharatiya Nyaya Sanhita 2023", "bns"), ("BNSS", "bnss"), ("Indian Evidence Act, 1872", "iea"), ("Code of Criminal Procedure (Amended)", "crpc"), ("Some Other Act, 1999", "some_other_act"), ("Constitution of India", "constitution"), ("cr pc", "crpc"))]
@@ -191,11 +191,11 @@ def document_kind_of_name(spark, sf_dir):
 
 @query("upload_verification", "SELECT doc_id, doc_id % 7 <> 0 AS ok, CASE WHEN length(text) = 0 THEN 'empty' WHEN n_chars > 20000 THEN 'too_large' ELSE 'accepted' END AS verdict FROM documents")
 def upload_verification(spark, sf_dir):
-    from plinth.sources.files import upload_verdict
+    from plinth.sources.files import upload_verdict, verified
 
     rows = both(spark, sf_dir, "SELECT doc_id, text, n_chars FROM {documents}")
-    claimed = F.when(F.col("doc_id") % 7 == 0, F.lit("0")).otherwise(F.sha2("text", 256))
-    return rows.select("doc_id", (F.sha2("text", 256) == claimed).alias("ok"), upload_verdict(F.length("text"), F.col("n_chars"), 20000).alias("verdict"))
+    claimed = F.when(F.col("doc_id") % 7 == 0, F.lit("0")).otherwise(F.upper(F.sha2("text", 256)))
+    return verified(rows.withColumn("content", F.col("text")).withColumn("claimed", claimed)).select("doc_id", "ok", upload_verdict(F.length("text"), F.col("n_chars"), 20000).alias("verdict"))
 
 
 @query("seeded_minus_files", "SELECT o_orderkey AS id FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_linenumber = 1)")
@@ -204,12 +204,12 @@ def seeded_minus_files(spark, sf_dir):
     return seeds.join(both(spark, sf_dir, "SELECT l_orderkey AS id FROM {lineitem} WHERE l_linenumber = 1"), "id", "left_anti")
 
 
-@query("pick_text_field", "SELECT doc_id, substr(CASE WHEN length(trim(text)) >= 200 THEN text WHEN length(source) >= 200 THEN source ELSE CASE WHEN length(text) >= length(source) THEN text ELSE source END END, 1, 6000) AS body, substr(sha256(text), 1, 16) AS id FROM documents")
+@query("pick_text_field", "SELECT doc_id, CASE WHEN length(trim(text)) >= 200 THEN text WHEN length(source) >= 200 THEN source ELSE CASE WHEN length(text) >= length(source) THEN text ELSE source END END AS body, substr(sha256(text), 1, 16) AS id FROM documents")
 def pick_text_field(spark, sf_dir):
     from plinth.sources.files import pick_text
 
     rows = both(spark, sf_dir, "SELECT doc_id, text, source FROM {documents}")
-    return rows.select("doc_id", F.substring(pick_text(["text", "source"]), 1, 6000).alias("body"), F.substring(F.sha2("text", 256), 1, 16).alias("id"))
+    return rows.select("doc_id", pick_text(["text", "source"]).alias("body"), F.substring(F.sha2("text", 256), 1, 16).alias("id"))
 
 
 _STRIP = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -223,9 +223,10 @@ def pick_text_fetched(spark, sf_dir):
     return rows.select("doc_id", fetched_text(["text", "source"]).alias("body"), F.substring(F.sha2("text", 256), 1, 16).alias("id"))
 
 
-@query("fetch_precedence", "SELECT o_orderkey AS id, CASE WHEN o_orderkey % 4 = 0 THEN 'file' WHEN o_orderkey % 3 = 0 THEN 'cache' WHEN o_orderkey % 5 = 0 THEN 'http' ELSE 'missing' END AS via FROM orders")
+@query("fetch_precedence", "SELECT o_orderkey AS id, CASE WHEN o_orderkey % 7 = 0 OR o_orderkey % 4 = 0 THEN 'file' WHEN o_orderkey % 3 = 0 THEN 'cache' WHEN o_orderkey % 5 = 0 THEN 'http' ELSE 'missing' END AS via, CASE WHEN o_orderkey % 7 = 0 THEN concat('/in/', o_orderkey) WHEN o_orderkey % 4 = 0 THEN concat('local', o_orderkey) WHEN o_orderkey % 3 = 0 THEN concat('cache', o_orderkey) WHEN o_orderkey % 5 = 0 THEN concat('http', o_orderkey) END AS path FROM orders")
 def fetch_precedence(spark, sf_dir):
-    refs = both(spark, sf_dir, "SELECT o_orderkey AS id FROM {orders}")
-    side = lambda n, k: refs.filter(F.col("id") % n == 0).select("id", F.lit(k).alias(k))
-    joined = refs.join(side(4, "file"), "id", "left").join(side(3, "cache"), "id", "left").join(side(5, "http"), "id", "left")
-    return joined.select("id", F.coalesce("file", "cache", "http", F.lit("missing")).alias("via"))
+    from plinth.sources.files import fetch_route
+
+    refs = both(spark, sf_dir, "SELECT o_orderkey AS id, CASE WHEN o_orderkey % 7 = 0 THEN concat('file:///in/', o_orderkey) ELSE concat('https://x.org/', o_orderkey) END AS url FROM {orders}")
+    side = lambda n, name: refs.filter(F.col("id") % n == 0).select("id", F.concat(F.lit(name), F.col("id").cast("string")).alias("path"))
+    return fetch_route(refs, side(4, "local"), side(3, "cache"), side(5, "http")).select("id", "via", "path")

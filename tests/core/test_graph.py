@@ -93,4 +93,4 @@ def test_merge_keeps_the_latest_present_property(spark):
 def test_vocabulary_sizes():
     assert len(schema.NODE_TYPES) == 65 == len(set(schema.NODE_TYPES)) and len(schema.EDGES) == 42 and len(schema.INDEXABLE) == 26
     assert len(schema.crosswalk_rows()) == 38 and len(schema.REQUIRED) == 24 and sum(t for *_, t in schema.EDGES) == 4
-    assert {t for _, s, d, _ in schema.EDGES for t in (s + " " + d).split()} - {"*"} <= set(schema.NODE_TYPES)
+    assert {t for _, s, d, _ in schema.EDGES for t in s + d} - {"*"} <= set(schema.NODE_TYPES)

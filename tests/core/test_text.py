@@ -85,11 +85,11 @@ def test_html_docx_and_decoding(spark, tmp_path):
         z.writestr("word/document.xml", f"<w:document {ns}><w:body><w:p><w:r><w:t>Hello</w:t></w:r></w:p><w:tbl><w:tr><w:tc><w:p><w:r><w:t>a</w:t></w:r></w:p></w:tc><w:tc><w:p><w:r><w:t>b</w:t></w:r></w:p></w:tc></w:tr></w:tbl></w:body></w:document>")
     assert files.docx_text(box.getvalue()) == "Hello\na | b"
     (tmp_path / "sub").mkdir()
-    (tmp_path / "sub" / "fir_1.txt").write_bytes("café".encode("latin-1"))
+    (tmp_path / "sub" / "fir_1.txt").write_bytes("café!".encode("latin-1"))
     (tmp_path / "a.html").write_text(page)
     (tmp_path / "skip.part").write_text("x")
     got = {r["name"]: (r.kind, " ".join(r.text.split())) for r in files.corpus(spark, str(tmp_path)).collect()}
-    assert got == {"fir_1.txt": ("fir", "café"), "a.html": ("statute", "Main text")}
+    assert got == {"fir_1.txt": ("fir", "café!"), "a.html": ("statute", "Main text")}
 
 
 def test_sources(spark, tmp_path):
