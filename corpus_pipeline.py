@@ -1,4 +1,15 @@
-"""Training-corpus pipeline: each stage works on all that its predecessor kept."""
+"""Training-corpus pipeline: each stage works on all that its predecessor kept.
+
+Defined cases, as the operators state them: a null or empty text is scored,
+links with nothing, holds no benchmark item and is placed with 8 bytes; a null
+id stays through all stages and is placed by its text; of rows that repeat id
+and text one stays after the n-gram join; of documents that tie, the one with
+the least id stays; equal shard loads go to the lowest shard; empty tables
+give empty tables, and without labels or benchmark items nothing is dropped
+for them. Further columns pass through whatever their names, but for those
+that the last stage adds (size, text_crc32, law, shard, slot, grown_shard,
+vslot), which take the place of equally named ones.
+"""
 
 from __future__ import annotations
 
@@ -8,6 +19,9 @@ from plinth.llm import decontam, mixing, ngram_join, sharding, toxicity
 from plinth.session import materialize
 
 
+SHUFFLE_SEED = 23
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -33,8 +47,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def place_in_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All columns, plus shard and position in it."""
-    return sharding.shard(docs, keep=tuple(docs.columns))
+    """All columns, plus shard and position in it; in a slot the order stays shuffled, copies of a document apart."""
+    return sharding.shard(docs, keep=tuple(docs.columns), seed=SHUFFLE_SEED)
 
 
 STAGES = [
