@@ -1,8 +1,9 @@
 """Line deduplication by overlapping three-line windows.
 
 A document's non-blank lines (stripped of ASCII white space at both ends)
-form overlapping windows of three consecutive lines. A window's hash is
-looked up over the whole corpus; every occurrence but the first, by
+form overlapping windows of three consecutive lines. A window's hash (128 bits,
+so that no two of all windows of a corpus are taken for one) is looked up
+over the whole corpus; every occurrence but the first, by
 (doc_id, text digest, position), marks its three lines. Marked lines of
 overlapping windows merge into runs, and the runs are removed.
 
@@ -10,7 +11,7 @@ Defined cases: null texts have no lines and stay null; blank lines are never
 hashed and go only with the marked lines around them (a blank line stays);
 texts of fewer than three non-blank lines stay as they are; rows that repeat
 both id and text count as one document, and each is returned with the same
-result; null ids sort first. Extra columns are dropped.
+result; null ids sort first; an empty table gives no rows. Extra columns are dropped.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ from pyspark.sql import functions as F
 
 WHITE = " \t\n\x0b\f\r"
 WINDOW = 3
+#: What the second half of a window's hash starts from.
+CHECK_SEED = 7
 
 
 def _lines(text: Column) -> Column:
@@ -33,19 +36,19 @@ def _numbered(text: Column) -> Column:
 
 
 def windows(docs: DataFrame) -> DataFrame:
-    """(doc_id, digest, pos, first line, last line, hash) of each window."""
+    """(doc_id, digest, pos, hash, check, nos) of each window; ``hash`` and ``check`` together name its lines."""
     kept = docs.select("doc_id", F.xxhash64("text").alias("digest"), _numbered(F.col("text")).alias("ls")).filter(F.size("ls") >= WINDOW)
     rows = kept.select("doc_id", "digest", "ls", F.explode(F.sequence(F.lit(0), F.size("ls") - WINDOW)).alias("pos"))
     at = [F.col("ls")[F.col("pos") + k] for k in range(WINDOW)]
-    return rows.select("doc_id", "digest", "pos", F.xxhash64(*(a["line"] for a in at)).alias("hash"), F.array(*(a["no"] for a in at)).alias("nos"))
+    return rows.select("doc_id", "digest", "pos", F.xxhash64(*(a["line"] for a in at)).alias("hash"), F.xxhash64(F.lit(CHECK_SEED), *(a["line"] for a in at)).alias("check"), F.array(*(a["no"] for a in at)).alias("nos"))
 
 
 def marked_lines(docs: DataFrame) -> DataFrame:
     """(doc_id, digest, marked): the line numbers that repeat an earlier window, in order."""
     all_windows = windows(docs)
     place = F.struct("doc_id", "digest", "pos")
-    repeated = all_windows.groupBy("hash").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter(F.col("first") != F.col("last"))
-    later = all_windows.join(repeated.select("hash", "first"), "hash").filter(~place.eqNullSafe(F.col("first")))
+    repeated = all_windows.groupBy("hash", "check").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter(F.col("first") != F.col("last"))
+    later = all_windows.join(repeated.select("hash", "check", "first"), ["hash", "check"]).filter(~place.eqNullSafe(F.col("first")))
     return later.groupBy("doc_id", "digest").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("nos")))).alias("marked"))
 
 
