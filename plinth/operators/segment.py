@@ -56,6 +56,10 @@ _SCHEDULE = re.compile(r"(?im)^[ \t]*SCHEDULE\s+[A-Z0-9]+\b")
 _EXHIBIT = re.compile(r"(?i)\b(Ex(?:hibit)?\.?\s*[PDC]?-?\s*\d+[A-Za-z]?)\b")
 _STATEMENT = re.compile(r"\b(?:Statement|Deposition|Cross[-\s]?examination|Examination[-\s]?in[-\s]?chief)\s+of\s+([A-Z][A-Za-z.\- ]+)\b")
 
+_BOUNDARY = re.compile(r"(?im)^\s*(?:\(\d+[A-Za-z]?\)\s|Provided\b|Explanation(?:\s+\d+)?\.|Illustration)")
+#: Characters at the start of a text that stand for its act (fixed value).
+ACT_SPAN = 2000
+
 COLUMNS = "id string, pos int, node_type string, label string, text string, char_start int, char_end int, parent string, extra string"
 
 
@@ -70,28 +74,34 @@ def detect_act(text: str) -> tuple[str | None, str | None]:
 
 
 def statute(text: str) -> list[tuple]:
-    """Act, parts, chapters, sections with the chapter they stand in, and their sub-units."""
+    """Act, parts and chapters (their heading lines), sections under the chapter they stand in, and their sub-units.
+
+    An act spans the first ACT_SPAN characters. A sub-unit ends where any
+    other begins, or with its section.
+    """
     out: list[tuple] = []
     name, token = detect_act(text)
     if name:
-        out.append(("Act", name, text[:200].strip(), 0, len(text), None, token))
-    heads = [(m.start(), m["kind"].capitalize(), f"{m['kind'].capitalize()} {m['num']}", m["title"].strip()) for m in _HEAD.finditer(text)]
-    sections = [(m.start(), "Section", f"Section {m['num']}", m["title"].strip(), m["num"]) for m in _SECTION.finditer(text)]
-    anchors = sorted([(h[0], *h[1:], None) for h in heads] + sections)
+        out.append(("Act", name, name, 0, min(len(text), ACT_SPAN), None, token))
+    heads = [(m.start(), m["kind"].capitalize(), f"{m['kind'].capitalize()} {m['num']}", m) for m in _HEAD.finditer(text)]
+    sections = [(m.start(), "Section", f"Section {m['num']}", m) for m in _SECTION.finditer(text)]
+    anchors = sorted(heads + sections, key=lambda a: a[0])
     starts = [a[0] for a in anchors] + [len(text)]
     inside = {"Part": None, "Chapter": None}
-    for k, (start, kind, label, title, num) in enumerate(anchors):
+    for k, (start, kind, label, m) in enumerate(anchors):
         end = starts[k + 1]
         if kind in inside:
             inside[kind] = label
-            out.append((kind, label, title or label, start, end, name if kind == "Part" else inside["Part"] or name, None))
+            out.append((kind, label, m[0].strip(), start, m.end(), name if kind == "Part" else inside["Part"] or name, m["title"].strip() or None))
             continue
-        out.append((kind, label, text[start:end].strip(), start, end, inside["Chapter"] or inside["Part"] or name, f"{token}:{num.lower()}" if token else num.lower()))
-        body = text[start:end]
-        units = sorted((m.start(), unit, m[1] if m.groups() else None) for unit, pattern in _SUBUNITS for m in pattern.finditer(body) if m.start() > 0)
-        for j, (at, unit, sub) in enumerate(units):
-            stop = units[j + 1][0] if j + 1 < len(units) else len(body)
-            out.append((unit, f"{label}({sub})" if sub else f"{unit} to {label}", body[at:stop].strip(), start + at, start + stop, label, sub))
+        number = m["num"].lower()
+        body = text[start:end].rstrip()
+        out.append((kind, label, body.strip(), start, end, inside["Chapter"] or inside["Part"] or name, f"{token}:{number}" if token else number))
+        units = sorted((u.start(), u.end(), unit, u[1] if u.groups() else None) for unit, pattern in _SUBUNITS for u in pattern.finditer(body) if u.start() > 0)
+        for at, after, unit, sub in units:
+            edge = _BOUNDARY.search(body, after)
+            stop = start + edge.start() if edge else end
+            out.append((unit, f"{label}({sub})" if sub else f"{label} - {unit.lower()}", text[start + at : stop].strip(), start + at, stop, label, sub))
     return out
 
 

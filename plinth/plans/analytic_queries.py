@@ -318,9 +318,38 @@ def segment_documents(spark, sf_dir):
     return segment.segment(both(spark, sf_dir, _KINDS))
 
 
-@query("segment_statute_full")
+# texts of three kinds and their segments: (remainder of the order's key, position, type, label, text, exact span or null for the whole text, parent, extra)
+_STATUTES = {
+    0: "CHAPTER <N> OF FIRST\n1. Short title.\nbody of <Y>\nCHAPTER 9 LAST\nSection 2A. Meaning\nof words\n", 2: "no statute is in here, 7 of <N>. words",
+    1: "THE TEST OF TIME ACT, 1999\nPART II GENERAL\n7. Theft.\nWho takes in <Y> commits theft.\n(1) A thing is movable.\nProvided that it moves.\nExplanation. It moves when cut.\n\nIllustration. A cuts a tree.\n8B. Next <N>",
+}
+_SEGMENTS = [
+    (0, 0, "Chapter", "Chapter <N>", "CHAPTER <N> OF FIRST", "CHAPTER <N> OF FIRST", None, "OF FIRST"), (0, 1, "Section", "Section 1", "1. Short title.\nbody of <Y>", "1. Short title.\nbody of <Y>\n", "Chapter <N>", "1"),
+    (0, 2, "Chapter", "Chapter 9", "CHAPTER 9 LAST", "CHAPTER 9 LAST", None, "LAST"), (0, 3, "Section", "Section 2A", "Section 2A. Meaning\nof words", "Section 2A. Meaning\nof words\n", "Chapter 9", "2a"),
+    (1, 0, "Act", "TEST OF TIME ACT, 1999", "TEST OF TIME ACT, 1999", None, None, "test_of_time"), (1, 1, "Part", "Part II", "PART II GENERAL", "PART II GENERAL", "TEST OF TIME ACT, 1999", "GENERAL"),
+    (1, 2, "Section", "Section 7", "7. Theft.\nWho takes in <Y> commits theft.\n(1) A thing is movable.\nProvided that it moves.\nExplanation. It moves when cut.\n\nIllustration. A cuts a tree.", "7. Theft.\nWho takes in <Y> commits theft.\n(1) A thing is movable.\nProvided that it moves.\nExplanation. It moves when cut.\n\nIllustration. A cuts a tree.\n", "Part II", "test_of_time:7"),
+    (1, 3, "Subsection", "Section 7(1)", "(1) A thing is movable.", "(1) A thing is movable.\n", "Section 7", "1"), (1, 4, "Proviso", "Section 7 - proviso", "Provided that it moves.", "Provided that it moves.\n", "Section 7", None),
+    (1, 5, "Explanation", "Section 7 - explanation", "Explanation. It moves when cut.", "Explanation. It moves when cut.\n", "Section 7", None), (1, 6, "Illustration", "Section 7 - illustration", "Illustration. A cuts a tree.", "Illustration. A cuts a tree.\n", "Section 7", None),
+    (1, 7, "Section", "Section 8B", "8B. Next <N>", "8B. Next <N>", "Part II", "test_of_time:8b"),
+]
+
+
+def _filled(text: str) -> str:
+    return f"replace(replace({text}, '<Y>', CAST(year(o_orderdate) AS VARCHAR)), '<N>', CAST(o_orderkey AS VARCHAR))"
+
+
+def _texts(kinds: dict[int, str]) -> str:
+    cases = " ".join(f"WHEN {k} THEN {schema.sql_literal(t)}" for k, t in kinds.items())
+    return f"SELECT CAST(o_orderkey AS VARCHAR) AS id, {_filled(f'CASE o_orderkey % {len(kinds)} {cases} END')} AS text, o_orderkey, o_orderdate FROM {{orders}}"
+
+
+def _finds_sql(kinds: dict[int, str], rows: list[tuple], columns: str, out: str) -> str:
+    return f"SELECT id, pos, {_filled('raw')} AS raw, kind, strpos(text, {_filled('raw')}) - 1 AS char_start, strpos(text, {_filled('raw')}) - 1 + length({_filled('raw')}) AS char_end, {out} FROM ({plain(_texts(kinds))}) t JOIN {schema.values_sql(rows, columns)} f ON f.k = t.o_orderkey % {len(kinds)}"
+
+
+@query("segment_statute_full", f"SELECT id, pos, node_type, {_filled('label')} AS label, {_filled('shown')} AS text, CASE WHEN raw IS NULL THEN 0 ELSE strpos(text, {_filled('raw')}) - 1 END AS char_start, CASE WHEN raw IS NULL THEN length(text) ELSE strpos(text, {_filled('raw')}) - 1 + length({_filled('raw')}) END AS char_end, {_filled('parent')} AS parent, extra FROM ({plain(_texts(_STATUTES))}) t JOIN {schema.values_sql(_SEGMENTS, 'k, pos, node_type, label, shown, raw, parent, extra')} s ON s.k = t.o_orderkey % 3")
 def segment_statute_full(spark, sf_dir):
-    return segment.segment(both(spark, sf_dir, _STATUTE).withColumn("kind", F.lit("statute")))
+    return segment.segment(both(spark, sf_dir, _texts(_STATUTES)).withColumn("kind", F.lit("statute")))
 
 
 # each kind of text with what must be found in it: (remainder of the order's key, position, start, end, ...); <Y> the year, <N> the key
@@ -346,19 +375,6 @@ _FOUND = [
 ]
 
 
-def _filled(text: str) -> str:
-    return f"replace(replace({text}, '<Y>', CAST(year(o_orderdate) AS VARCHAR)), '<N>', CAST(o_orderkey AS VARCHAR))"
-
-
-def _texts(kinds: dict[int, str]) -> str:
-    cases = " ".join(f"WHEN {k} THEN {schema.sql_literal(t)}" for k, t in kinds.items())
-    return f"SELECT CAST(o_orderkey AS VARCHAR) AS id, {_filled(f'CASE o_orderkey % {len(kinds)} {cases} END')} AS text, o_orderkey, o_orderdate FROM {{orders}}"
-
-
-def _finds_sql(kinds: dict[int, str], rows: list[tuple], columns: str, out: str) -> str:
-    return f"SELECT id, pos, {_filled('raw')} AS raw, kind, strpos(text, {_filled('raw')}) - 1 AS char_start, strpos(text, {_filled('raw')}) - 1 + length({_filled('raw')}) AS char_end, {out} FROM ({plain(_texts(kinds))}) t JOIN {schema.values_sql(rows, columns)} f ON f.k = t.o_orderkey % {len(kinds)}"
-
-
 @query("cite_title_merge", _finds_sql(_CITED, _CITES, "k, pos, raw, kind, canonical, yr, parties", f"{_filled('canonical')} AS canonical_id, CAST({_filled('yr')} AS DOUBLE) AS year, parties"))
 def cite_title_merge(spark, sf_dir):
     return extract.extract_citations(both(spark, sf_dir, _texts(_CITED)))
