@@ -18,7 +18,7 @@ BITS = 20
 SHAPE_BASE = 1 << BITS
 SIZE = SHAPE_BASE + 1024
 #: Labelled rows used at most to fit a model, by the smallest hash of their id.
-TRAIN_ROWS = 8_000
+TRAIN_ROWS = 12_000
 #: Feature numbers that the training rows hold at most together: in hash order, the sample ends before the row that would pass it. Rows are whole or out.
 TRAIN_VALUES = 20_000_000
 #: Features of fewer training rows than this are left out of a fit.
