@@ -36,4 +36,15 @@ x AS (SELECT wg.doc_id, wg.item_id, wg.m, wg.start, sum(least(wg.c, ic.c)) AS x
 sc AS (SELECT x.*, x.x / (wn.n + n.n - x.x) AS sim FROM x JOIN wn ON wn.doc_id = x.doc_id AND wn.item_id = x.item_id AND wn.start = x.start JOIN n ON n.item_id = x.item_id)
 SELECT doc_id, item_id, start, m AS n_words, round(sim, 6) AS similarity FROM (SELECT sc.*, row_number() OVER (PARTITION BY sc.doc_id, sc.item_id ORDER BY sim DESC, l.start IS NULL, sc.start) AS k FROM sc LEFT JOIN lined l ON l.doc_id = sc.doc_id AND l.item_id = sc.item_id AND l.start = sc.start WHERE sim >= 0.75) y WHERE k = 1"""
 
-ORACLES = {"op2_line_dedup": LINE_DEDUP, "op3_ngram_join": NGRAM_JOIN, "op9_decontamination": DECONTAMINATION}
+_TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
+LEXICAL_SEARCH = rf"""WITH d AS (SELECT doc_id, row_number() OVER () AS row_no, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '{_TERM}') AS t FROM documents),
+s AS (SELECT count(*) FILTER (WHERE len(t) > 0) AS nn, CAST(sum(len(t)) AS BIGINT) AS ll FROM d),
+x AS (SELECT row_no, doc_id, n, term, count(*) AS tf FROM (SELECT row_no, doc_id, len(t) AS n, unnest(t) AS term FROM d) u GROUP BY ALL),
+f AS (SELECT term, count(*) AS df FROM x GROUP BY term),
+i AS (SELECT item_no, item_id, term, count(*) AS q FROM (SELECT row_number() OVER () AS item_no, item_id, unnest(regexp_extract_all(translate(text, '{_UPPER}', '{_LOWER}'), '{_TERM}')) AS term FROM (SELECT DISTINCT item_id, text FROM benchmark) b) u GROUP BY ALL),
+w AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * nn + 2 AS DOUBLE) / (2 * df + 1))) AS BIGINT) AS w FROM f, s),
+sc AS (SELECT item_no, item_id, row_no, doc_id, CAST(sum(q * w * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + (25 * n * nn) // ll)))) AS BIGINT) AS score FROM i JOIN x USING (term) JOIN w USING (term), s GROUP BY ALL)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_no ORDER BY score DESC, doc_id) AS rank FROM sc WHERE score > 0) y WHERE rank <= 20"""
+
+ORACLES = {"op2_line_dedup": LINE_DEDUP, "op3_ngram_join": NGRAM_JOIN, "op9_decontamination": DECONTAMINATION, "op12_lexical_search": LEXICAL_SEARCH}

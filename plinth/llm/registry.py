@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plinth.llm import bpe, decontam, linededup, mixing, ngram_join, oracles, ordinal, pii, quality_rules, sharding, toxicity, urlfilter, whitening
+from plinth.llm import bpe, decontam, linededup, mixing, ngram_join, oracles, ordinal, pii, quality_rules, search, sharding, toxicity, urlfilter, whitening
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,6 +66,10 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
 
 
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 #: Name of the public vocabulary file that the registered query encodes with.
 VOCABULARY = "byte_bpe_50k.json"
 
@@ -89,6 +93,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_decontamination": op9_decontamination,
         "op10_sharding": op10_sharding,
         "op11_whitening": op11_whitening,
+        "op12_lexical_search": op12_lexical_search,
         "op13_bpe": op13_bpe,
     }
 
