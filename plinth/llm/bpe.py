@@ -28,6 +28,7 @@ import mmap
 import re
 import sys
 import unicodedata
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from itertools import islice
@@ -86,35 +87,44 @@ class Vocabulary:
             self.tokens[k] = token.encode()
         self.singles = [ids[c] for c in letters]
         pairs = (m if isinstance(m, list) else m.split(" ") for m in model["merges"])
-        self.merges: dict[int, tuple[int, int]] = {ids[a] << 32 | ids[b]: (rank, ids[a + b]) for rank, (a, b) in enumerate(pairs)}
+        self.merges: dict[int, int] = {ids[a] << 32 | ids[b]: rank << 32 | ids[a + b] for rank, (a, b) in enumerate(pairs)}
 
 
-def merged(word: bytes, singles, merges: dict[int, tuple[int, int]]) -> list[int]:
+#: Stands after all merges, which are rank << 32 | id of the merged pair.
+_NONE = 1 << 62
+_LOW = (1 << 32) - 1
+
+
+def merged(word: bytes, singles, merges: dict[int, int]) -> list[int]:
     """The ids of one word: the pair of least rank is merged, the first from the left, until none is left."""
     ids = [singles[b] for b in word]
     if len(ids) <= SHORT:
-        while len(ids) > 1:
-            best = min(((m[0], k, m[1]) for k in range(len(ids) - 1) if (m := merges.get(ids[k] << 32 | ids[k + 1]))), default=None)
-            if best is None:
-                break
-            ids[best[1] : best[1] + 2] = [best[2]]
+        found = [merges.get(a << 32 | b, _NONE) for a, b in zip(ids, ids[1:], strict=False)]
+        while found and (best := min(found)) < _NONE:
+            k, new = found.index(best), best & _LOW
+            ids[k] = new
+            del ids[k + 1], found[k]
+            if k:
+                found[k - 1] = merges.get(ids[k - 1] << 32 | new, _NONE)
+            if k < len(found):
+                found[k] = merges.get(new << 32 | ids[k + 1], _NONE)
         return ids
     n = len(ids)
     after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-    heap: list[tuple[int, int, int, int]] = []
+    heap: list[tuple[int, int, int]] = []
 
     def offer(k: int) -> None:
         if k >= 0 and after[k] < n and (m := merges.get(pair := ids[k] << 32 | ids[after[k]])):
-            heapq.heappush(heap, (m[0], k, pair, m[1]))
+            heapq.heappush(heap, (m, k, pair))
 
     for k in range(n - 1):
         offer(k)
     while heap:
-        _, k, pair, new = heapq.heappop(heap)
+        best, k, pair = heapq.heappop(heap)
         if ids[k] < 0 or after[k] >= n or ids[k] << 32 | ids[after[k]] != pair:
             continue
         gone = after[k]
-        ids[k], ids[gone], after[k] = new, -1, after[gone]
+        ids[k], ids[gone], after[k] = best & _LOW, -1, after[gone]
         if after[k] < n:
             before[after[k]] = k
         offer(before[k])
@@ -145,12 +155,15 @@ class Cutter:
     def __init__(self, added: list[str], unknown: list[tuple[int, int]]):
         self._added = re.compile("(" + "|".join(re.escape(t) for t in sorted(added, key=len, reverse=True)) + ")") if added else None
         self._plain = self._pattern("")
+        self._ascii = re.compile(rf"{_CONTRACTED}| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+", re.ASCII)
         self._strange = frozenset(chr(c) for a, b in unknown for c in range(a, b + 1))
         self._careful = self._pattern("".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in unknown)) if unknown else self._plain
 
     @staticmethod
     def _pattern(but: str):
-        letter, number, either = (f"[{x}--[{but}]]" if but else f"[{x}]" for x in (r"\p{L}", r"\p{N}", r"\p{L}\p{N}"))
+        if not but:
+            return regex.compile(rf"{_CONTRACTED}| ?\p{{L}}+| ?\p{{N}}+| ?[^\s\p{{L}}\p{{N}}]+|\s+(?!\S)|\s+")
+        letter, number, either = (f"[{x}--[{but}]]" for x in (r"\p{L}", r"\p{N}", r"\p{L}\p{N}"))
         return regex.compile(rf"(?V1){_CONTRACTED}| ?{letter}+| ?{number}+| ?[^\s{either}]+|\s+(?!\S)|\s+")
 
     def words(self, text: str) -> Iterator[tuple[bool, list[str]]]:
@@ -159,7 +172,7 @@ class Cutter:
             if k % 2:
                 yield True, [part]
             elif part:
-                pattern = self._plain if part.isascii() or self._strange.isdisjoint(part) else self._careful
+                pattern = self._ascii if part.isascii() else self._plain if self._strange.isdisjoint(part) else self._careful
                 if len(part) <= WHOLE:
                     yield False, pattern.findall(part)
                     continue
@@ -218,13 +231,25 @@ def compiled(words: list[bytes], vocabulary: Vocabulary, unknown: list) -> bytes
     lengths = [len(t) for t in vocabulary.tokens]
     arrays |= {
         "singles": np.array(vocabulary.singles, np.int32),
-        "pairs": np.array([(a >> 32, a & 0xFFFFFFFF, new) for a, (_, new) in vocabulary.merges.items()], np.int32),
+        "pairs": np.array([(pair >> 32, pair & _LOW, m & _LOW) for pair, m in vocabulary.merges.items()], np.int32),
         "token_at": np.r_[0, np.cumsum(lengths)].astype(np.int32),
         "token_bytes": np.frombuffer(b"".join(vocabulary.tokens), np.uint8),
     }
     return packed(arrays, {"added": vocabulary.added, "unknown": unknown, "words": len(words)})
 
 
+class _Seen(dict):
+    """Words that a task has met, with their ids."""
+
+    def __init__(self, look):
+        super().__init__()
+        self._look = look
+
+    def __missing__(self, word: str) -> bytes:
+        self[word] = found = self._look(word)
+        return found
+
+
 class Lexicon:
     """A mapped file of :func:`compiled`."""
 
@@ -237,9 +262,9 @@ class Lexicon:
         self._reader = transducer.Reader(self._data, self._places)
         self._added = {t: k.to_bytes(4, "little") for t, k in self.head["added"].items()}
         self.cutter = Cutter(list(self._added), self.head["unknown"])
-        self._merges: dict[int, tuple[int, int]] | None = None
+        self._merges: dict[int, int] | None = None
         self._tokens: list[bytes] | None = None
-        self._seen: dict[str, bytes] = {}
+        self._seen = _Seen(self.word)
 
     def array(self, name: str) -> np.ndarray:
         at, n = self._places[name]
@@ -250,8 +275,8 @@ class Lexicon:
         if (found := self._reader.get(data := word.encode())) is None:
             if self._merges is None:
                 self._singles = self.array("singles").tolist()
-                self._merges = {a << 32 | b: (rank, new) for rank, (a, b, new) in enumerate(self.array("pairs").reshape(-1, 3).tolist())}
-            found = np.array(merged(data, self._singles, self._merges), "<i4").tobytes()
+                self._merges = {a << 32 | b: rank << 32 | new for rank, (a, b, new) in enumerate(self.array("pairs").reshape(-1, 3).tolist())}
+            found = array("i", merged(data, self._singles, self._merges)).tobytes()
         return found
 
     def encode(self, text: str) -> bytes:
@@ -261,8 +286,6 @@ class Lexicon:
             if special:
                 parts.append(self._added[words[0]])
                 continue
-            for w in set(words).difference(seen):
-                seen[w] = self.word(w)
             parts += map(seen.__getitem__, words)
             if len(seen) > HELD:
                 seen.clear()

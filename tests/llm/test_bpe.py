@@ -77,16 +77,16 @@ def test_transducer_is_minimal():
 
 
 def test_merges_by_rank_then_from_the_left():
-    merges = {1 << 32 | 1: (5, 2), 2 << 32 | 1: (1, 3), 2 << 32 | 2: (0, 4)}
+    merges = {1 << 32 | 1: 5 << 32 | 2, 2 << 32 | 1: 1 << 32 | 3, 2 << 32 | 2: 4}
     singles = {97: 1, 98: 9}
 
     def plain(ids):
         while True:
-            found = [(merges[ids[k] << 32 | ids[k + 1]][0], k) for k in range(len(ids) - 1) if ids[k] << 32 | ids[k + 1] in merges]
+            found = [(merges[ids[k] << 32 | ids[k + 1]], k) for k in range(len(ids) - 1) if ids[k] << 32 | ids[k + 1] in merges]
             if not found:
                 return ids
-            _, k = min(found)
-            ids = ids[:k] + [merges[ids[k] << 32 | ids[k + 1]][1]] + ids[k + 2 :]
+            best, k = min(found)
+            ids = ids[:k] + [best & 0xFFFFFFFF] + ids[k + 2 :]
 
     rng = random.Random(7)
     for n in [*range(12), 47, 48, 49, 50, 200]:
