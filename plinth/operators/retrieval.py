@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from plinth import schema
 from plinth.functions import text as fx
+from plinth.operators import lexical
 
 
 def merge_candidates(graph: DataFrame, semantic: DataFrame) -> DataFrame:
@@ -45,13 +46,7 @@ def rank_authority(candidates: DataFrame) -> DataFrame:
 
 def lexical_score(question: Column, body: Column, title: Column) -> Column:
     """0.7 Jaccard of the word sets and 0.3 of the share of question words in the title."""
-    return lexical_score_of(fx.lexical_tokens(question), fx.lexical_tokens(body), fx.lexical_tokens(F.coalesce(title, F.lit(""))))
-
-
-def lexical_score_of(q: Column, c: Column, t: Column) -> Column:
-    """The score from the word sets of question, body and title."""
-    jaccard = F.size(F.array_intersect(q, c)) / F.greatest(F.size(F.array_union(q, c)), F.lit(1))
-    return F.when(F.size(q) == 0, 0.0).otherwise(0.7 * jaccard + 0.3 * F.size(F.array_intersect(q, t)) / F.greatest(F.size(q), F.lit(1)))
+    return lexical.score(fx.lexical_tokens(question), fx.lexical_tokens(body), fx.lexical_tokens(F.coalesce(title, F.lit(""))))
 
 
 def rank_lexical(candidates: DataFrame) -> DataFrame:
@@ -63,6 +58,15 @@ def rank_scored(scored: DataFrame) -> DataFrame:
     return _ranked(scored, F.desc(F.round("sem", 9)))
 
 
+def lexical_best(docs: DataFrame, questions: DataFrame, k: int = schema.RERANK_K, authority: bool = False) -> DataFrame:
+    """The ``k`` best of all ``docs`` (node, body, title, tier, yr) for each of ``questions`` (qid, question), as :func:`rank_lexical` or :func:`rank_composite` orders all pairs; an inverted index finds them."""
+    static = authority_score(F.col("tier"), F.lit(0.0), F.col("yr")) if authority else F.lit(0.0)
+    words = docs.withColumn("static", static).withColumn("words", fx.lexical_tokens(F.coalesce("body", F.lit("")))).withColumn("title", fx.lexical_tokens(F.coalesce("title", F.lit(""))))
+    asked = questions.select("qid", fx.lexical_tokens(F.coalesce("question", F.lit(""))).alias("words"))
+    found = lexical.candidates(words.select("node", "words", "title", "static", "tier", "yr"), asked, k, 0.1 if authority else 1.0)
+    return cut(rank_authority(found) if authority else rank_scored(found), k)
+
+
 def rank_composite(candidates: DataFrame) -> DataFrame:
     """Lexical scores feed the authority order."""
     return rank_authority(candidates.withColumn("sem", lexical_score(F.col("question"), F.col("body"), F.col("title"))))

@@ -115,26 +115,25 @@ def index_text_cut(spark, sf_dir):
 
 _LEX = "list_distinct(list_filter(regexp_extract_all(lower(substr({0}, 1, 512)), '[a-z0-9]+'), lambda w: length(w) > 2))"
 _LEX_SQL = f"""WITH c AS (SELECT item_id AS qid, doc_id AS node, {_LEX.format('b.text')} AS q, {_LEX.format('d.text')} AS c, {_LEX.format('d.source')} AS t, CAST(doc_id % 8 + 1 AS INT) AS tier, 1940 + CAST(doc_id % 80 AS INT) AS yr FROM benchmark b CROSS JOIN documents d),
-s AS (SELECT qid, node, tier, yr, CASE WHEN len(q) = 0 THEN 0.0 ELSE 0.7 * len(list_intersect(q, c)) / greatest(len(list_distinct(list_concat(q, c))), 1) + 0.3 * len(list_intersect(q, t)) / greatest(len(q), 1) END AS sem FROM c)"""
+s AS (SELECT qid, node, tier, yr, CASE WHEN len(q) = 0 THEN CAST(0 AS DOUBLE) ELSE (CAST(0.7 AS DOUBLE) * CAST(len(list_intersect(q, c)) AS DOUBLE)) / CAST(greatest(len(list_distinct(list_concat(q, c))), 1) AS DOUBLE) + (CAST(0.3 AS DOUBLE) * CAST(len(list_intersect(q, t)) AS DOUBLE)) / CAST(greatest(len(q), 1) AS DOUBLE) END AS sem FROM c)"""
 _AUTH = "round(1.0 / greatest(tier, 1) + 0.1 * sem + 0.05 * CASE WHEN yr >= 1950 THEN least(1.0, (yr - 1950) / 80.0) ELSE 0.0 END, 9)"
 
 
-def _lexical(spark, sf_dir):
-    """The stated questions against every document, scored; words are split once a text."""
-    asked = both(spark, sf_dir, "SELECT item_id AS qid, text FROM {benchmark}").select("qid", fx.lexical_tokens(F.col("text")).alias("q"))
-    docs = both(spark, sf_dir, "SELECT doc_id AS node, text, source, CAST(doc_id % 8 + 1 AS INT) AS tier, 1940 + CAST(doc_id % 80 AS INT) AS yr FROM {documents}")
-    docs = docs.select("node", "tier", "yr", fx.lexical_tokens(F.col("text")).alias("c"), fx.lexical_tokens(F.coalesce("source", F.lit(""))).alias("t"))
-    return docs.crossJoin(F.broadcast(asked)).select("qid", "node", "tier", "yr", retrieval.lexical_score_of(F.col("q"), F.col("c"), F.col("t")).alias("sem"))
+def _lexical(spark, sf_dir, authority):
+    """The stated questions against every document."""
+    asked = both(spark, sf_dir, "SELECT item_id AS qid, text AS question FROM {benchmark}")
+    docs = both(spark, sf_dir, "SELECT doc_id AS node, text AS body, source AS title, CAST(doc_id % 8 + 1 AS INT) AS tier, 1940 + CAST(doc_id % 80 AS INT) AS yr FROM {documents}")
+    return retrieval.lexical_best(docs, asked, authority=authority)
 
 
-@query("rank_lexical", _LEX_SQL + f" SELECT qid, node, round(sem, 6) AS sem, rank FROM (SELECT qid, node, sem, row_number() OVER (PARTITION BY qid ORDER BY round(sem, 9) DESC, node) AS rank FROM s) x WHERE rank <= {schema.RERANK_K}")
+@query("rank_lexical", _LEX_SQL + f" SELECT qid, node, round(round(sem, 9), 6) AS sem, rank FROM (SELECT qid, node, sem, row_number() OVER (PARTITION BY qid ORDER BY round(sem, 9) DESC, node) AS rank FROM s) x WHERE rank <= {schema.RERANK_K}")
 def rank_lexical(spark, sf_dir):
-    return retrieval.cut(retrieval.rank_scored(_lexical(spark, sf_dir))).select("qid", "node", F.round("sem", 6).alias("sem"), F.col("rank").cast("long").alias("rank"))
+    return _lexical(spark, sf_dir, False).select("qid", "node", F.round(F.round("sem", 9), 6).alias("sem"), F.col("rank").cast("long").alias("rank"))
 
 
 @query("rank_composite", _LEX_SQL + f" SELECT qid, node, rank FROM (SELECT qid, node, row_number() OVER (PARTITION BY qid ORDER BY {_AUTH} DESC, node) AS rank FROM s) x WHERE rank <= {schema.RERANK_K}")
 def rank_composite(spark, sf_dir):
-    return retrieval.cut(retrieval.rank_authority(_lexical(spark, sf_dir))).select("qid", "node", F.col("rank").cast("long").alias("rank"))
+    return _lexical(spark, sf_dir, True).select("qid", "node", F.col("rank").cast("long").alias("rank"))
 
 
 # ---- packs and answers -----------------------------------------------------------------------------
