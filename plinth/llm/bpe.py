@@ -47,8 +47,9 @@ from plinth.session import scratch_path
 LEXICON_WORDS = 50_000
 #: Bytes of a word of the lexicon at most; longer ones are merged where they occur.
 WORD_BYTES = 64
-#: Words that a task counts or remembers at once, and characters of a text that it cuts at once.
+#: Words that a task counts, and remembers with their ids, at once, and characters of a text that it cuts at once.
 HELD = 1 << 18
+SEEN = 1 << 19
 WHOLE = 1 << 20
 #: Bytes of ids or texts that are handed on together.
 OUTPUT = 16 << 20
@@ -87,34 +88,35 @@ class Vocabulary:
             self.tokens[k] = token.encode()
         self.singles = [ids[c] for c in letters]
         pairs = (m if isinstance(m, list) else m.split(" ") for m in model["merges"])
-        self.merges: dict[int, int] = {ids[a] << 32 | ids[b]: rank << 32 | ids[a + b] for rank, (a, b) in enumerate(pairs)}
+        triples = [(ids[a] << 32 | ids[b], ids[a + b]) for a, b in pairs]
+        self.ranks = {pair: rank for rank, (pair, _) in enumerate(triples)}
+        self.made = [new for _, new in triples]
 
 
-#: Stands after all merges, which are rank << 32 | id of the merged pair.
-_NONE = 1 << 62
-_LOW = (1 << 32) - 1
+#: Stands after the ranks of all merges.
+_NONE = 1 << 29
 
 
-def merged(word: bytes, singles, merges: dict[int, int]) -> list[int]:
-    """The ids of one word: the pair of least rank is merged, the first from the left, until none is left."""
+def merged(word: bytes, singles: list[int], ranks: dict[int, int], made: list[int]) -> list[int]:
+    """The ids of one word by the rank of each pair (a << 32 | b) and the id ``made`` of each rank: the pair of least rank is merged, the first from the left, until none is left."""
     ids = [singles[b] for b in word]
     if len(ids) <= SHORT:
-        found = [merges.get(a << 32 | b, _NONE) for a, b in zip(ids, ids[1:], strict=False)]
+        found = [ranks.get(a << 32 | b, _NONE) for a, b in zip(ids, ids[1:], strict=False)]
         while found and (best := min(found)) < _NONE:
-            k, new = found.index(best), best & _LOW
-            ids[k] = new
+            k = found.index(best)
+            ids[k] = new = made[best]
             del ids[k + 1], found[k]
             if k:
-                found[k - 1] = merges.get(ids[k - 1] << 32 | new, _NONE)
+                found[k - 1] = ranks.get(ids[k - 1] << 32 | new, _NONE)
             if k < len(found):
-                found[k] = merges.get(new << 32 | ids[k + 1], _NONE)
+                found[k] = ranks.get(new << 32 | ids[k + 1], _NONE)
         return ids
     n = len(ids)
     after, before = list(range(1, n + 1)), list(range(-1, n - 1))
     heap: list[tuple[int, int, int]] = []
 
     def offer(k: int) -> None:
-        if k >= 0 and after[k] < n and (m := merges.get(pair := ids[k] << 32 | ids[after[k]])):
+        if k >= 0 and after[k] < n and (m := ranks.get(pair := ids[k] << 32 | ids[after[k]])) is not None:
             heapq.heappush(heap, (m, k, pair))
 
     for k in range(n - 1):
@@ -124,7 +126,7 @@ def merged(word: bytes, singles, merges: dict[int, int]) -> list[int]:
         if ids[k] < 0 or after[k] >= n or ids[k] << 32 | ids[after[k]] != pair:
             continue
         gone = after[k]
-        ids[k], ids[gone], after[k] = best & _LOW, -1, after[gone]
+        ids[k], ids[gone], after[k] = made[best], -1, after[gone]
         if after[k] < n:
             before[after[k]] = k
         offer(before[k])
@@ -227,11 +229,11 @@ def packed(arrays: dict[str, np.ndarray], head: dict) -> bytes:
 
 def compiled(words: list[bytes], vocabulary: Vocabulary, unknown: list) -> bytes:
     """The file of a lexicon of ``words``."""
-    arrays = transducer.built((w, tuple(merged(w, vocabulary.singles, vocabulary.merges))) for w in sorted(set(words)))
+    arrays = transducer.built((w, tuple(merged(w, vocabulary.singles, vocabulary.ranks, vocabulary.made))) for w in sorted(set(words)))
     lengths = [len(t) for t in vocabulary.tokens]
     arrays |= {
         "singles": np.array(vocabulary.singles, np.int32),
-        "pairs": np.array([(pair >> 32, pair & _LOW, m & _LOW) for pair, m in vocabulary.merges.items()], np.int32),
+        "pairs": np.array([(pair >> 32, pair & 0xFFFFFFFF, vocabulary.made[rank]) for pair, rank in vocabulary.ranks.items()], np.int32),
         "token_at": np.r_[0, np.cumsum(lengths)].astype(np.int32),
         "token_bytes": np.frombuffer(b"".join(vocabulary.tokens), np.uint8),
     }
@@ -262,7 +264,7 @@ class Lexicon:
         self._reader = transducer.Reader(self._data, self._places)
         self._added = {t: k.to_bytes(4, "little") for t, k in self.head["added"].items()}
         self.cutter = Cutter(list(self._added), self.head["unknown"])
-        self._merges: dict[int, int] | None = None
+        self._ranks: dict[int, int] | None = None
         self._tokens: list[bytes] | None = None
         self._seen = _Seen(self.word)
 
@@ -273,10 +275,11 @@ class Lexicon:
     def word(self, word: str) -> bytes:
         """The ids of one word, as little-endian 32-bit numbers."""
         if (found := self._reader.get(data := word.encode())) is None:
-            if self._merges is None:
-                self._singles = self.array("singles").tolist()
-                self._merges = {a << 32 | b: rank << 32 | new for rank, (a, b, new) in enumerate(self.array("pairs").reshape(-1, 3).tolist())}
-            found = array("i", merged(data, self._singles, self._merges)).tobytes()
+            if self._ranks is None:
+                pairs = self.array("pairs").reshape(-1, 3).tolist()
+                self._singles, self._made = self.array("singles").tolist(), [new for _, _, new in pairs]
+                self._ranks = {a << 32 | b: rank for rank, (a, b, _) in enumerate(pairs)}
+            found = array("i", merged(data, self._singles, self._ranks, self._made)).tobytes()
         return found
 
     def encode(self, text: str) -> bytes:
@@ -287,7 +290,7 @@ class Lexicon:
                 parts.append(self._added[words[0]])
                 continue
             parts += map(seen.__getitem__, words)
-            if len(seen) > HELD:
+            if len(seen) > SEEN:
                 seen.clear()
         return b"".join(parts)
 

@@ -78,28 +78,53 @@ class Builder:
         self._last = word
 
     def arrays(self) -> dict[str, np.ndarray]:
-        """The finished automaton: transitions of state s lie from first[s] to first[s + 1]; ids lie in ``pool``."""
+        """The finished automaton. The transition of state s by byte b lies in slot base[s] + b if that slot's ``owner`` is s; ids lie in ``pool``, each sequence after its length."""
         self._close(0)
         start = self._fixed(self._path[0])
-        pool: dict[tuple[int, ...], int] = {(): 0}
+        pool: dict[tuple[int, ...], int] = {(): -1}
         flat: list[int] = []
 
-        def placed(ids: tuple[int, ...]) -> tuple[int, int]:
+        def placed(ids: tuple[int, ...]) -> int:
             if ids not in pool:
                 pool[ids] = len(flat)
-                flat.extend(ids)
-            return pool[ids], len(ids)
-
-        first, labels, to, out, ends = [0], bytearray(), [], [], []
-        for final, rest, ways in self.states:
+                flat.extend((len(ids), *ids))
+            return pool[ids]
+
+        base = _bases([[byte for byte, _, _ in ways] for _, _, ways in self.states])
+        slots = max(base, default=0) + 256
+        owner, to, out = (np.full(slots, -1, np.int32) for _ in range(3))
+        ends = np.full(len(self.states), -2, np.int32)  # no word ends here
+        for s, (final, rest, ways) in enumerate(self.states):
             for byte, target, ids in ways:
-                labels.append(byte)
-                to.append(target)
-                out.append(placed(ids))
-            ends.append((*placed(rest), int(final)))
-            first.append(len(labels))
-        ints = lambda rows, width: np.array(rows, np.int32).reshape(-1, width)
-        return {"start": np.array([start], np.int32), "first": np.array(first, np.int32), "labels": np.frombuffer(bytes(labels), np.uint8), "to": np.array(to, np.int32), "out": ints(out, 2), "ends": ints(ends, 3), "pool": np.array(flat, np.int32)}
+                owner[base[s] + byte], to[base[s] + byte], out[base[s] + byte] = s, target, placed(ids)
+            if final:
+                ends[s] = placed(rest)
+        return {"start": np.array([start], np.int32), "base": np.array(base, np.int32), "owner": owner, "to": to, "out": out, "ends": ends, "pool": np.array(flat, np.int32)}
+
+
+def _bases(bytes_of: list[list[int]]) -> list[int]:
+    """For each state the first base at which the slots of all its bytes are free, states of many bytes first."""
+    free = np.ones(1 << 12, bool)
+    base, low = [0] * len(bytes_of), 0
+    for s in sorted(range(len(bytes_of)), key=lambda s: -len(bytes_of[s])):
+        if not (own := bytes_of[s]):
+            continue
+        while True:
+            spots = np.flatnonzero(free[low : low + 4096]) + low
+            if low + 4096 + 512 > len(free):
+                free = np.r_[free, np.ones(len(free), bool)]
+                continue
+            fits = spots[spots >= own[0]] - own[0]
+            for byte in own[1:]:
+                fits = fits[free[fits + byte]]
+            if len(fits):
+                break
+            low += 4096
+        base[s] = int(fits[0])
+        free[base[s] + np.array(own)] = False
+        if s and len(own) == 1 and len(spots) < 64:  # hardly any left here
+            low += 4096 - 256 if low else 2048
+    return base
 
 
 def built(words: Iterable[tuple[bytes, tuple[int, ...]]]) -> dict[str, np.ndarray]:
@@ -116,21 +141,23 @@ class Reader:
         """``data``: the mapped file; ``places``: (first byte, bytes) of each array."""
         view = memoryview(data)
         ints = lambda name: view[places[name][0] : sum(places[name])].cast("i")
-        self._data, self._labels, self._pool = data, places["labels"][0], places["pool"][0]
-        self._start, self._first, self._to, self._out, self._ends = (ints(x) for x in ("start", "first", "to", "out", "ends"))
+        self._data, self._place = data, places["pool"][0]
+        self._start = ints("start")[0]
+        self._base, self._owner, self._to, self._out, self._ends, self._pool = (ints(x) for x in ("base", "owner", "to", "out", "ends", "pool"))
+
+    def _ids(self, at: int) -> bytes:
+        place = self._place + 4 * at + 4
+        return self._data[place : place + 4 * self._pool[at]]
 
     def get(self, word: bytes) -> bytes | None:
         """The word's ids as little-endian 32-bit numbers; None if it is not in the lexicon."""
-        data, labels, first, state, found = self._data, self._labels, self._first, self._start[0], b""
-        for k in range(len(word)):
-            way = data.find(word[k : k + 1], labels + first[state], labels + first[state + 1]) - labels
-            if way < 0:
+        base, owner, to, out, state, found = self._base, self._owner, self._to, self._out, self._start, b""
+        for byte in word:
+            slot = base[state] + byte
+            if owner[slot] != state:
                 return None
-            if n := self._out[2 * way + 1]:
-                at = self._pool + 4 * self._out[2 * way]
-                found += data[at : at + 4 * n]
-            state = self._to[way]
-        at, n, final = self._ends[3 * state : 3 * state + 3]
-        if not final:
-            return None
-        return found + data[self._pool + 4 * at : self._pool + 4 * (at + n)] if n else found
+            if (at := out[slot]) >= 0:
+                found += self._ids(at)
+            state = to[slot]
+        at = self._ends[state]
+        return None if at == -2 else found + self._ids(at) if at >= 0 else found
