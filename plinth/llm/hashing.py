@@ -2,11 +2,15 @@
 
 Words are hashed where they lie in the buffer, all at once: a polynomial in an
 odd base modulo 2**64 over per-byte random numbers, taken from a running sum,
-then mixed. No Python object is made per word.
+then mixed. Words of more than ``LONG`` bytes are hashed by BLAKE2 instead: a
+polynomial modulo a power of two lets some pairs of long words collide for
+every base. Python objects are made for these alone. A word that goes on
+beyond a piece is carried on, so words of any length count whole.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,6 +21,8 @@ _INVERSE = pow(_BASE, -1, 1 << 64)
 _BYTE = np.random.default_rng(7).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+#: Bytes of a word from which on BLAKE2 is used.
+LONG = 64
 #: Bytes handled at once; working memory is about 60 times this.
 PIECE = 1 << 19
 
@@ -68,7 +74,21 @@ def _piece(data: np.ndarray, bounds: np.ndarray, breaks: np.ndarray) -> tuple[np
     end = np.flatnonzero(ends) + 1
     running = np.zeros(len(data) + 1, dtype=np.uint64)
     np.cumsum(_BYTE[_LOWER[data]] * _POWERS[: len(data)], out=running[1:])
-    return mix((running[end] - running[begin]) * _BACK[begin] + (end - begin).astype(np.uint64)), begin
+    hashes = mix((running[end] - running[begin]) * _BACK[begin] + (end - begin).astype(np.uint64))
+    for k in np.flatnonzero(end - begin > LONG):
+        hashes[k] = _digest(_long(data[begin[k] : end[k]]))
+    return hashes, begin
+
+
+def _long(data: np.ndarray, begun=None):
+    """The hash object of a long word's bytes, after those of ``begun``; A-Z count as a-z."""
+    begun = hashlib.blake2b(digest_size=8) if begun is None else begun
+    begun.update(data.tobytes().lower())
+    return begun
+
+
+def _digest(word) -> int:
+    return int.from_bytes(word.digest(), "little")
 
 
 def _cuts(data: np.ndarray, offsets: np.ndarray, breaks: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
@@ -92,23 +112,31 @@ def _cuts(data: np.ndarray, offsets: np.ndarray, breaks: np.ndarray) -> Iterator
 
 
 def words(column: pa.Array, breaks: np.ndarray = WHITE) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, end row, word hashes, row of each word) for consecutive groups of rows; A-Z count as a-z.
-
-    A word longer than PIECE bytes is hashed in parts of that size.
-    """
+    """(first row, end row, word hashes, row of each word) for consecutive groups of rows; A-Z count as a-z."""
     data, offsets = buffers(column)
     held: list[np.ndarray] = []
+    open_word = None  # the part of a word that the piece before was
     for a, b, p, q in _cuts(data, offsets, breaks):
-        hashes, begin = _piece(data[p:q], offsets[a : b + 1] - p, breaks)
-        if b == a + 1:
-            held.append(hashes)
-            if q == offsets[b]:
-                hashes = np.concatenate(held)
-                held = []
-                yield a, b, hashes, np.full(len(hashes), a, dtype=np.int64)
-        else:
+        if b > a + 1:
+            hashes, begin = _piece(data[p:q], offsets[a : b + 1] - p, breaks)
             yield a, b, hashes, np.searchsorted(offsets[a + 1 : b + 1] - p, begin, "right") + a
-    return
+            continue
+        if open_word is not None:
+            ends = np.flatnonzero(breaks[data[p:q]])
+            stop = p + int(ends[0]) if len(ends) else q
+            open_word = _long(data[p:stop], open_word)
+            if stop < q or q == offsets[b]:
+                held.append(np.array([_digest(open_word)], np.uint64))
+                open_word = None
+            p = stop
+        if p < q and q < offsets[b] and not breaks[data[q - 1]]:  # nothing but a part of one word
+            open_word = _long(data[p:q])
+        elif p < q:
+            held.append(_piece(data[p:q], np.zeros(0, np.int64), breaks)[0])
+        if q == offsets[b]:
+            hashes = np.concatenate(held) if held else np.zeros(0, np.uint64)
+            held = []
+            yield a, b, hashes, np.full(len(hashes), a, dtype=np.int64)
 
 
 def grams(hashes: np.ndarray, rows: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
