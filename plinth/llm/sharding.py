@@ -7,8 +7,11 @@ rebalancing edits it and stores the edit as the next version instead of
 rehashing records. Law: ``bytes`` (shard sizes are near equal).
 
 A key's rows lie in one slot, unless more than HOT_ROWS rows share the key:
-those are dealt over all slots, row by row, so that neither a slot nor a task
-grows with one id or one text.
+those hash by key, content and a number among equal rows, so that neither a
+slot nor a task grows with one id or one text. Equal rows are interchangeable,
+so the placement depends on the rows alone and not on how they are dealt to
+tasks. Groups of equal texts with different ids hash by their ids: they are
+not kept together and may lie in all shards.
 
 Defined cases: a null text counts as empty (8 bytes, crc 0); a null id hashes
 by its text; repeated rows are placed together and each takes a position;
@@ -31,6 +34,8 @@ VIRTUAL_SLOTS = 8192
 SHARDS = 24
 #: Rows of one key from which on they are dealt over all slots.
 HOT_ROWS = 100_000
+#: Equal rows of such a key that one task numbers.
+PIECE = 10_000
 
 
 def record_key(doc_id: Column, text_crc: Column) -> Column:
@@ -144,14 +149,18 @@ def slot_totals(records: DataFrame, slots: int = VIRTUAL_SLOTS) -> tuple[list[in
 def dealt(records: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """``records`` with the rows of keys that more than ``hot_rows`` rows share dealt over all slots.
 
-    Their slots come from a running number and are written once, so that all
-    later steps see the same.
+    Equal rows are counted, on the map side first, and come back numbered from
+    their count, in pieces of ``PIECE`` rows that are dealt to tasks.
     """
     hot = materialize(records.groupBy("key").count().filter(F.col("count") > hot_rows).select(F.col("key").alias("hot")), "shard-hot")
     if not hot.limit(1).count():
         return records
     side = bounded(hot)
-    spread = records.join(side, records["key"] == side["hot"], "left_semi").withColumn("vslot", virtual_slot(F.xxhash64("key", F.monotonically_increasing_id())))
+    equal = records.join(side, records["key"] == side["hot"], "left_semi").groupBy(*records.columns).agg(F.count("*").alias("n"))
+    pieces = equal.withColumn("from", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(PIECE).cast("long"))))
+    pieces = pieces.repartition(F.xxhash64("key", "kept", "from"))
+    each = pieces.withColumn("nth", F.explode(F.sequence("from", F.least(F.col("from") + PIECE, F.col("n")) - 1)))
+    spread = each.withColumn("vslot", virtual_slot(F.xxhash64("key", "kept", "text_crc32", "nth"))).select(*records.columns)
     return records.join(side, records["key"] == side["hot"], "left_anti").unionByName(materialize(spread, "shard-dealt"))
 
 
@@ -188,6 +197,8 @@ def place(records: DataFrame, slot_map: list[int], slot_rows: list[int], seed: i
         tie = F.xxhash64(F.to_json(F.struct(*others))) if others else F.lit(0)
         records = records.withColumn("nth", F.row_number().over(Window.partitionBy("vslot", "id", "text_crc32").orderBy(tie)))
         order = [F.xxhash64(F.lit(seed), F.col("id"), F.col("text_crc32"), F.col("nth")), *order, "nth"]
+    elif len(records.schema["kept"].dataType.names) > 1:
+        order.append(F.xxhash64("kept"))
     own = F.row_number().over(Window.partitionBy("vslot").orderBy(*order))
     return records.withColumn("own", (own - 1).cast("long")).select(
         "kept.*", "size", "text_crc32", F.lit("bytes").alias("law"), _lookup(slot_map, F.col("vslot"), "int").alias("shard"),

@@ -325,6 +325,25 @@ def test_stored_map_is_followed_and_edited(spark, tmp_path):
     assert store.versions() == [0, 1, 2]
 
 
+def test_hot_keys_are_placed_alike_for_any_partitioning(spark):
+    rows = [(7, f"text {k % 40}", "s") for k in range(900)] + [(None, "same", "s")] * 700 + [(k, "other", "s") for k in range(300)]
+    placed = lambda n: sorted(map(str, sharding.shard(frame(spark, rows).repartition(n), hot_rows=100).collect()))
+    first = placed(3)
+    assert first == placed(11) == placed(1)
+    monkey = sharding.PIECE
+    try:
+        sharding.PIECE = 7
+        assert placed(5) == first
+    finally:
+        sharding.PIECE = monkey
+    found = sharding.shard(frame(spark, rows), hot_rows=100, keep=("doc_id", "text", "source", "lang")).collect()
+    assert len(found) == len(rows) and sorted(str(r.text) for r in found) == sorted(t for _, t, _ in rows)
+    size = [sum(r.size for r in found if r.shard == k) for k in range(24)]
+    assert max(size) < 1.4 * sum(size) / 24
+    for k in range(24):
+        assert sorted(r.slot for r in found if r.shard == k) == list(range(sum(r.shard == k for r in found)))
+
+
 def test_one_key_with_a_third_of_all_rows(spark):
     """Rows of one id, and of null ids with one text, are dealt over the slots; sizes stay near equal."""
     rows = [(7, "same text", "s")] * 3000 + [(None, "null text", "s")] * 2000 + [(100 + i, f"own {i}", "s") for i in range(4000)]
