@@ -7,6 +7,11 @@ values, and whoever collides draws again, so distinct values stay distinct
 and no surrogate is a real value. Equal values get equal surrogates in all
 documents: names part by part, e-mail hosts as values of their own, phone
 numbers by their last ten digits, Cyrillic surnames by their masculine form.
+Names are found by a title, a listed given name or a greeting, and their parts
+(three letters or more, capitalised) are then looked for in the whole text, so
+later bare mentions go too. A given name has one surrogate in the corpus,
+whatever titles stand before it: listed names have their gender, others the
+one that all their titles agree on, or else one that the key draws.
 The surrogate is written in the format of its mention.
 
 Each further draw of a value comes from a wider form (octets of any length,
@@ -19,7 +24,8 @@ the text is read; only values that had to draw again are looked up.
 
 Defined cases: null and empty texts have no entities and stay as they are; a
 null id is kept; repeated rows are changed alike; entities that overlap: the
-one that starts first, then the longer, then the earlier type of ``PATTERNS``;
+one that starts first, then the longer, then the earlier type of ``PATTERNS``
+(bare mentions of names last);
 an empty table gives no rows; extra columns, whatever their names, are left
 out.
 """
@@ -61,6 +67,15 @@ FIRST = {
     ("m", "cyrillic"): ("Александр", "Алексей", "Андрей", "Борис", "Виктор", "Владимир", "Глеб", "Денис", "Дмитрий", "Егор", "Иван", "Игорь", "Кирилл", "Лев", "Максим", "Михаил", "Николай", "Олег", "Павел", "Пётр", "Роман", "Сергей", "Юрий"),
     ("f", "cyrillic"): ("Александра", "Анастасия", "Анна", "Вера", "Галина", "Дарья", "Екатерина", "Елена", "Жанна", "Ирина", "Ксения", "Лидия", "Людмила", "Марина", "Мария", "Надежда", "Наталья", "Ольга", "Полина", "Раиса", "Светлана", "Софья", "Татьяна"),
 }
+# Words before a full name, by gender, and capitalised words that are no names after them.
+CUES = {
+    "m": ("Sehr geehrter", "Lieber", "Estimado", "Querido", "Cher", "Уважаемый", "Дорогой"),
+    "f": ("Sehr geehrte", "Liebe", "Estimada", "Querida", "Chère", "Уважаемая", "Дорогая"),
+    "n": ("Dear", "Hi", "Hello", "Sincerely,", "Regards,", "Signed,", "my name is", "My name is", "mein Name ist", "Mein Name ist", "me llamo", "Me llamo", "je m'appelle", "Je m'appelle", "меня зовут", "Меня зовут"),
+}
+NO_NAMES = ("Sir", "Sirs", "Madam", "Customer", "Customers", "Team", "All", "Everyone", "Friend", "Friends", "Colleague", "Colleagues", "Reader", "Readers", "Editor", "User", "Users", "Member", "Members", "Kunde", "Kunden", "Damen", "Herren", "Cliente", "Clientes", "Client", "Monsieur", "Madame", "Коллега", "Коллеги", "Друзья")
+# Capitalised words that may follow a name and are not looked for elsewhere.
+COMMON = ("the", "and", "but", "for", "this", "that", "then", "when", "who", "was", "with", "from", "has", "had", "der", "die", "das", "und", "ein", "eine", "los", "las", "que", "con", "por", "les", "des", "une", "est", "это", "что", "как", "она", "они")
 # Russian surname endings that have a feminine form.
 FEMININE = {"ова": "ов", "ева": "ев", "ёва": "ёв", "ина": "ин", "ына": "ын", "ская": "ский", "цкая": "цкий"}
 MASCULINE = {m: f for f, m in FEMININE.items()}
@@ -87,9 +102,13 @@ PATTERNS = (
     ("secret", re.compile(r"(?i)(?:token|secret|password|passwd|api[_-]?key|access[_-]?key)(\s*[:=]\s*[\"']?)([A-Za-z0-9_/+=.-]{12,})")),
     ("person", re.compile(rf"(?<!\w)(?P<title>{'|'.join((*MALE_TITLES, *FEMALE_TITLES, *NEUTRAL_TITLES))})\.?[  ](?P<name>{_NAME}(?: {_NAME}){{0,2}})")),
     ("named", re.compile(rf"(?<!\w)(?P<first>{'|'.join(n for names in FIRST.values() for n in names)}) (?P<last>{_NAME})(?!\w)")),
+    ("cued", re.compile(rf"(?<!\w)(?P<cue>{'|'.join(c for cues in CUES.values() for c in cues)})\s+(?P<name>{_NAME}(?: {_NAME}){{1,2}})")),
 )
 _HINT = re.compile(r"[@\d]|AKIA|ASIA|(?i:token|secret|passw|key)")
-_TITLE_HINT = re.compile(rf"(?<!\w)(?:{'|'.join((*MALE_TITLES, *FEMALE_TITLES, *NEUTRAL_TITLES, *(n for names in FIRST.values() for n in names)))})[.  ]")
+_TITLE_HINT = re.compile(rf"(?<!\w)(?:{'|'.join((*MALE_TITLES, *FEMALE_TITLES, *NEUTRAL_TITLES, *(n for names in FIRST.values() for n in names), *(c for cues in CUES.values() for c in cues)))})[.\s]")
+_WORD = re.compile(rf"(?<!\w){_NAME}")
+#: Letters of a name's part from which on it is looked for without title.
+PART_LETTERS = 3
 
 
 def script(text: str) -> str:
@@ -117,13 +136,19 @@ def detect(text: str | None) -> list[tuple[int, int, str, str]]:
                 canon = {"email": value.lower(), "phone": digits[-10:], "card": digits, "iban": value.replace(" ", "")}.get(kind, value)
                 found.append((start, -end, rank, kind, canon))
     if _TITLE_HINT.search(text):
+        named: list[tuple[int, int, int, str, str]] = []
         for m in PATTERNS[9][1].finditer(text):
             title = m["title"]
             parts = m["name"].split(" ")
-            gender = "m" if title in MALE_TITLES else "f" if title in FEMALE_TITLES else KNOWN.get(parts[0].lower(), "n")
-            found += _parts(m.start("name"), parts, gender, 9, len(parts) > 1)
+            named += _parts(m.start("name"), parts, "m" if title in MALE_TITLES else "f" if title in FEMALE_TITLES else "n", 9, len(parts) > 1)
         for m in PATTERNS[10][1].finditer(text):
-            found += _parts(m.start("first"), [m["first"], m["last"]], KNOWN[m["first"].lower()], 10, True)
+            named += _parts(m.start("first"), [m["first"], m["last"]], "n", 10, True)
+        for m in PATTERNS[11][1].finditer(text):
+            parts = m["name"].split(" ")
+            titled = (*MALE_TITLES, *FEMALE_TITLES, *NEUTRAL_TITLES, *NO_NAMES)
+            if not any(p in titled for p in parts):
+                named += _parts(m.start("name"), parts, next(g for g, cues in CUES.items() if m["cue"] in cues), 11, True)
+        found += named + _bare(text, named)
     found.sort()
     out, last = [], 0
     for start, minus_end, _, kind, canon in found:
@@ -134,18 +159,39 @@ def detect(text: str | None) -> list[tuple[int, int, str, str]]:
 
 
 def _parts(start: int, parts: list[str], gender: str, rank: int, has_first: bool) -> list[tuple[int, int, int, str, str]]:
-    """Each part of a name on its own: given names by gender, the last part as surname."""
+    """Each part of a name on its own: given names by gender, the last part as surname; a possessive ending is no part of it."""
     out = []
     for k, part in enumerate(parts):
-        kind = f"given_{gender}" if has_first and k < len(parts) - 1 else "surname"
-        canon = part.lower()
-        if kind == "surname" and (end := _ending(canon, FEMININE)) and gender != "m":
+        name = _bare_form(part)
+        given = has_first and k < len(parts) - 1
+        canon = name.lower()
+        kind = f"given_{KNOWN.get(canon, gender)}" if given else "surname"
+        if not given and (end := _ending(canon, FEMININE)) and gender != "m":
             canon = canon.removesuffix(end) + FEMININE[end]
-        out.append((start, -(start + len(part)), rank, f"{kind}_{script(part)}", canon))
+        out.append((start, -(start + len(name)), rank, f"{kind}_{script(name)}", canon))
         start += len(part) + 1
     return out
 
 
+def _bare_form(part: str) -> str:
+    return re.sub(r"(?<=\w)(?:['’]s?|-)$", "", part)
+
+
+def _bare(text: str, named: list[tuple[int, int, int, str, str]]) -> list[tuple[int, int, int, str, str]]:
+    """Other mentions of the parts of a text's names: capitalised words, the surname before a given name that is written alike."""
+    known: dict[str, tuple[str, str]] = {}
+    for start, minus_end, _, kind, canon in sorted(named, key=lambda n: (n[3].startswith("given"), n[0])):
+        for form in (text[start:-minus_end].lower(), canon):
+            if len(form) >= PART_LETTERS and form not in COMMON:
+                known.setdefault(form, (kind, canon))
+    out = []
+    for m in _WORD.finditer(text) if known else ():
+        name = _bare_form(m.group())
+        if name.lower() in known:
+            out.append((m.start(), -(m.start() + len(name)), 12, *known[name.lower()]))
+    return out
+
+
 def _ending(name: str, endings) -> str | None:
     return next((e for e in sorted(endings, key=len, reverse=True) if name.endswith(e) and len(name) > len(e) + 1), None)
 
@@ -363,6 +409,28 @@ def redraws(values: DataFrame, key: bytes) -> DataFrame:
     return out.select("kind", "canon", "surrogate")
 
 
+def given_kinds(values: DataFrame) -> DataFrame:
+    """(kind, canon, settled) of each given name: the gender that all its mentions agree on, or none."""
+    given = values.filter(F.col("kind").startswith("given_")).withColumn("written", F.substring_index("kind", "_", -1))
+    said = given.groupBy("written", "canon").agg(F.max(F.col("kind").startswith("given_m")).alias("m"), F.max(F.col("kind").startswith("given_f")).alias("f"))
+    gender = F.when(F.col("m") & ~F.col("f"), "m").when(F.col("f") & ~F.col("m"), "f").otherwise("n")
+    return given.join(said, ["written", "canon"]).select("kind", "canon", F.concat(F.lit("given_"), gender, F.lit("_"), F.col("written")).alias("settled"))
+
+
+def replaced(values: DataFrame, key: bytes) -> DataFrame:
+    """(kind, canon, surrogate) of the values whose surrogate is not the first draw of their own kind."""
+    kinds = materialize(given_kinds(values), "pii-given")
+    others = values.filter(~F.col("kind").startswith("given_"))
+    settled = materialize(others.unionByName(kinds.select(F.col("settled").alias("kind"), "canon")).distinct(), "pii-settled")
+    redrawn = materialize(redraws(settled, key), "pii-redrawn")
+    moved = kinds.filter("kind <> settled")
+    first = moved.select(F.col("settled").alias("kind"), "canon", F.lit(0).alias("attempt")).distinct().mapInArrow(_drawer(key), "kind string, canon string, attempt int, surrogate string")
+    first = first.select(F.col("kind").alias("settled"), "canon", F.col("surrogate").alias("first"))
+    later = redrawn.select(F.col("kind").alias("settled"), "canon", F.col("surrogate").alias("later"))
+    alike = moved.join(first, ["settled", "canon"]).join(later, ["settled", "canon"], "left").select("kind", "canon", F.coalesce("later", "first").alias("surrogate"))
+    return redrawn.join(moved.select("kind", "canon"), ["kind", "canon"], "left_anti").unionByName(alike)
+
+
 def _replacer(key: bytes):
     def run(batches):
         for batch in batches:
@@ -390,7 +458,7 @@ def surrogate_text(docs: DataFrame, key: bytes) -> DataFrame:
     """(doc_id, text, n_entities, kinds) of each row, its entities replaced."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), "text")
     mentions = materialize(rows.mapInArrow(_finder, "doc_id long, h long, kind string, canon string"), "pii-mentions", spread=True)
-    changed = materialize(redraws(materialize(mentions.select("kind", "canon").distinct(), "pii-values"), key), "pii-redrawn")
+    changed = materialize(replaced(materialize(mentions.select("kind", "canon").distinct(), "pii-values"), key), "pii-replaced")
     if changed.limit(1).count():
         triple = F.array("kind", "canon", "surrogate")
         special = mentions.join(changed, ["kind", "canon"]).groupBy("doc_id", "h").agg(F.to_json(F.collect_set(triple)).alias("known"))

@@ -51,6 +51,52 @@ def test_surrogates_stay_distinct_and_consistent(spark):
     assert pii.surrogate_text(frame(spark, []), b"k").count() == 0
 
 
+def test_names_are_one_person_everywhere(spark):
+    texts = [
+        "Mr. John Zwicky came. Later Zwicky left.", "Dr. Jordan Lee met us.", "Mr. Jordan Lee met us.", "Dear Wolfgang Zwicky, hello", "Dear Sir or Madam",
+        "ZWICKY's car and Mr. Zwicky’s dog", "plain Zwicky", "Mrs Jo Smith The boss. The end, and The start", "Prof. Kim Park and Mrs. Kim Park and Mr. Kim Park",
+    ]
+    out = [r.text for r in pii.surrogate_text(frame(spark, [(i, t, "s") for i, t in enumerate(texts)]), b"k").orderBy("doc_id").collect()]
+    john, zwicky = re.fullmatch(r"Mr\. (\w+) (\w+) came\. Later \2 left\.", out[0]).groups()
+    assert "John" not in john and "Zwicky" not in zwicky
+    jordan, lee = re.fullmatch(r"Dr\. (\w+) (\w+) met us\.", out[1]).groups()
+    assert out[2] == f"Mr. {jordan} {lee} met us." and pii.draw(b"k", "given_m_latin", "jordan").capitalize() == jordan
+    wolfgang = re.fullmatch(rf"Dear (\w+) {zwicky}, hello", out[3])[1]
+    assert len({john, zwicky, jordan, lee, wolfgang}) == 5
+    assert out[4] == texts[4] and out[6] == texts[6] and out[5] == f"{zwicky.upper()}'s car and Mr. {zwicky}’s dog"
+    assert out[7].endswith("The end, and The start")
+    assert len(set(re.findall(r"\. (\w+) (\w+)", out[8]))) == 1
+
+
+def test_coreference_and_distinctness_over_a_corpus(spark):
+    """Brute force: each original part of a name has one surrogate in all texts, and no two share one."""
+    rng = random.Random(12)
+    given = [f"G{a}{b}ick" for a in "aeiou" for b in "lmnrst"] + ["Mary", "Paul", "Jordan"]
+    last = [f"S{a}{b}owski" for a in "aeiou" for b in "lmnrst"]
+    rows, shapes = [], []
+    for i in range(300):
+        g, s, title = rng.choice(given), rng.choice(last), rng.choice(["Mr.", "Mrs.", "Dr."])
+        shape = rng.choice(["{t} {g} {s} spoke. {s} and {g} left, {S}.", "{t} {g} {s}.", "Dear {g} {s}, write to {s}.", "we saw {t} {s} there"])
+        rows.append((i, shape.format(t=title, g=g, s=s, S=s.upper()), "s"))
+        shapes.append((shape, title, g, s))
+    out = {r.doc_id: r.text for r in pii.surrogate_text(frame(spark, rows).repartition(5), b"key").collect()}
+    made = {}
+    for i, (shape, title, g, s) in enumerate(shapes):
+        pattern = re.escape(shape).replace(r"\{t\}", re.escape(title))
+        for part in ("g", "s"):
+            pattern = pattern.replace(rf"\{{{part}\}}", rf"(?P<{part}>\w+)", 1).replace(rf"\{{{part}\}}", f"(?P={part})")
+        m = re.fullmatch(pattern.replace(r"\{S\}", r"(?P<S>\w+)"), out[i])
+        assert m, out[i]
+        found = m.groupdict()
+        assert found.get("S") in (None, found["s"].upper())
+        for part, value in (("g", g), ("s", s)):
+            if part in found:
+                assert made.setdefault((part, value), found[part]) == found[part]
+    for part in "gs":
+        values = [v for (p, _), v in made.items() if p == part]
+        assert len(set(values)) == len(values) and not {v.lower() for v in values} & {x.lower() for x in given + last}
+
+
 def test_exhausted_forms_are_left_behind(spark):
     """All values of a small form are originals: no surrogate fits it, so wider forms are drawn."""
     spots = [(a, b) for a in range(10) for b in range(10)]
@@ -327,7 +373,7 @@ def test_pipeline(spark, tmp_path):
 
 def test_registry_names():
     names = sorted(registry.queries(), key=lambda n: int(n[2:].split("_")[0]))
-    assert [int(n[2:].split("_")[0]) for n in names] == list(range(1, 11))
+    assert [int(n[2:].split("_")[0]) for n in names] == list(range(1, 14))
     assert set(registry.oracle_sql()) <= set(registry.queries())
     assert ngram_join.SHINGLE == 5 == decontam.SHINGLE and decontam.SIMILARITY == 0.75
 
