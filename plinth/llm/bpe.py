@@ -30,11 +30,12 @@ import sys
 import unicodedata
 from array import array
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
@@ -55,6 +56,8 @@ WHOLE = 1 << 20
 OUTPUT = 16 << 20
 #: Symbols up to which the least pair is looked for anew after each merge; beyond it a heap is kept.
 SHORT = 48
+#: Words that are merged together.
+AT_ONCE = 4096
 
 
 # ---- vocabulary -------------------------------------------------------------------------------------
@@ -134,11 +137,66 @@ def merged(word: bytes, singles: list[int], ranks: dict[int, int], made: list[in
     return [x for x in ids if x >= 0]
 
 
+class Merges:
+    """The merges of a vocabulary as sorted arrays, for many words at once."""
+
+    def __init__(self, pairs: np.ndarray, singles: np.ndarray):
+        """``pairs``: (left id, right id, id of the merged pair) in rows by rank."""
+        keys = pairs[:, 0].astype(np.int64) << 32 | pairs[:, 1]
+        self._rank = np.argsort(keys, kind="stable")
+        self._keys, self._made, self._singles = keys[self._rank], pairs[:, 2], singles
+
+    def _ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        key = a << 32 | b
+        at = np.minimum(np.searchsorted(self._keys, key), len(self._keys) - 1)
+        return np.where((self._keys[at] == key) & (a >= 0) & (b >= 0), self._rank[at], _NONE)
+
+    def words(self, words: list[bytes]) -> list[bytes]:
+        """The ids of each word as little-endian 32-bit numbers: in each step every word makes its next merge."""
+        out = [b""] * len(words)
+        order = sorted((k for k in range(len(words)) if words[k]), key=lambda k: len(words[k]))
+        for s in range(0, len(order), AT_ONCE):
+            some = order[s : s + AT_ONCE]
+            for k, ids in zip(some, self._merged([words[k] for k in some]), strict=True):
+                out[k] = ids
+        return out
+
+    def _merged(self, words: list[bytes]) -> list[bytes]:
+        lengths = np.array([len(w) for w in words])
+        width = int(lengths.max())
+        columns = np.arange(width + 1)
+        ids = np.full((len(words), width + 1), -1, np.int64)
+        ids[columns < lengths[:, None]] = self._singles[np.frombuffer(b"".join(words), np.uint8)]
+        found = self._ranks(ids[:, :-1], ids[:, 1:])
+        rows = np.arange(len(words))
+        while len(rows):
+            k = found[rows].argmin(1)
+            best = found[rows, k]
+            live = best < _NONE
+            rows, k, best = rows[live], k[live], best[live]
+            each = np.arange(len(rows))
+            shift = np.minimum(columns + (columns > k[:, None]), width)
+            mine = np.take_along_axis(ids[rows], shift, 1)
+            mine[each, k] = self._made[best]
+            near = np.take_along_axis(found[rows], np.minimum(shift[:, :-1], width - 1), 1)
+            near[each, k] = self._ranks(mine[each, k], mine[each, k + 1])
+            left = np.maximum(k - 1, 0)
+            near[each, left] = np.where(k > 0, self._ranks(mine[each, left], mine[each, k]), near[each, left])
+            ids[rows], found[rows] = mine, near
+        lengths = (ids >= 0).sum(1).tolist()
+        data, step = ids.astype("<i4").tobytes(), 4 * (width + 1)
+        return [data[s * step : s * step + 4 * n] for s, n in enumerate(lengths)]
+
+
 # ---- cutting ----------------------------------------------------------------------------------------
 
 # fixed values: the contractions of the vocabulary's pattern
 _CONTRACTED = "'s|'t|'re|'ve|'m|'ll|'d"
 
+# Letters and marks of texts that the standard library's faster patterns can cut: Latin, Cyrillic, and some punctuation.
+_LETTERS = "A-Za-zÀ-ÖØ-öø-ɏЀ-ҁҊ-ԯ"
+_MARKS = "–—‘’“”„…«»¿¡·°€"
+
 
 def unknown_letters() -> list[tuple[int, int]]:
     """Ranges of letters and numbers of ``regex`` that the installed ``tokenizers`` takes for neither."""
@@ -157,7 +215,8 @@ class Cutter:
     def __init__(self, added: list[str], unknown: list[tuple[int, int]]):
         self._added = re.compile("(" + "|".join(re.escape(t) for t in sorted(added, key=len, reverse=True)) + ")") if added else None
         self._plain = self._pattern("")
-        self._ascii = re.compile(rf"{_CONTRACTED}| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+", re.ASCII)
+        self._simple = re.compile(rf"{_CONTRACTED}| ?[{_LETTERS}]+| ?[0-9]+| ?[^\s{_LETTERS}0-9]+|[ \t\n\r\f\v]+(?!\S)|\s+", re.ASCII)
+        self._beyond = re.compile(rf"[^\x00-\x7F{_LETTERS}{_MARKS}]")
         self._strange = frozenset(chr(c) for a, b in unknown for c in range(a, b + 1))
         self._careful = self._pattern("".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in unknown)) if unknown else self._plain
 
@@ -174,7 +233,7 @@ class Cutter:
             if k % 2:
                 yield True, [part]
             elif part:
-                pattern = self._ascii if part.isascii() else self._plain if self._strange.isdisjoint(part) else self._careful
+                pattern = self._simple if part.isascii() or not self._beyond.search(part) else self._plain if self._strange.isdisjoint(part) else self._careful
                 if len(part) <= WHOLE:
                     yield False, pattern.findall(part)
                     continue
@@ -199,10 +258,10 @@ def word_counts(docs: DataFrame, vocabulary: Vocabulary, unknown: list) -> DataF
         cutter, counts = Cutter(added, unknown), Counter()
 
         def sent():
-            words = [w.encode() for w in counts]
-            table = pa.RecordBatch.from_pydict({"word": pa.array(words, pa.binary()), "n": pa.array(list(counts.values()), pa.int64())})
+            words = pa.array(list(counts), pa.string()).cast(pa.binary())
+            table = pa.RecordBatch.from_pydict({"word": words, "n": pa.array(list(counts.values()), pa.int64())})
             counts.clear()
-            return table.filter(pa.array([len(w) <= WORD_BYTES for w in words], pa.bool_()))
+            return table.filter(pc.less_equal(pc.binary_length(words), WORD_BYTES))
 
         for batch in batches:
             for text in _texts(batch.column(0)):
@@ -267,6 +326,7 @@ class Lexicon:
         self._ranks: dict[int, int] | None = None
         self._tokens: list[bytes] | None = None
         self._seen = _Seen(self.word)
+        self._many: Merges | None = None
 
     def array(self, name: str) -> np.ndarray:
         at, n = self._places[name]
@@ -284,8 +344,11 @@ class Lexicon:
 
     def encode(self, text: str) -> bytes:
         """The ids of a whole text, as little-endian 32-bit numbers."""
+        return self._joined(self.cutter.words(text))
+
+    def _joined(self, cut: Iterable[tuple[bool, list[str]]]) -> bytes:
         parts, seen = [], self._seen
-        for special, words in self.cutter.words(text):
+        for special, words in cut:
             if special:
                 parts.append(self._added[words[0]])
                 continue
@@ -294,12 +357,47 @@ class Lexicon:
                 seen.clear()
         return b"".join(parts)
 
+    def encode_all(self, texts: Iterator[str]) -> Iterator[bytes]:
+        """:meth:`encode` of each text; the new words of several texts are looked up and merged together."""
+        held, size = [], 0
+        for text in texts:
+            held.append(text)
+            size += len(text)
+            if size > WHOLE:
+                yield from self._encoded(held)
+                held, size = [], 0
+        yield from self._encoded(held)
+
+    def _encoded(self, texts: list[str]) -> Iterator[bytes]:
+        cut = [list(self.cutter.words(t)) if len(t) <= WHOLE else None for t in texts]
+        new: set[str] = set()
+        for parts in cut:
+            for special, words in parts or ():
+                if not special:
+                    new.update(words)
+        self._learn([w for w in new if w not in self._seen])
+        for text, parts in zip(texts, cut, strict=True):
+            yield self.encode(text) if parts is None else self._joined(parts)
+
+    def _learn(self, words: list[str]) -> None:
+        absent = []
+        for w in words:
+            data = w.encode()
+            if (ids := self._reader.get(data)) is not None:
+                self._seen[w] = ids
+            elif len(data) <= SHORT:
+                absent.append((w, data))
+        if absent:
+            if self._many is None:
+                self._many = Merges(self.array("pairs").reshape(-1, 3), self.array("singles"))
+            self._seen.update(zip((w for w, _ in absent), self._many.words([d for _, d in absent]), strict=True))
+
     def decode(self, ids: np.ndarray) -> str:
         """The text of a sequence of ids; ids beyond the vocabulary give nothing."""
         if self._tokens is None:
             at, data = self.array("token_at").tolist(), self.array("token_bytes").tobytes()
             self._tokens = [data[a:b] for a, b in zip(at, at[1:], strict=False)]
-        known = ids[ids < len(self._tokens)]
+        known = ids if not len(ids) or ids.max() < len(self._tokens) else ids[ids < len(self._tokens)]
         return b"".join(map(self._tokens.__getitem__, known.tolist())).decode("utf-8", "replace")
 
 
@@ -316,7 +414,7 @@ class Codec:
         def run(batches):
             lexicon = Lexicon(SparkFiles.get(name))
             for batch in batches:
-                yield from _in_parts(batch.column(0), (lexicon.encode(t) for t in _texts(batch.column(1))), "ids", pa.binary())
+                yield from _in_parts(batch.column(0), lexicon.encode_all(_texts(batch.column(1))), "ids", pa.binary())
 
         return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids binary")
 

@@ -95,6 +95,20 @@ def test_merges_by_rank_then_from_the_left():
             assert bpe.merged(word, singles, merges, made) == plain([singles[b] for b in word])
 
 
+def test_many_words_merge_as_one_does(lexicon):
+    rng = random.Random(11)
+    words = [bytes(rng.choice(b"abcdeth in") for _ in range(rng.randrange(0, 30))) for _ in range(500)] + [b"", b"a", b"q" * 48, "ёжик文".encode()]
+    lexicon.word("zq")  # reads the merges
+    many = bpe.Merges(lexicon.array("pairs").reshape(-1, 3), lexicon.array("singles"))
+    for at_once in (4096, 7):
+        bpe.AT_ONCE, kept = at_once, bpe.AT_ONCE
+        try:
+            found = many.words(words)
+        finally:
+            bpe.AT_ONCE = kept
+        assert [np.frombuffer(f, "<i4").tolist() for f in found] == [bpe.merged(w, lexicon._singles, lexicon._ranks, lexicon._made) for w in words]
+
+
 def test_every_code_point_is_cut_as_the_library_does(lexicon, library):
     for c in [*range(0xD800), *range(0xE000, sys.maxunicode + 1, 3)]:
         if c % 7 == 0 or c < 0x3000:
@@ -115,6 +129,7 @@ def test_odd_texts_equal_the_library(lexicon, library, monkeypatch):
         text = "".join(rng.choice(pool) for _ in range(rng.randrange(0, 60)))
         want = library.encode(text, add_special_tokens=False).ids
         got = np.frombuffer(lexicon.encode(text), "<u4")
+        assert b"".join(lexicon.encode_all(iter([text, "", text]))) == 2 * got.tobytes()
         assert got.tolist() == want and lexicon.decode(got) == library.decode(want, skip_special_tokens=False) == text
 
 
