@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 from plinth import engine, schema
 from plinth.functions import display, extract
 from plinth.functions import text as fx
-from plinth.operators import grounding, metrics, retrieval, segment, vector
+from plinth.operators import grounding, ivf, metrics, retrieval, segment, vector
 from plinth.plans.base import both, plain, query
 from plinth.plans.graph_queries import pack_sql, packs
-from plinth.sources import sinks, star
+from plinth.session import scratch_path
+from plinth.sources import sinks, star, upsert
 from plinth.streaming import bus
 
 # ---- vectors -------------------------------------------------------------------------------------
@@ -56,6 +57,24 @@ def vector_topk_scoped(spark, sf_dir):
     return _topk(spark, sf_dir, "m1", schema.SEED_K)
 
 
+@query("vector_index_topk", _topk_sql("NULL", schema.RECALL_K))
+def vector_index_topk(spark, sf_dir):
+    """The same hits from the stored lists: those that cannot hold a better point are not read."""
+    return _indexed(spark, sf_dir, True).select("qid", "id", "sim", F.col("rank").cast("long").alias("rank"))
+
+
+@query("vector_index_recall")
+def vector_index_recall(spark, sf_dir):
+    """What the approximate search finds of each query's true hits."""
+    return ivf.recall(_indexed(spark, sf_dir, False), _topk(spark, sf_dir, None, schema.RECALL_K))
+
+
+def _indexed(spark, sf_dir, exact):
+    points = both(spark, sf_dir, _VECS)
+    asked = points.filter("id % 100 = 0").select(F.col("id").alias("qid"), "vec", F.lit(None).cast("string").alias("scope"))
+    return ivf.search(ivf.build(points), asked, exact=exact)
+
+
 _STORED = "SELECT id, tier, matter_id, label, body AS text FROM (" + star.plain(star.NODES_SQL) + ") n"
 _ASKED = "SELECT item_id AS id, text FROM benchmark"
 
@@ -100,6 +119,27 @@ def index_split_counts(spark, sf_dir):
     return vector.index_counts(both(spark, sf_dir, _POINTS))
 
 
+_KEYED = "SELECT c_custkey AS id, c_name AS name, CAST(c_acctbal AS DOUBLE) AS weight FROM customer"
+
+
+@query(
+    "keyed_upsert_twice",
+    """WITH one AS (SELECT o_custkey AS id, max(o_orderpriority) AS name, CAST(NULL AS DOUBLE) AS weight FROM orders WHERE o_custkey % 3 = 0 GROUP BY 1),
+ two AS (SELECT o_custkey + 1000000 * CAST(o_custkey % 5 = 0 AS INT) AS id, CAST(NULL AS VARCHAR) AS name, CAST(max(o_orderkey) AS DOUBLE) AS weight FROM orders WHERE o_custkey % 2 = 0 GROUP BY 1)
+ SELECT coalesce(a.id, two.id) AS id, coalesce(two.name, a.name) AS name, coalesce(two.weight, a.weight) AS weight
+ FROM (SELECT c.id, CASE WHEN one.id IS NULL THEN c.name ELSE one.name END AS name, CASE WHEN one.id IS NULL THEN c.weight ELSE one.weight END AS weight FROM ("""
+    + _KEYED
+    + """) c LEFT JOIN one ON one.id = c.id UNION ALL SELECT one.* FROM one WHERE id NOT IN (SELECT c_custkey FROM customer)) a FULL JOIN two ON two.id = a.id""",
+)
+def keyed_upsert_twice(spark, sf_dir):
+    """A stored table that is replaced by key, then merged by key; each upsert rewrites the buckets of its keys alone."""
+    stored = upsert.KeyedTable(spark, scratch_path(spark, "keyed"), "id", "id bigint, name string, weight double", 16)
+    stored.upsert(both(spark, sf_dir, _KEYED.replace("customer", "{customer}")).select(F.col("id").cast("bigint"), "name", "weight"))
+    stored.upsert(both(spark, sf_dir, "SELECT CAST(o_custkey AS BIGINT) AS id, o_orderpriority AS name, CAST(NULL AS DOUBLE) AS weight FROM {orders} WHERE o_custkey % 3 = 0"), order="name")
+    stored.upsert(both(spark, sf_dir, "SELECT CAST(o_custkey + 1000000 * CAST(o_custkey % 5 = 0 AS INT) AS BIGINT) AS id, CAST(NULL AS STRING) AS name, CAST(o_orderkey AS DOUBLE) AS weight FROM {orders} WHERE o_custkey % 2 = 0"), order="weight", merge=True)
+    return stored.read()
+
+
 @query("payload_flatten", "SELECT o_orderkey AS qid, concat_ws('|', concat('ex.clerk=', o_custkey % 5), CASE WHEN o_orderkey % 2 = 0 THEN concat('status=', o_orderstatus) END, concat('title=', o_orderpriority)) AS payload FROM orders")
 def payload_flatten(spark, sf_dir):
     rows = both(spark, sf_dir, "SELECT o_orderkey AS qid, o_orderpriority AS title, CASE WHEN o_orderkey % 2 = 0 THEN o_orderstatus END AS status, CAST(o_custkey % 5 AS STRING) AS clerk FROM {orders}")
