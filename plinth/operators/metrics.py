@@ -9,12 +9,14 @@ expected_tier1 (null where there is none).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plinth import schema
 from plinth.functions import text as fx
 from plinth.operators.grounding import HEADERS
+from plinth.session import materialize
+from plinth.sizes import bounded
 
 # ---- fixed values: thresholds of the evaluation gate; None lifts a default ------------------------
 THRESHOLDS = {
@@ -73,9 +75,38 @@ def item_facts(results: DataFrame) -> DataFrame:
     )
 
 
-def nearest_rank(values: Column, p: float) -> Column:
-    """The value at round-half-even(p * (n - 1)) of a sorted array."""
-    return F.element_at(values, F.rint(F.lit(p) * (F.size(values) - 1)).cast("int") + 1)
+#: Parts that a range of values is cut into, and values that are ranked at once.
+BINS, RANKED = 1024, 10_000
+
+
+def nearest_ranks(rows: DataFrame, group: str, value: str, shares: tuple[float, ...]) -> DataFrame:
+    """(group, share, picked): the value at round-half-even(share * (n - 1)) of each group's values in order, nulls left out.
+
+    No task meets all values of a group: counts of BINS equal parts of a
+    group's range tell which part holds the rank, that part is cut again, and
+    so on until a part holds RANKED values at most, or one alone.
+    """
+    spark = rows.sparkSession
+    values = rows.select(F.col(group).alias("g"), F.col(value).cast("double").alias("v")).filter("v is not null")
+    spans = values.groupBy("g").agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
+    share = F.explode(F.array(*map(F.lit, shares))).alias("share")
+    open_spans = materialize(spans.select("g", "n", "low", "high", share).withColumn("rank", F.rint(F.col("share") * (F.col("n") - 1)).cast("long")), "rank-spans")
+    wide = (F.col("n") > RANKED) & (F.col("low") < F.col("high"))
+    closed = []
+    while open_spans.filter(wide).limit(1).count():
+        closed.append(open_spans.filter(~wide))
+        part = F.least(F.floor((F.col("v") - F.col("low")) / (F.col("high") - F.col("low")) * BINS), F.lit(BINS - 1))
+        met = values.join(bounded(open_spans.filter(wide).drop("n")), "g").filter(F.col("v").between(F.col("low"), F.col("high")))
+        bins = met.groupBy("g", "share", "rank", part.alias("part")).agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
+        before = F.sum("n").over(Window.partitionBy("g", "share").orderBy("part")) - F.col("n")
+        found = bins.withColumn("before", before).filter((F.col("before") <= F.col("rank")) & (F.col("rank") < F.col("before") + F.col("n")))
+        open_spans = materialize(found.select("g", "n", "low", "high", "share", (F.col("rank") - F.col("before")).alias("rank")), "rank-spans")
+    for part in closed:
+        open_spans = open_spans.unionByName(part)
+    single = open_spans.filter("low = high").select("g", "share", F.col("low").alias("picked"))
+    few = values.join(bounded(open_spans.filter("low < high").drop("n")), "g").filter(F.col("v").between(F.col("low"), F.col("high")))
+    placed = few.withColumn("at", F.row_number().over(Window.partitionBy("g", "share").orderBy("v")) - 1).filter("at = rank")
+    return single.unionByName(placed.select("g", "share", F.col("v").alias("picked"))).withColumnRenamed("g", group)
 
 
 def summarise(results: DataFrame) -> DataFrame:
@@ -88,9 +119,11 @@ def summarise(results: DataFrame) -> DataFrame:
         ratio("foreign", "marks").alias("fabricated_marker_rate"), ratio(F.col("marks") - F.col("foreign"), "marks").alias("citation_faithfulness"), ratio("cites_ok", "cites").alias("span_citation_correctness"),
         mean("used_share").alias("pack_utilisation"), mean("anchored").alias("tier1_anchor_rate"), mean("hit").alias("retrieval_hit_rate"), mean("covered").alias("retrieval_coverage"),
         mean("refused").alias("refusal_rate"), mean(F.when(F.col("answerable"), F.col("refused"))).alias("false_refusal_rate"), mean(F.when(~F.col("answerable"), F.col("refused"))).alias("true_refusal_rate"),
-        mean("mapped").alias("crosswalk_mapping_accuracy"), mean("latency").alias("latency_mean_s"), F.sort_array(F.collect_list("latency")).alias("_l"),
+        mean("mapped").alias("crosswalk_mapping_accuracy"), mean("latency").alias("latency_mean_s"), F.coalesce(F.max("latency"), F.lit(0.0)).alias("latency_max_s"),
     )
-    return out.select(*METRICS[:15], "dataset", *(F.coalesce(x, F.lit(0.0)).alias(n) for n, x in (("latency_p50_s", nearest_rank(F.col("_l"), 0.5)), ("latency_p95_s", nearest_rank(F.col("_l"), 0.95)), ("latency_max_s", F.element_at("_l", -1)))))
+    ranks = nearest_ranks(facts, "dataset", "latency", (0.5, 0.95)).groupBy("dataset").agg(F.max(F.when(F.col("share") == 0.5, F.col("picked"))).alias("p50"), F.max(F.when(F.col("share") == 0.95, F.col("picked"))).alias("p95"))
+    joined = out.join(ranks, "dataset", "left")
+    return joined.select(*METRICS[:15], "dataset", F.coalesce("p50", F.lit(0.0)).alias("latency_p50_s"), F.coalesce("p95", F.lit(0.0)).alias("latency_p95_s"), "latency_max_s")
 
 
 def threshold_rows(thresholds: dict = THRESHOLDS) -> list[tuple[str, str, str, float | None]]:

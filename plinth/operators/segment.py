@@ -242,8 +242,18 @@ def page_of(offset: Column, pages: Column) -> Column:
     return F.try_element_at(F.filter(inside, lambda x: x.isNotNull()), F.lit(1))
 
 
+#: Characters of a bin in which role hits meet paragraphs.
+BIN = 2048
+
+
 def attach_roles(paragraphs: DataFrame, hits: DataFrame) -> DataFrame:
-    """(id, role, number): each role hit (id, role, at) with the first paragraph whose closed range holds it."""
-    met = hits.join(paragraphs, "id").filter((F.col("char_start") <= F.col("at")) & (F.col("at") <= F.col("char_end")))
+    """(id, role, number): each role hit (id, role, at) with the first paragraph whose closed range holds it.
+
+    Both sides are cut into bins of BIN characters: a hit meets the paragraphs
+    of its bin alone, a paragraph stands in each bin that it reaches into.
+    """
+    cut = lambda c: F.floor(F.col(c) / BIN)
+    placed = paragraphs.filter("char_start <= char_end").withColumn("bin", F.explode(F.sequence(cut("char_start"), cut("char_end"))))
+    met = hits.withColumn("bin", cut("at")).join(placed, ["id", "bin"]).filter(F.col("at").between(F.col("char_start"), F.col("char_end")))
     first = met.groupBy("id", "role", "at").agg(F.min(F.struct("char_start", "number")).alias("f"))
     return first.select("id", "role", "f.number").distinct()

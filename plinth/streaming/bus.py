@@ -43,7 +43,14 @@ EVENT_NEEDS = {
 def events(spark: SparkSession, path: str, max_files: int = 8, newer_than: str | None = None) -> DataFrame:
     """An unbounded read of an event folder; with ``newer_than`` (a timestamp) only of files written after it."""
     stream = spark.readStream.schema(schema.EVENT_SCHEMA).option("maxFilesPerTrigger", max_files).parquet(path)
-    return stream if newer_than is None else stream.filter(F.col("_metadata.file_modification_time") > F.lit(newer_than).cast("timestamp"))
+    if newer_than is None:
+        return stream.select(*_event_columns())
+    return stream.filter(F.col("_metadata.file_modification_time") > F.lit(newer_than).cast("timestamp")).select(*_event_columns())
+
+
+def _event_columns() -> list[str]:
+    """Fields of the event schema; stages' output folders add query and epoch."""
+    return schema.EVENT_SCHEMA.fieldNames()
 
 
 def from_now_on(spark: SparkSession, path: str, max_files: int = 8) -> DataFrame:
@@ -92,39 +99,97 @@ def split_dead(stream: DataFrame, fails: Column) -> tuple[DataFrame, DataFrame]:
     return stream.filter(~F.coalesce(fails, F.lit(False))), stream.filter(F.coalesce(fails, F.lit(False)))
 
 
-#: Halvings of a failing batch, by hash bits, before what is left goes to the dead letters together.
-SPLITS = 24
+#: Halvings of a failing batch, by the bits of its keys' hashes.
+SPLITS = 64
+
+# fixed values: what Spark says when a machine and not a row is at fault
+INFRASTRUCTURE = ("ExecutorLostFailure", "ExecutorDeadException", "FetchFailed", "No space left", "OutOfMemoryError", "MemoryError", "Connection reset", "Connection refused", "Python worker exited unexpectedly", "Python worker failed to connect", "SparkContext was shut down", "cancelled", "killed", "Stage cancelled")
+
+
+def to_blame(problem: BaseException) -> bool:
+    """Whether the rows are at fault: the handler's own exceptions and errors of values are theirs, lost executors, full disks and memory are not."""
+    if isinstance(problem, OSError | MemoryError | ConnectionError):
+        return False
+    return not any(sign in str(problem) for sign in INFRASTRUCTURE)
+
+
+class EpochFolder:
+    """Output of a streaming query by (query, epoch): an epoch's folder appears whole, by one rename, or not at all."""
+
+    def __init__(self, spark: SparkSession, path: str, query: str, epoch: int) -> None:
+        self.path = path.rstrip("/")
+        self.spark, self.final, self.aside = spark, f"{self.path}/query={query}/epoch={epoch}", f"{self.path}/_pending/{query}-{epoch}"
+        self._path = lambda p: spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p)
+        self._files = self._path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def done(self) -> bool:
+        return self._files.exists(self._path(self.final))
+
+    def clear(self) -> None:
+        self._files.delete(self._path(self.aside), True)
+
+    def write(self, rows: DataFrame) -> None:
+        rows.write.mode("append").parquet(self.aside)
+
+    def publish(self) -> None:
+        for place in (self.aside, self.final.rpartition("/")[0]):
+            self._files.mkdirs(self._path(place))
+        if not self._files.rename(self._path(self.aside), self._path(self.final)):
+            raise OSError(f"{self.final} could not be published")
+
+
+def query_id(spark: SparkSession, checkpoint: str) -> str:
+    """The id that a streaming query keeps with its checkpoint over restarts."""
+    return spark.read.json(f"{checkpoint}/metadata").first().id
 
 
 def run_stage(stream: DataFrame, handler: Callable[[DataFrame], DataFrame], out: str, dead: str, checkpoint: str, key: str = "event_id") -> None:
     """Drain what has arrived: handled rows go to ``out``, rows that make the handler fail to ``dead``, and the stream moves on.
 
-    A batch that raises is halved by the hash of ``key`` until the rows that
-    are to blame stand alone; the others are handled. An event is tried once
-    in each half it is in, and is acknowledged whatever comes of it.
+    Both are written by (query, epoch): an epoch that Spark replays after a
+    crash is left alone if its output is there, and else written anew, so each
+    event's output is there once. A batch that raises is halved by the hash of
+    ``key`` until the rows that are to blame stand alone; the others are
+    handled. What is not the rows' fault (see :func:`to_blame`) ends the stage
+    with its exception, and the epoch is replayed by the next run.
     """
+    spark = stream.sparkSession
 
-    def attempt(rows: DataFrame, epoch: int, bit: int) -> None:
+    def attempt(rows: DataFrame, bit: int, good: EpochFolder, bad: EpochFolder) -> None:
         try:
-            handler(rows).write.mode("append").parquet(out)
+            good.write(handler(rows))  # a job that fails leaves no files
             return
         except Exception as problem:
+            if not to_blame(problem):
+                raise
             reason = type(problem).__name__
-        if bit == SPLITS or rows.select(key).distinct().limit(2).count() < 2:
-            rows.withColumn("problem", F.lit(reason)).withColumn("epoch", F.lit(epoch)).write.mode("append").parquet(dead)
+        if rows.select(key).distinct().limit(2).count() < 2:
+            bad.write(rows.withColumn("problem", F.lit(reason)))
             return
-        side = F.shiftright(F.xxhash64(key), bit).bitwiseAND(F.lit(1))
-        for half in (0, 1):
-            part = rows.filter(side == half)
+        if bit < SPLITS:
+            side = F.shiftrightunsigned(F.xxhash64(key), bit).bitwiseAND(F.lit(1))
+            parts = [rows.filter(side == half) for half in (0, 1)]
+        else:  # different keys with one hash
+            parts = [rows.filter(F.col(key).eqNullSafe(F.lit(k[0]))) for k in rows.select(key).distinct().collect()]
+        for part in parts:
             if part.limit(1).count():
-                attempt(part, epoch, bit + 1)
+                attempt(part, bit + 1, good, bad)
 
     def batch(rows: DataFrame, epoch: int) -> None:
+        query = query_id(spark, checkpoint)
+        good, bad = (EpochFolder(spark, path, query, epoch) for path in (out, dead))
+        if good.done():
+            return
+        good.clear()
+        bad.clear()
         held = rows.persist()
         try:
-            attempt(held, epoch, 0)
+            attempt(held, 0, good, bad)
         finally:
             held.unpersist()
+        if not bad.done():  # a replay whose dead letters were published before the crash
+            bad.publish()
+        good.publish()
 
     stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 

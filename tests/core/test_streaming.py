@@ -1,7 +1,11 @@
 """Stream forms against their batch forms over the same events."""
 
+import contextlib
 import datetime as dt
+import os
+import shutil
 
+import pytest
 from pyspark.sql import functions as F
 
 from plinth.schema import EVENT_SCHEMA
@@ -29,6 +33,62 @@ def test_stage_drains_and_sets_failures_aside(spark, tmp_path):
     assert good | {r.event_id for r in dead} == set(range(200)) and 13 not in good and {r.problem for r in dead} == {"ValueError"}
 
 
+def _replay(paths):
+    """Forget that the last epoch was committed, as a crash just before it would."""
+    commits = os.path.join(paths[2], "commits")
+    last = max(int(n) for n in os.listdir(commits) if n.isdigit())
+    for name in (str(last), f".{last}.crc"):
+        with contextlib.suppress(FileNotFoundError):
+            os.remove(os.path.join(commits, name))
+    return last
+
+
+def test_a_replayed_epoch_is_there_once(spark, tmp_path):
+    _rows(spark).repartition(4).write.parquet(str(tmp_path / "in"))
+    calls = []
+
+    def handler(rows):
+        calls.append(1)
+        if rows.filter("event_id = 13").count():
+            raise ValueError("poison")
+        return rows.select("event_id")
+
+    paths = [str(tmp_path / n) for n in ("out", "dead", "ck")]
+    ids = lambda p: sorted(r.event_id for r in spark.read.parquet(p).collect())
+    run = lambda: bus.run_stage(bus.events(spark, str(tmp_path / "in")), handler, *paths)
+    run()
+    assert ids(paths[0]) == [i for i in range(200) if i != 13] and ids(paths[1]) == [13]
+    epoch, seen = _replay(paths), len(calls)
+    run()  # published before the crash: left alone
+    assert len(calls) == seen and ids(paths[0]) == [i for i in range(200) if i != 13] and ids(paths[1]) == [13]
+    _replay(paths)
+    query = bus.query_id(spark, paths[2])
+    shutil.rmtree(f"{paths[0]}/query={query}/epoch={epoch}")  # crashed between the dead letters and the output
+    os.makedirs(f"{paths[0]}/_pending/{query}-{epoch}")
+    spark.range(5).selectExpr("id + 900 as event_id").write.mode("append").parquet(f"{paths[0]}/_pending/{query}-{epoch}")  # and half written
+    run()
+    assert ids(paths[0]) == [i for i in range(200) if i != 13] and ids(paths[1]) == [13]
+
+
+def test_machines_are_not_blamed_on_events(spark, tmp_path):
+    _rows(spark).write.parquet(str(tmp_path / "in"))
+    paths = [str(tmp_path / n) for n in ("out", "dead", "ck")]
+    broken = [OSError("No space left on device")]
+
+    def handler(rows):
+        if broken:
+            raise broken.pop()
+        return rows.select("event_id")
+
+    run = lambda: bus.run_stage(bus.events(spark, str(tmp_path / "in")), handler, *paths)
+    with pytest.raises(Exception, match="No space left"):
+        run()
+    assert not os.path.exists(f"{paths[0]}/query={bus.query_id(spark, paths[2])}")
+    run()
+    assert spark.read.parquet(paths[0]).count() == 200
+    assert bus.to_blame(ValueError("x")) and not bus.to_blame(RuntimeError("Job aborted: ExecutorLostFailure (executor 1 exited)"))
+
+
 def _drain(spark, stream, name, mode):
     q = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
     assert q.awaitTermination(60) or q.stop()
