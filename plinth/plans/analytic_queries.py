@@ -8,7 +8,7 @@ from plinth import engine, schema
 from plinth.functions import display, extract
 from plinth.functions import text as fx
 from plinth.operators import grounding, ivf, metrics, retrieval, segment, vector
-from plinth.plans.base import both, plain, query
+from plinth.plans.base import both, dealt, plain, query
 from plinth.plans.graph_queries import pack_sql, packs
 from plinth.session import scratch_path
 from plinth.sources import sinks, star, upsert
@@ -295,10 +295,13 @@ _facts("fabricated_items", "SELECT doc_id AS item_id, CASE WHEN doc_id % 3 = 0 T
 _facts("hit_items", "SELECT doc_id AS item_id, CASE WHEN doc_id % 9 < 6 THEN CASE WHEN doc_id % 9 IN (2, 3, 4) THEN 1 ELSE 0 END END AS hit FROM documents", "hit")
 
 
-@query("scope_of_dataset", "SELECT d AS dataset, CASE WHEN d LIKE 'private_matter%' THEN concat('eval_', d) END AS scope FROM (VALUES " + ", ".join(f"('{d}')" for d in _DATASETS) + ") v(d)")
+_OWNED = "SELECT o_orderkey AS qid, CASE WHEN name IS NULL THEN lower(o_orderpriority) WHEN o_orderkey % 2 = 0 THEN concat(name, '_', o_custkey) ELSE name END AS dataset FROM " + dealt([(d,) for d in _DATASETS], "name")
+
+
+@query("scope_of_dataset", f"SELECT qid, dataset, CASE WHEN dataset LIKE 'private\\_matter%' ESCAPE '\\' THEN concat('eval_', dataset) END AS scope FROM ({plain(_OWNED)}) x")
 def scope_of_dataset(spark, sf_dir):
-    rows = schema.inline(spark, [(d,) for d in _DATASETS], "dataset")
-    return rows.select("dataset", F.when(F.col("dataset").startswith("private_matter"), F.concat(F.lit("eval_"), "dataset")).alias("scope"))
+    rows = both(spark, sf_dir, _OWNED)
+    return rows.select("qid", "dataset", F.when(F.col("dataset").startswith("private_matter"), F.concat(F.lit("eval_"), "dataset")).alias("scope"))
 
 
 @query("results_with_gold", "SELECT d.doc_id, coalesce(l.quality, -1) AS quality, l.doc_id IS NOT NULL AS answerable FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id")

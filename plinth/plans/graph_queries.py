@@ -268,14 +268,15 @@ def unique_id_violations(spark, sf_dir):
     return graph.duplicate_ids(both(spark, sf_dir, _WRITES))
 
 
-_TIERED = f"SELECT t.node_type, c.level FROM {schema.values_sql([(t,) for t in schema.NODE_TYPES], 'node_type')} t CROSS JOIN {schema.values_sql([(c,) for c in [*schema.COURT_LEVEL_TIER, 'sc', 'UNKNOWN', None]], 'level')} c"
+_LEVELS = [*schema.COURT_LEVEL_TIER, "sc", "UNKNOWN"]
+_TIERED = f"SELECT o_orderkey AS qid, t.node_type, CASE WHEN l.level IS NULL AND o_orderkey % 2 = 0 THEN o_orderstatus ELSE l.level END AS level FROM {{orders}} o JOIN {schema.values_sql(list(enumerate(schema.NODE_TYPES)), 'k, node_type')} t ON t.k = o_orderkey % {len(schema.NODE_TYPES)} LEFT JOIN {schema.values_sql(list(enumerate(_LEVELS)), 'k, level')} l ON l.k = o_custkey % {len(_LEVELS) + 1}"
 
 
-@query("authority_tier_assign", f"""SELECT x.node_type, coalesce(level, '-') AS level, coalesce(f.tier, CASE WHEN x.node_type IN ({", ".join(map(schema.sql_literal, schema.NODE_FAMILIES["judicial"]))}) THEN coalesce(c.tier, 3) END, 8) AS tier FROM ({_TIERED}) x
+@query("authority_tier_assign", f"""SELECT qid, x.node_type, coalesce(level, '-') AS level, coalesce(f.tier, CASE WHEN x.node_type IN ({", ".join(map(schema.sql_literal, schema.NODE_FAMILIES["judicial"]))}) THEN coalesce(c.tier, 3) END, 8) AS tier FROM ({plain(_TIERED)}) x
  LEFT JOIN {schema.values_sql(list(schema.TIER_BY_TYPE.items()), 'node_type, tier')} f ON f.node_type = x.node_type LEFT JOIN {schema.values_sql(list(schema.COURT_LEVEL_TIER.items()), 'lv, tier')} c ON c.lv = upper(x.level)""")
 def authority_tier_assign(spark, sf_dir):
-    rows = spark.sql(_TIERED)
-    return rows.select("node_type", F.coalesce("level", F.lit("-")).alias("level"), graph.authority_tier(F.col("node_type"), F.col("level")).alias("tier"))
+    rows = both(spark, sf_dir, _TIERED)
+    return rows.select("qid", "node_type", F.coalesce("level", F.lit("-")).alias("level"), graph.authority_tier(F.col("node_type"), F.col("level")).alias("tier"))
 
 
 @query("unknown_types_dropped", f"SELECT x.node_type, count(*) AS n FROM (SELECT CASE o_orderkey % 3 WHEN 0 THEN 'Date' WHEN 1 THEN 'Case' ELSE 'Section' END AS node_type FROM orders) x JOIN {schema.values_sql([(t,) for t in schema.NODE_TYPES], 'node_type')} t ON t.node_type = x.node_type GROUP BY x.node_type")

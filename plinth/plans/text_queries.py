@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from plinth import schema
 from plinth.functions import text as fx
-from plinth.plans.base import both, plain, query
+from plinth.plans.base import both, dealt, plain, query
 
 _PICK = "CASE o_orderkey % 4 WHEN 0 THEN '{0}' WHEN 1 THEN '{1}' WHEN 2 THEN '{2}' ELSE '{3}' END"
 _YEAR = "year(o_orderdate)"
@@ -68,17 +68,26 @@ def slug(spark, sf_dir):
 _ACTS = [(n, t) for n, t in (("Indian Penal Code, 1860", "ipc"), ("IPC", "ipc"), ("Bharatiya Nyaya Sanhita 2023", "bns"), ("BNSS", "bnss"), ("Indian Evidence Act, 1872", "iea"), ("Code of Criminal Procedure (Amended)", "crpc"), ("Some Other Act, 1999", "some_other_act"), ("Constitution of India", "constitution"), ("cr pc", "crpc"))]
 
 
-@query("act_token", f"SELECT name, token FROM {schema.values_sql(_ACTS, 'name, token')} v")
+_NAMED = dealt(_ACTS, "name, token")
+
+
+@query("act_token", plain(f"SELECT o_orderkey AS qid, CASE WHEN name IS NULL THEN trim(regexp_replace(lower(concat(o_orderpriority, ' Rules ', o_orderkey)), '[^a-z0-9]+', '_', 'g'), '_') ELSE token END AS token FROM {_NAMED}"))
 def act_token(spark, sf_dir):
-    return schema.inline(spark, [(n,) for n, _ in _ACTS], "name").select("name", fx.act_token(F.col("name")).alias("token"))
+    """Act names as they are written, in other letters, and names of no known act, over the orders."""
+    rows = both(spark, sf_dir, f"SELECT o_orderkey AS qid, CASE WHEN name IS NULL THEN concat(o_orderpriority, ' Rules ', o_orderkey) WHEN o_orderkey % 2 = 0 THEN upper(name) ELSE name END AS name FROM {_NAMED}")
+    return rows.select("qid", fx.act_token(F.col("name")).alias("token"))
 
 
 _CODES = [("SC", "sc"), ("Supreme Court of India", "sc"), (" delhi ", "del"), ("P&H.", "ph"), ("BHC-AS", "bom"), ("Nowhere", "unknown"), ("MH", "bom"), ("J&K", "jk"), ("Madhya Pradesh", "mp")]
 
 
-@query("court_normalise", f"SELECT raw, code FROM {schema.values_sql(_CODES, 'raw, code')} v")
+_CODED = dealt(_CODES, "raw, code")
+
+
+@query("court_normalise", plain(f"SELECT o_orderkey AS qid, coalesce(code, 'unknown') AS code FROM {_CODED}"))
 def court_normalise(spark, sf_dir):
-    return schema.inline(spark, [(n,) for n, _ in _CODES], "raw").select("raw", fx.court_code(F.col("raw")).alias("code"))
+    rows = both(spark, sf_dir, f"SELECT o_orderkey AS qid, CASE WHEN raw IS NULL THEN o_orderpriority WHEN o_orderkey % 2 = 0 THEN concat(' ', raw, ' ') ELSE raw END AS raw FROM {_CODED}")
+    return rows.select("qid", fx.court_code(F.col("raw")).alias("code"))
 
 
 _QUESTIONS = [
@@ -89,9 +98,13 @@ _QUESTIONS = [
 ]
 
 
-@query("intent_fixed_questions", f"SELECT question, intent FROM {schema.values_sql(_QUESTIONS, 'question, intent')} v")
+_POSED = dealt(_QUESTIONS, "question, intent")
+
+
+@query("intent_fixed_questions", plain(f"SELECT o_orderkey AS qid, coalesce(intent, 'generic') AS intent FROM {_POSED}"))
 def intent_fixed_questions(spark, sf_dir):
-    return schema.inline(spark, [(q,) for q, _ in _QUESTIONS], "question").select("question", fx.intent(F.col("question")).alias("intent"))
+    rows = both(spark, sf_dir, f"SELECT o_orderkey AS qid, concat(coalesce(question, 'nothing of the kind'), ' ', o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN ' ?' ELSE '' END) AS question FROM {_POSED}")
+    return rows.select("qid", fx.intent(F.col("question")).alias("intent"))
 
 
 _INTENT_SQL = "CASE " + " ".join(f"WHEN regexp_matches(body, '(?is){p}') THEN '{n}'" for n, p in fx.INTENTS) + " ELSE 'generic' END"
