@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from plinth import schema
 from plinth.session import materialize
+from plinth.sizes import bounded
 
 
 # ---- validation and writing ---------------------------------------------------------------
@@ -209,20 +210,33 @@ def typed_bfs(nodes: DataFrame, edges: DataFrame, questions: DataFrame, seeds: D
 
 
 def neighborhood(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, max_hops: int, scope: str | None = None, ceiling: int | None = None) -> DataFrame:
-    """(node, depth) within ``max_hops`` of any seed (node), over edges both ways, through admissible nodes only."""
+    """(node, depth) within ``max_hops`` of any seed (node), over edges both ways, through admissible nodes only.
+
+    A level is one table of its new nodes. As edges go both ways, a neighbour
+    of a level lies in that level, the one before, or is new: only these two
+    are read to tell, so what is read and written is linear in what is found.
+    A small level travels to the adjacency, which then is not shuffled.
+    """
     allowed = nodes.select(F.col("id").alias("node"), "tier", "matter_id")
     if ceiling:
         allowed = allowed.filter(F.col("tier").isNull() | (F.col("tier") <= ceiling))
     if scope:
         allowed = allowed.filter(F.col("matter_id").isNull() | (F.col("matter_id") == scope))
     allowed = allowed.select("node")
-    adjacent = both_ways(edges).select("node", "other").distinct()
-    seen = materialize(seeds.select("node").distinct().join(allowed, "node", "left_semi").withColumn("depth", F.lit(0)), "near0")
+    both = both_ways(edges).select("node", "other")
+    levels = [materialize(seeds.select("node").distinct().join(allowed, "node", "left_semi"), "near0")]
     for depth in range(1, max_hops + 1):
-        front = seen.filter(F.col("depth") == depth - 1)
-        new = front.join(adjacent, "node").select(F.col("other").alias("node")).distinct().join(allowed, "node", "left_semi").join(seen, "node", "left_anti")
-        seen = materialize(seen.unionByName(new.withColumn("depth", F.lit(depth))), f"near{depth}")
-    return seen
+        front = bounded(levels[-1])
+        met = both.join(front, "node").select(F.col("other").alias("node")).distinct().join(allowed, "node", "left_semi")
+        for level in levels[-2:]:
+            met = met.join(level, "node", "left_anti")
+        levels.append(materialize(met, f"near{depth}"))
+        if not levels[-1].limit(1).count():
+            break
+    out = levels[0].withColumn("depth", F.lit(0))
+    for depth, level in enumerate(levels[1:], 1):
+        out = out.unionByName(level.withColumn("depth", F.lit(depth)))
+    return out
 
 
 def path_nodes(path: Column) -> Column:

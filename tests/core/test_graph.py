@@ -4,6 +4,7 @@ import heapq
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from plinth import schema
 from plinth.operators import graph
@@ -94,3 +95,27 @@ def test_vocabulary_sizes():
     assert len(schema.NODE_TYPES) == 65 == len(set(schema.NODE_TYPES)) and len(schema.EDGES) == 42 and len(schema.INDEXABLE) == 26
     assert len(schema.crosswalk_rows()) == 38 and len(schema.REQUIRED) == 24 and sum(t for *_, t in schema.EDGES) == 4
     assert {t for _, s, d, _ in schema.EDGES for t in s + d} - {"*"} <= set(schema.NODE_TYPES)
+
+
+def test_neighbourhood_reads_two_levels_alone(spark):
+    """Against plain breadth-first search, with cycles, loops, several seeds and inadmissible nodes on the way."""
+    from collections import defaultdict
+
+    rng = random.Random(4)
+    nodes = [(k, rng.choice([None, 1, 3, 8]), rng.choice([None, None, "m1", "m2"])) for k in range(120)]
+    edges = [(rng.randrange(120), rng.randrange(120)) for _ in range(150)] + [(5, 5), (1, 2), (1, 2)]
+    n = spark.createDataFrame([(f"n{k}", t, m) for k, t, m in nodes], "id string, tier int, matter_id string")
+    e = spark.createDataFrame([(f"n{a}", f"n{b}") for a, b in edges], "src string, dst string").withColumn("edge_type", F.lit("X"))
+    fine = {k for k, t, m in nodes if (t is None or t <= 3) and m in (None, "m1")}
+    near = defaultdict(set)
+    for a, b in edges:
+        near[a].add(b)
+        near[b].add(a)
+    for hops in (0, 1, 4, 50):
+        want, front = {k: 0 for k in (0, 1, 7) if k in fine}, {k for k in (0, 1, 7) if k in fine}
+        for depth in range(1, hops + 1):
+            front = {o for k in front for o in near[k] if o in fine and o not in want}
+            want |= dict.fromkeys(front, depth)
+        seeds = spark.createDataFrame([("n0",), ("n1",), ("n7",), ("n0",), ("absent",)], "node string")
+        got = graph.neighborhood(n, e, seeds, hops, scope="m1", ceiling=3).collect()
+        assert len(got) == len(want) and {int(r.node[1:]): r.depth for r in got} == want
