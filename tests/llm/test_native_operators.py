@@ -364,3 +364,25 @@ def test_copies_of_a_row_are_shuffled_in_their_slot(spark):
     placed = sharding.place(monkey, [0] + [1] * 8191, [1500] + [0] * 8191, seed=3).orderBy("slot").collect()
     assert [r.slot for r in placed] == list(range(1500)) and set(docs.columns) - {"size"} <= set(placed[0].__fields__)
     assert sum(a.doc_id == b.doc_id for a, b in zip(placed, placed[1:], strict=False)) < 40
+
+
+def test_placement_equals_brute_force(spark):
+    """Slots by hash, the map by loads, and positions by order, all computed again one after another."""
+    rows = corpus(seed=5)
+    found = sharding.shard(frame(spark, rows)).collect()
+    records = sharding.sized(frame(spark, rows)).select("id", "size", "text_crc32", "vslot").collect()
+    text = {(i, t) for i, t, _ in rows}
+    assert sorted((str(r.id), r.size, r.text_crc32) for r in records) == sorted((str(i), len((t or "").encode()) + 8, zlib.crc32((t or "").encode())) for i, t, _ in rows) and len(text) == len(rows) - 1
+    slots = defaultdict(int)
+    for r in records:
+        slots[r.vslot] += r.size
+    load, home = [0] * 24, {}
+    for slot in sorted(range(sharding.VIRTUAL_SLOTS), key=lambda s: (-slots.get(s, 0), s)):
+        home[slot] = min(range(24), key=lambda k: (load[k], k))
+        load[home[slot]] += slots.get(slot, 0)
+    want = []
+    for shard in range(24):
+        mine = sorted((r for r in records if home[r.vslot] == shard), key=lambda r: (r.vslot, r.id is not None, r.id or 0, r.text_crc32, r.size))
+        want += [(str(r.id), r.size, r.text_crc32, "bytes", shard, n) for n, r in enumerate(mine)]
+    assert sorted((str(r.doc_id), r.size, r.text_crc32, r.law, r.shard, r.slot) for r in found) == sorted(want)
+    assert max(load) - min(load) <= max(slots.values())
