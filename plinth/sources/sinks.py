@@ -26,15 +26,27 @@ def absent(rows: DataFrame, existing: DataFrame, key: str) -> DataFrame:
 
 
 def replace_by_key(old: DataFrame, new: DataFrame, key: str, path: str) -> None:
-    """Write ``old`` with the rows of ``new`` in place of those with equal keys, then swap the folder."""
+    """Write ``old`` with the rows of ``new`` in place of those with equal keys, then swap the folder.
+
+    The whole table is written; :class:`plinth.sources.upsert.KeyedTable`
+    rewrites only the buckets that change and never hides the table. Here the
+    former folder is kept as ``.previous`` until the new one stands; a run
+    that finds only that one puts it back first.
+    """
     spark = old.sparkSession
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    base = path.rstrip("/")
+    here, side, previous = place(base), place(base + ".next"), place(base + ".previous")
+    fs = here.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(here) and fs.exists(previous):
+        fs.rename(previous, here)
     merged = old.join(new.select(key), key, "left_anti").unionByName(new)
-    side = path.rstrip("/") + ".next"
-    merged.write.mode("overwrite").parquet(side)
-    drop_path(spark, path)
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    fs = hadoop(side).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.rename(hadoop(side), hadoop(path))
+    merged.write.mode("overwrite").parquet(base + ".next")
+    drop_path(spark, base + ".previous")
+    if fs.exists(here):
+        fs.rename(here, previous)
+    fs.rename(side, here)
+    drop_path(spark, base + ".previous")
 
 
 def report_json(summary: DataFrame) -> DataFrame:
