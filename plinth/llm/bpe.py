@@ -50,7 +50,7 @@ LEXICON_WORDS = 50_000
 WORD_BYTES = 64
 #: Words that a task counts, and remembers with their ids, at once, and characters of a text that it cuts at once.
 HELD = 1 << 18
-SEEN = 1 << 19
+SEEN = 300_000
 WHOLE = 1 << 20
 #: Bytes of ids or texts that are handed on together.
 OUTPUT = 16 << 20
