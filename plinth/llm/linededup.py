@@ -8,10 +8,11 @@ over the whole corpus; every occurrence but the first, by
 overlapping windows merge into runs, and the runs are removed.
 
 Defined cases: null texts have no lines and stay null; blank lines are never
-hashed and go only with the marked lines around them (a blank line stays);
+hashed and never removed, those between removed lines neither;
 texts of fewer than three non-blank lines stay as they are; rows that repeat
 both id and text count as one document, and each is returned with the same
-result; null ids sort first; an empty table gives no rows. Extra columns are dropped.
+result; null ids sort first; texts of any length are cut into lines whole; an
+empty table gives no rows. Extra columns are dropped.
 """
 
 from __future__ import annotations

@@ -9,8 +9,8 @@ exploded by their counts and shuffled globally by a hashed key.
 
 Defined cases: null and empty texts weigh their 8-byte overhead; a null
 source is a source of its own; repeated rows draw alike; sources without a
-target weight (or with weight 0) leave the mixture; an empty table gives no
-rows. Extra columns pass through; input columns named like the added ones
+target weight (or with weight 0) leave the mixture; a very long text weighs
+its bytes and is copied whole; an empty table gives no rows. Extra columns pass through; input columns named like the added ones
 are replaced by them.
 """
 

@@ -12,6 +12,8 @@ Defined cases: null and empty texts are scored on their shape alone; repeated
 rows score alike, and an id that repeats teaches once, by its least text; a
 null id scores like any other; an empty table gives no rows; without ratings of two
 grades at least, every document has the one grade known (or 0) and is kept.
+Equal expected grades stay equal, whatever stands beside them; texts of any
+length are read whole, in pieces; extra columns are ignored.
 """
 
 from __future__ import annotations

@@ -14,7 +14,8 @@ tasks. Groups of equal texts with different ids hash by their ids: they are
 not kept together and may lie in all shards.
 
 Defined cases: a null text counts as empty (8 bytes, crc 0); a null id hashes
-by its text; repeated rows are placed together and each takes a position;
+by its text; repeated rows are placed together and each takes a position; a
+very long text counts with all its bytes and is never cut;
 an empty table gives no rows. Columns of the input whose names clash with
 the output's are dropped first.
 """

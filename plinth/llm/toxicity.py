@@ -13,7 +13,7 @@ alone; a null id scores like any other (held_out null is given as false);
 repeated rows score alike, and an id that repeats teaches once, by its least
 text; ids with several labels count as toxic if one of them says so; without
 labels of both classes the score is 0; an empty table gives no rows. Extra
-columns are ignored.
+columns are ignored. Texts and words of any length are read whole, in pieces.
 """
 
 from __future__ import annotations

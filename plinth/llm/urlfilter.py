@@ -6,7 +6,8 @@ vectors, and only the (node, feature, bin) sums reach the driver. The model
 is emitted as one native expression.
 
 Defined cases: a null URL or one without ``://`` has empty host and path and is
-judged by the model on empty features; repeated rows get equal verdicts;
+judged by the model on empty features; a URL of any length is read whole;
+repeated rows get equal verdicts;
 without labelled rows of both classes the model is the constant base rate; a
 null page_id is kept; an empty table gives no rows; extra columns, whatever
 their names, are left out.

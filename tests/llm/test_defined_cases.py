@@ -93,3 +93,18 @@ def test_one_very_long_text(spark):
     found = decontam.leaks(docs, bench).collect()
     assert [(r.doc_id, r.item_id, r.similarity) for r in found] == [(1, 9, 1.0)] and found[0].start == 200_000
     assert brute_leaks([(2, "short text")], [(9, item)]) == {}
+
+
+def test_very_long_texts_and_urls(spark):
+    """One text of 3 MB in one word, one of 200,000 lines, and a URL of 300 KB."""
+    word, lines = "x" * 3_000_000, "\n".join(f"line {k}" for k in range(200_000))
+    rows = [(1, word, "s"), (2, lines, "s"), (3, "a b", "s")]
+    copies = mixing.mix(frame(spark, rows), epochs=3.0).collect()
+    assert all(r.text == {1: word, 2: lines, 3: "a b"}[r.doc_id] for r in copies)
+    placed = {r.doc_id: r.size for r in sharding.shard(frame(spark, rows)).collect()}
+    assert placed == {1: len(word) + 8, 2: len(lines) + 8, 3: 11}
+    url = "http://Long.example.org/" + "p/" * 150_000
+    pages = spark.createDataFrame([(1, url, "h"), (2, "http://" + "h" * 300_000, "h")], "page_id long, url string, html string")
+    model = urlfilter.Model(-5.0, [], spark.createDataFrame([], "suffix string, rate double, n double"), 0.0)
+    got = {r.page_id: (r.host, len(r.path), r.verdict) for r in urlfilter.judge(pages, model).collect()}
+    assert got[1] == ("long.example.org", 300_001, "allow") and len(got[2][0]) == 300_000
