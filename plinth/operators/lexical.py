@@ -60,6 +60,7 @@ def candidates(docs: DataFrame, questions: DataFrame, k: int, weight: float = 1.
     spark = docs.sparkSession
     docs = materialize(docs, "lexical-documents", spread=True)
     questions = materialize(questions, "lexical-questions")
+    asked = bounded(questions.withColumnRenamed("words", "_q"))
     terms = questions.select("qid", F.size("words").alias("n"), F.explode("words").alias("word"))
     wanted = bounded(materialize(terms.select("word").distinct(), "lexical-words"))
     sizes = [F.size("words").alias("n_body"), F.size("title").alias("n_title"), "static"]
@@ -74,7 +75,7 @@ def candidates(docs: DataFrame, questions: DataFrame, k: int, weight: float = 1.
     pairs = terms.filter(F.col("pos") <= SEED_WORDS).join(seeds, "word").select("qid", "node")
     alone = [r.node for r in docs.select("node", "static").orderBy(F.desc(F.round("static", 9)), "node").limit(k).collect()]
     alone = questions.select("qid", F.explode(F.array(*map(F.lit, alone)).cast(f"array<{docs.schema['node'].dataType.simpleString()}>")).alias("node"))
-    first = materialize(_scored(pairs.unionByName(alone).distinct(), docs, questions), "lexical-first")
+    first = materialize(_scored(pairs.unionByName(alone).distinct(), docs, asked), "lexical-first")
     total = F.col("static") + F.lit(weight) * F.col("sem")
     kth = Window.partitionBy("qid").orderBy(F.desc(total), "node")
     floors = first.withColumn("r", F.row_number().over(kth)).filter(F.col("r") == k).select("qid", total.alias("floor"))
@@ -85,11 +86,10 @@ def candidates(docs: DataFrame, questions: DataFrame, k: int, weight: float = 1.
     grouped = met.groupBy("qid", "node", "n", "n_body", "n_title", "static", "floor").agg(F.count("*").alias("m"))
     prefix = F.col("n") - least + 1
     able = grouped.filter(F.col("static") + F.lit(weight) * _most(F.least(F.col("m") + F.col("n") - prefix, F.col("n"))) >= F.col("floor") - F.lit(SLACK))
-    second = _scored(able.select("qid", "node"), docs, questions)
+    second = _scored(able.select("qid", "node"), docs, asked)
     return first.unionByName(second).dropDuplicates(["qid", "node"])
 
 
-def _scored(pairs: DataFrame, docs: DataFrame, questions: DataFrame) -> DataFrame:
-    asked = bounded(questions.withColumnRenamed("words", "_q"))
+def _scored(pairs: DataFrame, docs: DataFrame, asked: DataFrame) -> DataFrame:
     met = pairs.join(docs, "node").join(asked, "qid")
     return met.withColumn("sem", score(F.col("_q"), F.col("words"), F.col("title"))).drop("_q", "words", "title")
