@@ -6,7 +6,8 @@ folders it probes. A list that holds many points (copies of one vector) lies
 in several files, written by several tasks. Each list keeps the least cosine
 of its points to the centroid: by the triangle inequality of angles no point
 of a list can be nearer to a query than its angle to the centroid less that
-radius. An approximate search reads the ``probes`` best lists; an exact one
+radius. An approximate search reads the best lists,
+as many as the sample shows to be needed for ``RECALL``; an exact one
 takes the k-th similarity found there as a floor and reads on in those lists
 alone that can still hold a better point. What is read is compared exactly.
 """
@@ -31,7 +32,8 @@ SAMPLE_ROWS = 20_000
 #: Lists at most, and points of a list on average below that.
 LISTS, LIST_POINTS = 4096, 64
 ROUNDS = 8
-PROBES = 12
+#: Share of true neighbours that an approximate search should find, and sampled points that tell how many lists that takes.
+RECALL, ASKED = 0.95, 256
 #: Points of a list from which on it is written by several tasks.
 PART_POINTS = 100_000
 #: Similarities are compared at this many places.
@@ -62,14 +64,31 @@ def centroids(x: np.ndarray, lists: int) -> np.ndarray:
     return found
 
 
+def probes_for(x: np.ndarray, centres: np.ndarray, k: int) -> int:
+    """Lists to read so that RECALL of the ``k`` nearest other rows of ASKED rows of ``x`` are found."""
+    x = _unit(x)
+    if len(x) < 2 or not len(centres):
+        return 1
+    near = np.concatenate([(x[s : s + 4096] @ centres.T).argmax(1) for s in range(0, len(x), 4096)])
+    asked = np.random.default_rng(19).permutation(len(x))[:ASKED]
+    place = np.argsort(np.argsort(-(x[asked] @ centres.T), axis=1, kind="stable"), axis=1, kind="stable")  # of each list among a row's
+    needed = []
+    for row, i in zip(place, asked, strict=True):
+        sims = x @ x[i]
+        sims[i] = -np.inf
+        needed.append(row[near[np.argsort(-sims, kind="stable")[: min(k, len(x) - 1)]]])
+    return int(np.quantile(np.concatenate(needed), RECALL, method="higher")) + 1
+
+
 @dataclass
 class VectorIndex:
-    """A stored index: ``path`` holds the lists (id, vec, matter_id, list); ``reach`` is the least cosine in each list."""
+    """A stored index: ``path`` holds the lists (id, vec, matter_id, list); ``reach`` is the least cosine in each list, ``probes`` the lists that an approximate search reads."""
 
     path: str
     centres: np.ndarray
     reach: np.ndarray
     kinds: str
+    probes: int
 
     def points(self, spark) -> DataFrame:
         return spark.read.schema(self.kinds).parquet(self.path)
@@ -85,10 +104,12 @@ def build(points: DataFrame, lists: int | None = None) -> VectorIndex:
     def fitted(batches):
         rows = [_matrix(b.column(0)) for b in batches if b.num_rows]
         if rows:
-            yield pa.RecordBatch.from_pydict({"c": pa.array(centroids(np.vstack(rows), lists).tolist(), pa.list_(pa.float64()))})
+            found = centroids(x := np.vstack(rows), lists)
+            yield pa.RecordBatch.from_pydict({"c": pa.array(found.tolist(), pa.list_(pa.float64())), "probes": pa.array(np.full(len(found), probes_for(x, found, schema.RECALL_K), np.int32))})
 
     sample = usable.select("vec", F.xxhash64("id").alias("h")).orderBy("h").limit(SAMPLE_ROWS).select("vec")
-    centres = np.array([r.c for r in sample.coalesce(1).mapInArrow(fitted, "c array<double>").collect()])  # LISTS rows at most
+    made = sample.coalesce(1).mapInArrow(fitted, "c array<double>, probes int").collect()  # LISTS rows at most
+    centres, probes = np.array([r.c for r in made]), made[0].probes if made else 1
 
     def assigned(batches):
         for b in batches:
@@ -110,11 +131,11 @@ def build(points: DataFrame, lists: int | None = None) -> VectorIndex:
     # numbers by hash spread a list's parts over tasks even where few partitions are left
     held.drop("near").repartition(max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), "list", salt).sortWithinPartitions("list").write.partitionBy("list").parquet(path)
     reach = np.array([sizes[k][1] if k in sizes else 1.0 for k in range(len(centres))])
-    return VectorIndex(path, centres, np.clip(reach, -1, 1), f"{kinds}, list int")
+    return VectorIndex(path, centres, np.clip(reach, -1, 1), f"{kinds}, list int", probes)
 
 
-def search(index: VectorIndex, queries: DataFrame, k: int = schema.RECALL_K, probes: int = PROBES, exact: bool = False) -> DataFrame:
-    """(qid, id, sim, rank) of the ``k`` nearest admissible points of each query (qid, vec, scope) in the lists read."""
+def search(index: VectorIndex, queries: DataFrame, k: int = schema.RECALL_K, probes: int | None = None, exact: bool = False) -> DataFrame:
+    """(qid, id, sim, rank) of the ``k`` nearest admissible points of each query (qid, vec, scope) in the lists read, ``probes`` of them or as many as the index found to be needed."""
     spark = queries.sparkSession
     kind = f"qid {queries.schema['qid'].dataType.simpleString()}, id {index.points(spark).schema['id'].dataType.simpleString()}, sim double"
     found = None
@@ -124,7 +145,7 @@ def search(index: VectorIndex, queries: DataFrame, k: int = schema.RECALL_K, pro
             continue
         q = _unit(np.array(asked["vec"].tolist(), float))
         sims = np.clip(q @ index.centres.T, -1, 1)
-        first = np.argsort(-sims, axis=1, kind="stable")[:, :probes]
+        first = np.argsort(-sims, axis=1, kind="stable")[:, : probes or index.probes]
         wanted = np.zeros(sims.shape, bool)
         np.put_along_axis(wanted, first, True, axis=1)
         hits = _read(spark, index, asked, q, wanted, k, kind)

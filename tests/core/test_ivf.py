@@ -27,7 +27,7 @@ def test_exact_search_equals_full_search(spark, monkeypatch, scope):
     index = ivf.build(table)
     key = lambda rows: sorted((r.qid, r.id, round(r.sim, 6), r["rank"]) for r in rows)
     assert key(ivf.search(index, asked, 7, probes=1, exact=True).collect()) == [(q, i, round(s, 6), k) for q, i, s, k in want]
-    found = ivf.search(index, asked, 7, probes=6)
+    found = ivf.search(index, asked, 7)
     measured = ivf.recall(found, vector.topk(asked, table.filter("vec is not null"), 7)).agg(F.avg("recall")).first()[0]
     assert measured >= 0.9
     stored = index.points(spark)
@@ -36,6 +36,22 @@ def test_exact_search_equals_full_search(spark, monkeypatch, scope):
     assert hot["count"] >= 500 and stored.filter(F.col("list") == hot["list"]).select(F.input_file_name()).distinct().count() > 1
 
 
+def test_probes_follow_the_data():
+    """Points without clusters need many lists for the same recall, clusters few; both measured on all rows."""
+    rng = np.random.default_rng(3)
+    loose = rng.normal(size=(1500, 32))
+    tight = (rng.normal(size=(40, 32)) * 5)[rng.integers(0, 40, 1500)] + rng.normal(size=(1500, 32)) * 0.3
+    for x, most in ((loose, 24), (tight, 6)):
+        centres = ivf.centroids(x, 24)
+        probes = ivf.probes_for(x, centres, 10)
+        assert 1 <= probes <= most
+        x = ivf._unit(x)
+        near, sims = (x @ centres.T).argmax(1), x @ x.T
+        read = np.argsort(-(x @ centres.T), axis=1)[:, :probes]
+        met = [np.isin(near[np.argsort(-sims[i])[1:11]], read[i]).mean() for i in range(0, 1500, 7)]
+        assert np.mean(met) >= 0.9
+
+
 def test_only_probed_lists_are_read(spark):
     table = points(spark, 600)
     asked = table.filter("id = 7").select(F.col("id").alias("qid"), "vec", F.lit(None).cast("string").alias("scope"))
