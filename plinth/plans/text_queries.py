@@ -73,8 +73,8 @@ _NAMED = dealt(_ACTS, "name, token")
 
 @query("act_token", plain(f"SELECT o_orderkey AS qid, CASE WHEN name IS NULL THEN trim(regexp_replace(lower(concat(o_orderpriority, ' Rules ', o_orderkey)), '[^a-z0-9]+', '_', 'g'), '_') ELSE token END AS token FROM {_NAMED}"))
 def act_token(spark, sf_dir):
-    """Act names as they are written, in other letters, and names of no known act, over the orders."""
-    rows = both(spark, sf_dir, f"SELECT o_orderkey AS qid, CASE WHEN name IS NULL THEN concat(o_orderpriority, ' Rules ', o_orderkey) WHEN o_orderkey % 2 = 0 THEN upper(name) ELSE name END AS name FROM {_NAMED}")
+    """Act names as they are written, in other letters, and names of no known act, over the orders; those bear a year too, as a bare order number would be read as one."""
+    rows = both(spark, sf_dir, f"SELECT o_orderkey AS qid, CASE WHEN name IS NULL THEN concat(o_orderpriority, ' Rules ', o_orderkey, ', ', {_YEAR}) WHEN o_orderkey % 2 = 0 THEN upper(name) ELSE name END AS name FROM {_NAMED}")
     return rows.select("qid", fx.act_token(F.col("name")).alias("token"))
 
 
