@@ -19,7 +19,7 @@ def orders(spark, tmp_path_factory):
     return folder
 
 
-@pytest.mark.parametrize("name", ["act_token", "cite_air", "cite_crilj", "cite_ilr", "cite_insc", "cite_manu", "cite_neutral", "cite_scc", "cite_scc_online", "cite_scr", "cite_title_merge"])
+@pytest.mark.parametrize("name", ["act_token", "cite_air", "cite_crilj", "cite_ilr", "cite_insc", "cite_manu", "cite_neutral", "cite_scc", "cite_scc_online", "cite_scr", "cite_title_merge", "cite_union"])
 def test_query_matches_sql_at_large_keys(spark, orders, name):
     df = catalog.queries()[name](spark, orders)
     names = sorted(df.columns)
