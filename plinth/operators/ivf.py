@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plinth import schema
-from plinth.operators.vector import _blocks
+from plinth.operators.vector import POINT_ROWS, Best, _blocks
 from plinth.session import materialize, scratch_path
 
 #: Points that centroids are fitted on at most, by the least hashes of their ids.
@@ -89,9 +89,13 @@ class VectorIndex:
     reach: np.ndarray
     kinds: str
     probes: int
+    table: DataFrame | None = None
 
     def points(self, spark) -> DataFrame:
-        return spark.read.schema(self.kinds).parquet(self.path)
+        """The lists; their folders are looked up once."""
+        if self.table is None:
+            self.table = spark.read.schema(self.kinds).parquet(self.path)
+        return self.table
 
 
 def build(points: DataFrame, lists: int | None = None) -> VectorIndex:
@@ -168,23 +172,25 @@ def _ranked(hits: DataFrame, k: int) -> DataFrame:
 
 
 def _read(spark, index: VectorIndex, asked: pd.DataFrame, q: np.ndarray, wanted: np.ndarray, k: int, kind: str) -> DataFrame:
-    """The ``k`` best points of each batch for the queries that want its lists; only wanted folders are read."""
+    """The ``k`` best points of each task for the queries that want its lists; only wanted folders are read."""
     lists = np.flatnonzero(wanted.any(0))
     qids, scopes = asked["qid"].to_numpy(), asked["scope"].to_numpy()
-    who = {int(c): np.flatnonzero(wanted[:, c]) for c in lists}
+    groups = [(None, pd.isna(scopes)), *((s, scopes == s) for s in set(scopes[~pd.isna(scopes)]))]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        best = Best(len(qids), k)
         for f in frames:
-            for number, part in f.groupby("list"):
-                mine = who[int(number)]
-                sims = np.round(q[mine] @ _unit(np.array(part["vec"].tolist(), float)).T, PLACES)
-                matter, ids = part["matter_id"].to_numpy(), part["id"].to_numpy()
-                for j, row in zip(mine, sims, strict=True):
-                    seen = pd.isna(matter) | (False if pd.isna(scopes[j]) else matter == scopes[j])
-                    at = np.flatnonzero(seen)
-                    best = at[np.lexsort((ids[at], -row[at]))[:k]]
-                    if len(best):
-                        yield pd.DataFrame({"qid": qids[j], "id": ids[best], "sim": row[best]})
+            for number, whole in f.groupby("list"):
+                for s in range(0, len(whole), POINT_ROWS):
+                    part = whole.iloc[s : s + POINT_ROWS]
+                    vecs, matter, ids = _unit(np.array(part["vec"].tolist(), float)), part["matter_id"].to_numpy(object), part["id"].to_numpy(object)
+                    for scope, its in groups:
+                        mine = np.flatnonzero(wanted[:, int(number)] & its)
+                        seen = pd.isna(matter) | (False if scope is None else matter == scope)
+                        if len(mine) and seen.any():
+                            best.show(mine, np.round(q[mine] @ vecs[seen].T, PLACES), ids[seen])
+        if len(best.who):
+            yield best.frame(qids)
 
     return index.points(spark).filter(F.col("list").isin(*map(int, lists))).select("id", "vec", "matter_id", "list").mapInPandas(run, kind)
 

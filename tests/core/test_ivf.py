@@ -66,3 +66,15 @@ def test_empty_tables(spark):
     none = table.filter("id < 0")
     asked = table.filter("id < 2").select(F.col("id").alias("qid"), "vec", F.lit(None).cast("string").alias("scope"))
     assert ivf.search(ivf.build(none), asked, 3).count() == 0 == ivf.search(ivf.build(table), asked.limit(0), 3).count()
+
+
+def test_a_task_leaves_its_best_alone(spark):
+    """However many lists a query wants, a task hands on ``k`` rows of it at most; folders are looked up once."""
+    table = points(spark, 900)
+    index = ivf.build(table, lists=40)
+    assert index.points(spark) is index.points(spark)
+    asked = table.filter("id < 3").select(F.col("id").alias("qid"), "vec", F.lit(None).cast("string").alias("scope")).toPandas()
+    q = ivf._unit(np.array(asked["vec"].tolist(), float))
+    found = ivf._read(spark, index, asked, q, np.ones((3, len(index.centres)), bool), 4, "qid long, id long, sim double")
+    most = found.select("qid", F.spark_partition_id().alias("task")).groupBy("qid", "task").count().agg(F.max("count")).first()[0]
+    assert most == 4
