@@ -18,6 +18,7 @@ from plinth.functions import extract
 from plinth.functions import text as fx
 from plinth.operators import graph, grounding, metrics, retrieval, segment, vector
 from plinth.session import materialize
+from plinth.sizes import bounded
 from plinth.sources.sinks import Mirror
 from plinth.streaming import trace
 
@@ -167,9 +168,9 @@ def recall(questions: DataFrame, corpus: Corpus, k: int = schema.RECALL_K, model
     where none does.
     """
     points = corpus.points.select(F.col("id").alias("node"), "tier", "matter_id", F.substring("text", 1, 800).alias("excerpt"), vector.index_text(F.col("label"), F.col("text")).alias("body"))
-    stored = vector.embed(points, "node", "body", models).join(points.select("node", "matter_id"), "node").withColumnRenamed("node", "id")
-    asked = vector.embed(questions, "qid", "question", models).join(questions.select("qid", F.col("matter_scope").alias("scope")), "qid")
-    found = vector.nearest(materialize(asked, "recall-questions"), stored, k)
+    stored = vector.embed(points, "node", "body", models, keep=["matter_id"]).withColumnRenamed("node", "id")
+    asked = vector.embed(questions, "qid", "question", models, keep=["matter_scope"]).withColumnRenamed("matter_scope", "scope")
+    found = bounded(materialize(vector.nearest(materialize(asked, "recall-questions"), stored, k), "recall-found"))  # vectors are never shuffled
     return found.join(points, found["id"] == points["node"]).select("qid", "node", "tier", F.col("sim").alias("sem"), "excerpt")
 
 
