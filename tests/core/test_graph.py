@@ -119,3 +119,10 @@ def test_neighbourhood_reads_two_levels_alone(spark):
         seeds = spark.createDataFrame([("n0",), ("n1",), ("n7",), ("n0",), ("absent",)], "node string")
         got = graph.neighborhood(n, e, seeds, hops, scope="m1", ceiling=3).collect()
         assert len(got) == len(want) and {int(r.node[1:]): r.depth for r in got} == want
+
+
+def test_adjacency_leaves_other_edges_where_they_are_read(spark):
+    """Only edges of the asked nodes are met, each node's first ones by type, whatever else the graph holds."""
+    edges = spark.createDataFrame([("A", "a", f"n{i}") for i in range(6)] + [("B", "x", "y"), ("B", "n1", "a")], "edge_type string, src string, dst string").distinct()
+    found = graph.adjacency(edges, F.broadcast(spark.createDataFrame([("a",)], "node string")), 3)
+    assert sorted(map(tuple, found.collect())) == [("a", "n0", "A", "out"), ("a", "n1", "A", "out"), ("a", "n1", "B", "in"), ("a", "n2", "A", "out")]
