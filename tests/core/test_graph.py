@@ -126,3 +126,18 @@ def test_adjacency_leaves_other_edges_where_they_are_read(spark):
     edges = spark.createDataFrame([("A", "a", f"n{i}") for i in range(6)] + [("B", "x", "y"), ("B", "n1", "a")], "edge_type string, src string, dst string").distinct()
     found = graph.adjacency(edges, F.broadcast(spark.createDataFrame([("a",)], "node string")), 3)
     assert sorted(map(tuple, found.collect())) == [("a", "n0", "A", "out"), ("a", "n1", "A", "out"), ("a", "n1", "B", "in"), ("a", "n2", "A", "out")]
+
+
+def test_star_store_finds_by_key_what_the_mapping_has(spark):
+    """Nodes and edges at few ids, odd ones among them, equal those of the whole graph."""
+    from plinth.sources import star
+
+    g = star.star_graph(spark, "/root/testdata/sf0.001")
+    whole = star.GraphTables(g.nodes, g.edges)
+    ids = spark.createDataFrame([(i,) for i in ("region:1", "nation:7", "customer:3", "customer:03", "customer: 3", "supplier:2", "supplier:x", "part:11", "order:1", "orders:1", "order:1:2", "order:99999999999999999999", "absent", "", None)], "id string")
+    rows = lambda df: sorted(map(str, df.select(*sorted(df.columns)).collect()))
+    assert rows(g.nodes_of(ids)) == rows(whole.nodes_of(ids)) and g.nodes_of(ids).count() == 6
+    for end in ("src", "dst"):
+        assert rows(g.edges_at(ids, end)) == rows(whole.edges_at(ids, end)) and g.edges_at(ids, end).count() > 2
+    asked = ids.withColumnRenamed("id", "node")
+    assert rows(graph.adjacency(g.edges_at, asked, 5)) == rows(graph.adjacency(g.edges, asked, 5)) != []
