@@ -139,5 +139,27 @@ def test_star_store_finds_by_key_what_the_mapping_has(spark):
     assert rows(g.nodes_of(ids)) == rows(whole.nodes_of(ids)) and g.nodes_of(ids).count() == 6
     for end in ("src", "dst"):
         assert rows(g.edges_at(ids, end)) == rows(whole.edges_at(ids, end)) and g.edges_at(ids, end).count() > 2
-    asked = ids.withColumnRenamed("id", "node")
-    assert rows(graph.adjacency(g.edges_at, asked, 5)) == rows(graph.adjacency(g.edges, asked, 5)) != []
+    for k, found in ((0, graph.adjacency(g.edges_at, ids.withColumnRenamed("id", "node"), 5)), (1, graph.adjacency(g.edges_at, ids.withColumnRenamed("id", "node"), 5, ["SECTION_HAS_PROVISO"]))):
+        want = graph.adjacency(g.edges, ids.withColumnRenamed("id", "node"), 5)
+        assert rows(found) == rows(want.filter("edge_type = 'SECTION_HAS_PROVISO'") if k else want) != []
+
+
+def test_restrictive_questions_read_their_edge_types_alone(spark):
+    """Edges of a type that no question may walk are not even asked for."""
+    nodes = spark.createDataFrame([(f"n{i}", 1, None, None) for i in range(6)], "id string, tier int, matter_id string, valid_to string")
+    kinds = F.udf(lambda kind: 1 // (kind == "A"))
+    edges = spark.createDataFrame([("A", "n0", "n1"), ("A", "n1", "n2"), ("B", "n0", "n3"), ("C", "n1", "n4")], "edge_type string, src string, dst string")
+    asked = spark.createDataFrame([(1, "only", None, None, None)], "qid int, intent string, matter_scope string, ceiling int, as_of string")
+    seeds, policy = spark.createDataFrame([(1, "n0", 0)], "qid int, node string, pos int"), inline(spark, POLICY, "intent, edge_type, rank, n, restrictive")
+    seen = []
+
+    class Store:
+        def nodes_of(self, ids):
+            return nodes.join(ids, "id", "left_semi")
+
+        def edges_at(self, ids, end):
+            seen.append(end)
+            return edges.join(ids.withColumnRenamed("id", end), end, "left_semi").withColumn("src", F.when(kinds("edge_type") == 1, F.col("src")))
+
+    assert sorted((r.node, r.depth) for r in graph.typed_bfs(nodes, edges, asked, seeds, policy, store=Store()).collect()) == [("n0", 0), ("n1", 1), ("n2", 2)]
+    assert set(seen) == {"src", "dst"}
